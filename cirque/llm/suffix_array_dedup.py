@@ -27,6 +27,8 @@ from . import common as C
 
 U = np.uint64
 K = 16
+#: Buckets of contexts for each block: a suffix array is built over a bucket, so its memory is that of one.
+SPREAD = 6
 
 
 def gram_hash(eight: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
@@ -199,8 +201,8 @@ class Records:
         wide += -wide % 8
         padded = np.concatenate([b.text, np.zeros(wide, np.uint8)])
         content = np.zeros(len(start), U)
-        for s in range(0, len(start), 1 << 16):
-            part = slice(s, s + (1 << 16))
+        for s in range(0, len(start), 1 << 14):
+            part = slice(s, s + (1 << 14))
             m = padded[start[part, None] + np.arange(wide)]
             m[np.arange(wide) >= (own[part, None] + window - 1)] = 0
             w = m.view(U)
@@ -293,7 +295,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50, rest:
         for row in left.to_pylist():
             b = B.Block(row)
             r = Records(b, B.codes_in(right), window)
-            out += [{"bucket": k, "block": b.block, "own": C.raw(r.own[i:j], "u1"), "least": C.raw(r.least[i:j], "<i8"), "text": r.text(i, j)} for k, i, j in B.cuts(r.key, n)]
+            out += [{"bucket": k, "block": b.block, "own": C.raw(r.own[i:j], "u1"), "least": C.raw(r.least[i:j], "<i8"), "text": r.text(i, j)} for k, i, j in B.cuts(r.key, n * SPREAD)]
         return pa.Table.from_pylist(out, record_schema)
 
     sent = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(send, record)
