@@ -29,8 +29,8 @@ from . import common as C
 U = np.uint64
 BLOCK_BYTES = 4 << 20
 BLOCK = "block int, bucket_rows int, ids binary, sizes binary, text binary, first binary, ahead binary, own binary, rest binary"
-#: In more blocks than this a key is hot: what it stands for is then dealt out by a finer key.
-HOT_BLOCKS = 48
+#: With so many occurrences an anchor is hot: what it stands for is then dealt out by a finer key.
+HOT = 50_000
 
 
 def minimizers(h: np.ndarray, width: int) -> np.ndarray:
@@ -126,7 +126,6 @@ def build(spark: SparkSession, docs: DataFrame, anchors: Callable[[np.ndarray, n
     name = f"blocks_{uuid.uuid4().hex[:16]}"
     packed = picked.repartition(files, "block").groupBy("block").applyInArrow(pack, BLOCK)
     packed.write.bucketBy(files, "block").option("compression", "zstd").format("parquet").saveAsTable(name)
-    C.release(spark)
     return spark.table(name), n, name
 
 
@@ -150,35 +149,35 @@ def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def repeated_anchors(blocks: DataFrame, n: int, keys: Callable[[Block], tuple[np.ndarray, np.ndarray]], within_text: bool) -> DataFrame:
-    """(block, bucket, codes): for each distinct anchor of a block 0 if it occurs nowhere else, 1 if it does, 2 if in many blocks.
+    """(block, bucket, codes): for each distinct anchor of a block 0 if it occurs nowhere else, 1 if it does, 2 if it is hot.
 
     ``keys`` gives each anchor's hash and text. An anchor twice in one text counts as repeated only if ``within_text``.
     """
 
+    hot = HOT
+
     def ask(batches):
         for b in blocks_in(batches):
             h, doc = keys(b)
-            u, inv, count = distinct(h)
-            if within_text:
-                many = count > 1
-            else:
+            u, inv, many = distinct(h)
+            if not within_text:
                 low, high = np.full(len(u), len(b.ids)), np.full(len(u), -1)
                 np.minimum.at(low, inv, doc)
                 np.maximum.at(high, inv, doc)
-                many = low < high
+                many = np.where(low < high, many, 1)
             rows = cuts(u, n)
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([x[0] for x in rows], pa.int32()), "block": pa.array([b.block] * len(rows), pa.int32()), "keys": pa.array([C.raw(u[i:j], "<u8") for _, i, j in rows], pa.binary()), "many": pa.array([C.raw(many[i:j], "u1") for _, i, j in rows], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([x[0] for x in rows], pa.int32()), "block": pa.array([b.block] * len(rows), pa.int32()), "keys": pa.array([C.raw(u[i:j], "<u8") for _, i, j in rows], pa.binary()), "many": pa.array([C.raw(np.minimum(many[i:j], 65535), "<u2") for _, i, j in rows], pa.binary())})
 
     def answer(t: pa.Table) -> pa.Table:
         keys_of = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("keys")]
         h = np.concatenate(keys_of)
-        many = np.frombuffer(b"".join(x.as_py() for x in t.column("many")), np.uint8)
+        many = np.frombuffer(b"".join(x.as_py() for x in t.column("many")), np.uint16)
         order = np.argsort(h, kind="stable")
         s = h[order]
         start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         count = np.diff(np.append(start, len(s)))
-        local = np.maximum.reduceat(many[order], start)
-        code = np.where(count > HOT_BLOCKS, 2, np.where((count > 1) | (local > 0), 1, 0)).astype(np.uint8)
+        total = np.add.reduceat(many[order].astype(np.int64), start)
+        code = np.where(total >= hot, 2, np.where(total > 1, 1, 0)).astype(np.uint8)
         out = np.empty(len(h), np.uint8)
         out[order] = np.repeat(code, count)
         at = np.cumsum([0, *map(len, keys_of)])

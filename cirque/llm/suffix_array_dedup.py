@@ -2,8 +2,8 @@
 
 1. Documents become blocks; anchors that occur in one document only are set aside (``blocks.py``).
 2. For each other anchor a block sends the bytes of the windows that the anchor owns, once for equal ones,
-   with the least doc_id that has them. Anchors in very many blocks send each window by itself, dealt by the
-   window's own hash, so that no anchor is a hot key.
+   with the least doc_id that has them. Anchors in ``blocks.HOT`` or more documents send each window by itself,
+   dealt by the window's own hash, so that no anchor is a hot key.
 3. Each bucket concatenates what it got and builds a suffix array by two-stage sorting: suffixes smaller than
    their successor are sorted directly, the others are induced by one scan over the first-byte buckets. Common
    prefixes of neighbours then give the classes of equal windows, and a bit per window goes back: does a smaller
@@ -280,6 +280,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50, rest:
     C.prepare(spark)
     rest = rest or []
     blocks, n, _ = B.build(spark, docs, byte_anchors(window), rest)
+    C.release(spark)
 
     def keys(b: B.Block):
         eight = C.words8(np.concatenate([b.text, np.zeros(8, np.uint8)]))
@@ -298,8 +299,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50, rest:
             out += [{"bucket": k, "block": b.block, "own": C.raw(r.own[i:j], "u1"), "least": C.raw(r.least[i:j], "<i8"), "text": r.text(i, j)} for k, i, j in B.cuts(r.key, n * SPREAD)]
         return pa.Table.from_pylist(out, record_schema)
 
-    sent = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(send, record)
-    bits = sent.groupBy("bucket").applyInArrow(lambda t: earlier(t, window), "block int, bucket int, codes binary, kind int").checkpoint()
+    bits = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(send, record).groupBy("bucket").applyInArrow(lambda t: earlier(t, window), "block int, bucket int, codes binary, kind int").checkpoint()
     C.release(spark)
     kept = [f for f in docs.select(*rest).schema.fields] if rest else []
     types = {f.name: f.dataType.simpleString() for f in docs.select("doc_id", *rest).schema.fields}
