@@ -30,7 +30,7 @@ U = np.uint64
 BLOCK_BYTES = 4 << 20
 BLOCK = "block int, bucket_rows int, ids binary, sizes binary, text binary, first binary, ahead binary, own binary, rest binary"
 #: With so many occurrences an anchor is hot: what it stands for is then dealt out by a finer key.
-HOT = 50_000
+HOT = 16_000
 
 
 def minimizers(h: np.ndarray, width: int) -> np.ndarray:

@@ -28,7 +28,7 @@ from . import common as C
 U = np.uint64
 K = 16
 #: Buckets of contexts for each block: a suffix array is built over a bucket, so its memory is that of one.
-SPREAD = 6
+SPREAD = 12
 
 
 def gram_hash(eight: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
@@ -98,10 +98,10 @@ def sort_directly(p: np.ndarray, eight: np.ndarray, whole: np.ndarray, depth: in
     return p
 
 
-def suffix_array(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
+def suffix_array(text: np.ndarray, eight: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     """Places in ``wanted`` (a mask) in the order of their suffixes, compared over ``depth`` bytes at least.
 
-    ``text`` must end with ``depth`` zeros. Two stages: suffixes that are smaller than their successor are sorted
+    ``text`` must end with ``depth`` zeros; ``eight`` has its words of eight bytes. Two stages: suffixes that are smaller than their successor are sorted
     directly; any other suffix takes its place when the scan, bucket by bucket, reaches its successor.
     """
     up = smaller_than_next(text)
@@ -113,9 +113,7 @@ def suffix_array(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray
         after &= ~need
         need |= after
         edge = after & ~up
-    eight = C.words8(text)
-    whole = window_hash(eight, depth)
-    direct = sort_directly(np.flatnonzero(need & up), eight, whole, depth)
+    direct = sort_directly(np.flatnonzero(need & up), eight, window_hash(eight, depth), depth)
     first = text[direct]
     bounds = np.searchsorted(first, np.arange(257))
     induced = need & ~up
@@ -165,15 +163,14 @@ def window_hash(eight: np.ndarray, depth: int) -> np.ndarray:
     return h
 
 
-def common_prefixes(order: np.ndarray, text: np.ndarray, depth: int) -> np.ndarray:
+def common_prefixes(order: np.ndarray, eight: np.ndarray, depth: int) -> np.ndarray:
     """Bytes that each suffix shares with the one before it in ``order``, at most ``depth``; 0 for the first."""
     out = np.zeros(len(order), np.int64)
     if len(order) < 2:
         return out
-    eight = C.words8(text)
     a, b, open_ = order[:-1], order[1:], np.arange(len(order) - 1)
     for j in range(0, depth, 8):
-        x = eight[np.minimum(a[open_] + j, len(text) - 1)] ^ eight[np.minimum(b[open_] + j, len(text) - 1)]
+        x = eight[np.minimum(a[open_] + j, len(eight) - 1)] ^ eight[np.minimum(b[open_] + j, len(eight) - 1)]
         same = x == 0
         out[open_[same] + 1] += 8
         odd = open_[~same]
@@ -244,8 +241,10 @@ def earlier(t: pa.Table, window: int) -> pa.Table:
     mine = np.repeat(at, own) + run(own)
     wanted = np.zeros(len(text), bool)
     wanted[mine] = True
-    order = suffix_array(text, wanted, window)
-    shared = common_prefixes(order, text, window)
+    eight = C.words8(text)
+    order = suffix_array(text, eight, wanted, window)
+    shared = common_prefixes(order, eight, window)
+    del eight, wanted
     record = np.zeros(len(text), np.int32)
     record[mine] = np.repeat(np.arange(len(own), dtype=np.int32), own)
     doc = least[record[order]]
