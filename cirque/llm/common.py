@@ -145,3 +145,14 @@ def rows_of(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
 
 def raw(values: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(values, kind).tobytes()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder of spark.checkpoint.dir, and read from there."""
+    import uuid
+
+    spark = df.sparkSession
+    prepare(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}_{uuid.uuid4().hex[:16]}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -148,7 +148,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFra
     return seen.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores below ``threshold``."""
     C.prepare(docs.sparkSession)
     model = train(docs, labels)
