@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,10 @@ def prepare(spark: SparkSession) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark drop shuffle files of finished steps that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the second round finds what the first made unreachable; Spark's cleaner runs beside
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def blank(df: DataFrame, *names: str) -> DataFrame:

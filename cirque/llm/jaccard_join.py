@@ -10,7 +10,8 @@ least t two sets share an n-gram among the first ``n - ceil(t n) + 1`` of each,
    counts; pairs whose sizes or remaining places bound the overlap below what the threshold asks are discarded.
    Pairs within a component are never made.
 
-Verification intersects whole sets. Odd rows: null, empty and blank texts have no n-grams and link with nothing; a text
+Verification intersects whole sets. A class is known by 64 bits made from two sums over its n-grams' hashes and its
+size; n-grams are 64-bit hashes themselves. Odd rows: null, empty and blank texts have no n-grams and link with nothing; a text
 with fewer words than n has its whole sequence as its one n-gram; a null doc_id counts as larger than every number.
 """
 
@@ -28,7 +29,6 @@ from .components import components
 
 U = np.uint64
 SKETCH = 1 << 16
-NODE = "struct(a, b, n) AS node"
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,30 +56,31 @@ def sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return keys, np.concatenate([[0], np.cumsum(np.bincount(who, minlength=count))])
 
 
-def names(keys: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """128 bits and a size that stand for each set."""
+def names(keys: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit name for each set, and its size."""
     a = np.concatenate([[U(0)], np.cumsum(C.mix(keys + U(0x9E3779B97F4A7C15)), dtype=U)])
     b = np.concatenate([[U(0)], np.cumsum(C.mix(keys ^ U(0x2545F4914F6CDD1D)), dtype=U)])
     size = np.diff(offsets)
-    return (a[offsets[1:]] - a[offsets[:-1]]).view(np.int64), (b[offsets[1:]] - b[offsets[:-1]]).view(np.int64), size
+    x, y = a[offsets[1:]] - a[offsets[:-1]], b[offsets[1:]] - b[offsets[:-1]]
+    return C.mix(C.mix(x + size.astype(U)) * U(0x9E3779B97F4A7C15) + y).view(np.int64), size.astype(np.int64)
 
 
 def classes(docs: DataFrame, n: int) -> DataFrame:
-    """A row for each document (doc, a, b, n) and, with null doc, counts of n-grams by slot of the sketch."""
+    """A row for each document (doc, node, n) and, with null doc, counts of n-grams by slot of the sketch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(SKETCH, np.int64)
         for batch in C.slices(batches, "text"):
             keys, offsets = sets(*C.utf8(batch.column("text")), n)
             seen += np.bincount((keys >> U(48)).astype(np.int64), minlength=SKETCH)
-            a, b, size = names(keys, offsets)
-            none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(C.ids(batch.column("doc_id"))), pa.array(a), pa.array(b), pa.array(size.astype(np.int64)), none, none], names=["doc", "a", "b", "n", "slot", "seen"])
+            node, size = names(keys, offsets)
+            none = pa.nulls(len(node), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(C.ids(batch.column("doc_id"))), pa.array(node), pa.array(size), none, none], names=["doc", "node", "n", "slot", "seen"])
         at = np.flatnonzero(seen)
         none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(at), pa.array(seen[at])], names=["doc", "a", "b", "n", "slot", "seen"])
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(at), pa.array(seen[at])], names=["doc", "node", "n", "slot", "seen"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc long, a long, b long, n long, slot long, seen long")
+    return docs.select("doc_id", "text").mapInArrow(work, "doc long, node long, n long, slot long, seen long")
 
 
 def ceil_share(percent: int, n):
@@ -87,20 +88,20 @@ def ceil_share(percent: int, n):
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, order: np.ndarray) -> DataFrame:
-    """(h, a, b, n, i): the i-th n-gram of a set's prefix, in order of frequency."""
+    """(h, node, n, i): the i-th n-gram of a set's prefix, in order of frequency."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches, "text"):
             keys, offsets = sets(*C.utf8(batch.column("text")), n)
-            a, b, size = names(keys, offsets)
+            node, size = names(keys, offsets)
             who = np.repeat(np.arange(len(size)), size)
             place = np.lexsort((keys, order[(keys >> U(48)).astype(np.int64)], who))
             i = np.arange(len(keys)) - offsets[who]
             keep = i < (size - ceil_share(percent, size) + 1)[who]
             h, w, i = keys[place][keep], who[keep], i[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(a[w]), pa.array(b[w]), pa.array(size[w].astype(np.int64)), pa.array(i)], names=["h", "a", "b", "n", "i"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(node[w]), pa.array(size[w].astype(np.int32)), pa.array(i.astype(np.int32))], names=["h", "node", "n", "i"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "h long, a long, b long, n long, i long")
+    return docs.select("doc_id", "text").mapInArrow(work, "h long, node long, n int, i int")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -109,18 +110,17 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches, "text"):
             keys, offsets = sets(*C.utf8(batch.column("text")), n)
-            a, b, size = names(keys, offsets)
-            ok = np.flatnonzero((a == batch.column("a").to_numpy()) & (b == batch.column("b").to_numpy()))
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(size[ok].astype(np.int64)), pa.array([C.raw(keys[offsets[k] : offsets[k + 1]], "<u8") for k in ok], pa.binary())], names=["a", "b", "n", "grams"])
+            node, _ = names(keys, offsets)
+            ok = np.flatnonzero(node == batch.column("node").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(node[ok]), pa.array([C.raw(keys[offsets[k] : offsets[k + 1]], "<u8") for k in ok], pa.binary())], names=["node", "grams"])
 
-    rows = docs.select(F.coalesce("doc_id", F.lit(C.NULL_ID)).alias("doc"), "text").join(wanted, "doc").select("text", "node.a", "node.b")
-    return rows.mapInArrow(work, "a long, b long, n long, grams binary").selectExpr(NODE, "grams")
+    rows = docs.select(F.coalesce("doc_id", F.lit(C.NULL_ID)).alias("doc"), "text").join(wanted, "doc").select("text", "node")
+    return rows.mapInArrow(work, "node long, grams binary")
 
 
 def verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     """``pairs`` (x, y) with ``linked``: whether 100 x common >= percent x union."""
-    both = pairs.join(grams.select(F.col("node").alias("x"), F.col("grams").alias("gx")), "x").join(grams.select(F.col("node").alias("y"), F.col("grams").alias("gy")), "y")
-    flat = both.select("gx", "gy", *(F.col(f"{s}.{c}").alias(f"{s}{c}") for s in "xy" for c in "abn"))
+    both = pairs.join(grams.select(F.col("node").alias("x"), F.col("grams").alias("gx")), "x").join(grams.select(F.col("node").alias("y"), F.col("grams").alias("gy")), "y").select("x", "y", "gx", "gy")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,13 +129,24 @@ def verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
                 p, q = np.frombuffer(gx.as_buffer(), np.uint64), np.frombuffer(gy.as_buffer(), np.uint64)
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 out.append(100 * common >= percent * (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEYS), pa.array(out, pa.bool_())], names=[*KEYS, "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(out, pa.bool_())], names=["x", "y", "linked"])
 
-    got = flat.mapInArrow(work, ", ".join([*(f"{c} long" for c in KEYS), "linked boolean"]))
-    return got.select(*(F.struct(*(F.col(f"{s}{c}").alias(c) for c in "abn")).alias(s) for s in "xy"), "linked")
+    return both.mapInArrow(work, "x long, y long, linked boolean")
 
 
-KEYS = [s + c for s in "xy" for c in "abn"]
+def in_several(rows: DataFrame) -> DataFrame:
+    """(h, node, n, i, pivot, pivot_n) of the columns with two members at least; pivot is the least."""
+    ends = rows.groupBy("h").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot <> top").select("h", "pivot")
+    got = rows.join(ends, "h").groupBy("h", "node", "pivot").agg(F.max("n").alias("n"), F.min("i").alias("i"))
+    size = got.where("node = pivot").select("h", F.col("n").alias("pivot_n"))
+    return got.join(size, "h")
+
+
+def several_components(shared: DataFrame, group: DataFrame) -> DataFrame:
+    """(h, node, n, i, component, main) of the columns that hold several components; main is the pivot's."""
+    held = shared.select("h", "node", "n", "i", "pivot").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = held.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("node") == F.col("pivot"), F.col("component"))).alias("main")).where("low <> high").select("h", "main")
+    return held.join(mixed, "h").select("h", "node", "n", "i", "component", "main")
 
 
 def groups(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -145,31 +156,30 @@ def groups(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFr
     order = np.zeros(SKETCH, np.int64)
     for r in seen.where("slot is not null").groupBy("slot").agg(F.sum("seen").alias("seen")).collect():  # SKETCH rows at most
         order[r["slot"]] = r["seen"]
-    docs_of = seen.where("slot is null").selectExpr("doc", "n", NODE)
+    docs_of = seen.where("slot is null").select("doc", "node", "n")
     class_of = docs_of.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"))
-    rows = C.written(prefixes(docs, n, percent, order), "prefixes").selectExpr("h", "i", NODE)
-    shared = rows.groupBy("h").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot <> top").select("h", "pivot")
-    shared = C.written(rows.join(shared, "h").groupBy("h", "node", "pivot").agg(F.min("i").alias("i")), "columns")
+    rows = C.written(prefixes(docs, n, percent, order), "prefixes")
+    shared = C.written(in_several(rows), "columns")
     C.release(spark)
     grams = C.written(full_sets(docs, shared.select("node").distinct().join(class_of, "node"), n), "sets")
     C.release(spark)
-    size_ok = lambda p, q: F.least(f"{p}.n", f"{q}.n") * 100 >= F.greatest(f"{p}.n", f"{q}.n") * percent
-    star = shared.where("node <> pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).where(size_ok("x", "y")).distinct()
+    size_ok = lambda p, q: F.least(p, q) * 100 >= F.greatest(p, q) * percent
+    star = shared.where("node <> pivot").where(size_ok("n", "pivot_n")).select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct()
     tried = C.written(verified(star, grams, percent), "star")
     C.release(spark)
     links = tried.where("linked").select("x", "y")
     group = components(links)
     # columns that hold several components: pairs between them, first among the members outside the pivot's component
-    held = shared.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = held.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "node").alias("main")).where("low <> high").select("h", "main")
-    held = C.written(held.join(mixed, "h").select("h", "node", "i", "component", "main"), "mixed")
+    held = C.written(several_components(shared, group), "mixed")
     C.release(spark)
-    few = held.where("component <> main").select("h", F.col("node").alias("u"), F.col("i").alias("ui"), F.col("component").alias("uc"))
-    all_ = held.select("h", F.col("node").alias("v"), F.col("i").alias("vi"), F.col("component").alias("vc"), "main")
-    need = lambda p, q: F.ceil((F.col(f"{p}.n") + F.col(f"{q}.n")) * percent / (100 + percent) - 1e-6)
-    cross = few.join(all_, "h").where((F.col("uc") != F.col("vc")) & ((F.col("vc") == F.col("main")) | (F.col("u") < F.col("v"))) & size_ok("u", "v"))
-    cross = cross.groupBy(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).agg(F.count("*").alias("common"), F.max(F.when(F.col("u") < F.col("v"), F.col("ui")).otherwise(F.col("vi"))).alias("xi"), F.max(F.when(F.col("u") < F.col("v"), F.col("vi")).otherwise(F.col("ui"))).alias("yi"))
-    cross = cross.where(F.col("common") + F.least(F.col("x.n") - 1 - F.col("xi"), F.col("y.n") - 1 - F.col("yi")) >= need("x", "y")).select("x", "y").join(tried.select("x", "y"), ["x", "y"], "left_anti")
+    few = held.where("component <> main").select("h", *(F.col(c).alias(f"u{c}") for c in ("node", "n", "i", "component")))
+    every = held.select("h", "main", *(F.col(c).alias(f"v{c}") for c in ("node", "n", "i", "component")))
+    cross = few.join(every, "h").where((F.col("ucomponent") != F.col("vcomponent")) & ((F.col("vcomponent") == F.col("main")) | (F.col("unode") < F.col("vnode"))) & size_ok("un", "vn"))
+    first = F.col("unode") < F.col("vnode")
+    side = lambda c, low: F.when(first == F.lit(low), F.col(f"u{c}")).otherwise(F.col(f"v{c}"))
+    cross = cross.groupBy(F.least("unode", "vnode").alias("x"), F.greatest("unode", "vnode").alias("y")).agg(F.count("*").alias("common"), F.max(side("n", True)).alias("xn"), F.max(side("n", False)).alias("yn"), F.max(side("i", True)).alias("xi"), F.max(side("i", False)).alias("yi"))
+    bound = F.col("common") + F.least(F.col("xn") - 1 - F.col("xi"), F.col("yn") - 1 - F.col("yi"))
+    cross = cross.where(bound * (100 + percent) >= (F.col("xn") + F.col("yn")) * percent).select("x", "y").join(tried.select("x", "y"), ["x", "y"], "left_anti")
     more = C.written(verified(cross, grams, percent).where("linked").select("x", "y"), "cross")
     C.release(spark)
     group = components(links.unionByName(more))
