@@ -6,11 +6,13 @@ least t two sets share an n-gram among the first ``n - ceil(t n) + 1`` of each,
 
 1. Each column joins its members to its least member only; the pairs are verified, and links give components. This
    settles groups of copies in as many pairs as members.
+   A star pair needs a fifth of the smaller prefix in common, which only saves work: step 2 finds what this leaves.
 2. Columns that still hold several components give the pairs between different components, with accumulated overlap
    counts; pairs whose sizes or remaining places bound the overlap below what the threshold asks are discarded.
    Pairs within a component are never made.
 
-Verification intersects whole sets. A class is known by 64 bits made from two sums over its n-grams' hashes and its
+Pairs then pass a parity signature: each n-gram flips one of 512 bits, so the bits in which two signatures differ are a
+lower bound of the n-grams that only one set has. What is left is verified by intersecting whole sets. A class is known by 64 bits made from two sums over its n-grams' hashes and its
 size; n-grams are 64-bit hashes themselves. Odd rows: null, empty and blank texts have no n-grams and link with nothing; a text
 with fewer words than n has its whole sequence as its one n-gram; a null doc_id counts as larger than every number.
 """
@@ -29,6 +31,7 @@ from .components import components
 
 U = np.uint64
 SKETCH = 1 << 16
+SIGNATURE = [f"s{i}" for i in range(8)]
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +68,15 @@ def names(keys: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return C.mix(C.mix(x + size.astype(U)) * U(0x9E3779B97F4A7C15) + y).view(np.int64), size.astype(np.int64)
 
 
+def signatures(keys: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """512 parity bits of each set, as eight numbers."""
+    count = len(offsets) - 1
+    at = np.repeat(np.arange(count), np.diff(offsets)) * 512 + (C.mix(keys) & U(511)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=count * 512) & 1).astype(np.uint8)).view(np.int64).reshape(count, 8)
+
+
 def classes(docs: DataFrame, n: int) -> DataFrame:
-    """A row for each document (doc, node, n) and, with null doc, counts of n-grams by slot of the sketch."""
+    """A row for each document (doc, node, n and the signature) and, with null doc, counts of n-grams by slot of the sketch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(SKETCH, np.int64)
@@ -75,12 +85,16 @@ def classes(docs: DataFrame, n: int) -> DataFrame:
             seen += np.bincount((keys >> U(48)).astype(np.int64), minlength=SKETCH)
             node, size = names(keys, offsets)
             none = pa.nulls(len(node), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(C.ids(batch.column("doc_id"))), pa.array(node), pa.array(size), none, none], names=["doc", "node", "n", "slot", "seen"])
+            bits = signatures(keys, offsets)
+            yield pa.RecordBatch.from_arrays([pa.array(C.ids(batch.column("doc_id"))), pa.array(node), pa.array(size), none, none, *(pa.array(bits[:, k]) for k in range(8))], names=COLUMNS)
         at = np.flatnonzero(seen)
         none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(at), pa.array(seen[at])], names=["doc", "node", "n", "slot", "seen"])
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(at), pa.array(seen[at]), *[none] * 8], names=COLUMNS)
+
+    return docs.select("doc_id", "text").mapInArrow(work, ", ".join(f"{c} long" for c in COLUMNS))
+
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc long, node long, n long, slot long, seen long")
+COLUMNS = ["doc", "node", "n", "slot", "seen", *SIGNATURE]
 
 
 def ceil_share(percent: int, n):
@@ -134,6 +148,21 @@ def verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(work, "x long, y long, linked boolean")
 
 
+def check(docs: DataFrame, pairs: DataFrame, class_of: DataFrame, n: int, percent: int, name: str) -> DataFrame:
+    """(x, y, linked) of the pairs (x, y, xn, yn) that their signatures leave."""
+    sign = lambda s: class_of.select(F.col("node").alias(s), *(F.col(c).alias(s + c) for c in SIGNATURE))
+    apart = sum(F.bit_count(F.col(f"x{c}").bitwiseXOR(F.col(f"y{c}"))) for c in SIGNATURE)
+    left = pairs.select("x", "y", "xn", "yn").join(sign("x"), "x").join(sign("y"), "y").where(apart * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent)).select("x", "y")
+    left = C.written(left, name + "_pairs")
+    C.release(docs.sparkSession)
+    ends = left.select(F.col("x").alias("node")).unionByName(left.select(F.col("y").alias("node"))).distinct()
+    grams = C.written(full_sets(docs, ends.join(class_of.select("node", "doc"), "node"), n), name + "_sets")
+    C.release(docs.sparkSession)
+    got = C.written(verified(left, grams, percent), name)
+    C.release(docs.sparkSession)
+    return got
+
+
 def in_several(rows: DataFrame) -> DataFrame:
     """(h, node, n, i, pivot, pivot_n) of the columns with two members at least; pivot is the least."""
     ends = rows.groupBy("h").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot <> top").select("h", "pivot")
@@ -157,16 +186,15 @@ def groups(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFr
     for r in seen.where("slot is not null").groupBy("slot").agg(F.sum("seen").alias("seen")).collect():  # SKETCH rows at most
         order[r["slot"]] = r["seen"]
     docs_of = seen.where("slot is null").select("doc", "node", "n")
-    class_of = docs_of.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"))
+    class_of = seen.where("slot is null and n > 0").groupBy("node").agg(F.min("doc").alias("doc"), *(F.max(c).alias(c) for c in SIGNATURE))
     rows = C.written(prefixes(docs, n, percent, order), "prefixes")
     shared = C.written(in_several(rows), "columns")
     C.release(spark)
-    grams = C.written(full_sets(docs, shared.select("node").distinct().join(class_of, "node"), n), "sets")
-    C.release(spark)
     size_ok = lambda p, q: F.least(p, q) * 100 >= F.greatest(p, q) * percent
-    star = shared.where("node <> pivot").where(size_ok("n", "pivot_n")).select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct()
-    tried = C.written(verified(star, grams, percent), "star")
-    C.release(spark)
+    star = shared.where("node <> pivot").where(size_ok("n", "pivot_n")).groupBy(F.col("pivot").alias("x"), F.col("node").alias("y")).agg(F.count("*").alias("common"), F.max("pivot_n").alias("xn"), F.max("n").alias("yn"))
+    small = F.least("xn", "yn")
+    star = star.where(F.col("common") * 5 >= small - F.floor((small * percent + 99) / 100) + 1)
+    tried = check(docs, star, class_of, n, percent, "star")
     links = tried.where("linked").select("x", "y")
     group = components(links)
     # columns that hold several components: pairs between them, first among the members outside the pivot's component
@@ -179,9 +207,8 @@ def groups(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFr
     side = lambda c, low: F.when(first == F.lit(low), F.col(f"u{c}")).otherwise(F.col(f"v{c}"))
     cross = cross.groupBy(F.least("unode", "vnode").alias("x"), F.greatest("unode", "vnode").alias("y")).agg(F.count("*").alias("common"), F.max(side("n", True)).alias("xn"), F.max(side("n", False)).alias("yn"), F.max(side("i", True)).alias("xi"), F.max(side("i", False)).alias("yi"))
     bound = F.col("common") + F.least(F.col("xn") - 1 - F.col("xi"), F.col("yn") - 1 - F.col("yi"))
-    cross = cross.where(bound * (100 + percent) >= (F.col("xn") + F.col("yn")) * percent).select("x", "y").join(tried.select("x", "y"), ["x", "y"], "left_anti")
-    more = C.written(verified(cross, grams, percent).where("linked").select("x", "y"), "cross")
-    C.release(spark)
+    cross = cross.where(bound * (100 + percent) >= (F.col("xn") + F.col("yn")) * percent).join(tried.select("x", "y"), ["x", "y"], "left_anti")
+    more = check(docs, cross, class_of, n, percent, "cross").where("linked").select("x", "y")
     group = components(links.unionByName(more))
     least = class_of.join(group, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
     of = least.join(least.groupBy("component").agg(F.min("doc").alias("least")), "component").select("node", "least")
