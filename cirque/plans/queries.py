@@ -1,15 +1,381 @@
-"""One query for each operator over the given tables, and the same in SQL."""
+"""One query for each operator over the given tables, and the same in SQL for another engine to compare."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cirque.functions import features as P
+from cirque.functions import geometry as G
+from cirque.operators import catalog as A
+from cirque.operators import intervals as J
+from cirque.operators import motifs as M
+from cirque.operators import operons as O
+from cirque.operators import summary as S
+
+from .adapters import VIEWS, view, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+# ---- the geometry in SQL ------------------------------------------------------------------------
+
+
+def _mod(x: str, m: str) -> str:
+    return f"((({x}) % ({m})) + ({m})) % ({m})"
+
+
+def _len(s: str, e: str, n: str = "len") -> str:
+    return f"(CASE WHEN {_mod(f'{e}-{s}', n)} = 0 AND {s} <> {e} THEN {n} ELSE {_mod(f'{e}-{s}', n)} END)"
+
+
+def _m(sa, ea, sb, eb, n="len"):
+    return _mod(f"(2*{sb}+{_len(sb, eb, n)})-(2*{sa}+{_len(sa, ea, n)})", f"2*{n}")
+
+
+def _side(sa, ea, strand, sb, eb, n="len"):
+    m = _m(sa, ea, sb, eb, n)
+    return f"((CASE WHEN {m} IN (0,{n}) THEN 0 WHEN {m} < {n} THEN 1 ELSE -1 END) * (CASE WHEN {strand} = 'Reverse' THEN -1 ELSE 1 END))"
+
+
+def _rel(sa, ea, strand, sb, eb, n="len"):
+    """Relation and distance of b to a."""
+    la, lb, m = _len(sa, ea, n), _len(sb, eb, n), _m(sa, ea, sb, eb, n)
+    d2, side = f"least({m}, 2*{n}-({m}))", _side(sa, ea, strand, sb, eb, n)
+    rel = f"(CASE WHEN {d2} >= {la}+{lb} THEN (CASE WHEN {side} > 0 THEN '3N' ELSE '5N' END) WHEN {la}+{lb} > {n} THEN (CASE WHEN {la} > {lb} THEN 'CG' ELSE 'CR' END) WHEN greatest({la},{lb}) > {d2}+least({la},{lb}) THEN (CASE WHEN {la} > {lb} THEN 'EB' ELSE 'CO' END) WHEN {side} = 0 THEN 'PE' WHEN {side} > 0 THEN '3O' ELSE '5O' END)"
+    return rel, f"(CASE WHEN {d2} >= {la}+{lb} THEN ({d2}-{la}-{lb})//2 ELSE 0 END)"
+
+
+def _pairs(left: str, right: str, radius: int, more: str = "", same: str = "assembly, replicon, len") -> str:
+    """SQL of pairs within a radius; left and right have strand, start_bound and end_bound."""
+    rel, dist = _rel("l.start_bound", "l.end_bound", "l.strand", "r.start_bound", "r.end_bound", "l.len")
+    return f"SELECT * FROM (SELECT l.*, r.start_bound AS rs, r.end_bound AS re, {more} {rel} AS rel, {dist} AS distance FROM {left} l JOIN {right} r ON l.assembly = r.assembly AND l.replicon = r.replicon) WHERE rel NOT IN ('5N','3N') OR distance <= {radius}"
+
+
+GENES = "genes AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY assembly, replicon, start_bound, end_bound ORDER BY ord DESC) AS k FROM ad_features WHERE feature_type NOT IN ('Region','Gene')) WHERE k = 1)"
+HITS = "hits AS (SELECT h.hit_id, r.assembly, r.replicon, r.len, h.assoc_type, h.qseqid, h.evalue, CASE WHEN h.sframe > 0 THEN 'Forward' WHEN h.sframe < 0 THEN 'Reverse' ELSE 'Other' END AS strand, CASE WHEN h.sframe > 0 THEN h.sstart ELSE h.send END - 1 AS start_bound, CASE WHEN h.sframe > 0 THEN h.send ELSE h.sstart END AS end_bound FROM ad_hits h JOIN ad_replicons r ON r.replicon = h.replicon)"
+
+
+def _operon_sql() -> str:
+    """The steps of operon prediction, ending in site_genes, operons and classes."""
+    link = _rel("ps", "pe", "'Forward'", "rs", "re")[1]
+    gene_site = lambda s, e, t: _rel(s, e, t, "start_bound", "end_bound")
+    head5, head3 = gene_site("h5s", "h5e", "h5t")[0], gene_site("h3s", "h3e", "h3t")[0]
+    apart = _rel("h5s", "h5e", "h5t", "h3s", "h3e")[1]
+    g_rel, g_dist = gene_site("gs", "ge", "gt")
+    o_rel, o_dist = gene_site("os", "oe", "ot")
+    side = f"((CASE WHEN {_mo()} IN (0,len) THEN 0 WHEN {_mo()} < len THEN 1 ELSE -1 END) * (CASE WHEN ot = 'Reverse' THEN -1 ELSE 1 END))"
+    return f"""{with_views("ad_features", "ad_sites")}, {GENES},
+p0 AS ({_pairs("ad_sites", "genes", 40000, "r.strand AS rt,")}),
+p1 AS (SELECT *, CASE WHEN rel IN ('5N','3N') THEN rel ELSE 'O' END AS side FROM p0),
+n5 AS (SELECT site_id, rt FROM (SELECT site_id, rt, row_number() OVER (PARTITION BY site_id ORDER BY distance, rs, re, rt) AS k FROM p1 WHERE side = '5N') WHERE k = 1),
+n3 AS (SELECT site_id, rt FROM (SELECT site_id, rt, row_number() OVER (PARTITION BY site_id ORDER BY distance, rs, re, rt) AS k FROM p1 WHERE side = '3N') WHERE k = 1),
+p2 AS (SELECT p1.*, coalesce(n5.rt,'Other') AS s5, coalesce(n3.rt,'Other') AS s3 FROM p1 LEFT JOIN n5 USING (site_id) LEFT JOIN n3 USING (site_id)),
+lists AS (SELECT *, '5' AS list FROM p2 WHERE side = '5N' OR (side = 'O' AND rt = s5) UNION ALL SELECT *, '3' FROM p2 WHERE side = '3N' OR (side = 'O' AND rt = s3) UNION ALL SELECT *, 'E' FROM p2 WHERE side = 'O' AND rt <> s5 AND rt <> s3),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY site_id, list ORDER BY CASE WHEN side = 'O' THEN 0 ELSE 1 END, distance, CASE WHEN list = 'E' THEN -rs ELSE rs END, CASE WHEN list = 'E' THEN -re ELSE re END) AS pos FROM lists),
+lagged AS (SELECT a.*, b.rs AS ps, b.re AS pe, h.rt AS lead_strand, h.distance AS lead_distance FROM ordered a JOIN ordered h ON h.site_id = a.site_id AND h.list = a.list AND h.pos = 1 LEFT JOIN ordered b ON b.site_id = a.site_id AND b.list = a.list AND b.pos = a.pos - 1),
+broken AS (SELECT *, CASE WHEN lead_distance > 100 OR rt <> lead_strand OR (ps IS NOT NULL AND {link} > 40) THEN 1 ELSE 0 END AS br FROM lagged),
+chains AS (SELECT * FROM (SELECT *, sum(br) OVER (PARTITION BY site_id, list ORDER BY pos) AS breaks FROM broken) WHERE breaks = 0),
+heads AS (SELECT site_id, max(CASE WHEN list = '5' AND pos = 1 THEN rs END) AS h5s, max(CASE WHEN list = '5' AND pos = 1 THEN re END) AS h5e, max(CASE WHEN list = '5' AND pos = 1 THEN rt END) AS h5t, max(CASE WHEN list = '3' AND pos = 1 THEN rs END) AS h3s, max(CASE WHEN list = '3' AND pos = 1 THEN re END) AS h3e, max(CASE WHEN list = '3' AND pos = 1 THEN rt END) AS h3t FROM chains GROUP BY site_id),
+judged AS (SELECT c.*, h5s, h3s, CASE WHEN h5s IS NULL THEN FALSE ELSE {head5} IN ('3O','3N') END AS end5, CASE WHEN h3s IS NULL THEN FALSE ELSE {head3} IN ('3O','3N') END AS end3, CASE WHEN h5s IS NULL OR h3s IS NULL THEN TRUE ELSE {apart} > 40 END AS gap_big FROM chains c JOIN heads USING (site_id)),
+site_genes AS (SELECT DISTINCT site_id, assembly, replicon, len, strand, start_bound, end_bound, rt, rs, re FROM judged WHERE list = 'E' OR (list = '5' AND NOT (end5 AND (h3s IS NULL OR gap_big OR end3))) OR (list = '3' AND NOT (end3 AND (h5s IS NULL OR gap_big OR end5)))),
+operons AS (SELECT site_id, assembly, replicon, len, min(rs) AS os, max_by(re, rs * 1000000000 + re) AS oe, CASE WHEN count(DISTINCT rt) = 1 THEN min(rt) ELSE 'Other' END AS ot, count(*) AS n_genes FROM site_genes GROUP BY 1,2,3,4),
+near AS (SELECT site_id, rs AS gs, re AS ge, rt AS gt FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY {_rel("start_bound", "end_bound", "strand", "rs", "re")[1]}, rs, re) AS k FROM site_genes) WHERE k = 1),
+joined AS (SELECT s.*, n.gs, n.ge, n.gt, o.os, o.oe, o.ot, o.n_genes FROM ad_sites s LEFT JOIN near n USING (site_id) LEFT JOIN operons o USING (site_id)),
+related AS (SELECT *, {g_rel} AS g_rel, {g_dist} AS g_dist, {o_rel} AS o_rel, {o_dist} AS o_dist, {side} AS o_side FROM joined),
+classes AS (SELECT site_id, assembly, replicon, CASE WHEN n_genes IS NULL THEN 'Exterior' WHEN g_rel IN ('5O','3O') THEN 'Boundary' WHEN g_rel IN ('5N','3N') THEN 'Exterior' ELSE 'Interior' END AS site_type,
+ CASE WHEN n_genes IS NULL THEN 'D' WHEN o_rel IN ('5O','5N') OR (ot = 'Other' AND g_rel IN ('5O','5N')) THEN 'A' WHEN ot <> 'Other' AND o_side > 0 THEN 'C' || CASE WHEN n_genes > 1 THEN 'm' ELSE '' END WHEN ot <> 'Other' THEN 'B' || CASE WHEN n_genes > 1 THEN 'm' ELSE '' END ELSE '-' END AS site_class,
+ CASE WHEN n_genes IS NULL THEN NULL WHEN o_rel IN ('5O','5N') THEN o_dist WHEN ot = 'Other' AND g_rel IN ('5O','5N') THEN g_dist END AS class_distance, CAST(coalesce(n_genes,0) AS BIGINT) AS n_genes FROM related),
+dist_operons AS (SELECT assembly, replicon, len, ot AS strand, os AS start_bound, oe AS end_bound, max(n_genes) AS n_genes FROM operons GROUP BY 1,2,3,4,5,6)
+"""
+
+
+def _mo() -> str:
+    arc = lambda s, e: f"(2*{s}+{_mod(f'{e}-{s}', 'len')})"
+    return _mod(f"{arc('start_bound', 'end_bound')}-{arc('os', 'oe')}", "2*len")
+
+
+OPERON = _operon_sql()
+WITH_HITS = f"ad_hits AS ({VIEWS['ad_hits'].strip()}), {HITS}"
+
+
+def _site_genes(spark, d):
+    return O.predict_operons(view(spark, d, "ad_sites"), view(spark, d, "ad_features"))
+
+
+def _hits(spark, d):
+    return P.orient_hits(view(spark, d, "ad_hits")).join(view(spark, d, "ad_replicons"), "replicon")
+
+
+def _linked(spark, d):
+    return J.link_hits(view(spark, d, "ad_features"), _hits(spark, d))
+
+
+LINKED = f"{with_views('ad_features', 'ad_hits')}, {GENES}, {HITS}, pairs AS ({_pairs('ad_features', 'hits', 0, 'r.assoc_type AS t,')}), linked AS (SELECT f.*, a.assoc FROM ad_features f LEFT JOIN (SELECT assembly, replicon, ord, list_sort(list(DISTINCT t)) AS assoc FROM pairs WHERE rel NOT IN ('5N','3N') GROUP BY ALL) a USING (assembly, replicon, ord))"
+
+
+@query(f"{with_views('ad_features', 'ad_sites')}, {GENES}, p AS ({_pairs('ad_sites', 'genes', 40000)}) SELECT rel, CAST(count(*) AS BIGINT) AS pairs, CAST(sum(distance) AS BIGINT) AS total FROM p GROUP BY rel")
+def j5_relate_pairs(spark, d):
+    got = J.relate(view(spark, d, "ad_sites"), P.dedupe_features(P.keep_coding_features(view(spark, d, "ad_features"))), 40_000, [])
+    return got.groupBy("rel").agg(F.count("*").alias("pairs"), F.sum("distance").alias("total"))
+
+
+@query(f"{with_views('ad_features', 'ad_sites')}, {GENES}, p AS ({_pairs('ad_sites', 'genes', 40000)}), q AS (SELECT *, CASE WHEN rel IN ('5N','3N') THEN rel ELSE 'overlap' END AS side FROM p) SELECT site_id, side, rs AS gene_start, re AS gene_end, distance FROM (SELECT *, row_number() OVER (PARTITION BY site_id, side ORDER BY distance, rs, re) AS k FROM q) WHERE side = 'overlap' OR k = 1")
+def j6_nearest_neighbors(spark, d):
+    got = J.nearest_neighbors(view(spark, d, "ad_sites"), P.dedupe_features(P.keep_coding_features(view(spark, d, "ad_features"))))
+    return got.select("site_id", "side", F.col("r_start_bound").alias("gene_start"), F.col("r_end_bound").alias("gene_end"), "distance")
+
+
+@query(f"{LINKED} SELECT assembly, replicon, ord, array_to_string(assoc, ',') AS assoc FROM linked")
+def j3_link_hits(spark, d):
+    return _linked(spark, d).select("assembly", "replicon", "ord", F.array_join("assoc", ",").alias("assoc"))
+
+
+@query(f"{with_views('ad_sites', 'ad_features')}, {GENES}, p AS ({_pairs('genes', 'ad_sites', 500, 'r.site_id AS sid,')}) SELECT assembly, replicon, ord, sid AS site_id, rel, distance FROM p")
+def j4_within_radius(spark, d):
+    got = J.relate(P.dedupe_features(P.keep_coding_features(view(spark, d, "ad_features"))), view(spark, d, "ad_sites"), 500, ["site_id"])
+    return got.select("assembly", "replicon", "ord", F.col("r_site_id").alias("site_id"), "rel", "distance")
+
+
+@query(f"{OPERON} SELECT site_id, rs AS gene_start, re AS gene_end, rt AS gene_strand FROM site_genes")
+def o1_predict_operons(spark, d):
+    return _site_genes(spark, d).select("site_id", F.col("r_start_bound").alias("gene_start"), F.col("r_end_bound").alias("gene_end"), F.col("r_strand").alias("gene_strand"))
+
+
+@query(f"{OPERON} SELECT site_id, replicon, os AS start_bound, oe AS end_bound, ot AS strand, CAST(n_genes AS BIGINT) AS n_genes FROM operons")
+def o2_build_operons(spark, d):
+    o = O.build_operons(_site_genes(spark, d))
+    return o.select("site_id", "replicon", F.col("o_start_bound").alias("start_bound"), F.col("o_end_bound").alias("end_bound"), F.col("o_strand").alias("strand"), "n_genes")
+
+
+@query(f"{OPERON} SELECT assembly, replicon, strand, start_bound, end_bound, CAST(n_genes AS BIGINT) AS n_genes FROM dist_operons")
+def o3_distinct_operons(spark, d):
+    o = O.distinct_operons(O.build_operons(_site_genes(spark, d)))
+    return o.select("assembly", "replicon", F.col("o_strand").alias("strand"), F.col("o_start_bound").alias("start_bound"), F.col("o_end_bound").alias("end_bound"), "n_genes")
+
+
+@query(f"{OPERON} SELECT * FROM classes")
+def o4_classify_sites(spark, d):
+    return O.classify_sites(view(spark, d, "ad_sites"), _site_genes(spark, d))
+
+
+@query(f"{OPERON}, {WITH_HITS}, fh AS ({_pairs('ad_features', 'hits', 0, 'r.assoc_type AS t,')}) SELECT g.site_id, array_to_string(list_sort(list(DISTINCT t)), ',') AS assoc FROM site_genes g JOIN fh ON fh.assembly = g.assembly AND fh.replicon = g.replicon AND fh.start_bound = g.rs AND fh.end_bound = g.re WHERE fh.rel NOT IN ('5N','3N') GROUP BY 1")
+def o5_site_associations(spark, d):
+    return O.site_associations(_site_genes(spark, d), _linked(spark, d)).select("site_id", F.array_join("assoc", ",").alias("assoc"))
+
+
+@query(f"{OPERON}, p AS ({_pairs('dist_operons', 'ad_sites', 200, 'r.site_id AS sid,')}) SELECT replicon, strand, start_bound, end_bound, sid AS site_id, rel, distance FROM p WHERE strand NOT IN ('Forward','Reverse') OR rel NOT IN ('3N','3O')")
+def j7_valid_regulators(spark, d):
+    got = O.valid_regulators(O.distinct_operons(O.build_operons(_site_genes(spark, d))), view(spark, d, "ad_sites"))
+    return got.select("replicon", "strand", "start_bound", "end_bound", F.col("r_site_id").alias("site_id"), "rel", "distance")
+
+
+ORPHANS = f"fh AS ({_pairs('genes', 'hits', 0, 'r.assoc_type AS t,')}), wanted AS (SELECT g.* FROM genes g WHERE EXISTS (SELECT 1 FROM fh WHERE fh.assembly = g.assembly AND fh.replicon = g.replicon AND fh.ord = g.ord AND fh.t = 'CopY' AND fh.rel NOT IN ('5N','3N'))), touching AS ({_pairs('wanted', 'dist_operons', 0)}), governed AS (SELECT * FROM ({_pairs('wanted', 'ad_sites', 100)}) WHERE rel NOT IN ('3N','3O')), orphan AS (SELECT * FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM touching t WHERE t.replicon = w.replicon AND t.ord = w.ord) AND NOT EXISTS (SELECT 1 FROM governed t WHERE t.replicon = w.replicon AND t.ord = w.ord))"
+
+
+def _orphans(spark, d):
+    return O.orphans(_linked(spark, d), O.distinct_operons(O.build_operons(_site_genes(spark, d))), view(spark, d, "ad_sites"))
+
+
+@query(f"{OPERON}, {WITH_HITS}, {ORPHANS} SELECT assembly, replicon, start_bound, end_bound FROM orphan")
+def j8_orphans(spark, d):
+    return _orphans(spark, d).select("assembly", "replicon", "start_bound", "end_bound")
+
+
+@query(f"{with_views('ad_sequences')}, s AS (SELECT doc_id, seq, CAST(length(seq) AS BIGINT) AS n FROM ad_sequences WHERE length(seq) >= 16), f AS (SELECT doc_id, n, i, substr(seq || substr(seq,1,15), CAST(i+1 AS INT), 16) AS w FROM (SELECT *, unnest(range(n)) AS i FROM s)), r AS (SELECT doc_id, n, 'Forward' AS strand, i AS start_bound, i+16 AS end_bound, w AS seq FROM f WHERE regexp_full_match(w, '[AG][ACGT][CT][GT]ACA[ACGT][ACGT][CT]GT[AC][AG][ACGT][CT]') UNION ALL SELECT doc_id, n, 'Reverse', i, i+16, translate(reverse(w),'ACGT','TGCA') FROM f WHERE regexp_full_match(w, '[AG][ACGT][CT][GT]AC[AG][ACGT][ACGT]TGT[AC][AG][ACGT][CT]')), m AS (SELECT *, count(*) OVER (PARTITION BY doc_id, start_bound) AS k, row_number() OVER (PARTITION BY doc_id, start_bound ORDER BY strand) AS rn FROM r) SELECT CAST(doc_id AS VARCHAR) AS replicon, strand, start_bound, end_bound, seq, CASE WHEN k > 1 THEN 'Double' ELSE 'Single' END AS dimension FROM m WHERE rn = 1")
+def m3_scan_motif(spark, d):
+    s = view(spark, d, "ad_sequences").select(F.col("doc_id").cast("string").alias("replicon"), "seq")
+    return M.dedupe_sites(M.mark_palindromes(M.scan_motif(s))).select("replicon", "strand", "start_bound", "end_bound", "seq", "dimension")
+
+
+@query(f"{with_views('ad_sequences')}, w AS (SELECT DISTINCT substr(seq, 1, 16) AS word FROM ad_sequences WHERE length(seq) >= 16) SELECT word, translate(reverse(word),'ACGTURY','TGCAAYR') AS reverse_complement, regexp_full_match(word, '[AG][ACGT][CT][GT]ACA[ACGT][ACGT][CT]GT[AC][AG][ACGT][CT]') AS in_motif FROM w")
+def m1_expand_motif(spark, d):
+    w = view(spark, d, "ad_sequences").where(F.length("seq") >= 16).select(F.substring("seq", 1, 16).alias("word")).distinct()
+    words = M.expand_motif(spark).select("word", F.lit(True).alias("hit"))
+    return w.join(words, "word", "left").select("word", P.reverse_complement(F.col("word")).alias("reverse_complement"), F.coalesce("hit", F.lit(False)).alias("in_motif"))
+
+
+GAP = _rel("ps", "pe", "'Forward'", "start_bound", "end_bound")[1]
+SPACE = f"sgenes AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY assembly, replicon, start_bound, end_bound ORDER BY ord DESC) AS k FROM ad_features WHERE feature_type NOT IN ('Region','Gene','Pseudogene')) WHERE k = 1), sl AS (SELECT *, lag(start_bound) OVER w AS ps, lag(end_bound) OVER w AS pe FROM sgenes WINDOW w AS (PARTITION BY assembly, replicon ORDER BY start_bound, end_bound)), sp AS (SELECT assembly, replicon, sum(CASE WHEN ps IS NULL THEN 0 ELSE {GAP} END) AS gaps, sum(CASE WHEN end_bound > start_bound THEN end_bound-start_bound ELSE len-abs(end_bound-start_bound) END) AS g, max(len) AS len FROM sl GROUP BY 1,2), space AS (SELECT assembly, CAST(CASE WHEN sum(gaps) > 0 THEN sum(gaps) END AS BIGINT) AS gap_total, CAST(sum(g) AS BIGINT) AS gene_total, CAST(sum(len) AS BIGINT) AS len_total FROM sp GROUP BY 1)"
+
+
+@query(f"{with_views('ad_features')}, {SPACE} SELECT * FROM space")
+def a5_intergenic_space(spark, d):
+    return S.intergenic_space(view(spark, d, "ad_features"))
+
+
+@query(f"{with_views('ad_replicons')} SELECT assembly, replicon, len, CASE WHEN len = max(len) OVER (PARTITION BY assembly) THEN 'Chromosome' ELSE 'Plasmid' END AS replicon_type FROM ad_replicons")
+def a4_replicon_types(spark, d):
+    return S.replicon_types(view(spark, d, "ad_replicons"))
+
+
+@query(f"{with_views('ad_hits')}, {HITS} SELECT replicon, assoc_type, CAST(count(*) AS BIGINT) AS n_hits, CAST(count(DISTINCT qseqid) AS BIGINT) AS n_queries FROM hits GROUP BY 1,2")
+def a1_hits_by_replicon(spark, d):
+    return _hits(spark, d).groupBy("replicon", "assoc_type").agg(F.count("*").alias("n_hits"), F.count_distinct("qseqid").alias("n_queries"))
+
+
+@query(f"{with_views('ad_hits')} SELECT assoc_type, CAST(count(DISTINCT replicon) AS BIGINT) AS n_replicons FROM ad_hits GROUP BY 1")
+def a2_distinct_replicons(spark, d):
+    return view(spark, d, "ad_hits").groupBy("assoc_type").agg(F.count_distinct("replicon").alias("n_replicons"))
+
+
+@query(f"{LINKED} SELECT assembly, array_to_string(list_sort(list(DISTINCT t)), ',') AS assoc FROM (SELECT assembly, unnest(assoc) AS t FROM linked) GROUP BY 1")
+def a3_genome_associations(spark, d):
+    return S.genome_associations(_linked(spark, d)).select("assembly", F.array_join("assoc", ",").alias("assoc"))
+
+
+@query(f"{OPERON} SELECT assembly, CAST(count(*) AS BIGINT) AS n_sites, CAST(count(*) FILTER (site_type='Exterior') AS BIGINT) AS exterior, CAST(count(*) FILTER (site_type='Interior') AS BIGINT) AS interior, CAST(count(*) FILTER (site_type='Boundary') AS BIGINT) AS boundary FROM classes GROUP BY 1")
+def a6_site_counts(spark, d):
+    return S.site_counts(o4_classify_sites(spark, d))
+
+
+@query(f"{OPERON} SELECT assembly, CAST(count(*) AS BIGINT) AS n_operons, CAST(sum(n_genes) AS BIGINT) AS n_genes FROM dist_operons GROUP BY 1")
+def a7_operon_counts(spark, d):
+    return S.operon_counts(O.distinct_operons(O.build_operons(_site_genes(spark, d))))
+
+
+SUMMARY = f"""{OPERON}, {WITH_HITS}, {ORPHANS}, {SPACE}, base AS (SELECT assembly, count(*) AS n_replicons, sum(len) AS total_len FROM ad_replicons GROUP BY 1), sc AS (SELECT assembly, count(*) AS n_sites, count(*) FILTER (site_type='Exterior') AS exterior, count(*) FILTER (site_type='Interior') AS interior, count(*) FILTER (site_type='Boundary') AS boundary FROM classes GROUP BY 1),
+oc AS (SELECT assembly, count(*) AS n_operons, sum(n_genes) AS n_genes FROM dist_operons GROUP BY 1), orc AS (SELECT assembly, count(*) AS n_orphans FROM orphan GROUP BY 1), allh AS ({_pairs('ad_features', 'hits', 0, 'r.assoc_type AS t,')}), ga AS (SELECT assembly, list(DISTINCT t) AS assoc FROM allh WHERE rel NOT IN ('5N','3N') GROUP BY 1),
+genome AS (SELECT assembly, CAST(n_replicons AS BIGINT) AS n_replicons, CAST(total_len AS BIGINT) AS total_len, round(gap_total/len_total,9) AS gap_frac, round(gene_total/len_total,9) AS gene_frac, round(32768/4294967296*total_len,9) AS expected_sites, CAST(coalesce(n_sites,0) AS BIGINT) AS n_sites, round(32768/4294967296*total_len*1000000/total_len,9) AS expected_per_mbp, round(coalesce(n_sites,0)*1000000/total_len,9) AS actual_per_mbp, CAST(coalesce(exterior,0) AS BIGINT) AS exterior, CAST(coalesce(interior,0) AS BIGINT) AS interior, CAST(coalesce(boundary,0) AS BIGINT) AS boundary, CAST(coalesce(n_operons,0) AS BIGINT) AS n_operons, CAST(coalesce(n_genes,0) AS BIGINT) AS n_genes, CAST(coalesce(n_orphans,0) AS BIGINT) AS n_orphans,
+CASE WHEN assoc IS NULL THEN '' ELSE '[' || CASE WHEN list_contains(assoc,'CopA') THEN 'A' ELSE '' END || CASE WHEN list_contains(assoc,'CupA') THEN 'a' ELSE '' END || CASE WHEN list_contains(assoc,'CopY') THEN 'Y' ELSE '' END || CASE WHEN list_contains(assoc,'CopZ') THEN 'Z' ELSE '' END || ']' END AS code FROM base LEFT JOIN sc USING (assembly) LEFT JOIN oc USING (assembly) LEFT JOIN orc USING (assembly) LEFT JOIN ga USING (assembly) LEFT JOIN space USING (assembly))"""
+
+
+def _summary(spark, d):
+    genes = _site_genes(spark, d)
+    sites, linked = view(spark, d, "ad_sites"), _linked(spark, d)
+    operons = O.distinct_operons(O.build_operons(genes))
+    return S.genome_summary(view(spark, d, "ad_replicons"), O.classify_sites(sites, genes), operons, O.orphans(linked, operons, sites), linked, S.intergenic_space(view(spark, d, "ad_features")), M.motif_expectation())
+
+
+@query(f"{SUMMARY} SELECT * FROM genome")
+def a8_genome_summary(spark, d):
+    real = ("gap_frac", "gene_frac", "expected_sites", "expected_per_mbp", "actual_per_mbp")
+    return _summary(spark, d).withColumns({c: F.round(c, 9) for c in real})
+
+
+@query(f"{SUMMARY} SELECT code LIKE '%Y%' AS has_type, round(avg(actual_per_mbp),6) AS mean_density, CAST(count(DISTINCT assembly) AS BIGINT) AS n_genomes FROM genome WHERE total_len > 0 GROUP BY 1")
+def a13_density_by_association(spark, d):
+    return S.density_by_association(_summary(spark, d)).withColumn("mean_density", F.round("mean_density", 6))
+
+
+CATALOG = f"{with_views('ad_catalog')}, cat AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dir_name ORDER BY ord DESC) AS k FROM ad_catalog) WHERE k = 1)"
+
+
+def _catalog(spark, d):
+    c = view(spark, d, "ad_catalog")
+    return A.union_catalogs(c.where(F.col("dir_name").startswith("GCF_")), c.where(F.col("dir_name").startswith("GCA_")), "dir_name", "ord")
+
+
+@query(f"{CATALOG} SELECT dir_name, assembly_level, ftp_location, ord FROM cat")
+def u1_union_catalogs(spark, d):
+    return _catalog(spark, d).select("dir_name", "assembly_level", "ftp_location", "ord")
+
+
+@query(f"{CATALOG} SELECT dir_name, split_part(ftp_location,'/',4) AS ftp_dir, replace(ftp_location,'https','rsync') AS rsync FROM cat WHERE lower(assembly_level) IN ('complete genome','chromosome') AND ftp_location <> 'na'")
+def p17_complete_assemblies(spark, d):
+    c = A.complete_assemblies(_catalog(spark, d))
+    return c.select("dir_name", A.ftp_dir_name(F.col("ftp_location")).alias("ftp_dir"), A.rsync_url(F.col("ftp_location")).alias("rsync"))
+
+
+@query(f"{CATALOG} SELECT dir_name, CASE substr(dir_name,1,4) WHEN 'GCA_' THEN 'GenBank' ELSE 'RefSeq' END AS source, substr(dir_name,5) AS core FROM cat")
+def p19_split_prefix(spark, d):
+    source, core = A.split_assembly_prefix(F.col("dir_name"))
+    return _catalog(spark, d).select("dir_name", source.alias("source"), core.alias("core"))
+
+
+@query(f"{CATALOG} SELECT dir_name FROM cat WHERE NOT present")
+def j9_missing_assemblies(spark, d):
+    c = _catalog(spark, d)
+    return c.select("dir_name").join(c.where("present").select("dir_name"), "dir_name", "left_anti")
+
+
+@query(f"{CATALOG} SELECT CAST(count(*) AS BIGINT) AS listed, CAST(count(DISTINCT ftp_location) AS BIGINT) AS links, CAST(count(*) FILTER (present) AS BIGINT) AS downloaded, CAST(count(*) FILTER (NOT present) AS BIGINT) AS missing FROM cat")
+def a9_catalog_counts(spark, d):
+    return _catalog(spark, d).agg(F.count("*").alias("listed"), F.count_distinct("ftp_location").alias("links"), F.count_if("present").alias("downloaded"), F.count_if(~F.col("present")).alias("missing"))
+
+
+_SETS = {
+    "refseq": "r", "genbank": "g", "refseq_only": "r AND NOT g", "genbank_only": "g AND NOT r", "refseq_annotated": "ra", "genbank_annotated": "ga", "refseq_annotated_only": "ra AND NOT ga", "genbank_annotated_only": "ga AND NOT ra",
+    "refseq_unannotated": "ru", "genbank_unannotated": "gu", "refseq_unannotated_only": "ru AND NOT g", "genbank_unannotated_only": "gu AND NOT r", "all_total": "r OR g", "annotated_total": "ra OR ga", "unannotated_total": "ru OR gu",
+}
+
+
+@query(f"{CATALOG}, c AS (SELECT substr(dir_name,5) AS core, bool_or(dir_name LIKE 'GCF%') AS r, bool_or(dir_name LIKE 'GCA%') AS g, bool_or(dir_name LIKE 'GCF%' AND annotated) AS ra, bool_or(dir_name LIKE 'GCA%' AND annotated) AS ga, bool_or(dir_name LIKE 'GCF%' AND NOT annotated) AS ru, bool_or(dir_name LIKE 'GCA%' AND NOT annotated) AS gu FROM cat GROUP BY 1) SELECT {', '.join(f'CAST(count(*) FILTER ({v}) AS BIGINT) AS {k}' for k, v in _SETS.items())} FROM c")
+def a10_source_comparison(spark, d):
+    return A.source_comparison(_catalog(spark, d))
+
+
+@query(f"{CATALOG}, ra AS (SELECT substr(dir_name,5) AS core FROM cat WHERE dir_name LIKE 'GCF%' AND annotated), rr AS (SELECT substr(dir_name,5) AS core FROM cat WHERE dir_name LIKE 'GCF%') SELECT 'GCF_' || core AS dir_name FROM ra UNION SELECT dir_name FROM cat WHERE dir_name LIKE 'GCA%' AND ((annotated AND substr(dir_name,5) NOT IN (SELECT core FROM ra)) OR (NOT annotated AND substr(dir_name,5) NOT IN (SELECT core FROM rr)))")
+def u3_unique_assemblies(spark, d):
+    return A.unique_assemblies(_catalog(spark, d))
+
+
+@query(f"{with_views('ad_manifest')} SELECT m.assembly, CAST(count(*) AS BIGINT) AS n_files, bool_and(md5(d.text) = m.expected_md5) AS good FROM ad_manifest m JOIN documents d ON 'doc_' || CAST(d.doc_id AS VARCHAR) = m.file_name GROUP BY 1")
+def j11_verify_md5(spark, d):
+    files = spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("a"), (F.col("doc_id") % 40).cast("string")).alias("assembly"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("file_name"), F.col("text").cast("binary").alias("content"))
+    return A.verify_md5(view(spark, d, "ad_manifest"), files)
+
+
+TAX = with_views("ad_tax_nodes").replace("WITH ", "WITH RECURSIVE ", 1) + ", up AS (SELECT tax_id, tax_id AS node, 0 AS k FROM ad_tax_nodes WHERE tax_id >= 1000 UNION ALL SELECT up.tax_id, n.parent_id, up.k+1 FROM up JOIN ad_tax_nodes n ON n.tax_id = up.node WHERE n.parent_id <> n.tax_id)"
+
+
+def _strains(spark, d):
+    n = view(spark, d, "ad_tax_nodes")
+    return n.where("tax_id >= 1000").select("tax_id"), n
+
+
+@query(f"{TAX} SELECT tax_id, node, CAST(k AS INT) AS up FROM up")
+def j12_lineage(spark, d):
+    return A.lineage(*_strains(spark, d))
+
+
+@query(f"{TAX}, n AS (SELECT up.tax_id, up.k, t.name, max(up.k) OVER (PARTITION BY up.tax_id) AS top FROM up JOIN ad_tax_nodes t ON t.tax_id = up.node) SELECT tax_id, string_agg(name, ' / ' ORDER BY k DESC) AS lineage FROM n WHERE k <= top-2 GROUP BY 1")
+def j13_lineage_name(spark, d):
+    return A.lineage_name(*_strains(spark, d))
+
+
+@query(f"{with_views('ad_hits')} SELECT hit_id, assoc_type FROM ad_hits WHERE evalue <= CASE WHEN assoc_type = 'CopZ' THEN 1e-9 ELSE 1e-12 END")
+def p20_filter_hits(spark, d):
+    return A.filter_hits(view(spark, d, "ad_hits")).select("hit_id", "assoc_type")
+
+
+@query(f"{with_views('ad_hits')}, b AS (SELECT qseqid, replicon, min(evalue) AS e FROM ad_hits GROUP BY 1,2), k AS (SELECT qseqid, replicon FROM (SELECT *, row_number() OVER (PARTITION BY qseqid ORDER BY e, replicon) AS rn FROM b) WHERE rn <= 5) SELECT h.hit_id FROM ad_hits h JOIN k USING (qseqid, replicon)")
+def t3_top_targets(spark, d):
+    return A.top_targets_per_query(view(spark, d, "ad_hits"), 5).select("hit_id")
+
+
+@query(f"{with_views('ad_sequences')} SELECT CAST(sum(length(seq)) AS BIGINT) AS total_bytes, CAST(count(*) AS BIGINT) AS n FROM ad_sequences")
+def a14_corpus_bytes(spark, d):
+    return view(spark, d, "ad_sequences").agg(F.sum(F.length("seq")).alias("total_bytes"), F.count("*").alias("n"))
+
+
+@query(f"{with_views('ad_sites')} SELECT site_id, CASE WHEN 16+400 >= len THEN start_bound ELSE {_mod('start_bound-200', 'len')} END AS bubble_start, CASE WHEN 16+400 >= len THEN end_bound ELSE end_bound+200 END AS bubble_end, {_len('start_bound', 'end_bound')} AS arc FROM ad_sites")
+def p9_search_bubble(spark, d):
+    b = G.search_bubble(F.col("start_bound"), F.col("end_bound"), F.col("len"), 200)
+    return view(spark, d, "ad_sites").select("site_id", b["start_bound"].alias("bubble_start"), b["end_bound"].alias("bubble_end"), G.arc_length(F.col("start_bound"), F.col("end_bound"), F.col("len")).alias("arc"))
+
+
+@query(f"{OPERON} SELECT c.replicon, s.start_bound+1 AS start_ordinal, s.strand, c.n_genes, c.site_type, CASE WHEN site_class = 'A' THEN 'A.' || CAST(class_distance AS VARCHAR) ELSE site_class END AS class_label, c.site_id FROM classes c JOIN ad_sites s USING (site_id)")
+def o6_site_table(spark, d):
+    c = o4_classify_sites(spark, d).select("site_id", "site_type", P.class_label(F.col("site_class"), F.col("class_distance")).alias("class_label"), "n_genes")
+    return view(spark, d, "ad_sites").join(c, "site_id").select("replicon", (F.col("start_bound") + 1).alias("start_ordinal"), "strand", "n_genes", "site_type", "class_label", "site_id")
