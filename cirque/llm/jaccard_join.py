@@ -6,8 +6,9 @@ least t two sets share an n-gram among the first ``n - ceil(t n) + 1`` of each,
 
 1. Each column joins its members to its least member only; the pairs are verified, and links give components. This
    settles groups of copies in as many pairs as members.
-   A star pair needs a fifth of the smaller prefix in common, which only saves work: step 2 finds what this leaves.
-2. Columns that still hold several components give the pairs between different components, with accumulated overlap
+   A star pair needs a fifth of the smaller prefix in common, which only saves work: step 3 finds what this leaves.
+2. Columns that still hold several components get further stars round members outside the pivot's component.
+3. Columns that even then hold several give the pairs between different components, with accumulated overlap
    counts; pairs whose sizes or remaining places bound the overlap below what the threshold asks are discarded.
    Pairs within a component are never made.
 
@@ -31,6 +32,8 @@ from .components import components
 
 U = np.uint64
 SKETCH = 1 << 16
+#: Rounds of further stars at most; pairs that they leave are found by the last step.
+STARS = 4
 SIGNATURE = [f"s{i}" for i in range(8)]
 
 
@@ -191,15 +194,29 @@ def groups(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFr
     shared = C.written(in_several(rows), "columns")
     C.release(spark)
     size_ok = lambda p, q: F.least(p, q) * 100 >= F.greatest(p, q) * percent
-    star = shared.where("node <> pivot").where(size_ok("n", "pivot_n")).groupBy(F.col("pivot").alias("x"), F.col("node").alias("y")).agg(F.count("*").alias("common"), F.max("pivot_n").alias("xn"), F.max("n").alias("yn"))
+    star = shared.where("node <> pivot").where(size_ok("n", "pivot_n")).groupBy(F.least("pivot", "node").alias("x"), F.greatest("pivot", "node").alias("y")).agg(F.count("*").alias("common"), F.max("pivot_n").alias("xn"), F.max("n").alias("yn"))
     small = F.least("xn", "yn")
     star = star.where(F.col("common") * 5 >= small - F.floor((small * percent + 99) / 100) + 1)
     tried = check(docs, star, class_of, n, percent, "star")
     links = tried.where("linked").select("x", "y")
     group = components(links)
-    # columns that hold several components: pairs between them, first among the members outside the pivot's component
+    # columns that hold several components get more stars, round other members, while that still joins some
     held = C.written(several_components(shared, group), "mixed")
+    for k in range(STARS):
+        C.release(spark)
+        pivot = held.where("component <> main").groupBy("h").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64("node", F.lit(k))).alias("p"))
+        star = held.join(pivot, "h").where((F.col("component") != F.col("p.component")) & size_ok("n", "p.n"))
+        star = star.groupBy(F.least("node", "p.node").alias("x"), F.greatest("node", "p.node").alias("y")).agg(F.count("*").alias("common"), F.max("n").alias("xn"), F.max("p.n").alias("yn"))
+        star = star.where(F.col("common") * 5 >= small - F.floor((small * percent + 99) / 100) + 1).join(tried.select("x", "y"), ["x", "y"], "left_anti")
+        more = check(docs, star, class_of, n, percent, f"star{k}")
+        tried = tried.unionByName(more)
+        if not more.where("linked").limit(1).count():
+            break
+        links = tried.where("linked").select("x", "y")
+        group = components(links)
+        held = C.written(several_components(shared, group), "mixed")
     C.release(spark)
+    # what is left: pairs between components, first of the members outside the pivot's component
     few = held.where("component <> main").select("h", *(F.col(c).alias(f"u{c}") for c in ("node", "n", "i", "component")))
     every = held.select("h", "main", *(F.col(c).alias(f"v{c}") for c in ("node", "n", "i", "component")))
     cross = few.join(every, "h").where((F.col("ucomponent") != F.col("vcomponent")) & ((F.col("vcomponent") == F.col("main")) | (F.col("unode") < F.col("vnode"))) & size_ok("un", "vn"))
