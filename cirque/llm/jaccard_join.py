@@ -33,7 +33,7 @@ from .components import components
 U = np.uint64
 SKETCH = 1 << 16
 #: Rounds of further stars at most; pairs that they leave are found by the last step.
-STARS = 4
+STARS = 2
 SIGNATURE = [f"s{i}" for i in range(8)]
 
 
