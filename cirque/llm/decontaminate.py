@@ -157,7 +157,7 @@ def parts(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / PART * 2))
     for k in range(n):
-        part = [(r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toLocalIterator()]
+        part = [(r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]  # PART bytes
         yield sorted(part, key=lambda r: (r[0], r[1]))
 
 
