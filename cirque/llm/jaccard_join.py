@@ -7,13 +7,15 @@ least t two sets share an n-gram among the first ``n - ceil(t n) + 1`` of each,
 1. Each column joins its members to its least member only; the pairs are verified, and links give components. This
    settles groups of copies in as many pairs as members.
    A star pair needs a fifth of the smaller prefix in common, which only saves work: step 3 finds what this leaves.
-2. Columns that still hold several components get further stars round members outside the pivot's component.
+2. In columns that still hold several components the members are dealt into slots of about two, anew in each round,
+   and members outside the pivot's component meet those in their slot: pairs grow with the members, not their square,
+   and a hot column is spread over its slots.
 3. Columns that even then hold several give the pairs between different components, with accumulated overlap
    counts; pairs whose sizes or remaining places bound the overlap below what the threshold asks are discarded.
    Pairs within a component are never made.
 
-Pairs then pass a parity signature: each n-gram flips one of 512 bits, so the bits in which two signatures differ are a
-lower bound of the n-grams that only one set has. What is left is verified by intersecting whole sets. A class is known by 64 bits made from two sums over its n-grams' hashes and its
+Pairs pass a parity signature, in steps 2 and 3 already where a column forms them: each n-gram flips one of 512 bits, so
+the bits in which two signatures differ are a lower bound of the n-grams that only one set has. What is left is verified by intersecting whole sets. A class is known by 64 bits made from two sums over its n-grams' hashes and its
 size; n-grams are 64-bit hashes themselves. Odd rows: null, empty and blank texts have no n-grams and link with nothing; a text
 with fewer words than n has its whole sequence as its one n-gram; a null doc_id counts as larger than every number.
 """
@@ -32,8 +34,8 @@ from .components import components
 
 U = np.uint64
 SKETCH = 1 << 16
-#: Rounds of further stars at most; pairs that they leave are found by the last step.
-STARS = 2
+#: Rounds of dealing at most; pairs that they leave are found by the last step.
+DEALS = 2
 SIGNATURE = [f"s{i}" for i in range(8)]
 
 
@@ -151,12 +153,15 @@ def verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(work, "x long, y long, linked boolean")
 
 
+def may_link(p: str, q: str, percent: int):
+    """Whether the signatures of two sets, in columns that begin with ``p`` and ``q``, allow a link."""
+    apart = sum(F.bit_count(F.col(p + c).bitwiseXOR(F.col(q + c))) for c in SIGNATURE)
+    return apart * (100 + percent) <= (F.col(p + "n") + F.col(q + "n")) * (100 - percent)
+
+
 def check(docs: DataFrame, pairs: DataFrame, class_of: DataFrame, n: int, percent: int, name: str) -> DataFrame:
-    """(x, y, linked) of the pairs (x, y, xn, yn) that their signatures leave."""
-    sign = lambda s: class_of.select(F.col("node").alias(s), *(F.col(c).alias(s + c) for c in SIGNATURE))
-    apart = sum(F.bit_count(F.col(f"x{c}").bitwiseXOR(F.col(f"y{c}"))) for c in SIGNATURE)
-    left = pairs.select("x", "y", "xn", "yn").join(sign("x"), "x").join(sign("y"), "y").where(apart * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent)).select("x", "y")
-    left = C.written(left, name + "_pairs")
+    """(x, y, linked) of the pairs (x, y) that their signatures leave."""
+    left = C.written(pairs.select("x", "y"), name + "_pairs")
     C.release(docs.sparkSession)
     ends = left.select(F.col("x").alias("node")).unionByName(left.select(F.col("y").alias("node"))).distinct()
     grams = C.written(full_sets(docs, ends.join(class_of.select("node", "doc"), "node"), n), name + "_sets")
@@ -174,11 +179,28 @@ def in_several(rows: DataFrame) -> DataFrame:
     return got.join(size, "h")
 
 
-def several_components(shared: DataFrame, group: DataFrame) -> DataFrame:
-    """(h, node, n, i, component, main) of the columns that hold several components; main is the pivot's."""
+def several_components(shared: DataFrame, group: DataFrame, sign: DataFrame) -> DataFrame:
+    """(h, node, n, i, component, main, signature) of the columns that hold several components; main is the pivot's."""
     held = shared.select("h", "node", "n", "i", "pivot").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = held.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.when(F.col("node") == F.col("pivot"), F.col("component"))).alias("main")).where("low <> high").select("h", "main")
-    return held.join(mixed, "h").select("h", "node", "n", "i", "component", "main")
+    return held.join(mixed, "h").join(sign, "node").select("h", "node", "n", "i", "component", "main", *SIGNATURE)
+
+
+def pairs_of(held: DataFrame, by: list[str], percent: int) -> DataFrame:
+    """Members of a column outside the main component with others that share ``by``, in another component and near enough in size and signature."""
+    rest = [c for c in held.columns if c not in (*by, "main")]
+    few = held.where("component <> main").select(*by, *(F.col(c).alias(f"u{c}") for c in rest))
+    every = held.select(*by, "main", *(F.col(c).alias(f"v{c}") for c in rest))
+    once = (F.col("vcomponent") == F.col("main")) | (F.col("unode") < F.col("vnode"))
+    size_ok = F.least("un", "vn") * 100 >= F.greatest("un", "vn") * percent
+    return few.join(every, by).where((F.col("ucomponent") != F.col("vcomponent")) & once & size_ok & may_link("u", "v", percent))
+
+
+def dealt(held: DataFrame, k: int, percent: int) -> DataFrame:
+    """(x, y) of members that meet in a slot of a column in round ``k``."""
+    slots = held.groupBy("h").agg(F.greatest(F.floor(F.count("*") / 2), F.lit(1)).alias("slots"))
+    rows = held.join(slots, "h").withColumn("slot", F.pmod(F.xxhash64("node", F.lit(k)), F.col("slots"))).drop("slots")
+    return pairs_of(rows, ["h", "slot"], percent).select(F.least("unode", "vnode").alias("x"), F.greatest("unode", "vnode").alias("y")).distinct()
 
 
 def groups(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -197,29 +219,25 @@ def groups(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFr
     star = shared.where("node <> pivot").where(size_ok("n", "pivot_n")).groupBy(F.least("pivot", "node").alias("x"), F.greatest("pivot", "node").alias("y")).agg(F.count("*").alias("common"), F.max("pivot_n").alias("xn"), F.max("n").alias("yn"))
     small = F.least("xn", "yn")
     star = star.where(F.col("common") * 5 >= small - F.floor((small * percent + 99) / 100) + 1)
+    sign = class_of.select("node", *SIGNATURE)
+    as_side = lambda s: sign.select(*(F.col(c).alias(s if c == "node" else s + c) for c in sign.columns))
+    star = star.join(as_side("x"), "x").join(as_side("y"), "y").where(may_link("x", "y", percent))
     tried = check(docs, star, class_of, n, percent, "star")
     links = tried.where("linked").select("x", "y")
     group = components(links)
-    # columns that hold several components get more stars, round other members, while that still joins some
-    held = C.written(several_components(shared, group), "mixed")
-    for k in range(STARS):
+    held = C.written(several_components(shared, group, sign), "mixed")
+    for k in range(DEALS):
         C.release(spark)
-        pivot = held.where("component <> main").groupBy("h").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64("node", F.lit(k))).alias("p"))
-        star = held.join(pivot, "h").where((F.col("component") != F.col("p.component")) & size_ok("n", "p.n"))
-        star = star.groupBy(F.least("node", "p.node").alias("x"), F.greatest("node", "p.node").alias("y")).agg(F.count("*").alias("common"), F.max("n").alias("xn"), F.max("p.n").alias("yn"))
-        star = star.where(F.col("common") * 5 >= small - F.floor((small * percent + 99) / 100) + 1).join(tried.select("x", "y"), ["x", "y"], "left_anti")
-        more = check(docs, star, class_of, n, percent, f"star{k}")
+        more = check(docs, dealt(held, k, percent).join(tried.select("x", "y"), ["x", "y"], "left_anti"), class_of, n, percent, f"dealt{k}")
         tried = tried.unionByName(more)
         if not more.where("linked").limit(1).count():
             break
         links = tried.where("linked").select("x", "y")
         group = components(links)
-        held = C.written(several_components(shared, group), "mixed")
+        held = C.written(several_components(shared, group, sign), "mixed")
     C.release(spark)
     # what is left: pairs between components, first of the members outside the pivot's component
-    few = held.where("component <> main").select("h", *(F.col(c).alias(f"u{c}") for c in ("node", "n", "i", "component")))
-    every = held.select("h", "main", *(F.col(c).alias(f"v{c}") for c in ("node", "n", "i", "component")))
-    cross = few.join(every, "h").where((F.col("ucomponent") != F.col("vcomponent")) & ((F.col("vcomponent") == F.col("main")) | (F.col("unode") < F.col("vnode"))) & size_ok("un", "vn"))
+    cross = pairs_of(held, ["h"], percent)
     first = F.col("unode") < F.col("vnode")
     side = lambda c, low: F.when(first == F.lit(low), F.col(f"u{c}")).otherwise(F.col(f"v{c}"))
     cross = cross.groupBy(F.least("unode", "vnode").alias("x"), F.greatest("unode", "vnode").alias("y")).agg(F.count("*").alias("common"), F.max(side("n", True)).alias("xn"), F.max(side("n", False)).alias("yn"), F.max(side("i", True)).alias("xi"), F.max(side("i", False)).alias("yi"))
