@@ -1,4 +1,4 @@
-"""Connected components by least label, with pointer jumping; nothing but counts reaches the driver."""
+"""Connected components by least label, with hooking of labels and pointer jumping; nothing but counts reaches the driver."""
 
 from __future__ import annotations
 
@@ -8,18 +8,25 @@ from pyspark.sql import functions as F
 from . import common as C
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) for every end of ``links`` (columns x and y, any ordered type); component is the least node."""
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) for every end of ``links`` (columns x and y, any ordered type); component is the least node.
+
+    In a round a node takes the least label of its label and of its neighbours' labels, and hands what it takes on to the
+    node that its label names, so that whole trees join at once and long chains take few rounds. Labels only fall, and
+    rounds go on until none does; then every link has one label at both ends.
+    """
     C.prepare(links.sparkSession)
     edges = links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().checkpoint()
     label = edges.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("low")).select("node", F.least("node", "low").alias("component")).checkpoint()
-    for _ in range(rounds):
-        low = edges.join(label, edges.y == label.node).groupBy("x").agg(F.min("component").alias("low"))
-        near = label.join(low, label.node == low.x).select("node", F.col("component").alias("was"), F.least("component", "low").alias("component"))
+    moved = 1
+    while moved:
         jump = label.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        label_ = near.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("far", "component")).alias("component")).checkpoint()
+        far = label.join(jump, "component").select("node", F.col("component").alias("was"), "far")
+        low = edges.join(far.select("node", "far"), edges.y == F.col("node")).groupBy("x").agg(F.min("far").alias("low"))
+        near = far.join(low, far.node == low.x).select("node", "was", F.least("far", "low").alias("component"))
+        # a label was never above its node, so the least "was" at a node is its own
+        both = near.select(F.explode(F.array(F.struct("node", "was", "component"), F.struct(F.col("was").alias("node"), "was", "component"))).alias("r")).select("r.*")
+        label_ = both.groupBy("node").agg(F.min("was").alias("was"), F.min("component").alias("component")).checkpoint()
         moved = label_.where("component <> was").limit(1).count()
         label = label_.select("node", "component")
-        if not moved:
-            break
     return label

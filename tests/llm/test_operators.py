@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from cirque.llm import blocks, byte_bpe, debruijn_dedup, decontaminate, feistel, jaccard_join, media, quality, suffix_array_dedup, toxicity, training_order
+from cirque.llm import blocks, byte_bpe, components, debruijn_dedup, decontaminate, feistel, jaccard_join, media, quality, suffix_array_dedup, toxicity, training_order
 
 WORD = rb"[^\x20\x09-\x0D]+"
 P = "the quick brown fox jumps over the lazy dog while a small bird sings in the old tree near our house and nobody ever hears it again "
@@ -212,3 +212,32 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert suffix_array_dedup.remove_repeats(spark, none).count() == debruijn_dedup.remove_repeats(spark, none).count() == jaccard_join.groups(spark, none, 4, 85).count() == 0
     assert media.payload_features(none).count() == feistel.shards(none).count() == training_order.in_training_order(none).count() == decontaminate.find_leaks(none, bench).count() == 0
+
+
+def linked_chain(count):
+    """(doc_id, text) of documents that each link, with four words and 0.85, to the one before and the one after only."""
+    return [(i, " ".join(f"w{j}" for j in range(2 * i, 2 * i + 40))) for i in range(count)]
+
+
+def test_components_of_long_chains(spark):
+    rng = np.random.default_rng(5)
+    names = rng.permutation(1000).tolist()
+    chains = [names[:600], names[600:900], names[900:]]
+    root = {x: x for x in names}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = [(a, b) for chain in chains for a, b in zip(chain, chain[1:], strict=False)]
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "x long, y long")).collect()}
+    assert got == {x: find(x) for x in names}
+
+
+def test_jaccard_of_a_long_chain(spark):
+    docs = spark.createDataFrame(linked_chain(300), "doc_id long, text string").repartition(3)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.groups(spark, docs, 4, 85).collect()} == {(i, 37, 0) for i in range(300)}
