@@ -137,7 +137,7 @@ def joined(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of each n values in a row; the last n - 1 places hold no whole run."""
     with np.errstate(over="ignore"):
         out = h.copy()
-        for j in range(1, n):
+        for j in range(1, min(n, len(h))):
             out[: len(h) - j] = mix(out[: len(h) - j] * U(0x9E3779B97F4A7C15) + h[j:])
     return out
 

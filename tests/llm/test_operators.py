@@ -241,3 +241,14 @@ def test_components_of_long_chains(spark):
 def test_jaccard_of_a_long_chain(spark):
     docs = spark.createDataFrame(linked_chain(300), "doc_id long, text string").repartition(3)
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.groups(spark, docs, 4, 85).collect()} == {(i, 37, 0) for i in range(300)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5])
+def test_ngrams_of_short_slices(n):
+    """A text alone in its slice, with fewer words than n or more, has the n-grams that it has among others."""
+    texts = ["", *(" ".join(f"w{j}" for j in range(k)) for k in range(1, n + 3))]
+    every = [t.encode() for t in texts]
+    keys, at = jaccard_join.sets(np.frombuffer(b"".join(every), np.uint8), np.cumsum([0, *map(len, every)]), n)
+    for k, t in enumerate(every):
+        alone, ends = jaccard_join.sets(np.frombuffer(t, np.uint8), np.array([0, len(t)]), n)
+        assert alone.tolist() == keys[at[k] : at[k + 1]].tolist() and ends.tolist() == [0, k - n + 1 if k >= n else min(k, 1)]
