@@ -82,6 +82,28 @@ def scan_motif(sequences: DataFrame, motif: str = MOTIF, tile: int = TILE) -> Da
     return cut.mapInArrow(run, "replicon string, len long, strand string, start_bound long, end_bound long, seq string")
 
 
+def words_of(sequences: DataFrame, k: int = len(MOTIF), tile: int = TILE) -> DataFrame:
+    """(word): the distinct runs of ``k`` letters of whole ``sequences`` (seq), from first letter to last and not over the origin.
+
+    Sequences are cut into tiles that overlap by k - 1, and words that a task meets again soon are given out once.
+    """
+    n = F.length("seq")
+    tiles = sequences.where(n >= k).select("seq", F.explode(F.sequence(F.lit(0), F.floor((n - k) / tile).cast("int"))).alias("t"))
+    cut = tiles.select(F.col("seq").substr(F.col("t") * tile + 1, F.lit(tile + k - 1)).alias("part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: set[str] = set()
+        for b in batches:
+            for part in b.column("part").to_pylist():
+                words.update(part[i : i + k] for i in range(len(part) - k + 1))
+                if len(words) >= TILE:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string())], names=["word"])
+                    words = set()
+        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string())], names=["word"])
+
+    return cut.mapInArrow(run, "word string").distinct()
+
+
 def mark_palindromes(sites: DataFrame) -> DataFrame:
     return sites.withColumn("dimension", F.when(F.count("*").over(Window.partitionBy("replicon", "start_bound")) > 1, "Double").otherwise("Single"))
 

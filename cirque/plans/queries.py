@@ -215,6 +215,15 @@ def m1_expand_motif(spark, d):
     return w.join(words, "word", "left").select("word", P.reverse_complement(F.col("word")).alias("reverse_complement"), F.coalesce("hit", F.lit(False)).alias("in_motif"))
 
 
+def m1_sequence_words(spark, d):
+    w = M.words_of(view(spark, d, "ad_sequences").select("seq"))
+    words = M.expand_motif(spark).select("word", F.lit(True).alias("hit"))
+    return w.join(words, "word", "left").select("word", P.reverse_complement(F.col("word")).alias("reverse_complement"), F.coalesce("hit", F.lit(False)).alias("in_motif"))
+
+
+QUERIES["m1_sequence_words"] = m1_sequence_words  # no SQL: that of m1_expand_motif has the first window only
+
+
 GAP = _rel("ps", "pe", "'Forward'", "start_bound", "end_bound")[1]
 SPACE = f"sgenes AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY assembly, replicon, start_bound, end_bound ORDER BY ord DESC) AS k FROM ad_features WHERE feature_type NOT IN ('Region','Gene','Pseudogene')) WHERE k = 1), sl AS (SELECT *, lag(start_bound) OVER w AS ps, lag(end_bound) OVER w AS pe FROM sgenes WINDOW w AS (PARTITION BY assembly, replicon ORDER BY start_bound, end_bound)), sp AS (SELECT assembly, replicon, sum(CASE WHEN ps IS NULL THEN 0 ELSE {GAP} END) AS gaps, sum(CASE WHEN end_bound > start_bound THEN end_bound-start_bound ELSE len-abs(end_bound-start_bound) END) AS g, max(len) AS len FROM sl GROUP BY 1,2), space AS (SELECT assembly, CAST(CASE WHEN sum(gaps) > 0 THEN sum(gaps) END AS BIGINT) AS gap_total, CAST(sum(g) AS BIGINT) AS gene_total, CAST(sum(len) AS BIGINT) AS len_total FROM sp GROUP BY 1)"
 

@@ -32,3 +32,21 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(Q.queries()) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_words_of_whole_sequences(spark, small):
+    from cirque.operators import motifs as M
+    from cirque.plans.adapters import view
+
+    hit = next(r.word for r in M.expand_motif(spark).limit(1).collect())
+    seqs = ["C" * 40 + hit + "C" * 9, "ACGT" * 3, "ACGT" * 4, None, ""]
+    brute = {s[i : i + 16] for s in seqs if s for i in range(len(s) - 15)}
+    for tile in (1, 7, 50, M.TILE):
+        assert sorted(r.word for r in M.words_of(spark.createDataFrame([(s,) for s in seqs], "seq string"), 16, tile).collect()) == sorted(brute)
+    assert hit in brute
+    texts = [r.seq for r in view(spark, small, "ad_sequences").where("doc_id < 20").collect()]
+    every = {s[i : i + 16] for s in texts if s for i in range(len(s) - 15)}
+    got = Q.queries()["m1_sequence_words"](spark, small)
+    mine = got.join(spark.createDataFrame([(w,) for w in every], "word string"), "word", "left_semi").collect()
+    motif = {r.word for r in M.expand_motif(spark).collect()}
+    assert {r.word for r in mine} == every and all(r.in_motif == (r.word in motif) for r in mine)
