@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common as C
 from .components import components
@@ -203,8 +204,8 @@ def dealt(held: DataFrame, k: int, percent: int) -> DataFrame:
     return pairs_of(rows, ["h", "slot"], percent).select(F.least("unode", "vnode").alias("x"), F.greatest("unode", "vnode").alias("y")).distinct()
 
 
-def groups(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of each document."""
+def heads(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc, node, n, least, head) of each document: least is the least doc of its component, head the least class with that doc; null without n-grams."""
     C.prepare(spark)
     seen = C.written(classes(docs, n), "classes")
     order = np.zeros(SKETCH, np.int64)
@@ -246,15 +247,40 @@ def groups(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFr
     more = check(docs, cross, class_of, n, percent, "cross").where("linked").select("x", "y")
     group = components(links.unionByName(more))
     least = class_of.join(group, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
-    of = least.join(least.groupBy("component").agg(F.min("doc").alias("least")), "component").select("node", "least")
+    of = least.join(least.groupBy("component").agg(F.min(F.struct("doc", "node")).alias("first")), "component").select("node", F.col("first.doc").alias("least"), F.col("first.node").alias("head"))
+    return docs_of.join(of, "node", "left").select("doc", "node", "n", "least", "head")
+
+
+def groups(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of each document."""
     null = lambda c: F.when(F.col(c) != C.NULL_ID, F.col(c))
-    return docs_of.join(of, "node", "left").select(null("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce(null("least"), null("doc")).alias("component_id"))
+    return heads(spark, docs, n, percent).select(null("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce(null("least"), null("doc")).alias("component_id"))
+
+
+def named(docs: DataFrame, n: int) -> DataFrame:
+    """``docs`` with the class and size of each text as _node and _n."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches, "text"):
+            node, size = names(*sets(*C.utf8(batch.column("text")), n))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node), pa.array(size)], names=[*batch.schema.names, "_node", "_n"])
+
+    return docs.mapInArrow(work, StructType([*docs.schema, StructField("_node", LongType()), StructField("_n", LongType())]))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without those whose component has a smaller doc_id; of repeated rows one stays, and rows without n-grams all stay."""
-    group = C.written(groups(spark, docs, n, percent), "groups")
-    drop = group.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    twice = group.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    left = docs.join(drop, "doc_id", "left_anti")
-    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)) if twice.limit(1).count() else left.select(*docs.columns)
+    """One row of each component of ``docs``, of its least doc_id (null is largest), then least class; rows without n-grams all stay.
+
+    A doc_id tells what becomes of its row where it occurs once; rows that share one, or null, are told apart by class.
+    """
+    group = C.written(heads(spark, docs, n, percent), "groups")
+    keyed = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(C.NULL_ID)))
+    drop = group.where("n > 0 and doc <> least").select(F.col("doc").alias("_doc")).distinct()
+    twice = group.groupBy("doc").count().where("count > 1").select(F.col("doc").alias("_doc"))
+    if not twice.limit(1).count():
+        return keyed.join(drop, "_doc", "left_anti").select(*docs.columns)
+    single = keyed.join(twice, "_doc", "left_anti").join(drop, "_doc", "left_anti").select(*docs.columns)
+    shared = named(keyed.join(twice, "_doc", "left_semi").select(*keyed.columns), n)
+    first = group.where("n > 0 and doc = least and node = head").select(F.col("doc").alias("_doc"), F.col("node").alias("_node")).distinct()
+    kept = shared.where("_n > 0").join(first, ["_doc", "_node"], "left_semi").dropDuplicates(["_doc", "_node"])
+    return single.unionByName(kept.select(*docs.columns)).unionByName(shared.where("_n = 0").select(*docs.columns))

@@ -252,3 +252,13 @@ def test_ngrams_of_short_slices(n):
     for k, t in enumerate(every):
         alone, ends = jaccard_join.sets(np.frombuffer(t, np.uint8), np.array([0, len(t)]), n)
         assert alone.tolist() == keys[at[k] : at[k + 1]].tolist() and ends.tolist() == [0, k - n + 1 if k >= n else min(k, 1)]
+
+
+def test_keep_one_of_shared_and_null_ids(spark):
+    p, q, r, s, t = (" ".join(f"{c}{i}" for i in range(30)) for c in "pqrst")
+    rows = [(1, p), (2, p), (3, q), (3, q), (3, r), (4, p), (4, s), (4, ""), (4, None), (None, p), (None, t), (None, t), (None, ""), (None, " "), (5, r), (6, None), (7, "one two")]
+    docs = spark.createDataFrame([(i, x, "en") for i, x in rows], "doc_id long, text string, lang string").repartition(3)
+    got = jaccard_join.keep_one(spark, docs)
+    assert got.columns == docs.columns
+    want = [(1, p), (3, q), (3, r), (4, s), (4, ""), (4, None), (None, t), (None, ""), (None, " "), (6, None), (7, "one two")]
+    assert sorted(map(str, ((x.doc_id, x.text) for x in got.collect()))) == sorted(map(str, want))
