@@ -6,9 +6,9 @@ space and 0x09-0x0D, so they never split a character. Every hash is 64 bits and
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
-import time
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,20 +25,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds Arrow batches, and names a checkpoint folder where the cluster has not."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Names a checkpoint folder where the cluster has not; only a single machine may use a folder of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(folder)
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop shuffle files of finished steps that nothing refers to any more."""
-    for _ in range(2):  # the second round finds what the first made unreachable; Spark's cleaner runs beside
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+#: While a step is written: its shuffle files go when it is done, and Arrow batches stay small.
+STEP = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
+
+
+@contextlib.contextmanager
+def step(spark: SparkSession) -> Iterator[None]:
+    """Settings of ``STEP`` for what is run inside; the caller's come back afterwards."""
+    before = {k: spark.conf.get(k) for k in STEP}
+    for k, v in STEP.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def blank(df: DataFrame, *names: str) -> DataFrame:
@@ -150,12 +164,44 @@ def raw(values: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(values, kind).tobytes()
 
 
+class Steps:
+    """Written steps of one run, each in the shared folder of spark.checkpoint.dir: ``steps(df, name)`` writes and rereads.
+
+    Shuffle files of a step go when it is written, and ``drop`` or the end of the ``with`` block deletes steps that
+    were not returned by ``keep``.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+        prepare(spark)
+
+    def __enter__(self) -> Steps:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*self.paths)
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        folder = f"{self.spark.sparkContext.getCheckpointDir()}/{name}_{uuid.uuid4().hex[:16]}"
+        with step(self.spark):
+            df.write.option("compression", "zstd").parquet(folder)
+        self.drop(name)
+        self.paths[name] = folder
+        return self.spark.read.schema(df.schema).parquet(folder)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Written like the others, and left to the caller."""
+        out = self(df, name)
+        del self.paths[name]
+        return out
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if folder := self.paths.pop(name, None):
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder of spark.checkpoint.dir, and read from there."""
-    import uuid
-
-    spark = df.sparkSession
-    prepare(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{name}_{uuid.uuid4().hex[:16]}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Steps(df.sparkSession).keep(df, name)

@@ -141,14 +141,12 @@ def find_paths(spark: SparkSession, docs: DataFrame, k: int = 20) -> tuple[DataF
     """The block table and the paths (``SEGMENT``; ``at`` counts words from the block's first)."""
     C.prepare(spark)
     blocks, n, _ = B.build(spark, docs, word_anchors(k), [])
-    C.release(spark)
 
     def keys(b: B.Block):
         w = Words(b.text, b.offsets)
         return (C.joined(w.h, ANCHOR)[b.anchor] if len(b.anchor) else np.zeros(0, U)), np.searchsorted(w.offsets, b.first, "right") - 1
 
     known = B.repeated_anchors(blocks, n, keys, within_text=True).checkpoint()
-    C.release(spark)
     names = ["fp", "second", "doc", "at", "many"]
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -162,14 +160,12 @@ def find_paths(spark: SparkSession, docs: DataFrame, k: int = 20) -> tuple[DataF
 
     answer = "block int, bucket int, codes binary, src_doc binary, src_at binary, kind int"
     named = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(send, "bucket int, block int, fp binary, second binary, doc binary, at binary, many binary").groupBy("bucket").applyInArrow(name_edges, answer).checkpoint()
-    C.release(spark)
     both = named.unionByName(known.select("block", "bucket", "codes", F.lit(None).cast("binary").alias("src_doc"), F.lit(None).cast("binary").alias("src_at"), F.lit(1).alias("kind")))
 
     def walk(left: pa.Table, right: pa.Table) -> pa.Table:
         return pa.concat_tables([paths_of(B.Block(row), right, k) for row in left.to_pylist()])
 
     paths = blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(walk, SEGMENT).checkpoint()
-    C.release(spark)
     return blocks, paths
 
 

@@ -163,12 +163,9 @@ def may_link(p: str, q: str, percent: int):
 def check(docs: DataFrame, pairs: DataFrame, class_of: DataFrame, n: int, percent: int, name: str) -> DataFrame:
     """(x, y, linked) of the pairs (x, y) that their signatures leave."""
     left = C.written(pairs.select("x", "y"), name + "_pairs")
-    C.release(docs.sparkSession)
     ends = left.select(F.col("x").alias("node")).unionByName(left.select(F.col("y").alias("node"))).distinct()
     grams = C.written(full_sets(docs, ends.join(class_of.select("node", "doc"), "node"), n), name + "_sets")
-    C.release(docs.sparkSession)
     got = C.written(verified(left, grams, percent), name)
-    C.release(docs.sparkSession)
     return got
 
 
@@ -215,7 +212,6 @@ def heads(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFra
     class_of = seen.where("slot is null and n > 0").groupBy("node").agg(F.min("doc").alias("doc"), *(F.max(c).alias(c) for c in SIGNATURE))
     rows = C.written(prefixes(docs, n, percent, order), "prefixes")
     shared = C.written(in_several(rows), "columns")
-    C.release(spark)
     size_ok = lambda p, q: F.least(p, q) * 100 >= F.greatest(p, q) * percent
     star = shared.where("node <> pivot").where(size_ok("n", "pivot_n")).groupBy(F.least("pivot", "node").alias("x"), F.greatest("pivot", "node").alias("y")).agg(F.count("*").alias("common"), F.max("pivot_n").alias("xn"), F.max("n").alias("yn"))
     small = F.least("xn", "yn")
@@ -228,7 +224,6 @@ def heads(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFra
     group = components(links)
     held = C.written(several_components(shared, group, sign), "mixed")
     for k in range(DEALS):
-        C.release(spark)
         more = check(docs, dealt(held, k, percent).join(tried.select("x", "y"), ["x", "y"], "left_anti"), class_of, n, percent, f"dealt{k}")
         tried = tried.unionByName(more)
         if not more.where("linked").limit(1).count():
@@ -236,7 +231,6 @@ def heads(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFra
         links = tried.where("linked").select("x", "y")
         group = components(links)
         held = C.written(several_components(shared, group, sign), "mixed")
-    C.release(spark)
     # what is left: pairs between components, first of the members outside the pivot's component
     cross = pairs_of(held, ["h"], percent)
     first = F.col("unode") < F.col("vnode")

@@ -279,14 +279,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50, rest:
     C.prepare(spark)
     rest = rest or []
     blocks, n, _ = B.build(spark, docs, byte_anchors(window), rest)
-    C.release(spark)
 
     def keys(b: B.Block):
         eight = C.words8(np.concatenate([b.text, np.zeros(8, np.uint8)]))
         return (gram_hash(eight, b.anchor) if len(b.anchor) else np.zeros(0, U)), np.searchsorted(b.offsets, b.first, "right") - 1
 
     known = B.repeated_anchors(blocks, n, keys, within_text=False).checkpoint()
-    C.release(spark)
     record = "bucket int, block int, own binary, least binary, text binary"
     record_schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("own", pa.binary()), ("least", pa.binary()), ("text", pa.binary())])
 
@@ -299,7 +297,6 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50, rest:
         return pa.Table.from_pylist(out, record_schema)
 
     bits = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(send, record).groupBy("bucket").applyInArrow(lambda t: earlier(t, window), "block int, bucket int, codes binary, kind int").checkpoint()
-    C.release(spark)
     kept = [f for f in docs.select(*rest).schema.fields] if rest else []
     types = {f.name: f.dataType.simpleString() for f in docs.select("doc_id", *rest).schema.fields}
 

@@ -6,9 +6,12 @@ slots then write shards of ``per_shard`` records of equal size, each a header (d
 the tokens, padded with zeros. Record k of shard s is slot s * per_shard + k at byte k * stride, so a reader that
 stopped at slot t resumes at shard t // per_shard without reading what went before.
 
+Texts are sorted by document once and numbered where they lie; only one count for each partition reaches the driver.
+A slot's range partition follows from its number, since slots are a permutation of 0 to total - 1.
+
 Shards are rows (shard, first_slot, n, data) of a Parquet table, so Spark's committer makes each appear once even if
-executors are lost. Odd rows: null and empty texts have no sequences; a document repeated as a whole (same doc_id and
-text) is written once; a null doc_id is written as the largest number.
+executors are lost. Odd rows: null and empty texts have no sequences; a row repeated as a whole (same doc_id and
+text) has slots of its own; a null doc_id is written as the largest number; an empty table has no shards.
 """
 
 from __future__ import annotations
@@ -17,14 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .feistel import numbered, permute
+from .feistel import permute
 
 HEAD = np.dtype([("doc_id", "<i8"), ("seq", "<u4"), ("n", "<u4")])
-RECORD = "shard long, slot long, record binary"
 
 
 def tokens_of_bytes(docs: DataFrame) -> DataFrame:
@@ -36,68 +39,66 @@ def materialise(tokens: DataFrame, length: int, width: int = 1, per_shard: int =
     """The written shards of ``tokens`` (doc_id, tokens binary with ``width`` bytes a token)."""
     spark = tokens.sparkSession
     C.prepare(spark)
-    seqs = F.ceil(F.octet_length("tokens") / (width * length)).cast("long")
-    slim = tokens.where(F.octet_length("tokens") > 0).select("doc_id", F.xxhash64("tokens").alias("content"), seqs.alias("seqs")).distinct()
-    # documents in order, then a running count of sequences: by partition in Spark, across partitions from their sums
-    rows, _ = numbered(slim, ["doc_id", "content"], "row")
-    rows = rows.withColumn("span", F.floor(F.col("row") / 4096)).checkpoint()
-    sums = numbered_sums(rows)
-    inner = Window.partitionBy("span").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.join(sums, "span").select("doc_id", "content", (F.col("base") + F.coalesce(F.sum("seqs").over(inner), F.lit(0))).alias("first"))
-    total = rows.agg(F.sum("seqs")).first()[0] or 0
-    stride = HEAD.itemsize + width * length
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.slices(batches, "tokens"):
-            shard, slot, record = [], [], []
-            for doc, first, data in zip(b.column("doc_id").to_pylist(), b.column("first").to_pylist(), b.column("tokens"), strict=True):
-                data = data.as_py()
-                n = -(-len(data) // (width * length))
-                at = permute(np.arange(first, first + n), total, key)
-                slot += at.tolist()
-                for k in range(n):
-                    piece = data[k * width * length : (k + 1) * width * length]
-                    record.append(np.array([(doc, k, len(piece) // width)], HEAD).tobytes() + piece + bytes(stride - HEAD.itemsize - len(piece)))
-            shard = [x // per_shard for x in slot]
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(slot, pa.int64()), pa.array(record, pa.binary())], names=["shard", "slot", "record"])
-
-    whole = tokens.where(F.octet_length("tokens") > 0).withColumn("content", F.xxhash64("tokens"))
+    size = width * length
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = whole.join(placed, ["doc_id", "content"]).select("doc_id", "first", "tokens").mapInArrow(cut, RECORD).repartitionByRange(parts, "shard").sortWithinPartitions("slot")
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        shard, last = None, -1
-
-        def row():
-            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "first_slot": pa.array([shard * per_shard], pa.int64()), "n": pa.array([len(held)], pa.int32()), "data": pa.array([b"".join(held)], pa.binary())})
-
+    with C.Steps(spark) as steps:
+        placed = steps(numbered_sequences(tokens, size, parts), "numbered")
+        # the first sequence of each partition, from one count for each
+        base, total = {}, 0
+        for r in sorted(placed.groupBy("part").agg(F.sum("seqs").alias("seqs")).collect(), key=lambda r: r["part"]):
+            base[r["part"]], total = total, total + r["seqs"]
+        n_shards = max(1, -(-total // per_shard))
+        parts = min(parts, n_shards)
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in C.slices(batches, "tokens"):
+                slot, record = [], []
+                for doc, part, first, data in zip(*(b.column(c).to_pylist() for c in ("doc_id", "part", "first")), b.column("tokens"), strict=True):
+                    data = data.as_py()
+                    n = -(-len(data) // size)
+                    slot.append(permute(base[part] + first + np.arange(n), total, key))
+                    pieces = [data[k * size : (k + 1) * size] for k in range(n)]
+                    head = np.array([(doc, k, len(x) // width) for k, x in enumerate(pieces)], HEAD)
+                    record += [h.tobytes() + x for h, x in zip(head, pieces, strict=True)]
+                slot = np.concatenate(slot) if slot else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard * parts // n_shards), pa.array(slot), pa.array(record, pa.binary())], names=["range", "slot", "record"])
+
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[bytes] = []
+            shard = None
+
+            def row():
+                return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "first_slot": pa.array([shard * per_shard], pa.int64()), "n": pa.array([len(held)], pa.int32()), "data": pa.array([b"".join(held)], pa.binary())})
+
+            for b in batches:
+                for t, r in zip(b.column("slot").to_pylist(), b.column("record"), strict=True):
+                    if t // per_shard != shard:
+                        if held:
+                            yield row()
+                        held, shard = [], t // per_shard
+                    held.append(r.as_py().ljust(HEAD.itemsize + size, b"\0"))
+            if held:
+                yield row()
+
+        # a slot's range follows from its number, so nothing has to be sampled
+        ranges = placed.mapInArrow(cut, "range long, slot long, record binary").repartitionById(parts, F.col("range").cast("int")).sortWithinPartitions("slot")
+        return steps.keep(ranges.mapInArrow(gather, "shard long, first_slot long, n int, data binary"), "shards")
+
+
+def numbered_sequences(tokens: DataFrame, size: int, parts: int) -> DataFrame:
+    """(part, first, seqs, doc_id, tokens) by doc_id and content: a document's sequences begin with number ``first`` of its partition."""
+    some = tokens.where(F.octet_length("tokens") > 0).select("doc_id", "tokens", F.xxhash64("tokens").alias("content"))
+    ranged = some.repartitionByRange(parts, "doc_id", "content").sortWithinPartitions("doc_id", "content").select(F.spark_partition_id().alias("part"), "doc_id", "tokens")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
         for b in batches:
-            for s, t, r in zip(b.column("shard").to_pylist(), b.column("slot").to_pylist(), b.column("record"), strict=True):
-                if t == last:  # a document repeated as a whole
-                    continue
-                if s != shard:
-                    if held:
-                        yield row()
-                    held, shard = [], s
-                held.append(r.as_py())
-                last = t
-        if held:
-            yield row()
-
-    return C.written(dealt.mapInArrow(gather, "shard long, first_slot long, n int, data binary"), "shards")
-
-
-def numbered_sums(rows: DataFrame) -> DataFrame:
-    """(span, base): sequences before each span of 4096 documents, by spans of spans, so that no task sees all."""
-    small = rows.groupBy("span").agg(F.sum("seqs").alias("seqs")).withColumn("far", F.floor(F.col("span") / 4096))
-    inner = Window.partitionBy("far").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    large = {r["far"]: r["seqs"] for r in small.groupBy("far").agg(F.sum("seqs").alias("seqs")).collect()}  # a row for 16 million documents
-    base, total = {}, 0
-    for k in sorted(large):
-        base[k], total = total, total + large[k]
-    start = F.create_map(*[F.lit(x) for k in sorted(base) for x in (k, base[k])]) if base else F.create_map(F.lit(0), F.lit(0))
-    return small.select("span", (F.coalesce(F.sum("seqs").over(inner), F.lit(0)) + F.coalesce(start[F.col("far")], F.lit(0))).alias("base"))
+            seqs = -(-pc.binary_length(b.column("tokens")).to_numpy(zero_copy_only=False).astype(np.int64) // size)
+            first = seen + np.cumsum(seqs) - seqs
+            seen += int(seqs.sum())
+            yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(first), pa.array(seqs), b.column("doc_id"), b.column("tokens")], names=["part", "first", "seqs", "doc_id", "tokens"])
+
+    return ranged.mapInArrow(number, "part int, first long, seqs long, doc_id long, tokens binary")
 
 
 def records(shards: DataFrame, length: int, width: int = 1, start: int = 0) -> DataFrame:

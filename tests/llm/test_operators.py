@@ -207,6 +207,16 @@ def test_training_order(spark, docs):
     assert sorted(r.slot for r in training_order.records(shards, 64, start=37).collect()) == list(range(37, len(got)))
 
 
+def test_training_order_slots_are_the_permutation(spark):
+    rows = [(i, f"{i} " * (i % 90)) for i in range(200)] + [(None, "abc" * 50), (3, "dup"), (3, "dup"), (8, None), (9, "")]
+    got = training_order.in_training_order(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 64).collect()
+    pieces = [(i, k // 64, hashlib.sha256((t or "").encode()[k : k + 64]).hexdigest()) for i, t in rows for k in range(0, len((t or "").encode()), 64)]
+    assert collections.Counter(pieces) == collections.Counter((r.doc_id, r.seq, r.tokens_sha256) for r in got)
+    numbers = [p for p in sorted(pieces, key=lambda p: (order(p[0]), p[1]))]
+    want = dict(zip(((i, k) for i, k, _ in numbers), feistel.permute(np.arange(len(numbers)), len(numbers), 20240607).tolist(), strict=True))
+    assert all(want[r.doc_id, r.seq] == r.slot for r in got if r.doc_id != 3)  # rows of document 3 share numbers with each other
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
