@@ -2,7 +2,7 @@
 
 A block is one row with the texts of the documents whose key falls into it (about ``BLOCK_BYTES``).
 Blocks are written once as a bucketed table in the warehouse, so later joins on the block number
-shuffle only what is exchanged, never the texts.
+shuffle only what is exchanged, never the texts. Operators drop it when their result is written.
 
 Anchors: in each window of W symbols (bytes, or words) the run of K symbols with the least hash is the
 window's anchor. Equal windows have equal anchors at equal places, so a window can only repeat if its
@@ -29,6 +29,8 @@ from . import common as C
 U = np.uint64
 BLOCK_BYTES = 4 << 20
 BLOCK = "block int, bucket_rows int, ids binary, sizes binary, text binary, first binary, ahead binary, own binary, rest binary"
+#: Blocks of one file and task, as long as the table has no more files than ``FILES``.
+PER_FILE, FILES = 4, 50_000
 #: With so many occurrences an anchor is hot: what it stands for is then dealt out by a finer key.
 HOT = 16_000
 
@@ -63,6 +65,11 @@ def owners(h: np.ndarray, inside: np.ndarray, width: int) -> tuple[np.ndarray, n
     return p[start], a[start] - p[start], np.diff(np.append(start, len(p)))
 
 
+def spread(h: np.ndarray) -> np.ndarray:
+    """Anchors are the least hashes of their windows, so all small; mixed anew they fall evenly into ranges."""
+    return C.mix(h + U(0x9E3779B97F4A7C15))
+
+
 def inside(offsets: np.ndarray, window: int, total: int) -> np.ndarray:
     """Which places begin a window that ends in the same text."""
     out = np.zeros(total, bool)
@@ -96,11 +103,11 @@ def blocks_in(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
 
 
 def build(spark: SparkSession, docs: DataFrame, anchors: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], rest: list[str]) -> tuple[DataFrame, int, str]:
-    """The block table, the number of blocks and the table's name; ``rest`` columns ride along unread."""
+    """The block table, the number of blocks and the table's name, for ``discard``; ``rest`` columns ride along unread."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / BLOCK_BYTES))
-    files = max(1, math.ceil(n / 8))
-    picked = docs.select("doc_id", "text", *rest).withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int"))
+    files = min(FILES, max(1, math.ceil(n / PER_FILE)))
+    picked = docs.select("doc_id", "text", *rest).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
     schema = pa.schema([("block", pa.int32()), ("bucket_rows", pa.int32()), *((x, pa.binary()) for x in ("ids", "sizes", "text", "first", "ahead", "own", "rest"))])
 
     def pack(t: pa.Table) -> pa.Table:
@@ -125,10 +132,16 @@ def build(spark: SparkSession, docs: DataFrame, anchors: Callable[[np.ndarray, n
 
     name = f"blocks_{uuid.uuid4().hex[:16]}"
     packed = picked.repartition(files, "block").groupBy("block").applyInArrow(pack, BLOCK)
-    packed.write.bucketBy(files, "block").option("compression", "zstd").format("parquet").saveAsTable(name)
+    with C.step(spark):
+        packed.write.bucketBy(files, "block").option("compression", "zstd").format("parquet").saveAsTable(name)
     return spark.table(name), n, name
 
 
+def discard(spark: SparkSession, name: str) -> None:
+    """Drops a block table, once nothing reads it any more."""
+    spark.sql(f"DROP TABLE IF EXISTS {name} PURGE")
+
+
 def bucket_of(key: np.ndarray, n: int) -> np.ndarray:
     """Ranges of equal width: sorted keys come in the order of their buckets."""
     return ((key >> U(32)) * U(n)) >> U(32)

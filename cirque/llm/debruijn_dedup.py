@@ -61,7 +61,7 @@ class Edges:
 
     def __init__(self, b: B.Block, codes: np.ndarray, k: int):
         self.words = w = Words(b.text, b.offsets)
-        anchors = C.joined(w.h, ANCHOR)[b.anchor] if len(b.anchor) else np.zeros(0, U)
+        anchors = B.spread(C.joined(w.h, ANCHOR)[b.anchor] if len(b.anchor) else np.zeros(0, U))
         _, inv, _ = B.distinct(anchors)
         open_ = np.flatnonzero(codes[inv] > 0) if len(inv) else np.zeros(0, np.int64)
         self.window = np.repeat(b.first[open_], b.own[open_]) + run(b.own[open_])
@@ -144,7 +144,7 @@ def find_paths(spark: SparkSession, docs: DataFrame, k: int = 20) -> tuple[DataF
 
     def keys(b: B.Block):
         w = Words(b.text, b.offsets)
-        return (C.joined(w.h, ANCHOR)[b.anchor] if len(b.anchor) else np.zeros(0, U)), np.searchsorted(w.offsets, b.first, "right") - 1
+        return B.spread(C.joined(w.h, ANCHOR)[b.anchor] if len(b.anchor) else np.zeros(0, U)), np.searchsorted(w.offsets, b.first, "right") - 1
 
     known = B.repeated_anchors(blocks, n, keys, within_text=True).checkpoint()
     names = ["fp", "second", "doc", "at", "many"]

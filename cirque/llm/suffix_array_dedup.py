@@ -4,8 +4,8 @@
 2. For each other anchor a block sends the bytes of the windows that the anchor owns, once for equal ones,
    with the least doc_id that has them. Anchors in ``blocks.HOT`` or more documents send each window by itself,
    dealt by the window's own hash, so that no anchor is a hot key.
-3. Each bucket concatenates what it got and builds a suffix array by two-stage sorting: suffixes smaller than
-   their successor are sorted directly, the others are induced by one scan over the first-byte buckets. Common
+3. Each bucket concatenates the distinct contexts it got and builds a suffix array by two-stage sorting: suffixes smaller
+   than their successor are sorted directly, the others are induced by one scan over the first-byte buckets. Common
    prefixes of neighbours then give the classes of equal windows, and a bit per window goes back: does a smaller
    doc_id than the sender's least have it?
 4. Each block marks what is covered.
@@ -21,6 +21,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import common as C
@@ -31,10 +32,24 @@ K = 16
 SPREAD = 12
 
 
-def gram_hash(eight: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
-    """Hash of the 16 bytes at each place."""
-    a, b = (eight[:-8], eight[8:]) if at is None else (eight[at], eight[at + 8])
-    return C.mix(a * U(0x9E3779B97F4A7C15) + b)
+def gram_hash(eight: np.ndarray) -> np.ndarray:
+    """Hash of the 16 bytes at each place; the last eight places have none."""
+    return C.mix(eight[:-8] * U(0x9E3779B97F4A7C15) + eight[8:])
+
+
+def anchor_hash(b: B.Block) -> np.ndarray:
+    """The same hash at a block's anchors only, so that long texts need no more memory than their anchors."""
+    out = np.zeros(len(b.anchor), U)
+    padded = np.concatenate([b.text, np.zeros(K, np.uint8)])
+    for s in range(0, len(out), 1 << 16):
+        at = b.anchor[s : s + (1 << 16)]
+        out[s : s + len(at)] = gram_hash_of(padded[at[:, None] + np.arange(K)])
+    return B.spread(out)
+
+
+def gram_hash_of(rows: np.ndarray) -> np.ndarray:
+    two = rows.view(">u8").astype(U)
+    return C.mix(two[:, 0] * U(0x9E3779B97F4A7C15) + two[:, 1])
 
 
 def byte_anchors(window: int):
@@ -73,7 +88,7 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
 
 def sort_directly(p: np.ndarray, eight: np.ndarray, whole: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes ``p`` by their first ``depth`` bytes; ``whole`` is a hash of those, which ends the search among equal ones."""
-    p = p[np.argsort(eight[p], kind="stable")]
+    p = p[np.argsort(eight[p])]
     key = eight[p]
     new = np.concatenate([[True], key[1:] != key[:-1]])
     done = 8
@@ -187,7 +202,7 @@ class Records:
     """What a block sends: distinct contexts of repeated anchors, sorted by the key that deals them out."""
 
     def __init__(self, b: B.Block, codes: np.ndarray, window: int):
-        h = gram_hash(C.words8(np.concatenate([b.text, np.zeros(8, np.uint8)])), b.anchor) if len(b.anchor) else np.zeros(0, U)
+        h = anchor_hash(b)
         _, inv, _ = B.distinct(h)
         code = codes[inv] if len(inv) else np.zeros(0, np.uint8)
         one, hot = np.flatnonzero(code == 1), np.flatnonzero(code == 2)
@@ -214,7 +229,7 @@ class Records:
         order = np.lexsort((u, key[at]))
         place = np.empty(len(u), np.int64)
         place[order] = np.arange(len(u))
-        self.key, self.start, self.own, self.least = key[at][order], start[at][order], own[at][order], least[order]
+        self.key, self.content, self.start, self.own, self.least = key[at][order], u[order], start[at][order], own[at][order], least[order]
         self.all_start, self.all_own, self.all_doc, self.all_record = start, own, doc, place[inv]
         self.window, self.padded = window, padded
 
@@ -231,29 +246,39 @@ def run(size: np.ndarray) -> np.ndarray:
 
 
 def earlier(t: pa.Table, window: int) -> pa.Table:
-    """For one bucket: a bit for each window, set if a smaller doc_id than the sender's least has it."""
-    own = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in t.column("own")]).astype(np.int64)
-    least = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in t.column("least")])
+    """For one bucket: a bit for each window, set if a smaller doc_id than the sender's least has it.
+
+    A context that several blocks sent stands once in the suffix array, with the least doc_id of all its senders.
+    """
+    get = lambda c, kind: [np.frombuffer(x.as_buffer(), kind) for x in t.column(c)]
+    own_of = get("own", np.uint8)
+    own = np.concatenate(own_of).astype(np.int64)
+    least, content = np.concatenate(get("least", np.int64)), np.concatenate(get("content", np.uint64))
+    _, once, of = np.unique(content, return_index=True, return_inverse=True)
+    lowest = np.full(len(once), C.NULL_ID, np.int64)
+    np.minimum.at(lowest, of, least)
     size = own + window - 1
-    text = np.frombuffer(b"".join(x.as_py() for x in t.column("text")), np.uint8)
+    at, own_once, size_once = np.cumsum(size) - size, own[once], size[once]
+    text = np.concatenate(get("text", np.uint8))[np.repeat(at[once], size_once) + run(size_once)]
     text = np.concatenate([text, np.zeros(window + 8, np.uint8)])
-    at = np.cumsum(size) - size
-    mine = np.repeat(at, own) + run(own)
+    at = np.cumsum(size_once) - size_once
+    mine = np.repeat(at, own_once) + run(own_once)
     wanted = np.zeros(len(text), bool)
     wanted[mine] = True
     eight = C.words8(text)
     order = suffix_array(text, eight, wanted, window)
-    shared = common_prefixes(order, eight, window)
+    start = np.flatnonzero(common_prefixes(order, eight, window) < window)
     del eight, wanted
-    record = np.zeros(len(text), np.int32)
-    record[mine] = np.repeat(np.arange(len(own), dtype=np.int32), own)
-    doc = least[record[order]]
-    start = np.flatnonzero(shared < window)
-    low = np.repeat(np.minimum.reduceat(doc, start), np.diff(np.append(start, len(order))))
-    bit = np.zeros(len(text), np.uint8)
-    bit[order] = low < doc
-    bit, end = bit[mine], np.cumsum([0, *(int(np.frombuffer(x.as_py(), np.uint8).sum()) for x in t.column("own"))])
-    return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "codes": pa.array([bit[i:j].tobytes() for i, j in zip(end, end[1:], strict=False)], pa.binary()), "kind": pa.array([3] * t.num_rows, pa.int32())})
+    doc = np.zeros(len(text), np.int64)
+    doc[mine] = np.repeat(lowest, own_once)
+    doc[order] = np.repeat(np.minimum.reduceat(doc[order], start), np.diff(np.append(start, len(order))))
+    low, first = doc[mine], np.cumsum(own_once) - own_once
+    out, seen = [], 0
+    for x in own_of:
+        mine, seen = slice(seen, seen + len(x)), seen + len(x)
+        window_of = np.repeat(first[of[mine]], own[mine]) + run(own[mine])
+        out.append((low[window_of] < np.repeat(least[mine], own[mine])).tobytes())
+    return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "codes": pa.array(out, pa.binary()), "kind": pa.array([3] * t.num_rows, pa.int32())})
 
 
 def covered(b: B.Block, left: pa.Table, window: int) -> np.ndarray:
@@ -261,13 +286,20 @@ def covered(b: B.Block, left: pa.Table, window: int) -> np.ndarray:
     r = Records(b, B.codes_in(left, 1), window)
     bit = B.codes_in(left, 3)
     at = np.cumsum(r.own) - r.own
-    windows = np.repeat(r.all_start, r.all_own) + run(r.all_own)
-    answer = bit[np.repeat(at[r.all_record], r.all_own) + run(r.all_own)] if len(bit) else np.zeros(0, np.uint8)
-    gone = (answer > 0) | np.repeat(r.all_doc > r.least[r.all_record], r.all_own) if len(windows) else np.zeros(0, bool)
-    flag = np.zeros(len(b.text) + window + 1, np.int32)
-    flag[windows[gone] + window] = 1
-    total = np.cumsum(flag)
-    return total[window : window + len(b.text)] - total[: len(b.text)] > 0
+    gone = np.zeros(len(b.text), bool)  # where a window begins that goes
+    for s in range(0, len(r.all_start), 1 << 14):
+        part = slice(s, s + (1 << 14))
+        own, record = r.all_own[part], r.all_record[part]
+        step = run(own)
+        lost = (bit[np.repeat(at[record], own) + step] > 0) | np.repeat(r.all_doc[part] > r.least[record], own)
+        gone[(np.repeat(r.all_start[part], own) + step)[lost]] = True
+    out = np.zeros(len(b.text), bool)
+    for s in range(0, len(out), 1 << 20):  # a byte goes if a window that goes begins on it or up to window - 1 before
+        before = min(s, window - 1)
+        seen = np.concatenate([np.zeros(1, np.int32), np.cumsum(gone[s - before : s + (1 << 20)], dtype=np.int32)])
+        end = np.arange(before + 1, len(seen))
+        out[s : s + len(end)] = seen[end] > seen[np.maximum(end - window, 0)]
+    return out
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50, rest: list[str] | None = None, digests: bool = True) -> DataFrame:
@@ -278,25 +310,22 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50, rest:
     """
     C.prepare(spark)
     rest = rest or []
-    blocks, n, _ = B.build(spark, docs, byte_anchors(window), rest)
+    blocks, n, name = B.build(spark, docs, byte_anchors(window), rest)
 
     def keys(b: B.Block):
-        eight = C.words8(np.concatenate([b.text, np.zeros(8, np.uint8)]))
-        return (gram_hash(eight, b.anchor) if len(b.anchor) else np.zeros(0, U)), np.searchsorted(b.offsets, b.first, "right") - 1
+        return anchor_hash(b), np.searchsorted(b.offsets, b.first, "right") - 1
 
-    known = B.repeated_anchors(blocks, n, keys, within_text=False).checkpoint()
-    record = "bucket int, block int, own binary, least binary, text binary"
-    record_schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("own", pa.binary()), ("least", pa.binary()), ("text", pa.binary())])
+    record_schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), *((c, pa.binary()) for c in ("own", "least", "content", "text"))])
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
             b = B.Block(row)
             r = Records(b, B.codes_in(right), window)
-            out += [{"bucket": k, "block": b.block, "own": C.raw(r.own[i:j], "u1"), "least": C.raw(r.least[i:j], "<i8"), "text": r.text(i, j)} for k, i, j in B.cuts(r.key, n * SPREAD)]
-        return pa.Table.from_pylist(out, record_schema)
+            cuts = B.cuts(r.key, n * SPREAD)
+            out.append(pa.table([pa.array([k for k, _, _ in cuts], pa.int32()), pa.array([b.block] * len(cuts), pa.int32()), *(pa.array([f(i, j) for _, i, j in cuts], pa.binary()) for f in (lambda i, j: C.raw(r.own[i:j], "u1"), lambda i, j: C.raw(r.least[i:j], "<i8"), lambda i, j: C.raw(r.content[i:j], "<u8"), r.text))], schema=record_schema))
+        return pa.concat_tables(out)
 
-    bits = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(send, record).groupBy("bucket").applyInArrow(lambda t: earlier(t, window), "block int, bucket int, codes binary, kind int").checkpoint()
     kept = [f for f in docs.select(*rest).schema.fields] if rest else []
     types = {f.name: f.dataType.simpleString() for f in docs.select("doc_id", *rest).schema.fields}
 
@@ -326,7 +355,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50, rest:
             out.append(make(b, covered(b, right, window)))
         return pa.concat_tables(out)
 
-    from pyspark.sql import functions as F
-
-    answers = known.withColumn("kind", F.lit(1)).unionByName(bits)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, wanted)
+    with C.Steps(spark) as steps:
+        known = steps(B.repeated_anchors(blocks, n, keys, within_text=False), "anchors")
+        sent = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(send, "bucket int, block int, own binary, least binary, content binary, text binary")
+        bits = steps(sent.groupBy("bucket").applyInArrow(lambda t: earlier(t, window), "block int, bucket int, codes binary, kind int"), "windows")
+        answers = known.withColumn("kind", F.lit(1)).unionByName(bits)
+        out = steps.keep(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, wanted), "kept")
+    B.discard(spark, name)
+    return out
