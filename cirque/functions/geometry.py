@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def let(f, **parts: Column) -> Column:
-    """``f`` of a struct of ``parts``, each computed once: otherwise nested expressions are copied wherever they are used."""
-    return F.get(F.transform(F.array(F.struct(*(c.alias(k) for k, c in parts.items()))), f), F.lit(0))
-
-
 def arc_length(s: Column, e: Column, n: Column) -> Column:
     """Length from s round to e; a whole circle where both fall on one place but are written apart."""
     x = F.pmod(e - s, n)
@@ -29,27 +24,50 @@ def orientation(c2_a: Column, c2_b: Column, n: Column, strand_a: Column) -> Colu
     return F.when(strand_a == "Reverse", -raw).otherwise(raw)
 
 
-def spatial_relation(a: tuple[Column, Column, Column], b: tuple[Column, Column], n: Column, same: Column | None = None) -> Column:
-    """struct(rel, distance) of b relative to a; a is (start, end, strand), b is (start, end)."""
-    out = let(lambda p: let(_related, la=p["la"], lb=p["lb"], n=p["n"], m=F.pmod(p["cb"] - p["ca"], p["n"] * 2), reverse=p["reverse"]),
-              la=arc_length(a[0], a[1], n), lb=arc_length(b[0], b[1], n), ca=a[0] * 2 + F.coalesce(arc_length(a[0], a[1], n), F.lit(0)), cb=b[0] * 2 + arc_length(b[0], b[1], n), n=n, reverse=a[2] == "Reverse")
-    other = F.struct(F.lit("DR").alias("rel"), F.lit(0).cast("long").alias("distance"))
-    return out if same is None else F.when(same, out).otherwise(other)
-
-
-def _related(p: Column) -> Column:
-    la, lb, n, m = p["la"], p["lb"], p["n"], p["m"]
-    d2 = F.least(m, n * 2 - m)
-    raw = F.when((m == 0) | (m == n), 0).when(m < n, 1).otherwise(-1)
-    side = F.when(p["reverse"], -raw).otherwise(raw)
+def _relation(la: Column, lb: Column, d2: Column, side: Column, n: Column) -> tuple[Column, Column]:
+    """Relation and distance from both lengths, the doubled distance of the centres and the side of b's centre."""
     rel = (
         F.when(d2 >= la + lb, F.when(side > 0, "3N").otherwise("5N"))
         .when(la + lb > n, F.when(la > lb, "CG").otherwise("CR"))
         .when(F.greatest(la, lb) > d2 + F.least(la, lb), F.when(la > lb, "EB").otherwise("CO"))
         .when(side == 0, "PE").when(side > 0, "3O").otherwise("5O")
     )
+    known = la.isNotNull() & lb.isNotNull() & d2.isNotNull()
     distance = F.when(d2 >= la + lb, F.floor((d2 - la - lb) / 2)).otherwise(0).cast("long")
-    return F.struct(F.when(m.isNotNull(), rel).alias("rel"), F.when(m.isNotNull(), distance).alias("distance"))
+    return F.when(known, rel), F.when(known, distance)
+
+
+def spatial_relation(a: tuple[Column, Column, Column], b: tuple[Column, Column], n: Column, same: Column | None = None) -> Column:
+    """struct(rel, distance) of b relative to a; a is (start, end, strand), b is (start, end). ``with_relation`` does the same for a frame in steps."""
+    la, lb = arc_length(a[0], a[1], n), arc_length(b[0], b[1], n)
+    ca, cb = a[0] * 2 + la, b[0] * 2 + lb
+    m = F.pmod(cb - ca, n * 2)
+    rel, distance = _relation(la, lb, F.least(m, n * 2 - m), orientation(ca, cb, n, a[2]), n)
+    if same is not None:
+        rel, distance = F.when(same, rel).otherwise("DR"), F.when(same, distance).otherwise(0)
+    return F.struct(rel.alias("rel"), distance.alias("distance"))
+
+
+def with_sizes(df: DataFrame, prefix: str, s: Column, e: Column, n: Column) -> DataFrame:
+    """``df`` with the arc's length and doubled centre as <prefix>l and <prefix>c, computed once for a row."""
+    return df.withColumn(f"{prefix}l", arc_length(s, e, n)).withColumn(f"{prefix}c", s * 2 + F.col(f"{prefix}l"))
+
+
+def with_sized_relation(df: DataFrame, a: str, b: str, strand: Column, n: Column, rel: str = "rel", distance: str = "distance") -> DataFrame:
+    """``df`` with the relation and distance of b to a, whose sizes ``with_sizes`` has put under the prefixes ``a`` and ``b``.
+
+    Each step is a projection of plain columns, so that no term is computed twice and all stays in generated code.
+    """
+    x = df.withColumn("_m", F.pmod(F.col(f"{b}c") - F.col(f"{a}c"), n * 2))
+    x = x.withColumn("_side", F.when((F.col("_m") == 0) | (F.col("_m") == n), 0).when((F.col("_m") < n) == (F.coalesce(strand, F.lit("")) != "Reverse"), 1).otherwise(-1)).withColumn("_d2", F.least("_m", n * 2 - F.col("_m")))
+    r, d = _relation(F.col(f"{a}l"), F.col(f"{b}l"), F.col("_d2"), F.col("_side"), n)
+    return x.withColumns({rel: r, distance: d}).drop("_m", "_side", "_d2")
+
+
+def with_relation(df: DataFrame, a: tuple[Column, Column, Column], b: tuple[Column, Column], n: Column, rel: str = "rel", distance: str = "distance") -> DataFrame:
+    """``df`` with the relation and distance of b (start, end) to a (start, end, strand); null where a place is null."""
+    x = with_sizes(with_sizes(df, "_a", a[0], a[1], n), "_b", b[0], b[1], n)
+    return with_sized_relation(x, "_a", "_b", a[2], n, rel, distance).drop("_al", "_ac", "_bl", "_bc")
 
 
 def search_bubble(s: Column, e: Column, n: Column, radius: int) -> Column:

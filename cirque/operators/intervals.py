@@ -1,48 +1,103 @@
-"""Joins of intervals on circles: equi-joins on (replicon, bin), then the exact test."""
+"""Joins of intervals on circles: equi-joins on (replicon, bin) with the exact test, and nearest neighbours from one sort."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cirque.functions.geometry import arc_length, spatial_relation
+from cirque.functions.geometry import arc_length, search_bubble, with_sized_relation, with_sizes
 
 BIN = 20_000
+PLACE = ["assembly", "replicon"]
 
 
-def bins(s: Column, e: Column, n: Column, radius: int, size: int) -> Column:
-    """Bins that the interval, widened by ``radius``, touches; each once."""
-    long = arc_length(s, e, n) + 2 * radius
-    start = F.pmod(s - radius, n)
-    last = start + long
-    part = F.array_distinct(F.concat(F.sequence(F.floor(start / size), F.floor(F.least(last, n) / size)), F.when(last >= n, F.sequence(F.lit(0).cast("long"), F.floor((last - n) / size))).otherwise(F.array().cast("array<bigint>"))))
-    return F.when(long >= n, F.sequence(F.lit(0).cast("long"), F.floor(n / size))).otherwise(part)
+def bins(start: Column, span: Column, n: Column, size: int) -> Column:
+    """Bins that the arc of length ``span`` from ``start`` (0..n-1) touches; each once."""
+    last = start + span
+    zero = F.lit(0).cast("long")
+    plain = F.sequence(F.floor(start / size), F.floor(F.least(last, n) / size))
+    over = F.array_distinct(F.concat(plain, F.sequence(zero, F.floor((last - n) / size))))
+    return F.when(span >= n, F.sequence(zero, F.floor(n / size))).when(last >= n, over).otherwise(plain)
 
 
-def relate(left: DataFrame, right: DataFrame, radius: int, keep: list[str], size: int = BIN) -> DataFrame:
+def relate(left: DataFrame, right: DataFrame, radius: int, keep: list[str], size: int = BIN, overlap: bool = False) -> DataFrame:
     """Pairs on one replicon that overlap or lie at most ``radius`` apart: columns of left, ``keep`` of right as r_*, rel and distance.
 
-    Both sides have assembly, replicon, len, strand, start_bound and end_bound. A pair that meets in several bins
-    comes out of the least one only, so no pair has to be deduplicated afterwards.
+    With ``overlap`` only those that overlap; asking here is cheaper than a filter on rel.
+
+    Both sides have assembly, replicon, len, strand, start_bound and end_bound. Of two arcs that meet, one holds the
+    start of the other: a pair comes out of the bin of that start only, so no pair has to be deduplicated afterwards.
     """
-    r = right.select("assembly", "replicon", *(F.col(c).alias(f"r_{c}") for c in dict.fromkeys(["start_bound", "end_bound", *keep])), bins(F.col("start_bound"), F.col("end_bound"), F.col("len"), 0, size).alias("r_bins"))
-    x = left.withColumn("l_bins", bins(F.col("start_bound"), F.col("end_bound"), F.col("len"), radius, size))
-    both = x.withColumn("bin", F.explode("l_bins")).join(r.withColumn("bin", F.explode("r_bins")), ["assembly", "replicon", "bin"])
-    both = both.where(F.col("bin") == F.array_min(F.array_intersect("l_bins", "r_bins"))).drop("bin", "l_bins", "r_bins")
-    rel = spatial_relation((F.col("start_bound"), F.col("end_bound"), F.col("strand")), (F.col("r_start_bound"), F.col("r_end_bound")), F.col("len"))
-    both = both.withColumn("_r", rel).withColumn("rel", F.col("_r.rel")).withColumn("distance", F.col("_r.distance")).drop("_r")
-    return both.where(~F.col("rel").isin("5N", "3N") | (F.col("distance") <= radius))
+    start, end, n = F.col("start_bound"), F.col("end_bound"), F.col("len")
+    r = right.select(*PLACE, n, start, end, *(F.col(c).alias(f"r_{c}") for c in dict.fromkeys(keep) if c not in ("start_bound", "end_bound")))
+    r = with_sizes(r, "_b", start, end, n).withColumn("_bs", F.pmod(start, n)).withColumn("bin", F.explode(bins(F.col("_bs"), F.col("_bl"), n, size)))
+    r = r.withColumnRenamed("start_bound", "r_start_bound").withColumnRenamed("end_bound", "r_end_bound").drop("len")
+    x = with_sizes(left, "_a", start, end, n).withColumn("_as", F.pmod(start - radius, n)).withColumn("_wide", F.col("_al") + 2 * radius)
+    x = x.withColumn("bin", F.explode(bins(F.col("_as"), F.col("_wide"), n, size)))
+    m = F.pmod(F.col("_bc") - F.col("_ac"), n * 2)
+    apart = F.least(m, n * 2 - m) - F.col("_al") - F.col("_bl")
+    near = apart < 0 if overlap else apart <= 2 * radius
+    at = F.when(F.pmod(F.col("_bs") - F.col("_as"), n) <= F.col("_wide"), F.col("_bs")).otherwise(F.col("_as"))
+    both = x.join(r, [*PLACE, "bin"]).where(near & (F.floor(at / size) == F.col("bin"))).drop("bin", "_as", "_bs", "_wide")
+    return with_sized_relation(both, "_a", "_b", F.col("strand"), n).drop("_al", "_ac", "_bl", "_bc")
+
+
+def within_radius(query: DataFrame, target: DataFrame, radius: int, keep: list[str]) -> DataFrame:
+    """Pairs of ``query`` and those of ``target`` that overlap its bubble of ``radius``; rel is that of the target to the bubble."""
+    bubble = search_bubble(F.col("start_bound"), F.col("end_bound"), F.col("len"), radius)
+    wide = query.withColumn("_b", bubble).withColumns({"start_bound": F.col("_b.start_bound"), "end_bound": F.col("_b.end_bound")}).drop("_b")
+    return relate(wide, target, 0, keep, overlap=True)
+
+
+def hits_for_replicons(hits: DataFrame, replicons: DataFrame) -> DataFrame:
+    """Hits with the assembly and length of the replicon that they lie on; hits on other sequences go."""
+    return hits.join(replicons.select(*PLACE, "len"), "replicon")
 
 
 def link_hits(features: DataFrame, hits: DataFrame) -> DataFrame:
     """``features`` with assoc, the sorted set of hit types that overlap each; null where none does."""
-    key = ["assembly", "replicon", "start_bound", "end_bound", "feature_type", "ord"]
-    got = relate(features, hits, 0, ["assoc_type"]).where(~F.col("rel").isin("5N", "3N")).groupBy(*key).agg(F.array_sort(F.collect_set("r_assoc_type")).alias("assoc"))
+    key = [*PLACE, "start_bound", "end_bound", "feature_type", "ord"]
+    slim = features.select(*key, "len", "strand")
+    got = relate(slim, hits, 0, ["assoc_type"], overlap=True).groupBy(*key).agg(F.array_sort(F.collect_set("r_assoc_type")).alias("assoc"))
     return features.join(got, key, "left")
 
 
+def nearest_sides(sites: DataFrame, features: DataFrame, radius: int) -> DataFrame:
+    """(site_id, side, r_start_bound, r_end_bound, r_strand, distance): the nearest feature not overlapping on the 5' and on the 3' side of each site.
+
+    Sites and features of a replicon are sorted together: the last feature end before a site and the first feature start
+    behind it are carried along, so rows stay sites + features. Where a circle is so short that a feature within the
+    radius may reach round to the other side, all features within the radius are ranked instead.
+    """
+    n, start, end = F.col("len"), F.col("start_bound"), F.col("end_bound")
+    none = F.lit(None)
+    site = sites.select("site_id", *PLACE, n, "strand", start, end, arc_length(start, end, n).alias("_sl"), none.cast("long").alias("_fl"), none.cast("struct<s:bigint,e:bigint,t:string>").alias("f"))
+    gene = features.select(none.cast(sites.schema["site_id"].dataType).alias("site_id"), *PLACE, n, none.cast("string").alias("strand"), start, end, none.cast("long").alias("_sl"), arc_length(start, end, n).alias("_fl"), F.struct(start.alias("s"), end.alias("e"), F.col("strand").alias("t")).alias("f"))
+    rows = site.unionByName(gene).withColumn("_is_site", F.col("_sl").isNotNull())
+    # looking back, features stand at their end and sites at their start; looking ahead, the other way round
+    rows = rows.withColumn("_back", F.pmod(F.when(F.col("_is_site"), start).otherwise(end), n)).withColumn("_ahead", F.pmod(F.when(F.col("_is_site"), end).otherwise(start), n))
+    by = Window.partitionBy(*PLACE)
+    back = by.orderBy(F.col("_back"), F.col("_is_site"), F.col("start_bound").desc(), F.col("end_bound").desc())
+    ahead = by.orderBy(F.col("_ahead").desc(), F.col("_is_site"), F.col("start_bound").desc(), F.col("end_bound").desc())
+    so_far = lambda w: F.last("f", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    whole = Window.partitionBy(*PLACE)
+    tail = F.min(F.when(F.col("f").isNotNull(), F.struct((-F.col("_back")).alias("k"), F.col("start_bound").alias("s"), F.col("end_bound").alias("e"), "f"))).over(whole)["f"]
+    head = F.min(F.when(F.col("f").isNotNull(), F.struct(F.col("_ahead").alias("k"), F.col("start_bound").alias("s"), F.col("end_bound").alias("e"), "f"))).over(whole)["f"]
+    short = n <= F.coalesce(F.max("_sl").over(whole), F.lit(0)) + F.coalesce(F.max("_fl").over(whole), F.lit(0)) + 2 * radius
+    found = rows.withColumns({"_tail": tail, "_head": head, "_short": short}).withColumn("_prev", so_far(back)).withColumn("_next", so_far(ahead)).where("_is_site")
+    found = found.withColumns({"_prev": F.coalesce("_prev", "_tail"), "_next": F.coalesce("_next", "_head")}).select("site_id", *PLACE, n, "strand", start, end, "_short", "_prev", "_next")
+    turned = F.col("strand") == "Reverse"
+    one = lambda f, plain, reverse, gap: F.struct(F.when(turned, reverse).otherwise(plain).alias("side"), F.col(f"{f}.s").alias("r_start_bound"), F.col(f"{f}.e").alias("r_end_bound"), F.col(f"{f}.t").alias("r_strand"), gap.alias("distance"))
+    sides = F.explode(F.array(one("_prev", "5N", "3N", F.pmod(start - F.col("_prev.e"), n)), one("_next", "3N", "5N", F.pmod(F.col("_next.s") - end, n))))
+    plain = found.where("not _short").select("site_id", sides.alias("x")).select("site_id", "x.*").where(F.col("distance") <= radius)
+    ranked = relate(found.where("_short").select("site_id", *PLACE, "len", "strand", "start_bound", "end_bound"), features, radius, ["strand"]).where(F.col("rel").isin("5N", "3N"))
+    w = Window.partitionBy("site_id", "rel").orderBy("distance", "r_start_bound", "r_end_bound")
+    ranked = ranked.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("site_id", F.col("rel").alias("side"), "r_start_bound", "r_end_bound", "r_strand", "distance")
+    return plain.unionByName(ranked)
+
+
 def nearest_neighbors(sites: DataFrame, features: DataFrame, radius: int = 40_000) -> DataFrame:
-    """Overlapping features of each site and the nearest on its 5' and 3' sides: side, feature bounds and distance."""
-    got = relate(sites, features, radius, ["strand"]).withColumn("side", F.when(F.col("rel").isin("5N", "3N"), F.col("rel")).otherwise("overlap"))
-    w = Window.partitionBy("site_id", "side").orderBy("distance", "r_start_bound", "r_end_bound")
-    return got.withColumn("rn", F.row_number().over(w)).where("side = 'overlap' or rn = 1").drop("rn")
+    """Overlapping features of each site and the nearest on its 5' and 3' sides: side, feature bounds, strand and distance."""
+    over = relate(sites, features, 0, ["strand"], overlap=True)
+    columns = ["r_start_bound", "r_end_bound", "r_strand", "distance"]
+    return over.select("site_id", F.lit("overlap").alias("side"), *columns).unionByName(nearest_sides(sites, features, radius))

@@ -6,13 +6,46 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cirque.functions.features import dedupe_features, keep_coding_features
-from cirque.functions.geometry import orientation, spatial_relation
-
-from .intervals import relate
-
-
-def _rel(a: str, b: str):
-    return spatial_relation((F.col(f"{a}start_bound"), F.col(f"{a}end_bound"), F.col(f"{a}strand")), (F.col(f"{b}start_bound"), F.col(f"{b}end_bound")), F.col("len"))
+from cirque.functions.geometry import arc_length, orientation, with_relation, with_sized_relation, with_sizes
+
+from .intervals import nearest_sides, relate
+
+
+def islands(genes: DataFrame, gap: int) -> DataFrame:
+    """``genes`` with island, island_start and island_span: runs of genes on the circle that follow each other within ``gap``."""
+    n = F.col("len")
+    x = genes.withColumn("_l", arc_length(F.col("start_bound"), F.col("end_bound"), n)).withColumn("_s", F.pmod(F.col("start_bound"), n))
+    whole = Window.partitionBy("assembly", "replicon")
+    w = whole.orderBy("_s", "_l")
+    # what reaches over the origin comes before the first gene
+    over = F.max(F.col("_s") + F.col("_l")).over(whole) - n
+    x = x.withColumn("_reach", F.greatest(over, F.coalesce(F.max(F.col("_s") + F.col("_l")).over(w.rowsBetween(Window.unboundedPreceding, -1)), over)))
+    x = x.withColumn("_k", F.sum(F.when(F.col("_s") - F.col("_reach") > gap, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("_last", F.max("_k").over(whole))
+    wraps = (F.col("_k") == 0) & (F.col("_last") > 0)  # the first run continues the last one
+    x = x.withColumn("island", F.when(wraps, F.col("_last")).otherwise(F.col("_k"))).withColumn("_s", F.when(wraps, F.col("_s") + n).otherwise(F.col("_s")))
+    one = Window.partitionBy("assembly", "replicon", "island")
+    x = x.withColumn("island_start", F.min("_s").over(one)).withColumn("island_span", F.least(F.max(F.col("_s") + F.col("_l")).over(one) - F.col("island_start"), n))
+    return x.drop("_l", "_s", "_reach", "_k", "_last")
+
+
+def apart(al, ac, bl, bc, n):
+    """Twice the distance of two arcs from their lengths and doubled centres; negative where they overlap."""
+    m = F.pmod(bc - ac, n * 2)
+    return F.least(m, n * 2 - m) - al - bl
+
+
+def chain_candidates(sites: DataFrame, genes: DataFrame, reach: int, lead: int, gap: int) -> DataFrame:
+    """Pairs of a site and each gene of the islands within ``lead`` of it, with rel, distance and the gene's _bl and _bc: no chain goes beyond those."""
+    place, n = ["assembly", "replicon"], F.col("len")
+    held = islands(genes, gap)
+    spans = held.select(*place, "len", "island", F.col("island_start").alias("start_bound"), (F.col("island_start") + F.col("island_span")).alias("end_bound")).distinct().withColumn("strand", F.lit("Other"))
+    near = relate(sites, spans, lead, ["island"]).drop("rel", "distance", "r_start_bound", "r_end_bound")
+    members = with_sizes(held, "_b", F.col("start_bound"), F.col("end_bound"), n)
+    members = members.select(*place, F.col("island").alias("r_island"), F.col("start_bound").alias("r_start_bound"), F.col("end_bound").alias("r_end_bound"), F.col("strand").alias("r_strand"), "_bl", "_bc")
+    near = with_sizes(near, "_a", F.col("start_bound"), F.col("end_bound"), n)
+    pairs = near.join(members, [*place, "r_island"]).where(apart(F.col("_al"), F.col("_ac"), F.col("_bl"), F.col("_bc"), n) <= 2 * reach)
+    return with_sized_relation(pairs, "_a", "_b", F.col("strand"), n).drop("r_island")
 
 
 def predict_operons(sites: DataFrame, features: DataFrame, reach: int = 40_000, lead: int = 100, gap: int = 40) -> DataFrame:
@@ -21,32 +54,44 @@ def predict_operons(sites: DataFrame, features: DataFrame, reach: int = 40_000,
     Genes beside a site chain outward on each side while they keep the first one's strand and follow within ``gap``;
     the first must lie within ``lead``. Overlapping genes lead the side whose nearest neighbour has their strand, or
     form a chain of their own. A chain goes if the site lies behind its first gene and nothing bridges the two.
+
+    Chains cannot leave the runs of genes near a site, so those and the nearest neighbours are all that is joined.
     """
     genes = dedupe_features(keep_coding_features(features))
-    pairs = relate(sites, genes, reach, ["strand"]).withColumn("side", F.when(F.col("rel").isin("5N", "3N"), F.col("rel")).otherwise("O"))
-    site = ["site_id"]
-    by = Window.partitionBy(*site)
-    first = lambda s: F.min(F.when(F.col("side") == s, F.struct("distance", "r_start_bound", "r_end_bound", "r_strand"))).over(by)["r_strand"]
-    pairs = pairs.withColumn("s5", F.coalesce(first("5N"), F.lit("Other"))).withColumn("s3", F.coalesce(first("3N"), F.lit("Other")))
-    over = F.col("side") == "O"
-    lists = F.array_compact(F.array(F.when((F.col("side") == "5N") | (over & (F.col("r_strand") == F.col("s5"))), "5"), F.when((F.col("side") == "3N") | (over & (F.col("r_strand") == F.col("s3"))), "3"), F.when(over & (F.col("r_strand") != F.col("s5")) & (F.col("r_strand") != F.col("s3")), "E")))
-    long = pairs.withColumn("list", F.explode(lists))
+    n, mine = F.col("len"), F.col("r_strand")
+    site = ["site_id", "assembly", "replicon", "len", "strand", "start_bound", "end_bound"]
+    pairs = chain_candidates(sites.select(*site), genes, reach, lead, gap)
+    # whether the site lies on a gene's 3' side, judged from the gene
+    pairs = with_sized_relation(pairs, "_b", "_a", mine, n, "seen", "_seen").withColumn("behind", F.col("seen").isin("3O", "3N")).drop("seen", "_seen", "_al", "_ac")
+    pairs = pairs.join(neighbour_strands(sites, genes, reach), "site_id", "left").withColumns({"s5": F.coalesce("s5", F.lit("Other")), "s3": F.coalesce("s3", F.lit("Other"))})
+    over = ~F.col("rel").isin("5N", "3N")
+    lists = F.array_compact(F.array(
+        F.when((F.col("rel") == "5N") | (over & (mine == F.col("s5"))), "5"), F.when((F.col("rel") == "3N") | (over & (mine == F.col("s3"))), "3"),
+        F.when(over & (mine != F.col("s5")) & (mine != F.col("s3")), "E"),
+    ))
+    long = pairs.withColumn("over", over).withColumn("list", F.explode(lists)).drop("s5", "s3", "rel")
     sign = F.when(F.col("list") == "E", -1).otherwise(1)  # overlapping genes stand before the neighbours; by themselves, last first
-    order = [F.when(over, 0).otherwise(1), "distance", F.col("r_start_bound") * sign, F.col("r_end_bound") * sign]
-    w = Window.partitionBy(*site, "list").orderBy(*order)
-    link = spatial_relation((F.col("p.s"), F.col("p.e"), F.lit("Forward")), (F.col("r_start_bound"), F.col("r_end_bound")), F.col("len"))["distance"]
-    long = long.withColumn("p", F.lag(F.struct(F.col("r_start_bound").alias("s"), F.col("r_end_bound").alias("e"))).over(w)).withColumn("pos", F.row_number().over(w)).withColumn("lead_strand", F.first("r_strand").over(w)).withColumn("lead_distance", F.first("distance").over(w))
-    broken = F.when((F.col("lead_distance") > lead) | (F.col("r_strand") != F.col("lead_strand")) | (F.col("p").isNotNull() & (link > gap)), 1).otherwise(0)
-    chains = long.withColumn("broken", broken).withColumn("breaks", F.sum("broken").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("breaks = 0")
-    head = lambda s: F.max(F.when((F.col("list") == s) & (F.col("pos") == 1), F.struct("r_start_bound", "r_end_bound", "r_strand"))).over(by)
-    chains = chains.withColumn("h5", head("5")).withColumn("h3", head("3"))
-    behind = lambda h: F.coalesce(spatial_relation((h["r_start_bound"], h["r_end_bound"], h["r_strand"]), (F.col("start_bound"), F.col("end_bound")), F.col("len"))["rel"].isin("3O", "3N"), F.lit(False))
-    apart = spatial_relation((F.col("h5.r_start_bound"), F.col("h5.r_end_bound"), F.col("h5.r_strand")), (F.col("h3.r_start_bound"), F.col("h3.r_end_bound")), F.col("len"))["distance"]
-    chains = chains.withColumn("end5", behind(F.col("h5"))).withColumn("end3", behind(F.col("h3"))).withColumn("gap_big", F.coalesce(apart > gap, F.lit(True)))
-    drop5 = F.col("end5") & (F.col("h3").isNull() | F.col("gap_big") | F.col("end3"))
-    drop3 = F.col("end3") & (F.col("h5").isNull() | F.col("gap_big") | F.col("end5"))
+    w = Window.partitionBy("site_id", "list").orderBy(F.when(F.col("over"), 0).otherwise(1), "distance", F.col("r_start_bound") * sign, F.col("r_end_bound") * sign)
+    long = long.withColumns({"_pl": F.lag("_bl").over(w), "_pc": F.lag("_bc").over(w), "pos": F.row_number().over(w), "lead_strand": F.first("r_strand").over(w), "lead_distance": F.first("distance").over(w)})
+    link = apart(F.col("_pl"), F.col("_pc"), F.col("_bl"), F.col("_bc"), n) > 2 * gap
+    broken = F.when((F.col("lead_distance") > lead) | (mine != F.col("lead_strand")) | (F.col("_pl").isNotNull() & link), 1).otherwise(0)
+    chains = long.withColumn("breaks", F.sum(broken).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("breaks = 0")
+    by = Window.partitionBy("site_id")
+    head = lambda s: F.max(F.when((F.col("list") == s) & (F.col("pos") == 1), F.struct(F.col("_bl").alias("l"), F.col("_bc").alias("c"), F.col("behind").alias("end")))).over(by)
+    chains = chains.withColumns({"h5": head("5"), "h3": head("3")})
+    end5, end3 = F.coalesce("h5.end", F.lit(False)), F.coalesce("h3.end", F.lit(False))
+    gap_big = F.coalesce(apart(F.col("h5.l"), F.col("h5.c"), F.col("h3.l"), F.col("h3.c"), n) > 2 * gap, F.lit(True))
+    drop5 = end5 & (F.col("h3").isNull() | gap_big | end3)
+    drop3 = end3 & (F.col("h5").isNull() | gap_big | end5)
     kept = chains.where(((F.col("list") == "5") & ~drop5) | ((F.col("list") == "3") & ~drop3) | (F.col("list") == "E"))
-    return kept.select("site_id", "assembly", "replicon", "len", "strand", "start_bound", "end_bound", "r_strand", "r_start_bound", "r_end_bound").dropDuplicates(["site_id", "r_start_bound", "r_end_bound"])
+    return kept.select(*site, "r_strand", "r_start_bound", "r_end_bound").dropDuplicates(["site_id", "r_start_bound", "r_end_bound"])
+
+
+def neighbour_strands(sites: DataFrame, genes: DataFrame, reach: int) -> DataFrame:
+    """(site_id, s5, s3): strands of the nearest gene on each side of a site."""
+    near = nearest_sides(sites, genes, reach)
+    strand = lambda side: F.max(F.when(F.col("side") == side, F.col("r_strand")))  # noqa: E731  one row for a side
+    return near.groupBy("site_id").agg(strand("5N").alias("s5"), strand("3N").alias("s3"))
 
 
 def build_operons(site_genes: DataFrame) -> DataFrame:
@@ -64,20 +109,21 @@ def distinct_operons(operons: DataFrame) -> DataFrame:
 
 def classify_sites(sites: DataFrame, site_genes: DataFrame) -> DataFrame:
     """site_id, site_type, site_class, class_distance and n_genes of every site."""
-    w = Window.partitionBy("site_id").orderBy(_rel("", "r_")["distance"], "r_start_bound", "r_end_bound")
-    near = site_genes.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("site_id", "r_strand", "r_start_bound", "r_end_bound")
+    n, site = F.col("len"), (F.col("start_bound"), F.col("end_bound"))
+    near = with_relation(site_genes, (*site, F.col("strand")), (F.col("r_start_bound"), F.col("r_end_bound")), n)
+    near = near.groupBy("site_id").agg(F.min(F.struct("distance", F.col("r_start_bound"), F.col("r_end_bound"), "r_strand")).alias("g")).select("site_id", "g.r_start_bound", "g.r_end_bound", "g.r_strand")
     x = sites.join(near, "site_id", "left").join(build_operons(site_genes).drop("assembly", "replicon", "len"), "site_id", "left")
-    to_gene, to_operon = _rel("r_", ""), _rel("o_", "")
-    x = x.withColumn("g", to_gene).withColumn("o", to_operon)
+    x = with_relation(x, (F.col("r_start_bound"), F.col("r_end_bound"), F.col("r_strand")), site, n, "g_rel", "g_distance")
+    x = with_relation(x, (F.col("o_start_bound"), F.col("o_end_bound"), F.col("o_strand")), site, n, "o_rel", "o_distance")
     arc = lambda p: F.col(f"{p}start_bound") * 2 + F.pmod(F.col(f"{p}end_bound") - F.col(f"{p}start_bound"), F.col("len"))
     side = orientation(arc("o_"), arc(""), F.col("len"), F.col("o_strand"))
     many = F.when(F.col("n_genes") > 1, "m").otherwise("")
     none = F.col("n_genes").isNull()
-    kind = F.when(none, "Exterior").when(F.col("g.rel").isin("5O", "3O"), "Boundary").when(F.col("g.rel").isin("5N", "3N"), "Exterior").otherwise("Interior")
+    kind = F.when(none, "Exterior").when(F.col("g_rel").isin("5O", "3O"), "Boundary").when(F.col("g_rel").isin("5N", "3N"), "Exterior").otherwise("Interior")
     stranded = F.col("o_strand").isin("Forward", "Reverse")
-    a = F.col("o.rel").isin("5O", "5N") | (~stranded & F.col("g.rel").isin("5O", "5N"))
+    a = F.col("o_rel").isin("5O", "5N") | (~stranded & F.col("g_rel").isin("5O", "5N"))
     label = F.when(none, "D").when(a, "A").when(stranded & (side > 0), F.concat(F.lit("C"), many)).when(stranded, F.concat(F.lit("B"), many)).otherwise("-")
-    distance = F.when(none | ~a, None).when(F.col("o.rel").isin("5O", "5N"), F.col("o.distance")).otherwise(F.col("g.distance"))
+    distance = F.when(none | ~a, None).when(F.col("o_rel").isin("5O", "5N"), F.col("o_distance")).otherwise(F.col("g_distance"))
     return x.select("site_id", "assembly", "replicon", kind.alias("site_type"), label.alias("site_class"), distance.alias("class_distance"), F.coalesce("n_genes", F.lit(0)).cast("long").alias("n_genes"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cirque.functions.features import assoc_code, dedupe_features, keep_coding_features
-from cirque.functions.geometry import feature_length, spatial_relation
+from cirque.functions.geometry import feature_length, with_relation
 
 
 def replicon_types(replicons: DataFrame) -> DataFrame:
@@ -22,9 +22,9 @@ def intergenic_space(features: DataFrame) -> DataFrame:
     """assembly, gap_total, gene_total and len_total; gap_total is null where there is no gap. The gap from last to first is not counted."""
     genes = dedupe_features(keep_coding_features(features, ("Region", "Gene", "Pseudogene")))
     w = Window.partitionBy("assembly", "replicon").orderBy("start_bound", "end_bound")
-    genes = genes.withColumn("p", F.lag(F.struct(F.col("start_bound").alias("s"), F.col("end_bound").alias("e"))).over(w))
-    gap = spatial_relation((F.col("p.s"), F.col("p.e"), F.lit("Forward")), (F.col("start_bound"), F.col("end_bound")), F.col("len"))["distance"]
-    per = genes.groupBy("assembly", "replicon").agg(F.sum(F.when(F.col("p").isNotNull(), gap).otherwise(0)).alias("gaps"), F.sum(feature_length(F.col("start_bound"), F.col("end_bound"), F.col("len"))).alias("genes"), F.max("len").alias("len"))
+    genes = genes.withColumns({"ps": F.lag("start_bound").over(w), "pe": F.lag("end_bound").over(w)})
+    genes = with_relation(genes, (F.col("ps"), F.col("pe"), F.lit("Forward")), (F.col("start_bound"), F.col("end_bound")), F.col("len"), "link", "gap")
+    per = genes.groupBy("assembly", "replicon").agg(F.sum(F.coalesce("gap", F.lit(0))).alias("gaps"), F.sum(feature_length(F.col("start_bound"), F.col("end_bound"), F.col("len"))).alias("genes"), F.max("len").alias("len"))
     total = per.groupBy("assembly").agg(F.sum("gaps").alias("gaps"), F.sum("genes").alias("gene_total"), F.sum("len").alias("len_total"))
     return total.select("assembly", F.when(F.col("gaps") > 0, F.col("gaps")).alias("gap_total"), "gene_total", "len_total")
 
