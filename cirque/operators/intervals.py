@@ -83,14 +83,17 @@ def nearest_sides(sites: DataFrame, features: DataFrame, radius: int) -> DataFra
     whole = Window.partitionBy(*PLACE)
     tail = F.min(F.when(F.col("f").isNotNull(), F.struct((-F.col("_back")).alias("k"), F.col("start_bound").alias("s"), F.col("end_bound").alias("e"), "f"))).over(whole)["f"]
     head = F.min(F.when(F.col("f").isNotNull(), F.struct(F.col("_ahead").alias("k"), F.col("start_bound").alias("s"), F.col("end_bound").alias("e"), "f"))).over(whole)["f"]
-    short = n <= F.coalesce(F.max("_sl").over(whole), F.lit(0)) + F.coalesce(F.max("_fl").over(whole), F.lit(0)) + 2 * radius
-    found = rows.withColumns({"_tail": tail, "_head": head, "_short": short}).withColumn("_prev", so_far(back)).withColumn("_next", so_far(ahead)).where("_is_site")
-    found = found.withColumns({"_prev": F.coalesce("_prev", "_tail"), "_next": F.coalesce("_next", "_head")}).select("site_id", *PLACE, n, "strand", start, end, "_short", "_prev", "_next")
+    longest = lambda df: df.groupBy(*PLACE).agg(F.max(arc_length(start, end, n)).alias("_longest"))
+    widest = longest(sites).unionByName(longest(features)).groupBy(*PLACE).agg(F.sum("_longest").alias("_longest"))
+    short = sites.join(widest, PLACE).where(n <= F.col("_longest") + 2 * radius).select("site_id", *PLACE, n, "strand", start, end)
+    found = rows.withColumns({"_tail": tail, "_head": head, "_widest": F.coalesce(F.max("_sl").over(whole), F.lit(0)) + F.coalesce(F.max("_fl").over(whole), F.lit(0))})
+    found = found.withColumn("_prev", so_far(back)).withColumn("_next", so_far(ahead)).where(F.col("_is_site") & (n > F.col("_widest") + 2 * radius))
+    found = found.withColumns({"_prev": F.coalesce("_prev", "_tail"), "_next": F.coalesce("_next", "_head")})
     turned = F.col("strand") == "Reverse"
     one = lambda f, plain, reverse, gap: F.struct(F.when(turned, reverse).otherwise(plain).alias("side"), F.col(f"{f}.s").alias("r_start_bound"), F.col(f"{f}.e").alias("r_end_bound"), F.col(f"{f}.t").alias("r_strand"), gap.alias("distance"))
     sides = F.explode(F.array(one("_prev", "5N", "3N", F.pmod(start - F.col("_prev.e"), n)), one("_next", "3N", "5N", F.pmod(F.col("_next.s") - end, n))))
-    plain = found.where("not _short").select("site_id", sides.alias("x")).select("site_id", "x.*").where(F.col("distance") <= radius)
-    ranked = relate(found.where("_short").select("site_id", *PLACE, "len", "strand", "start_bound", "end_bound"), features, radius, ["strand"]).where(F.col("rel").isin("5N", "3N"))
+    plain = found.select("site_id", sides.alias("x")).select("site_id", "x.*").where(F.col("distance") <= radius)
+    ranked = relate(short, features, radius, ["strand"]).where(F.col("rel").isin("5N", "3N"))
     w = Window.partitionBy("site_id", "rel").orderBy("distance", "r_start_bound", "r_end_bound")
     ranked = ranked.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("site_id", F.col("rel").alias("side"), "r_start_bound", "r_end_bound", "r_strand", "distance")
     return plain.unionByName(ranked)

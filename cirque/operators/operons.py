@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cirque.functions.features import dedupe_features, keep_coding_features
+from cirque.functions.frames import held
 from cirque.functions.geometry import arc_length, orientation, with_relation, with_sized_relation, with_sizes
 
 from .intervals import nearest_sides, relate
@@ -57,10 +58,11 @@ def predict_operons(sites: DataFrame, features: DataFrame, reach: int = 40_000,
 
     Chains cannot leave the runs of genes near a site, so those and the nearest neighbours are all that is joined.
     """
-    genes = dedupe_features(keep_coding_features(features))
     n, mine = F.col("len"), F.col("r_strand")
     site = ["site_id", "assembly", "replicon", "len", "strand", "start_bound", "end_bound"]
-    pairs = chain_candidates(sites.select(*site), genes, reach, lead, gap)
+    place = ["assembly", "replicon", "len", "start_bound", "end_bound", "strand"]
+    genes, sites = held(dedupe_features(keep_coding_features(features)).select(*place)), held(sites.select(*site))
+    pairs = chain_candidates(sites, genes, reach, lead, gap)
     # whether the site lies on a gene's 3' side, judged from the gene
     pairs = with_sized_relation(pairs, "_b", "_a", mine, n, "seen", "_seen").withColumn("behind", F.col("seen").isin("3O", "3N")).drop("seen", "_seen", "_al", "_ac")
     pairs = pairs.join(neighbour_strands(sites, genes, reach), "site_id", "left").withColumns({"s5": F.coalesce("s5", F.lit("Other")), "s3": F.coalesce("s3", F.lit("Other"))})
@@ -94,12 +96,17 @@ def neighbour_strands(sites: DataFrame, genes: DataFrame, reach: int) -> DataFra
     return near.groupBy("site_id").agg(strand("5N").alias("s5"), strand("3N").alias("s3"))
 
 
+def _operon_of() -> list:
+    """Aggregates of a site's genes that make its operon."""
+    return [
+        F.min("r_start_bound").alias("o_start_bound"), F.max(F.struct("r_start_bound", "r_end_bound"))["r_end_bound"].alias("o_end_bound"),
+        F.when(F.min("r_strand") == F.max("r_strand"), F.min("r_strand")).otherwise("Other").alias("o_strand"), F.count("*").alias("n_genes"),
+    ]
+
+
 def build_operons(site_genes: DataFrame) -> DataFrame:
     """The operon of each site: from the least gene start to the end of the gene that starts last."""
-    return site_genes.groupBy("site_id", "assembly", "replicon", "len").agg(
-        F.min("r_start_bound").alias("o_start_bound"), F.max(F.struct("r_start_bound", "r_end_bound"))["r_end_bound"].alias("o_end_bound"),
-        F.when(F.count_distinct("r_strand") == 1, F.min("r_strand")).otherwise("Other").alias("o_strand"), F.count("*").alias("n_genes"),
-    )
+    return site_genes.groupBy("site_id", "assembly", "replicon", "len").agg(*_operon_of())
 
 
 def distinct_operons(operons: DataFrame) -> DataFrame:
@@ -111,8 +118,9 @@ def classify_sites(sites: DataFrame, site_genes: DataFrame) -> DataFrame:
     """site_id, site_type, site_class, class_distance and n_genes of every site."""
     n, site = F.col("len"), (F.col("start_bound"), F.col("end_bound"))
     near = with_relation(site_genes, (*site, F.col("strand")), (F.col("r_start_bound"), F.col("r_end_bound")), n)
-    near = near.groupBy("site_id").agg(F.min(F.struct("distance", F.col("r_start_bound"), F.col("r_end_bound"), "r_strand")).alias("g")).select("site_id", "g.r_start_bound", "g.r_end_bound", "g.r_strand")
-    x = sites.join(near, "site_id", "left").join(build_operons(site_genes).drop("assembly", "replicon", "len"), "site_id", "left")
+    near = near.groupBy("site_id").agg(F.min(F.struct("distance", "r_start_bound", "r_end_bound", "r_strand")).alias("g"), *_operon_of())
+    near = near.select("site_id", "g.r_start_bound", "g.r_end_bound", "g.r_strand", "o_start_bound", "o_end_bound", "o_strand", "n_genes")
+    x = sites.join(near, "site_id", "left")
     x = with_relation(x, (F.col("r_start_bound"), F.col("r_end_bound"), F.col("r_strand")), site, n, "g_rel", "g_distance")
     x = with_relation(x, (F.col("o_start_bound"), F.col("o_end_bound"), F.col("o_strand")), site, n, "o_rel", "o_distance")
     arc = lambda p: F.col(f"{p}start_bound") * 2 + F.pmod(F.col(f"{p}end_bound") - F.col(f"{p}start_bound"), F.col("len"))

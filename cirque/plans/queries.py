@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cirque.functions import features as P
 from cirque.functions import geometry as G
+from cirque.functions.frames import held
 from cirque.operators import catalog as A
 from cirque.operators import intervals as J
 from cirque.operators import motifs as M
@@ -124,11 +125,11 @@ def _site_genes(spark, d):
 
 
 def _hits(spark, d):
-    return P.orient_hits(view(spark, d, "ad_hits")).join(view(spark, d, "ad_replicons"), "replicon")
+    return J.hits_for_replicons(P.orient_hits(view(spark, d, "ad_hits")), view(spark, d, "ad_replicons"))
 
 
 def _linked(spark, d):
-    return J.link_hits(view(spark, d, "ad_features"), _hits(spark, d))
+    return J.link_hits(held(view(spark, d, "ad_features")), _hits(spark, d))
 
 
 LINKED = f"{with_views('ad_features', 'ad_hits')}, {GENES}, {HITS}, pairs AS ({_pairs('ad_features', 'hits', 0, 'r.assoc_type AS t,')}), linked AS (SELECT f.*, a.assoc FROM ad_features f LEFT JOIN (SELECT assembly, replicon, ord, list_sort(list(DISTINCT t)) AS assoc FROM pairs WHERE rel NOT IN ('5N','3N') GROUP BY ALL) a USING (assembly, replicon, ord))"
@@ -142,7 +143,7 @@ def j5_relate_pairs(spark, d):
 
 @query(f"{with_views('ad_features', 'ad_sites')}, {GENES}, p AS ({_pairs('ad_sites', 'genes', 40000)}), q AS (SELECT *, CASE WHEN rel IN ('5N','3N') THEN rel ELSE 'overlap' END AS side FROM p) SELECT site_id, side, rs AS gene_start, re AS gene_end, distance FROM (SELECT *, row_number() OVER (PARTITION BY site_id, side ORDER BY distance, rs, re) AS k FROM q) WHERE side = 'overlap' OR k = 1")
 def j6_nearest_neighbors(spark, d):
-    got = J.nearest_neighbors(view(spark, d, "ad_sites"), P.dedupe_features(P.keep_coding_features(view(spark, d, "ad_features"))))
+    got = J.nearest_neighbors(held(view(spark, d, "ad_sites")), held(P.dedupe_features(P.keep_coding_features(view(spark, d, "ad_features")))))
     return got.select("site_id", "side", F.col("r_start_bound").alias("gene_start"), F.col("r_end_bound").alias("gene_end"), "distance")
 
 
@@ -270,8 +271,8 @@ CASE WHEN assoc IS NULL THEN '' ELSE '[' || CASE WHEN list_contains(assoc,'CopA'
 
 
 def _summary(spark, d):
-    genes = _site_genes(spark, d)
-    sites, linked = view(spark, d, "ad_sites"), _linked(spark, d)
+    genes, linked = held(_site_genes(spark, d)), held(_linked(spark, d))
+    sites = view(spark, d, "ad_sites")
     operons = O.distinct_operons(O.build_operons(genes))
     return S.genome_summary(view(spark, d, "ad_replicons"), O.classify_sites(sites, genes), operons, O.orphans(linked, operons, sites), linked, S.intergenic_space(view(spark, d, "ad_features")), M.motif_expectation())
 
