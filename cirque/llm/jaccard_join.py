@@ -4,17 +4,16 @@ Rows of the incidence are the distinct sets of word n-grams (equal sets are one
 class are ordered from rare to frequent, by a count sketch over all documents, then by hash. With a similarity of at
 least t two sets share an n-gram among the first ``n - ceil(t n) + 1`` of each, so the product runs over those columns:
 
-1. Each column joins its members to its least member only; the pairs are verified, and links give components. This
-   settles groups of copies in as many pairs as members.
-   A star pair needs a fifth of the smaller prefix in common, which only saves work: step 3 finds what this leaves.
-2. In columns that still hold several components the members are dealt into slots of about two, anew in each round,
-   and members outside the pivot's component meet those in their slot: pairs grow with the members, not their square,
-   and a hot column is spread over its slots.
-3. Columns that even then hold several give the pairs between different components, with accumulated overlap
-   counts; pairs whose sizes or remaining places bound the overlap below what the threshold asks are discarded.
-   Pairs within a component are never made.
-
-Pairs pass a parity signature, in steps 2 and 3 already where a column forms them: each n-gram flips one of 512 bits, so
+1. Each column joins its members to its pivot only: the member whose prefix columns hold most members, so the one that
+   most others were made from. The pairs are verified, and links give components. This settles groups of copies in as
+   many pairs as members. A star pair needs a fifth of the smaller prefix in common, which only saves work.
+2. Columns that still hold several components give the pairs between different components, block by block: the members
+   outside the pivot's component are cut into blocks of about ``FEW``, and each block meets all members of its column.
+   Overlap counts are accumulated over the columns; pairs whose sizes or remaining places bound the overlap below what
+   the threshold asks are discarded. Pairs within a component are never made. No task has more than one block of a
+   column, yet a group in which many sets stay unlinked is compared in its square.
+
+Pairs pass a parity signature, in step 2 already where a column forms them: each n-gram flips one of 512 bits, so
 the bits in which two signatures differ are a lower bound of the n-grams that only one set has. What is left is verified by intersecting whole sets. A class is known by 64 bits made from two sums over its n-grams' hashes and its
 size; n-grams are 64-bit hashes themselves. Odd rows: null, empty and blank texts have no n-grams and link with nothing; a text
 with fewer words than n has its whole sequence as its one n-gram; a null doc_id counts as larger than every number.
@@ -35,8 +34,8 @@ from .components import components
 
 U = np.uint64
 SKETCH = 1 << 16
-#: Rounds of dealing at most; pairs that they leave are found by the last step.
-DEALS = 2
+#: Members of a column outside its pivot's component that meet the others in one task.
+FEW = 512
 SIGNATURE = [f"s{i}" for i in range(8)]
 
 
@@ -160,21 +159,19 @@ def may_link(p: str, q: str, percent: int):
     return apart * (100 + percent) <= (F.col(p + "n") + F.col(q + "n")) * (100 - percent)
 
 
-def check(docs: DataFrame, pairs: DataFrame, class_of: DataFrame, n: int, percent: int, name: str) -> DataFrame:
-    """(x, y, linked) of the pairs (x, y) that their signatures leave."""
-    left = C.written(pairs.select("x", "y"), name + "_pairs")
-    ends = left.select(F.col("x").alias("node")).unionByName(left.select(F.col("y").alias("node"))).distinct()
-    grams = C.written(full_sets(docs, ends.join(class_of.select("node", "doc"), "node"), n), name + "_sets")
-    got = C.written(verified(left, grams, percent), name)
-    return got
+def in_several(rows: DataFrame, percent: int, steps: C.Steps) -> DataFrame:
+    """(h, node, n, i, pivot, pivot_n) of the columns with two members at least; the pivot's columns hold most members on average."""
+    ends = rows.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low <> top").select("h")
+    got = steps(rows.join(ends, "h").groupBy("h", "node").agg(F.max("n").alias("n"), F.min("i").alias("i")), "members")
+    size = got.groupBy("h").agg(F.count("*").alias("size"))
+    score = got.join(size, "h").groupBy("node").agg((F.sum("size") / (F.max("n") - ceil_floor(F.max("n"), percent) + 1)).alias("score"))
+    pivot = got.join(score, "node").groupBy("h").agg(F.max(F.struct("score", -F.col("node"), "node", "n")).alias("p")).select("h", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
+    return got.join(pivot, "h")
 
 
-def in_several(rows: DataFrame) -> DataFrame:
-    """(h, node, n, i, pivot, pivot_n) of the columns with two members at least; pivot is the least."""
-    ends = rows.groupBy("h").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot <> top").select("h", "pivot")
-    got = rows.join(ends, "h").groupBy("h", "node", "pivot").agg(F.max("n").alias("n"), F.min("i").alias("i"))
-    size = got.where("node = pivot").select("h", F.col("n").alias("pivot_n"))
-    return got.join(size, "h")
+def ceil_floor(n, percent: int):
+    """The least whole number of n-grams that is ``percent`` of n."""
+    return F.floor((n * percent + 99) / 100)
 
 
 def several_components(shared: DataFrame, group: DataFrame, sign: DataFrame) -> DataFrame:
@@ -184,65 +181,56 @@ def several_components(shared: DataFrame, group: DataFrame, sign: DataFrame) ->
     return held.join(mixed, "h").join(sign, "node").select("h", "node", "n", "i", "component", "main", *SIGNATURE)
 
 
-def pairs_of(held: DataFrame, by: list[str], percent: int) -> DataFrame:
-    """Members of a column outside the main component with others that share ``by``, in another component and near enough in size and signature."""
-    rest = [c for c in held.columns if c not in (*by, "main")]
-    few = held.where("component <> main").select(*by, *(F.col(c).alias(f"u{c}") for c in rest))
-    every = held.select(*by, "main", *(F.col(c).alias(f"v{c}") for c in rest))
+def pairs_of(held: DataFrame, percent: int) -> DataFrame:
+    """Pairs in different components, near enough in size and signature, of members outside a column's main component with all of it."""
+    rest = [c for c in held.columns if c not in ("h", "main")]
+    few = held.where("component <> main")
+    slots = few.groupBy("h").agg(F.ceil(F.count("*") / FEW).alias("slots"))
+    few = few.join(slots, "h").select("h", F.pmod(F.xxhash64("node"), F.col("slots")).alias("slot"), *(F.col(c).alias(f"u{c}") for c in rest))
+    every = held.join(slots, "h").select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"), "main", *(F.col(c).alias(f"v{c}") for c in rest))
     once = (F.col("vcomponent") == F.col("main")) | (F.col("unode") < F.col("vnode"))
     size_ok = F.least("un", "vn") * 100 >= F.greatest("un", "vn") * percent
-    return few.join(every, by).where((F.col("ucomponent") != F.col("vcomponent")) & once & size_ok & may_link("u", "v", percent))
-
-
-def dealt(held: DataFrame, k: int, percent: int) -> DataFrame:
-    """(x, y) of members that meet in a slot of a column in round ``k``."""
-    slots = held.groupBy("h").agg(F.greatest(F.floor(F.count("*") / 2), F.lit(1)).alias("slots"))
-    rows = held.join(slots, "h").withColumn("slot", F.pmod(F.xxhash64("node", F.lit(k)), F.col("slots"))).drop("slots")
-    return pairs_of(rows, ["h", "slot"], percent).select(F.least("unode", "vnode").alias("x"), F.greatest("unode", "vnode").alias("y")).distinct()
+    return few.join(every, ["h", "slot"]).where((F.col("ucomponent") != F.col("vcomponent")) & once & size_ok & may_link("u", "v", percent))
 
 
 def heads(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(doc, node, n, least, head) of each document: least is the least doc of its component, head the least class with that doc; null without n-grams."""
-    C.prepare(spark)
-    seen = C.written(classes(docs, n), "classes")
-    order = np.zeros(SKETCH, np.int64)
-    for r in seen.where("slot is not null").groupBy("slot").agg(F.sum("seen").alias("seen")).collect():  # SKETCH rows at most
-        order[r["slot"]] = r["seen"]
-    docs_of = seen.where("slot is null").select("doc", "node", "n")
-    class_of = seen.where("slot is null and n > 0").groupBy("node").agg(F.min("doc").alias("doc"), *(F.max(c).alias(c) for c in SIGNATURE))
-    rows = C.written(prefixes(docs, n, percent, order), "prefixes")
-    shared = C.written(in_several(rows), "columns")
-    size_ok = lambda p, q: F.least(p, q) * 100 >= F.greatest(p, q) * percent
-    star = shared.where("node <> pivot").where(size_ok("n", "pivot_n")).groupBy(F.least("pivot", "node").alias("x"), F.greatest("pivot", "node").alias("y")).agg(F.count("*").alias("common"), F.max("pivot_n").alias("xn"), F.max("n").alias("yn"))
-    small = F.least("xn", "yn")
-    star = star.where(F.col("common") * 5 >= small - F.floor((small * percent + 99) / 100) + 1)
-    sign = class_of.select("node", *SIGNATURE)
-    as_side = lambda s: sign.select(*(F.col(c).alias(s if c == "node" else s + c) for c in sign.columns))
-    star = star.join(as_side("x"), "x").join(as_side("y"), "y").where(may_link("x", "y", percent))
-    tried = check(docs, star, class_of, n, percent, "star")
-    links = tried.where("linked").select("x", "y")
-    group = components(links)
-    held = C.written(several_components(shared, group, sign), "mixed")
-    for k in range(DEALS):
-        more = check(docs, dealt(held, k, percent).join(tried.select("x", "y"), ["x", "y"], "left_anti"), class_of, n, percent, f"dealt{k}")
-        tried = tried.unionByName(more)
-        if not more.where("linked").limit(1).count():
-            break
+    with C.Steps(spark) as steps:
+        seen = steps(classes(docs, n), "classes")
+        order = np.zeros(SKETCH, np.int64)
+        for r in seen.where("slot is not null").groupBy("slot").agg(F.sum("seen").alias("seen")).collect():  # SKETCH rows at most
+            order[r["slot"]] = r["seen"]
+        docs_of = seen.where("slot is null").select("doc", "node", "n")
+        class_of = seen.where("slot is null and n > 0").groupBy("node").agg(F.min("doc").alias("doc"), *(F.max(c).alias(c) for c in SIGNATURE))
+        rows = steps(prefixes(docs, n, percent, order), "prefixes")
+        shared = steps(in_several(rows, percent, steps), "columns")
+        steps.drop("prefixes", "members")
+        size_ok = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent
+        star = shared.where("node <> pivot").where(size_ok).groupBy(F.col("pivot").alias("x"), F.col("node").alias("y")).agg(F.count("*").alias("common"), F.max("pivot_n").alias("xn"), F.max("n").alias("yn"))
+        small = F.least("xn", "yn")
+        star = star.where(F.col("common") * 5 >= small - ceil_floor(small, percent) + 1)
+        sign = class_of.select("node", *SIGNATURE)
+        as_side = lambda s: sign.select(*(F.col(c).alias(s if c == "node" else s + c) for c in sign.columns))
+        star = star.join(as_side("x"), "x").join(as_side("y"), "y").where(may_link("x", "y", percent)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        # whole sets of the classes that can be in a pair, once for all steps
+        wanted = shared.select("node").distinct().join(class_of.select("node", "doc"), "node")
+        grams = steps(full_sets(docs, wanted, n), "sets")
+        tried = steps(verified(star, grams, percent), "star")
         links = tried.where("linked").select("x", "y")
-        group = components(links)
-        held = C.written(several_components(shared, group, sign), "mixed")
-    # what is left: pairs between components, first of the members outside the pivot's component
-    cross = pairs_of(held, ["h"], percent)
-    first = F.col("unode") < F.col("vnode")
-    side = lambda c, low: F.when(first == F.lit(low), F.col(f"u{c}")).otherwise(F.col(f"v{c}"))
-    cross = cross.groupBy(F.least("unode", "vnode").alias("x"), F.greatest("unode", "vnode").alias("y")).agg(F.count("*").alias("common"), F.max(side("n", True)).alias("xn"), F.max(side("n", False)).alias("yn"), F.max(side("i", True)).alias("xi"), F.max(side("i", False)).alias("yi"))
-    bound = F.col("common") + F.least(F.col("xn") - 1 - F.col("xi"), F.col("yn") - 1 - F.col("yi"))
-    cross = cross.where(bound * (100 + percent) >= (F.col("xn") + F.col("yn")) * percent).join(tried.select("x", "y"), ["x", "y"], "left_anti")
-    more = check(docs, cross, class_of, n, percent, "cross").where("linked").select("x", "y")
-    group = components(links.unionByName(more))
-    least = class_of.join(group, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
-    of = least.join(least.groupBy("component").agg(F.min(F.struct("doc", "node")).alias("first")), "component").select("node", F.col("first.doc").alias("least"), F.col("first.node").alias("head"))
-    return docs_of.join(of, "node", "left").select("doc", "node", "n", "least", "head")
+        held = steps(several_components(shared, components(links, steps, "star_groups"), sign), "mixed")
+        steps.drop("columns", "star_groups")
+        cross = pairs_of(held, percent)
+        first = F.col("unode") < F.col("vnode")
+        side = lambda c, low: F.when(first == F.lit(low), F.col(f"u{c}")).otherwise(F.col(f"v{c}"))
+        cross = cross.groupBy(F.least("unode", "vnode").alias("x"), F.greatest("unode", "vnode").alias("y")).agg(F.count("*").alias("common"), F.max(side("n", True)).alias("xn"), F.max(side("n", False)).alias("yn"), F.max(side("i", True)).alias("xi"), F.max(side("i", False)).alias("yi"))
+        bound = F.col("common") + F.least(F.col("xn") - 1 - F.col("xi"), F.col("yn") - 1 - F.col("yi"))
+        cross = cross.where(bound * (100 + percent) >= (F.col("xn") + F.col("yn")) * percent).join(tried.select("x", "y"), ["x", "y"], "left_anti")
+        more = steps(verified(cross.select("x", "y"), grams, percent), "cross").where("linked").select("x", "y")
+        steps.drop("mixed", "sets")
+        group = components(links.unionByName(more), steps, "groups")
+        least = class_of.join(group, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
+        of = least.join(least.groupBy("component").agg(F.min(F.struct("doc", "node")).alias("first")), "component").select("node", F.col("first.doc").alias("least"), F.col("first.node").alias("head"))
+        return steps.keep(docs_of.join(of, "node", "left").select("doc", "node", "n", "least", "head"), "heads")
 
 
 def groups(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -267,7 +255,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80
 
     A doc_id tells what becomes of its row where it occurs once; rows that share one, or null, are told apart by class.
     """
-    group = C.written(heads(spark, docs, n, percent), "groups")
+    group = heads(spark, docs, n, percent)
     keyed = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(C.NULL_ID)))
     drop = group.where("n > 0 and doc <> least").select(F.col("doc").alias("_doc")).distinct()
     twice = group.groupBy("doc").count().where("count > 1").select(F.col("doc").alias("_doc"))

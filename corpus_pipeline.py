@@ -3,6 +3,10 @@
 Toxic documents go; of near-duplicate groups (five words, similarity 0.8) the document with the least id stays; byte
 strings of 100 bytes or more that an earlier document has are cut out; documents that hold a benchmark item go; what is
 left is encoded to token ids, decoded again, and returned with digests.
+
+Odd rows: null and empty texts are neither toxic, nor copies, nor contaminated, and stay to the end; rows that share a
+doc_id are judged each by its text; an empty table gives an empty result; other columns pass through unread. Only
+n_chars follows the text where passages are cut.
 """
 
 from __future__ import annotations
@@ -54,7 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), name)
-    return docs
+    """The rows of the last stage; a stage's output is deleted once the next one is written."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
+    with common.Steps(spark) as steps:
+        for name, stage in STAGES[:-1]:
+            docs = steps(stage(spark, docs, sf_dir), name)
+            if before:
+                steps.drop(before)
+            before = name
+        name, stage = STAGES[-1]
+        return steps.keep(stage(spark, docs, sf_dir), name)
