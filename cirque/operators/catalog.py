@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cirque.functions.frames import held
+
 #: Levels that count as complete, sources by prefix, e-value cuts by hit type.
 COMPLETE = ("complete genome", "chromosome")
 SOURCES = {"GCA_": "GenBank", "GCF_": "RefSeq"}
@@ -67,10 +69,98 @@ def unique_assemblies(df: DataFrame) -> DataFrame:
     return ra.select(F.concat(F.lit("GCF_"), "core").alias("dir_name")).unionByName(ga.select(F.concat(F.lit("GCA_"), "core").alias("dir_name"))).unionByName(gu.select(F.concat(F.lit("GCA_"), "core").alias("dir_name"))).distinct()
 
 
-def verify_md5(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """assembly, n_files and good: every listed file that is present has the listed checksum. ``files`` has file_name and content."""
+def assembly_path(root: str, name: Column) -> Column:
+    """root/source/name; a name without a known prefix is an error."""
+    return F.concat_ws("/", F.lit(root), split_assembly_prefix(name)[0], name)
+
+
+def source_differences(df: DataFrame) -> DataFrame:
+    """(kind, only_in, core): core names that one source has and the other lacks, for all, annotated and unannotated assemblies.
+
+    Unannotated names are compared with all names of the other source.
+    """
+    source, core = split_assembly_prefix(F.col("dir_name"))
+    has = lambda s, a: F.bool_or((F.col("s") == s) & a)
+    all_, yes = F.lit(True), F.col("annotated")
+    x = df.select(source.alias("s"), core.alias("core"), "annotated").groupBy("core").agg(*(has(s, a).alias(f"{k}{t}") for s, k in (("RefSeq", "r"), ("GenBank", "g")) for t, a in (("", all_), ("a", yes), ("u", ~yes))))
+    row = lambda kind, only, mine, other: F.when(F.col(mine) & ~F.col(other), F.struct(F.lit(kind).alias("kind"), F.lit(only).alias("only_in")))
+    rows = [row("all", "RefSeq", "r", "g"), row("all", "GenBank", "g", "r"), row("annotated", "RefSeq", "ra", "ga"), row("annotated", "GenBank", "ga", "ra"), row("unannotated", "RefSeq", "ru", "g"), row("unannotated", "GenBank", "gu", "r")]
+    return x.select("core", F.explode(F.array_compact(F.array(*rows))).alias("x")).select("x.kind", "x.only_in", "core")
+
+
+def missing_assemblies(listed: DataFrame, present: DataFrame) -> DataFrame:
+    """Rows of ``listed`` whose dir_name is not ``present``."""
+    return listed.join(present.select("dir_name"), "dir_name", "left_anti")
+
+
+def unmatched_assemblies(genomes: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Names of ``genomes`` (dir_name) that the catalog does not list, each once."""
+    return genomes.select("dir_name").join(catalog.select("dir_name"), "dir_name", "left_anti").distinct()
+
+
+def attach_metadata(genomes: DataFrame, assemblies: DataFrame, columns: list[str]) -> DataFrame:
+    """``genomes`` (assembly) with ``columns`` of their catalog entry (subdir_name); a genome that the catalog lacks is an error."""
+    entry = assemblies.select(F.col("subdir_name").alias("assembly"), F.lit(True).alias("_listed"), *columns)
+    listed = F.when(F.col("_listed").isNull(), F.raise_error(F.concat(F.lit("not in the catalog: "), F.coalesce("assembly", F.lit("null"))))).otherwise(F.col("assembly"))
+    return genomes.join(entry, "assembly", "left").withColumn("assembly", listed).drop("_listed")
+
+
+def catalog_counts(catalog: DataFrame) -> DataFrame:
+    """listed, links, downloaded and missing entries of ``catalog`` (ftp_location, present)."""
+    return catalog.agg(F.count("*").alias("listed"), F.count_distinct("ftp_location").alias("links"), F.count_if("present").alias("downloaded"), F.count_if(~F.col("present")).alias("missing"))
+
+
+def first_assemblies(catalog: DataFrame, n: int = 314, order: str = "ord") -> DataFrame:
+    """The first ``n`` entries in file order."""
+    return catalog.orderBy(order).limit(n)
+
+
+def annotated_assemblies(files: DataFrame) -> DataFrame:
+    """(assembly, annotated, feature_table): whether a directory holds both annotation and sequence, and the feature table, by their names."""
+    named = lambda suffix: F.bool_or(F.col("file_name") == F.concat(F.col("assembly"), F.lit(suffix)))
+    return files.groupBy("assembly").agg((named("_genomic.gff.gz") & named("_genomic.fna.gz")).alias("annotated"), named("_feature_table.txt.gz").alias("feature_table"))
+
+
+def with_annotation(catalog: DataFrame, files: DataFrame) -> DataFrame:
+    """``catalog`` (dir_name) with has_annotation, yes or no, by the feature table in its directory."""
+    found = annotated_assemblies(files).select(F.col("assembly").alias("dir_name"), "feature_table")
+    return catalog.join(found, "dir_name", "left").withColumn("has_annotation", F.when(F.coalesce("feature_table", F.lit(False)), "yes").otherwise("no")).drop("feature_table")
+
+
+def corpus_bytes(files: DataFrame) -> DataFrame:
+    """Bytes and number of ``files`` (length)."""
+    return files.agg(F.sum("length").alias("total_bytes"), F.count("*").alias("n"))
+
+
+def verify_md5(manifest: DataFrame, files: DataFrame, assemblies: DataFrame | None = None) -> DataFrame:
+    """assembly, n_files and good: every listed file that is present has the listed checksum. ``files`` has file_name and content.
+
+    With ``assemblies`` each of them has a row: without a manifest it is bad, with one and no listed file present it is
+    good. Otherwise only assemblies with a listed file that is present have one.
+    """
     got = manifest.join(files.select("assembly", "file_name", F.md5("content").alias("md5")), ["assembly", "file_name"])
-    return got.groupBy("assembly").agg(F.count("*").alias("n_files"), F.bool_and(F.col("md5") == F.col("expected_md5")).alias("good"))
+    got = got.groupBy("assembly").agg(F.count("*").alias("n_files"), F.bool_and(F.col("md5") == F.col("expected_md5")).alias("good"))
+    if assemblies is None:
+        return got
+    has = manifest.select("assembly", F.lit(True).alias("has")).distinct()
+    x = assemblies.select("assembly").distinct().join(has, "assembly", "left").join(got, "assembly", "left")
+    return x.select("assembly", F.coalesce("n_files", F.lit(0)).alias("n_files"), (F.coalesce("has", F.lit(False)) & F.coalesce("good", F.lit(True))).alias("good"))
+
+
+def md5_report(verified: DataFrame) -> DataFrame:
+    """(good, assembly, n_assemblies): each bad assembly by name, and one row without name for each of good and bad with their numbers."""
+    counts = verified.groupBy("good").agg(F.count("*").alias("n_assemblies")).select("good", F.lit(None).cast("string").alias("assembly"), "n_assemblies")
+    return counts.unionByName(verified.where("not good").select("good", "assembly", F.lit(1).cast("long").alias("n_assemblies")))
+
+
+def hits_by_replicon(hits: DataFrame) -> DataFrame:
+    """Hits and different queries for each replicon and hit type."""
+    return hits.groupBy("replicon", "assoc_type").agg(F.count("*").alias("n_hits"), F.count_distinct("qseqid").alias("n_queries"))
+
+
+def distinct_replicons(hits: DataFrame) -> DataFrame:
+    """Different replicons for each hit type."""
+    return hits.groupBy("assoc_type").agg(F.count_distinct("replicon").alias("n_replicons"))
 
 
 def filter_hits(hits: DataFrame, evalues: dict[str, float] = EVALUES) -> DataFrame:
@@ -87,17 +177,25 @@ def top_targets_per_query(hits: DataFrame, k: int = 25_000) -> DataFrame:
     return hits.join(best.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select("qseqid", "replicon"), ["qseqid", "replicon"], "left_semi")
 
 
-def lineage(ids: DataFrame, nodes: DataFrame, depth: int = 64) -> DataFrame:
-    """(tax_id, node, up): each id with itself and its ancestors, by a loop of joins over the ids not yet at a root."""
+def lineage(ids: DataFrame, nodes: DataFrame, depth: int = 1000) -> DataFrame:
+    """(tax_id, node, up): each id with itself and its ancestors, by a loop of joins over the ids not yet at a root.
+
+    Goes on until every id has reached its root; more than ``depth`` steps mean a cycle, which is an error.
+    """
     nodes = nodes.select(F.col("tax_id").alias("node"), "parent_id")
     at = ids.select("tax_id", F.col("tax_id").alias("node"), F.lit(0).alias("up"))
     out = at
     for up in range(1, depth + 1):
-        at = at.join(nodes, "node").where("parent_id <> node").select("tax_id", F.col("parent_id").alias("node"), F.lit(up).alias("up"))
+        at = held(at.join(nodes, "node").where("parent_id <> node").select("tax_id", F.col("parent_id").alias("node"), F.lit(up).alias("up")))
         if not at.limit(1).count():
-            break
+            return out
         out = out.unionByName(at)
-    return out
+    raise ValueError(f"a lineage has more than {depth} steps")
+
+
+def species_of(ids: DataFrame, species: DataFrame) -> DataFrame:
+    """``ids`` (tax_id) with species_id; an id without an entry has none."""
+    return ids.join(species.select("tax_id", "species_id"), "tax_id", "left")
 
 
 def lineage_name(ids: DataFrame, nodes: DataFrame, skip: int = 2) -> DataFrame:

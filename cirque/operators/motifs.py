@@ -52,10 +52,11 @@ def scan_motif(sequences: DataFrame, motif: str = MOTIF, tile: int = TILE) -> Da
     """
     k = len(motif)
     n = F.length("seq")
-    tiles = sequences.where(n >= k).select("replicon", n.cast("long").alias("len"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / tile).cast("int"))).alias("t"), "seq")
-    start = F.col("t") * tile
-    text = F.concat("seq", F.substring("seq", 1, k - 1)) if k > 1 else F.col("seq")
-    cut = tiles.select("replicon", "len", start.cast("long").alias("start"), text.substr(start + 1, F.least(F.lit(tile), F.col("len") - start).cast("int") + k - 1).alias("part"))
+    starts = F.sequence(F.lit(0), F.floor((n - 1) / tile).cast("int"))
+    # the parts are cut before they are exploded, so that no row holds a whole sequence beside its part
+    part = lambda t: F.struct((t * tile).cast("long").alias("start"), F.concat(F.substring("seq", t * tile + 1, F.lit(tile + k - 1)), F.when((t + 1) * tile + k - 1 > n, F.substring("seq", F.lit(1), F.least((t + 1) * tile, n) + k - 1 - n)).otherwise("")).alias("part"))
+    tiles = sequences.where(n >= k).select("replicon", n.cast("long").alias("len"), F.explode(F.transform(starts, part)).alias("x"))
+    cut = tiles.select("replicon", "len", "x.start", "x.part")
     fwd, rev = _masks(motif)
     code = np.zeros(256, np.uint8)
     for i, c in enumerate(b"ACGT"):
@@ -88,8 +89,8 @@ def words_of(sequences: DataFrame, k: int = len(MOTIF), tile: int = TILE) -> Dat
     Sequences are cut into tiles that overlap by k - 1, and words that a task meets again soon are given out once.
     """
     n = F.length("seq")
-    tiles = sequences.where(n >= k).select("seq", F.explode(F.sequence(F.lit(0), F.floor((n - k) / tile).cast("int"))).alias("t"))
-    cut = tiles.select(F.col("seq").substr(F.col("t") * tile + 1, F.lit(tile + k - 1)).alias("part"))
+    starts = F.sequence(F.lit(0), F.floor((n - k) / tile).cast("int"))
+    cut = sequences.where(n >= k).select(F.explode(F.transform(starts, lambda t: F.substring("seq", t * tile + 1, F.lit(tile + k - 1)))).alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: set[str] = set()
@@ -112,3 +113,8 @@ def dedupe_sites(sites: DataFrame) -> DataFrame:
     """One row for each place; the forward strand is preferred."""
     w = Window.partitionBy("replicon", "start_bound", "end_bound").orderBy(F.when(F.col("strand") == "Forward", 0).otherwise(1))
     return sites.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def sort_sites(sites: DataFrame) -> DataFrame:
+    """Sites in the order in which reports list them."""
+    return sites.orderBy("replicon", "start_bound", "end_bound", "strand")

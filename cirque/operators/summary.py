@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cirque.functions.features import assoc_code, dedupe_features, keep_coding_features
+from cirque.functions.features import assoc_code, class_label, dedupe_features, feature_name, feature_product, keep_coding_features
 from cirque.functions.geometry import feature_length, with_relation
 
+from .catalog import attach_metadata
+
 
 def replicon_types(replicons: DataFrame) -> DataFrame:
     longest = F.max("len").over(Window.partitionBy("assembly"))
@@ -53,3 +55,39 @@ def genome_summary(replicons: DataFrame, classified: DataFrame, distinct: DataFr
 
 def density_by_association(summary: DataFrame, letter: str = "Y") -> DataFrame:
     return summary.where("total_len > 0").groupBy(F.contains("code", F.lit(letter)).alias("has_type")).agg(F.avg("actual_per_mbp").alias("mean_density"), F.count_distinct("assembly").alias("n_genomes"))
+
+
+#: Columns of the catalog that a genome's report begins with.
+METADATA = ["assembly_accession", "species_tax_id", "tax_id", "organism_name", "infraspecific_name"]
+
+
+def genome_report(summary: DataFrame, assemblies: DataFrame) -> DataFrame:
+    """The genome summary with its catalog entry: twenty columns beside the assembly's name."""
+    full = attach_metadata(summary, assemblies, METADATA)
+    return full.select("assembly", *METADATA, *(c for c in summary.columns if c != "assembly"))
+
+
+def species_with_type(report: DataFrame, letter: str = "Y") -> DataFrame:
+    """(species_tax_id): the different species of genomes that have the hit type and are not empty."""
+    return report.where((F.col("total_len") > 0) & F.contains("code", F.lit(letter))).select("species_tax_id").distinct()
+
+
+def site_table(sites: DataFrame, classified: DataFrame, types: DataFrame, assoc: DataFrame) -> DataFrame:
+    """The report of sites (site_id, seq, dimension and place): ten columns and site_id."""
+    c = classified.select("site_id", "site_type", class_label(F.col("site_class"), F.col("class_distance")).alias("class_label"), "n_genes")
+    x = sites.join(c, "site_id").join(types.select("assembly", "replicon", "replicon_type"), ["assembly", "replicon"], "left").join(assoc.select("site_id", "assoc"), "site_id", "left")
+    return x.select("seq", "replicon", "replicon_type", (F.col("start_bound") + 1).alias("start_ordinal"), "strand", "n_genes", "site_type", "class_label", "dimension", assoc_code(F.col("assoc")).alias("code"), "site_id")
+
+
+def operon_table(distinct: DataFrame, regulators: DataFrame, types: DataFrame) -> DataFrame:
+    """The report of distinct operons: replicon, replicon_type, start_ordinal, strand, n_operators, n_genes; ``regulators`` are pairs of operon and site."""
+    key = ["assembly", "replicon", "strand", "start_bound", "end_bound"]
+    x = distinct.select("assembly", "replicon", F.col("o_strand").alias("strand"), F.col("o_start_bound").alias("start_bound"), F.col("o_end_bound").alias("end_bound"), "n_genes")
+    x = x.join(regulators.groupBy(*key).agg(F.count("*").alias("n_operators")), key, "left").join(types.select("assembly", "replicon", "replicon_type"), ["assembly", "replicon"], "left")
+    return x.select("replicon", "replicon_type", (F.col("start_bound") + 1).alias("start_ordinal"), "strand", F.coalesce("n_operators", F.lit(0)).alias("n_operators"), "n_genes")
+
+
+def orphan_table(orphan: DataFrame) -> DataFrame:
+    """The report of orphans (attributes and place): name, product, replicon, start_ordinal, end_ordinal."""
+    a = F.col("attributes")
+    return orphan.select(feature_name(a).alias("name"), feature_product(a).alias("product"), "replicon", (F.col("start_bound") + 1).alias("start_ordinal"), F.col("end_bound").alias("end_ordinal"))

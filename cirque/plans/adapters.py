@@ -36,7 +36,7 @@ SELECT event_id AS hit_id, replicon, CASE WHEN fwd THEN lo ELSE hi END AS sstart
  SELECT e.event_id, r.replicon, e.event_id%2=0 AS fwd, e.event_id%3+1 AS f, 100+e.event_id%300 AS mlen, (e.event_id*104729)%r.len+1 AS lo,
  (e.event_id*104729)%r.len+3*(100+e.event_id%300) AS hi, CAST(20+e.event_id%80 AS DOUBLE) AS pident, e.value*1e-13 AS evalue, 'q'||CAST(e.user_id%7 AS VARCHAR(9)) AS qseqid,
  CASE e.event_type WHEN 'click' THEN 'CopA' WHEN 'purchase' THEN 'CupA' WHEN 'view' THEN 'CopY' ELSE 'CopZ' END AS assoc_type
- FROM events e CROSS JOIN (SELECT count(*) AS k FROM supplier) c JOIN ad_replicons r ON r.replicon='s'||CAST((e.user_id*3+1)%c.k AS VARCHAR(9)) WHERE e.event_type<>'signup') h
+ FROM events e CROSS JOIN (SELECT count(*) AS k FROM supplier) c JOIN ad_replicons r ON r.replicon='s'||CAST((e.user_id*3+1)%c.k AS VARCHAR(9))) h
 """,
     "ad_catalog": """
 SELECT CASE WHEN o_orderkey%2=0 THEN 'GCF_' ELSE 'GCA_' END||'C'||CAST(o_custkey AS VARCHAR(9)) AS dir_name,
@@ -47,6 +47,19 @@ SELECT CASE WHEN o_orderkey%2=0 THEN 'GCF_' ELSE 'GCA_' END||'C'||CAST(o_custkey
 SELECT CAST(1 AS BIGINT) AS tax_id, CAST(1 AS BIGINT) AS parent_id, 'root' AS name UNION ALL SELECT 2,1,'cellular organisms'
  UNION ALL SELECT 10+CAST(r_regionkey AS BIGINT),2,r_name FROM region UNION ALL SELECT 100+CAST(n_nationkey AS BIGINT),10+CAST(n_regionkey AS BIGINT),n_name FROM nation
  UNION ALL SELECT 1000+s_suppkey,100+CAST(s_nationkey AS BIGINT),s_name FROM supplier
+""",
+    "ad_assemblies": """
+SELECT 'g'||CAST(n_nationkey AS VARCHAR(9)) AS subdir_name, 'GCA_'||CAST(n_nationkey AS VARCHAR(9)) AS assembly_accession, CAST(10+n_regionkey AS VARCHAR(9)) AS species_tax_id, CAST(100+n_nationkey AS VARCHAR(9)) AS tax_id,
+ n_name AS organism_name, 'strain='||CAST(n_regionkey AS VARCHAR(9)) AS infraspecific_name FROM nation
+""",
+    "ad_files": """
+SELECT assembly, file_name, length FROM (
+ SELECT CASE WHEN o_orderkey%2=0 THEN 'GCF_' ELSE 'GCA_' END||'D'||CAST(o_orderkey AS VARCHAR(9)) AS assembly, CASE WHEN o_orderkey%2=0 THEN 'GCF_' ELSE 'GCA_' END||'D'||CAST(o_orderkey AS VARCHAR(9))||'_genomic.fna.gz' AS file_name, CAST(o_totalprice AS BIGINT) AS length FROM orders WHERE o_orderkey%3<>0
+ UNION ALL SELECT CASE WHEN o_orderkey%2=0 THEN 'GCF_' ELSE 'GCA_' END||'D'||CAST(o_orderkey AS VARCHAR(9)), CASE WHEN o_orderkey%2=0 THEN 'GCF_' ELSE 'GCA_' END||'D'||CAST(o_orderkey AS VARCHAR(9))||'_genomic.gff.gz', CAST(o_custkey AS BIGINT) FROM orders WHERE substr(o_orderpriority,1,1) IN ('1','2')
+ UNION ALL SELECT CASE WHEN o_orderkey%2=0 THEN 'GCF_' ELSE 'GCA_' END||'D'||CAST(o_orderkey AS VARCHAR(9)), CASE WHEN o_orderkey%2=0 THEN 'GCF_' ELSE 'GCA_' END||'D'||CAST(o_orderkey AS VARCHAR(9))||'_feature_table.txt.gz', CAST(1 AS BIGINT) FROM orders WHERE o_orderkey%5=0) f
+""",
+    "ad_tax_species": """
+SELECT CAST(1000+s_suppkey AS BIGINT) AS tax_id, CAST(100+s_nationkey AS BIGINT) AS species_id FROM supplier
 """,
     "ad_manifest": """
 SELECT 'a'||CAST(doc_id%40 AS VARCHAR(9)) AS assembly, 'doc_'||CAST(doc_id AS VARCHAR(9)) AS file_name, CASE WHEN doc_id%113=0 THEN md5(text||'x') ELSE md5(text) END AS expected_md5 FROM documents
@@ -56,6 +69,7 @@ SELECT 'a'||CAST(doc_id%40 AS VARCHAR(9)) AS assembly, 'doc_'||CAST(doc_id AS VA
 NEEDS = {
     "ad_base": (), "ad_tiles": ("ad_base",), "ad_replicons": ("ad_tiles",), "ad_features": ("ad_tiles", "ad_replicons"), "ad_sites": ("ad_replicons",),
     "ad_hits": ("ad_replicons",), "ad_catalog": (), "ad_tax_nodes": (), "ad_manifest": (), "ad_sequences": (),
+    "ad_assemblies": (), "ad_files": (), "ad_tax_species": (),
 }
 
 LETTERS = "translate({}, 'abcdefghijklmnopqrstuvwxyz','ACGTACGTACGTACGTACGTACGTAC')"

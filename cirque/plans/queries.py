@@ -209,20 +209,16 @@ def m3_scan_motif(spark, d):
     return M.dedupe_sites(M.mark_palindromes(M.scan_motif(s))).select("replicon", "strand", "start_bound", "end_bound", "seq", "dimension")
 
 
-@query(f"{with_views('ad_sequences')}, w AS (SELECT DISTINCT substr(seq, 1, 16) AS word FROM ad_sequences WHERE length(seq) >= 16) SELECT word, translate(reverse(word),'ACGTURY','TGCAAYR') AS reverse_complement, regexp_full_match(word, '[AG][ACGT][CT][GT]ACA[ACGT][ACGT][CT]GT[AC][AG][ACGT][CT]') AS in_motif FROM w")
+@query(f"{with_views('ad_sequences')}, w AS (SELECT DISTINCT substr(seq, CAST(i+1 AS INT), 16) AS word FROM (SELECT seq, unnest(range(CAST(length(seq) - 15 AS BIGINT))) AS i FROM ad_sequences WHERE length(seq) >= 16)) SELECT word, translate(reverse(word),'ACGTURY','TGCAAYR') AS reverse_complement, regexp_full_match(word, '[AG][ACGT][CT][GT]ACA[ACGT][ACGT][CT]GT[AC][AG][ACGT][CT]') AS in_motif FROM w")
 def m1_expand_motif(spark, d):
-    w = view(spark, d, "ad_sequences").where(F.length("seq") >= 16).select(F.substring("seq", 1, 16).alias("word")).distinct()
-    words = M.expand_motif(spark).select("word", F.lit(True).alias("hit"))
-    return w.join(words, "word", "left").select("word", P.reverse_complement(F.col("word")).alias("reverse_complement"), F.coalesce("hit", F.lit(False)).alias("in_motif"))
-
-
-def m1_sequence_words(spark, d):
     w = M.words_of(view(spark, d, "ad_sequences").select("seq"))
     words = M.expand_motif(spark).select("word", F.lit(True).alias("hit"))
     return w.join(words, "word", "left").select("word", P.reverse_complement(F.col("word")).alias("reverse_complement"), F.coalesce("hit", F.lit(False)).alias("in_motif"))
 
 
-QUERIES["m1_sequence_words"] = m1_sequence_words  # no SQL: that of m1_expand_motif has the first window only
+@query(SQL["m1_expand_motif"])
+def m1_sequence_words(spark, d):
+    return m1_expand_motif(spark, d)
 
 
 GAP = _rel("ps", "pe", "'Forward'", "start_bound", "end_bound")[1]
@@ -241,12 +237,12 @@ def a4_replicon_types(spark, d):
 
 @query(f"{with_views('ad_hits')}, {HITS} SELECT replicon, assoc_type, CAST(count(*) AS BIGINT) AS n_hits, CAST(count(DISTINCT qseqid) AS BIGINT) AS n_queries FROM hits GROUP BY 1,2")
 def a1_hits_by_replicon(spark, d):
-    return _hits(spark, d).groupBy("replicon", "assoc_type").agg(F.count("*").alias("n_hits"), F.count_distinct("qseqid").alias("n_queries"))
+    return A.hits_by_replicon(_hits(spark, d))
 
 
 @query(f"{with_views('ad_hits')} SELECT assoc_type, CAST(count(DISTINCT replicon) AS BIGINT) AS n_replicons FROM ad_hits GROUP BY 1")
 def a2_distinct_replicons(spark, d):
-    return view(spark, d, "ad_hits").groupBy("assoc_type").agg(F.count_distinct("replicon").alias("n_replicons"))
+    return A.distinct_replicons(view(spark, d, "ad_hits"))
 
 
 @query(f"{LINKED} SELECT assembly, array_to_string(list_sort(list(DISTINCT t)), ',') AS assoc FROM (SELECT assembly, unnest(assoc) AS t FROM linked) GROUP BY 1")
@@ -316,12 +312,12 @@ def p19_split_prefix(spark, d):
 @query(f"{CATALOG} SELECT dir_name FROM cat WHERE NOT present")
 def j9_missing_assemblies(spark, d):
     c = _catalog(spark, d)
-    return c.select("dir_name").join(c.where("present").select("dir_name"), "dir_name", "left_anti")
+    return A.missing_assemblies(c, c.where("present")).select("dir_name")
 
 
 @query(f"{CATALOG} SELECT CAST(count(*) AS BIGINT) AS listed, CAST(count(DISTINCT ftp_location) AS BIGINT) AS links, CAST(count(*) FILTER (present) AS BIGINT) AS downloaded, CAST(count(*) FILTER (NOT present) AS BIGINT) AS missing FROM cat")
 def a9_catalog_counts(spark, d):
-    return _catalog(spark, d).agg(F.count("*").alias("listed"), F.count_distinct("ftp_location").alias("links"), F.count_if("present").alias("downloaded"), F.count_if(~F.col("present")).alias("missing"))
+    return A.catalog_counts(_catalog(spark, d))
 
 
 _SETS = {
@@ -376,7 +372,7 @@ def t3_top_targets(spark, d):
 
 @query(f"{with_views('ad_sequences')} SELECT CAST(sum(length(seq)) AS BIGINT) AS total_bytes, CAST(count(*) AS BIGINT) AS n FROM ad_sequences")
 def a14_corpus_bytes(spark, d):
-    return view(spark, d, "ad_sequences").agg(F.sum(F.length("seq")).alias("total_bytes"), F.count("*").alias("n"))
+    return A.corpus_bytes(view(spark, d, "ad_sequences").select(F.length("seq").alias("length")))
 
 
 @query(f"{with_views('ad_sites')} SELECT site_id, CASE WHEN 16+400 >= len THEN start_bound ELSE {_mod('start_bound-200', 'len')} END AS bubble_start, CASE WHEN 16+400 >= len THEN end_bound ELSE end_bound+200 END AS bubble_end, {_len('start_bound', 'end_bound')} AS arc FROM ad_sites")
@@ -389,3 +385,129 @@ def p9_search_bubble(spark, d):
 def o6_site_table(spark, d):
     c = o4_classify_sites(spark, d).select("site_id", "site_type", P.class_label(F.col("site_class"), F.col("class_distance")).alias("class_label"), "n_genes")
     return view(spark, d, "ad_sites").join(c, "site_id").select("replicon", (F.col("start_bound") + 1).alias("start_ordinal"), "strand", "n_genes", "site_type", "class_label", "site_id")
+
+
+# ---- catalog entries, reports and sets ----------------------------------------------------------
+
+
+@query(f"{with_views('ad_replicons', 'ad_assemblies')} SELECT r.assembly, r.replicon, a.assembly_accession, a.tax_id, a.species_tax_id, a.organism_name, a.infraspecific_name FROM ad_replicons r JOIN ad_assemblies a ON a.subdir_name = r.assembly")
+def j1_attach_metadata(spark, d):
+    return A.attach_metadata(view(spark, d, "ad_replicons").select("assembly", "replicon"), view(spark, d, "ad_assemblies"), S.METADATA)
+
+
+@query(f"{with_views('ad_hits')}, {HITS} SELECT hit_id, assembly, replicon, len, strand, start_bound, end_bound FROM hits")
+def j2_hits_for_replicons(spark, d):
+    return _hits(spark, d).select("hit_id", "assembly", "replicon", "len", "strand", "start_bound", "end_bound")
+
+
+BUBBLE = _rel("bs", "be", "strand", "start_bound", "end_bound")[0]
+
+
+@query(f"{with_views('ad_sites', 'ad_features')}, {GENES}, b AS (SELECT assembly, replicon, len, strand, site_id, CASE WHEN 16+400 >= len THEN start_bound ELSE {_mod('start_bound-200', 'len')} END AS bs, CASE WHEN 16+400 >= len THEN end_bound ELSE end_bound+200 END AS be FROM ad_sites), p AS (SELECT b.site_id, b.len, b.strand, b.bs, b.be, g.ord, g.start_bound, g.end_bound FROM b JOIN genes g ON g.assembly = b.assembly AND g.replicon = b.replicon) SELECT * FROM (SELECT site_id, ord, {BUBBLE} AS rel FROM p) WHERE rel NOT IN ('5N','3N')")
+def j4_bubble(spark, d):
+    got = J.within_radius(view(spark, d, "ad_sites"), P.dedupe_features(P.keep_coding_features(view(spark, d, "ad_features"))), 200, ["ord"])
+    return got.select("site_id", F.col("r_ord").alias("ord"), "rel")
+
+
+@query(f"{CATALOG}, {with_views('ad_files').removeprefix('WITH ')} SELECT DISTINCT assembly AS dir_name FROM ad_files WHERE replace(assembly, 'D', 'C') NOT IN (SELECT dir_name FROM cat WHERE lower(assembly_level) IN ('complete genome','chromosome'))")
+def j10_unmatched_assemblies(spark, d):
+    listed = A.complete_assemblies(_catalog(spark, d), need_link=False).select(F.translate("dir_name", "C", "D").alias("k"), "dir_name")
+    listed = listed.select(F.concat(F.substring("dir_name", 1, 4), F.lit("D"), F.substring("dir_name", 6, 9)).alias("dir_name"))
+    return A.unmatched_assemblies(view(spark, d, "ad_files").select(F.col("assembly").alias("dir_name")), listed)
+
+
+@query(f"{with_views('ad_tax_nodes', 'ad_tax_species')} SELECT n.tax_id, s.species_id FROM ad_tax_nodes n LEFT JOIN ad_tax_species s USING (tax_id)")
+def j14_species_of(spark, d):
+    return A.species_of(view(spark, d, "ad_tax_nodes").select("tax_id"), view(spark, d, "ad_tax_species"))
+
+
+@query(f"{with_views('ad_files')} SELECT assembly, bool_or(file_name = assembly || '_genomic.gff.gz') AND bool_or(file_name = assembly || '_genomic.fna.gz') AS annotated, bool_or(file_name = assembly || '_feature_table.txt.gz') AS feature_table FROM ad_files GROUP BY 1")
+def a11_annotated_assemblies(spark, d):
+    return A.annotated_assemblies(view(spark, d, "ad_files"))
+
+
+@query(f"{with_views('ad_files')}, a AS (SELECT assembly AS dir_name, bool_or(file_name = assembly || '_genomic.gff.gz') AND bool_or(file_name = assembly || '_genomic.fna.gz') AS annotated FROM ad_files GROUP BY 1), c AS (SELECT substr(dir_name,5) AS core, bool_or(dir_name LIKE 'GCF%') AS r, bool_or(dir_name LIKE 'GCA%') AS g, bool_or(dir_name LIKE 'GCF%' AND annotated) AS ra, bool_or(dir_name LIKE 'GCA%' AND annotated) AS ga, bool_or(dir_name LIKE 'GCF%' AND NOT annotated) AS ru, bool_or(dir_name LIKE 'GCA%' AND NOT annotated) AS gu FROM a GROUP BY 1) SELECT {', '.join(f'CAST(count(*) FILTER ({v}) AS BIGINT) AS {k}' for k, v in _SETS.items())} FROM c")
+def a10_from_files(spark, d):
+    return A.source_comparison(A.annotated_assemblies(view(spark, d, "ad_files")).withColumnRenamed("assembly", "dir_name"))
+
+
+DIFFERENCES = (("all", "RefSeq", "r AND NOT g"), ("all", "GenBank", "g AND NOT r"), ("annotated", "RefSeq", "ra AND NOT ga"), ("annotated", "GenBank", "ga AND NOT ra"), ("unannotated", "RefSeq", "ru AND NOT g"), ("unannotated", "GenBank", "gu AND NOT r"))
+
+
+@query(f"{CATALOG}, c AS (SELECT substr(dir_name,5) AS core, bool_or(dir_name LIKE 'GCF%') AS r, bool_or(dir_name LIKE 'GCA%') AS g, bool_or(dir_name LIKE 'GCF%' AND annotated) AS ra, bool_or(dir_name LIKE 'GCA%' AND annotated) AS ga, bool_or(dir_name LIKE 'GCF%' AND NOT annotated) AS ru, bool_or(dir_name LIKE 'GCA%' AND NOT annotated) AS gu FROM cat GROUP BY 1) " + " UNION ALL ".join(f"SELECT '{k}' AS kind, '{o}' AS only_in, core FROM c WHERE {w}" for k, o, w in DIFFERENCES))
+def u2_source_differences(spark, d):
+    return A.source_differences(_catalog(spark, d))
+
+
+@query(f"{CATALOG} SELECT dir_name, '/db/' || CASE substr(dir_name,1,4) WHEN 'GCA_' THEN 'GenBank' ELSE 'RefSeq' END || '/' || dir_name AS path FROM cat")
+def p19_assembly_path(spark, d):
+    return _catalog(spark, d).select("dir_name", A.assembly_path("/db", F.col("dir_name")).alias("path"))
+
+
+@query(f"{CATALOG} SELECT dir_name, ord FROM cat WHERE lower(assembly_level) IN ('complete genome','chromosome') AND ftp_location <> 'na' ORDER BY ord LIMIT 314")
+def t2_first_assemblies(spark, d):
+    return A.first_assemblies(A.complete_assemblies(_catalog(spark, d))).select("dir_name", "ord")
+
+
+@query(f"{CATALOG}, {with_views('ad_files').removeprefix('WITH ')}, f AS (SELECT DISTINCT replace(assembly, 'D', 'C') AS dir_name FROM ad_files WHERE file_name LIKE '%_feature_table.txt.gz') SELECT c.dir_name, CASE WHEN f.dir_name IS NULL THEN 'no' ELSE 'yes' END AS has_annotation FROM cat c LEFT JOIN f USING (dir_name)")
+def k3_catalog_annotation(spark, d):
+    files = view(spark, d, "ad_files").select(F.translate("assembly", "D", "X").alias("x"), F.replace("assembly", F.lit("D"), F.lit("C")).alias("assembly"), F.replace("file_name", F.lit("D"), F.lit("C")).alias("file_name"))
+    return A.with_annotation(_catalog(spark, d).select("dir_name"), files.select("assembly", "file_name"))
+
+
+MD5 = f"{with_views('ad_manifest')}, wanted AS (SELECT 'a' || CAST(n_nationkey+30 AS VARCHAR) AS assembly FROM nation), got AS (SELECT m.assembly, count(*) AS n, bool_and(md5(d.text) = m.expected_md5) AS good FROM ad_manifest m JOIN documents d ON 'doc_' || CAST(d.doc_id AS VARCHAR) = m.file_name GROUP BY 1), v AS (SELECT w.assembly, w.assembly IN (SELECT assembly FROM ad_manifest) AND coalesce(g.good, TRUE) AS good FROM wanted w LEFT JOIN got g USING (assembly))"
+
+
+@query(f"{MD5} SELECT good, CAST(NULL AS VARCHAR) AS assembly, CAST(count(*) AS BIGINT) AS n_assemblies FROM v GROUP BY 1 UNION ALL SELECT good, assembly, CAST(1 AS BIGINT) FROM v WHERE NOT good")
+def a12_md5_report(spark, d):
+    files = spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("a"), (F.col("doc_id") % 40).cast("string")).alias("assembly"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("file_name"), F.col("text").cast("binary").alias("content"))
+    wanted = spark.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("a"), (F.col("n_nationkey") + 30).cast("string")).alias("assembly"))
+    return A.md5_report(A.verify_md5(view(spark, d, "ad_manifest"), files, wanted))
+
+
+@query(f"{with_views('ad_sites')} SELECT site_id, replicon, start_bound, end_bound, strand FROM ad_sites ORDER BY replicon, start_bound, end_bound, strand")
+def m6_sort_sites(spark, d):
+    return M.sort_sites(view(spark, d, "ad_sites").select("site_id", "replicon", "start_bound", "end_bound", "strand"))
+
+
+TYPES = "types AS (SELECT assembly, replicon, CASE WHEN len = max(len) OVER (PARTITION BY assembly) THEN 'Chromosome' ELSE 'Plasmid' END AS replicon_type FROM ad_replicons)"
+CODE = "'[' || CASE WHEN list_contains(assoc,'CopA') THEN 'A' ELSE '' END || CASE WHEN list_contains(assoc,'CupA') THEN 'a' ELSE '' END || CASE WHEN list_contains(assoc,'CopY') THEN 'Y' ELSE '' END || CASE WHEN list_contains(assoc,'CopZ') THEN 'Z' ELSE '' END || ']'"
+
+
+@query(f"{OPERON}, {WITH_HITS}, {TYPES}, fh AS ({_pairs('genes', 'hits', 0, 'r.assoc_type AS t,')}), so AS (SELECT g.site_id, list(DISTINCT t) AS assoc FROM site_genes g JOIN fh ON fh.assembly = g.assembly AND fh.replicon = g.replicon AND fh.start_bound = g.rs AND fh.end_bound = g.re WHERE fh.rel NOT IN ('5N','3N') GROUP BY 1) SELECT substr(repeat('ACGT', 9), CAST(s.site_id % 16 + 1 AS INT), 16) AS seq, s.replicon, t.replicon_type, s.start_bound+1 AS start_ordinal, s.strand, c.n_genes, c.site_type, CASE WHEN site_class = 'A' THEN 'A.' || CAST(class_distance AS VARCHAR) ELSE site_class END AS class_label, CASE WHEN count(*) OVER (PARTITION BY s.replicon, s.start_bound) > 1 THEN 'Double' ELSE 'Single' END AS dimension, CASE WHEN so.assoc IS NULL THEN '' ELSE {CODE} END AS code, s.site_id FROM ad_sites s JOIN classes c USING (site_id) JOIN types t ON t.assembly = s.assembly AND t.replicon = s.replicon LEFT JOIN so ON so.site_id = s.site_id")
+def o6_site_report(spark, d):
+    sites, genes = view(spark, d, "ad_sites"), held(_site_genes(spark, d))
+    seq = F.substring(F.repeat(F.lit("ACGT"), 9), (F.col("site_id") % 16 + 1).cast("int"), F.lit(16))
+    linked = J.link_hits(held(P.dedupe_features(P.keep_coding_features(view(spark, d, "ad_features")))), _hits(spark, d))
+    return S.site_table(M.mark_palindromes(sites.withColumn("seq", seq)), O.classify_sites(sites, genes), S.replicon_types(view(spark, d, "ad_replicons")), O.site_associations(genes, linked))
+
+
+@query(f"{OPERON}, {TYPES}, p AS ({_pairs('dist_operons', 'ad_sites', 200, 'r.site_id AS sid,')}), k AS (SELECT assembly, replicon, strand, start_bound, end_bound, count(*) AS n_operators FROM p WHERE strand NOT IN ('Forward','Reverse') OR rel NOT IN ('3N','3O') GROUP BY 1,2,3,4,5) SELECT o.replicon, t.replicon_type, o.start_bound+1 AS start_ordinal, o.strand, CAST(coalesce(k.n_operators,0) AS BIGINT) AS n_operators, CAST(o.n_genes AS BIGINT) AS n_genes FROM dist_operons o JOIN types t ON t.assembly = o.assembly AND t.replicon = o.replicon LEFT JOIN k ON k.assembly = o.assembly AND k.replicon = o.replicon AND k.strand = o.strand AND k.start_bound = o.start_bound AND k.end_bound = o.end_bound")
+def o6_operon_table(spark, d):
+    distinct = held(O.distinct_operons(O.build_operons(_site_genes(spark, d))))
+    return S.operon_table(distinct, O.valid_regulators(distinct, view(spark, d, "ad_sites")), S.replicon_types(view(spark, d, "ad_replicons")))
+
+
+@query(f"{OPERON}, {WITH_HITS}, {ORPHANS} SELECT CASE ord % 3 WHEN 0 THEN 'n' || CAST(ord AS VARCHAR) WHEN 1 THEN 'f' || CAST(ord AS VARCHAR) ELSE 'NO NAME' END AS name, CASE WHEN ord % 3 = 1 THEN 'f' || CAST(ord AS VARCHAR) ELSE 'UNKNOWN PRODUCT' END AS product, replicon, start_bound+1 AS start_ordinal, end_bound AS end_ordinal FROM orphan")
+def o6_orphan_table(spark, d):
+    tag = lambda x: F.concat(F.lit(x), F.col("ord").cast("string"))
+    attributes = F.when(F.col("ord") % 3 == 0, F.create_map(F.lit("Name"), tag("n"))).when(F.col("ord") % 3 == 1, F.create_map(F.lit("ID"), tag("f"))).otherwise(F.create_map(F.lit("x"), F.lit("y")))
+    return S.orphan_table(_orphans(spark, d).withColumn("attributes", attributes))
+
+
+REPORT = f"{SUMMARY}, {with_views('ad_assemblies').removeprefix('WITH ')}, report AS (SELECT g.*, a.assembly_accession, a.species_tax_id, a.tax_id, a.organism_name, a.infraspecific_name FROM genome g JOIN ad_assemblies a ON a.subdir_name = g.assembly)"
+
+
+def _report(spark, d):
+    return S.genome_report(_summary(spark, d), view(spark, d, "ad_assemblies"))
+
+
+@query(f"{REPORT} SELECT * FROM report")
+def a8_genome_report(spark, d):
+    real = ("gap_frac", "gene_frac", "expected_sites", "expected_per_mbp", "actual_per_mbp")
+    return _report(spark, d).withColumns({c: F.round(c, 9) for c in real})
+
+
+@query(f"{REPORT} SELECT DISTINCT species_tax_id FROM report WHERE total_len > 0 AND code LIKE '%Y%'")
+def u4_species_with_type(spark, d):
+    return S.species_with_type(_report(spark, d))

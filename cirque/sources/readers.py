@@ -13,7 +13,9 @@ HITS = "replicon string, sstart long, send long, match_length long, sframe int,
 
 
 def read_assembly_catalog(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()).where((F.length("value") > 0) & ~F.col("value").startswith("#"))
+    """The last entry of each subdir_name. The first line of a file goes whatever it holds, further ones that begin with #, and empty ones."""
+    raw = spark.read.schema("value string").option("header", True).option("sep", "\x01").option("quote", "").option("escape", "").csv(path)
+    lines = raw.withColumn("ord", F.monotonically_increasing_id()).where((F.length("value") > 0) & ~F.col("value").startswith("#"))
     parts = F.split("value", "\t", -1)
     x = lines.select("ord", *(parts[i].alias(c) for c, i in CATALOG.items()))
     name = F.translate(F.replace("assembly_name", F.lit("  "), F.lit(" ")), " #/()", "_____")

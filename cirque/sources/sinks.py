@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_summary(df: DataFrame, path: str) -> None:
-    """Tab-separated, no header; fails if the target exists."""
-    df.write.mode("errorifexists").option("sep", "\t").csv(path)
+def write_summary(df: DataFrame, path: str, order: tuple[str, ...] = ()) -> None:
+    """Tab-separated, no header, sorted by ``order`` if given; fails if the target exists."""
+    (df.orderBy(*order) if order else df).write.mode("errorifexists").option("sep", "\t").csv(path)
 
 
 def write_id_list(df: DataFrame, path: str) -> None:
