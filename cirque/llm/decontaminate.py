@@ -6,11 +6,14 @@ m + 1 - q - q * budget of its q-grams with it, on diagonals no further apart tha
 in diagonal bands that overlap by half, each wide enough for every such stretch; bands with enough are verified by a
 banded alignment of the whole item against that region.
 
-The budget is ``share`` of the item's length, less where the lemma would say nothing; an item shorter than q matches
-only a text that folds to it. The index of items goes to every task, so it is built from parts of the benchmark of at
-most ``PART`` bytes; a larger benchmark takes one pass over the documents for each part.
-
-Odd rows: null and empty texts match nothing; null and empty items are not searched; equal items match alike.
+The budget is ``share`` of the item's length. Where the lemma says nothing for q-grams of ``Q`` bytes, an item is searched
+by shorter ones, so that no budget is cut. An item shorter than q has no edits: it matches a text that folds to it or,
+with ``inside``, each text that holds it as whole words. The index of items goes to every task, so it is built from parts
+of the benchmark of at most ``PART`` bytes; a larger benchmark takes one pass over the documents for each part, and only
+one part at a time is on the driver.
+
+Odd rows: null and empty texts match nothing; null and empty items are not searched; equal items match alike, and rows
+repeated in either table give repeated or equal results; an empty table gives no match. Other columns pass through unread.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from . import common as C
 
 U = np.uint64
 Q, SHARE, PART = 12, 0.05, 8 << 20
+#: Shared q-grams that are counted at once.
+HITS = 1 << 21
 
 
 def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,86 +46,121 @@ def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return x[at], np.concatenate([[0], np.cumsum(keep)])[offsets], at
 
 
-def grams(x: np.ndarray) -> np.ndarray:
-    """Hashes of the q-grams at each place of ``x``."""
-    if len(x) < Q:
+def grams(x: np.ndarray, q: int = Q) -> np.ndarray:
+    """Hashes of the q-grams (8 to 16 bytes) at each place of ``x``."""
+    if len(x) < q:
         return np.zeros(0, U)
     eight = C.words8(x)
-    return C.mix(eight[: len(x) - Q + 1] * U(0x9E3779B97F4A7C15) + (eight[Q - 8 :][: len(x) - Q + 1] if Q < 16 else eight[8:][: len(x) - Q + 1]))
+    return C.mix(eight[: len(x) - q + 1] * U(0x9E3779B97F4A7C15) + eight[q - 8 :][: len(x) - q + 1])
+
+
+def fold_item(text: str | None) -> np.ndarray:
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    x = folded(raw, np.array([0, len(raw)]))[0]
+    x = x[1:] if len(x) and x[0] == 32 else x
+    return x[:-1] if len(x) and x[-1] == 32 else x
 
 
 class Index:
     """Items by q-gram; small enough for a task by ``PART``."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float):
-        self.ids, self.text, self.budget, self.need = [], [], [], []
-        gram, item, place = [], [], []
-        self.short: dict[bytes, list[int]] = {}
-        for i, text in items:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            x = folded(raw, np.array([0, len(raw)]))[0]
-            x = x[: len(x) - 1] if len(x) and x[-1] == 32 else x
-            if len(x) < Q:
-                if len(x):
-                    self.short.setdefault(x.tobytes(), []).append(i)
-                continue
-            budget = min(int(share * len(x)), (len(x) - Q) // Q)
-            g = grams(x)
-            gram.append(g)
-            item.append(np.full(len(g), len(self.ids)))
-            place.append(np.arange(len(g)))
-            self.ids.append(i)
-            self.text.append(x)
-            self.budget.append(budget)
-            self.need.append(len(x) + 1 - Q - Q * budget)
-        order = np.argsort(np.concatenate(gram), kind="stable") if gram else np.zeros(0, np.int64)
-        self.gram = np.concatenate(gram)[order] if gram else np.zeros(0, U)
-        self.item = np.concatenate(item)[order] if gram else order
-        self.place = np.concatenate(place)[order] if gram else order
+    def __init__(self, items: list[tuple[int, np.ndarray]], share: float, q: int):
+        self.q = q
+        self.ids, self.text = [i for i, _ in items], [x for _, x in items]
+        self.size = np.array([len(x) for x in self.text], np.int64)
+        self.budget = (share * self.size).astype(np.int64)
+        self.need = self.size + 1 - q - q * self.budget
+        of = [grams(x, q) for x in self.text]
+        gram = np.concatenate(of) if of else np.zeros(0, U)
+        order = np.argsort(gram, kind="stable")
+        self.gram = gram[order]
+        self.item = np.repeat(np.arange(len(of)), [len(g) for g in of])[order]
+        self.place = np.concatenate([np.arange(len(g)) for g in of])[order] if of else order
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.gram >> U(44)).astype(np.int64)] = True
-        self.budget, self.need = np.array(self.budget, np.int64), np.array(self.need, np.int64)
-        self.size = np.array([len(x) for x in self.text], np.int64)
 
-    def hits(self, x: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, item, diagonal) of each q-gram that a text and an item share."""
-        g = grams(x)
+    def bands(self, x: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, band) of the bands in which a text and an item share as many q-grams as the lemma asks."""
+        g = grams(x, self.q)
         at = np.flatnonzero(self.filter[(g >> U(44)).astype(np.int64)])
         low, high = np.searchsorted(self.gram, g[at], "left"), np.searchsorted(self.gram, g[at], "right")
         n = high - low
         at, low, n = at[n > 0], low[n > 0], n[n > 0]
         doc = np.searchsorted(offsets, at, "right") - 1
-        ok = at + Q <= offsets[doc + 1]
+        ok = at + self.q <= offsets[doc + 1]
         at, low, n, doc = at[ok], low[ok], n[ok], doc[ok]
-        k = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return np.repeat(doc, n), self.item[k], np.repeat(at - offsets[doc], n) - self.place[k]
+        wide, total = 2 * (self.budget + 1), np.cumsum(n)
+        held: list[np.ndarray] = []
+        count: list[np.ndarray] = []
+        s = 0
+        while s < len(at):  # as many at once as ``HITS`` allows; the counts of all are put together
+            e = max(s + 1, int(np.searchsorted(total, (total[s - 1] if s else 0) + HITS, "right")))
+            m = n[s:e]
+            k = np.repeat(low[s:e] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+            item, d = self.item[k], np.repeat(doc[s:e], m)
+            diagonal = np.repeat(at[s:e] - offsets[doc[s:e]], m) - self.place[k]
+            w = wide[item]
+            rows = np.concatenate([np.stack([d, item, ((diagonal + half * w // 2) // w) * 2 + half], 1) for half in (0, 1)])
+            key, c = np.unique(rows, axis=0, return_counts=True)
+            held.append(key)
+            count.append(c)
+            s = e
+        if not held:
+            return (np.zeros(0, np.int64),) * 3
+        key, of = np.unique(np.concatenate(held), axis=0, return_inverse=True)
+        full = np.bincount(of.ravel(), np.concatenate(count)) >= self.need[key[:, 1]]
+        return key[full, 0], key[full, 1], key[full, 2]
+
+
+class Search:
+    """The items of a part of the benchmark: long ones by q-grams, short ones by what they fold to."""
+
+    def __init__(self, items: list[tuple[int, str]], share: float, inside: bool):
+        self.inside, self.short = inside, {}
+        by: dict[int, list] = {}
+        for i, text in items:
+            x = fold_item(text)
+            if 0 < len(x) < Q:
+                self.short.setdefault(x.tobytes(), []).append(i)
+            elif len(x):
+                by.setdefault(min(Q, len(x) // (int(share * len(x)) + 1)), []).append((i, x))
+        if by and min(by) < 8:
+            raise ValueError("share is too large for q-grams of 8 bytes")
+        self.indexes = [Index(v, share, q) for q, v in sorted(by.items())]
 
     def matches(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first byte, end byte, edits) of the best match of each item in each text."""
         x, cut, origin = folded(data, offsets)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        if len(self.gram):
-            doc, item, diagonal = self.hits(x, cut)
-            wide = 2 * (self.budget[item] + 1)
-            bands = [((diagonal + half * wide // 2) // wide) * 2 + half for half in (0, 1)]
-            doc, item, band = np.tile(doc, 2), np.tile(item, 2), np.concatenate(bands)
-            order = np.lexsort((band, item, doc))
-            doc, item, band = doc[order], item[order], band[order]
-            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])]) if len(doc) else np.zeros(0, bool)
-            start = np.flatnonzero(new)
-            count = np.diff(np.append(start, len(doc)))
-            for s in start[count >= self.need[item[start]]] if len(start) else []:
-                d, i, b = int(doc[s]), int(item[s]), int(band[s])
-                w = 2 * (int(self.budget[i]) + 1)
+        for index in self.indexes:
+            for d, i, b in zip(*(v.tolist() for v in index.bands(x, cut)), strict=True):
+                budget = int(index.budget[i])
+                w = 2 * (budget + 1)
                 low = (b // 2) * w - (b % 2) * w // 2
-                got = align(self.text[i], x[cut[d] : cut[d + 1]], low, low + w, int(self.budget[i]))
-                if got and (key := (d, int(self.ids[i]))) is not None and (key not in best or (got[2], got[0]) < (best[key][2], best[key][0])):
+                got = align(index.text[i], x[cut[d] : cut[d + 1]], low, low + w, budget)
+                key = (d, int(index.ids[i]))
+                if got and (key not in best or (got[2], got[0]) < (best[key][2], best[key][0])):
                     best[key] = got
         for d in range(len(cut) - 1) if self.short else []:
-            for i in self.short.get(x[cut[d] : cut[d + 1]].tobytes().strip(b" "), ()):
-                best[d, i] = (0, int(cut[d + 1] - cut[d]), 0)
+            self.short_matches(x[cut[d] : cut[d + 1]].tobytes(), d, best)
         return [(d, i, int(origin[cut[d] + a] - offsets[d]), int(origin[cut[d] + b - 1] + 1 - offsets[d]), e) for (d, i), (a, b, e) in sorted(best.items()) if b > a]
 
+    def short_matches(self, text: bytes, d: int, best: dict) -> None:
+        """Short items in a folded text: as the whole of it, or with ``inside`` as runs of whole words."""
+        if not self.inside:
+            a = 1 if text[:1] == b" " else 0
+            for i in self.short.get(text.strip(b" "), ()):
+                best[d, i] = (a, a + len(text.strip(b" ")), 0)
+            return
+        start = [0, *(m + 1 for m, c in enumerate(text) if c == 32)]
+        end = [*(m for m, c in enumerate(text) if c == 32), len(text)]
+        for k, a in enumerate(start):
+            for j in range(k, len(end)):
+                if end[j] - a >= Q:
+                    break
+                for i in self.short.get(text[a : end[j]], ()) if end[j] > a else ():
+                    best.setdefault((d, i), (a, end[j], 0))
+
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
     """The best match (start, end, edits) of the whole item in ``text`` on diagonals low - budget .. high + budget, if within the budget."""
@@ -151,52 +191,65 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int)
     return (int(origin[c]), int(low + m + c), int(cost[c])) if cost[c] <= budget else None
 
 
-def parts(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in parts of at most ``PART`` bytes (or one item)."""
+class Part(list):
+    """Items (item_id, text) of one part, and the number of parts."""
+
+    of = 1
+
+
+def parts(items: DataFrame) -> Iterator[Part]:
+    """The benchmark in parts of about ``PART`` / 2 bytes (or one item), one after the other."""
     rows = items.where(F.col("item_id").isNotNull() & (F.octet_length("text") > 0)).select("item_id", "text").distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / PART * 2))
     for k in range(n):
-        part = [(r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]  # PART bytes
-        yield sorted(part, key=lambda r: (r[0], r[1]))
+        part = Part(sorted((r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()))  # PART bytes
+        part.of = n
+        yield part
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, inside: bool = False) -> DataFrame:
     """(doc_id, item_id, first_byte, end_byte, edits): each document that holds an item within its edit budget."""
-    C.prepare(docs.sparkSession)
+    steps = C.Steps(docs.sparkSession)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, first_byte long, end_byte long, edits int"
     out = None
-    for part in parts(items):
-        found = docs.select("doc_id", "text").mapInArrow(_finder(part, share), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, first_byte long, end_byte long, edits int")
+    for k, part in enumerate(parts(items)):
+        found = docs.select("doc_id", "text").mapInArrow(_finder(part, share, inside), schema)
+        if out is None and k + 1 == part.of:
+            return found
+        found = steps.keep(found, f"leaks{k}")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _finder(part, share):
+def _finder(part, share, inside):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(part, share)
+        search = Search(part, share, inside)
         for b in C.slices(batches, "text"):
-            got = index.matches(*C.utf8(b.column("text")))
+            got = search.matches(*C.utf8(b.column("text")))
             column = lambda k, kind: pa.array([x[k] for x in got], kind)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(column(0, pa.int64())), *(column(k, pa.int64()) for k in (1, 2, 3)), column(4, pa.int32())], names=["doc_id", "item_id", "first_byte", "end_byte", "edits"])
 
     return run
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, share: float = SHARE, inside: bool = False) -> DataFrame:
     """The rows of ``docs``, all columns, in which no item is found."""
-    C.prepare(docs.sparkSession)
+    steps = C.Steps(docs.sparkSession)
     out = docs
-    for part in parts(items):
-        out = out.mapInArrow(_keeper(part, share), docs.schema)
+    for k, part in enumerate(parts(items)):
+        out = out.mapInArrow(_keeper(part, share, inside), docs.schema)
+        if k + 1 < part.of:
+            out = steps(out, "clean")
     return out
 
 
-def _keeper(part, share):
+def _keeper(part, share, inside):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(part, share)
+        search = Search(part, share, inside)
         for b in C.slices(batches, "text"):
             keep = np.ones(b.num_rows, bool)
-            keep[[x[0] for x in index.matches(*C.utf8(b.column("text")))]] = False
+            keep[[x[0] for x in search.matches(*C.utf8(b.column("text")))]] = False
             yield b.filter(pa.array(keep))
 
     return run

@@ -35,7 +35,7 @@ def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), inside=True)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

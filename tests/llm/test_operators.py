@@ -272,3 +272,49 @@ def test_keep_one_of_shared_and_null_ids(spark):
     assert got.columns == docs.columns
     want = [(1, p), (3, q), (3, r), (4, s), (4, ""), (4, None), (None, t), (None, ""), (None, " "), (6, None), (7, "one two")]
     assert sorted(map(str, ((x.doc_id, x.text) for x in got.collect()))) == sorted(map(str, want))
+
+
+def fold_plain(text):
+    return re.sub(rb"[\x00-/:-`{-\x7f]+", b" ", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+
+
+def least_edits(item, text):
+    """Edits of the best match of the whole item anywhere in the text, by the plain table."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+@pytest.mark.parametrize("inside", [False, True])
+def test_decontaminate_against_plain_edit_distance(spark, inside):
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdef"), rng.integers(2, 7)))
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([1, 1, 2, 3, 4, 5, 5, 6, 9, 14, 30])] + [(50, "x" * 20), (51, "A, b"), (52, "q" * 11)]
+    texts = []
+    for k, t in items * 3:
+        t = list(t)
+        for _ in range(rng.integers(0, 4)):
+            p = int(rng.integers(0, len(t)))
+            t[p : p + rng.integers(0, 2)] = rng.choice(["", "z", "a", " "])
+        texts.append(" ".join(word() for _ in range(rng.integers(0, 6))) + " " + "".join(t) + " " + word())
+    texts += [t for _, t in items] + ["", None, "a b", " A  b!", "xa b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string"), inside=inside).collect()}
+    want = {}
+    for d, t in enumerate(texts):
+        x = fold_plain(t)
+        for k, item in items:
+            m = fold_plain(item).strip(b" ")
+            if len(m) >= decontaminate.Q:
+                e = least_edits(m, x)
+                if e <= int(decontaminate.SHARE * len(m)):
+                    want[d, k] = e
+            elif x.strip(b" ") == m or inside and b" " + m + b" " in b" " + x + b" ":
+                want[d, k] = 0
+    assert got == want and any(want.values())
+    clean = {r.doc_id for r in decontaminate.keep_clean(docs, spark.createDataFrame(items, "item_id long, text string"), inside=inside).collect()}
+    assert clean == set(range(len(texts))) - {d for d, _ in want}
