@@ -163,9 +163,17 @@ FEATURES = ["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32"
 
 
 def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
-    """``sequences`` exploded to a row for each item, with the columns of ``media`` for those that refer to any."""
+    """``sequences`` exploded to a row for each item, with the columns of ``media`` for those that refer to any.
+
+    References to one digest are dealt into as many parts as there are shuffle partitions, and ``media`` goes to the parts
+    that hold any reference: however many rows name a digest, no task gets them all. ``sequences`` is read twice.
+    """
+    parts = int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     flat = sequences.withColumn("item", F.explode("items")).drop("items").select("*", "item.*").drop("item")
-    return flat.join(media, "digest", "left")
+    plain = [f.name for f in flat.schema.fields if f.dataType.typeName() not in ("map", "array", "struct", "variant")]
+    flat = flat.withColumn("_deal", F.pmod(F.xxhash64(*plain), F.lit(parts)).cast("int"))
+    known = flat.select("digest", "_deal").where("digest is not null").distinct().join(media, "digest")
+    return flat.join(known, ["digest", "_deal"], "left").drop("_deal")
 
 
 def document_pages(docs: DataFrame) -> DataFrame:
@@ -177,6 +185,7 @@ def document_pages(docs: DataFrame) -> DataFrame:
 
 def payload_features(docs: DataFrame) -> DataFrame:
     """doc_id and the features of each whole text's stored payload, by way of parse, store, read_back and resolve."""
-    C.prepare(docs.sparkSession)
-    got = resolve(parse(document_pages(docs)), read_back(store(docs))).where("kind = 'media'")
-    return got.select("doc_id", *FEATURES[1:], "position", "caption")
+    with C.Steps(docs.sparkSession) as steps:
+        pages = steps(parse(document_pages(docs)), "pages")
+        got = resolve(pages, steps(read_back(store(docs)), "payloads")).where("kind = 'media'")
+        return steps.keep(got.select("doc_id", *FEATURES[1:], "position", "caption"), "features")
