@@ -23,7 +23,7 @@ from . import common as C
 from .quality import fold, labelled
 
 U = np.uint64
-SLOTS, KEPT, SAMPLE, SIZES = 1 << 17, 2048, 12_000, (3, 4, 5, 6)
+SLOTS, KEPT, SAMPLE, SIZES = 1 << 17, 4096, 12_000, (3, 4, 5, 6)
 #: Texts whose slots are marked at once while they are counted.
 MARKED = 64
 
