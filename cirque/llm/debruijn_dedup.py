@@ -1,15 +1,18 @@
 """Substring dedup on words by de Bruijn compaction.
 
-Every window of ``k`` words is an edge between its first and its last k - 1 words. Blocks set aside edges that cannot
-repeat (``blocks.py``) and exchange the others once each, as 96-bit fingerprints with their first coordinate in the
-block; the answer names the edge by the coordinate (doc_id, word) of its first occurrence anywhere. Along a document,
-consecutive edges whose names are consecutive too form a path: the coordinates verify that a whole span repeats there.
-Spark then joins paths end to start where nothing branches (``compact``), and a path goes from a document only if it
-is found again among those unitigs with its source.
+1. Every window of ``k`` words is an edge between the nodes of its first and its last k - 1 words. Blocks set aside edges
+   that cannot repeat (``blocks.py``) and exchange the others once each, as 96-bit fingerprints. The answer names a
+   repeated edge by the coordinate (block, word) of its first occurrence in the order of (doc_id, word).
+2. The block of that first occurrence gives the edge to the graph, with hashes of its two nodes. Spark counts edges into
+   and out of each node; where one comes in and one goes out, the two belong to one unitig. Edges that follow each other
+   at their coordinates become runs, and runs that meet at such a node are joined (``unitigs``).
+3. Along a document, repeated edges whose coordinates run on form a path. Paths are joined with the runs of unitigs by
+   coordinate (``verified``): only what a unitig confirms is removed.
 
 Removed are the words covered by a window whose words also start earlier: at a smaller doc_id, or earlier in the same
 document. Odd rows: a null or empty text has no words; texts under ``k`` words lose nothing; a null doc_id counts as
-larger than every number; of rows with the same doc_id none is earlier than the other at the same start.
+larger than every number; of rows with the same doc_id none is earlier than the other at the same start. Two nodes with
+one hash only make a unitig shorter. Other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,16 +21,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import common as C
+from .components import components
 from .suffix_array_dedup import run
 
 U = np.uint64
 ANCHOR = 6
-SEGMENT = "block int, doc_id long, at long, n long, src_doc long, src_at long"
+#: Rows of the graph: paths (block, at, n, src_block, src_at) and, with null block, edges (src_block, src_at, from_node, to_node).
+GRAPH = "block int, at long, n long, src_block int, src_at long, from_node long, to_node long"
+#: Coordinates that are joined by one key.
+BIN = 512
 
 
 class Words:
@@ -70,7 +77,8 @@ class Edges:
         self.many = count > 1
         self.text = np.searchsorted(w.offsets, self.window, "right") - 1
         self.at = self.window - w.offsets[self.text]
-        self.second = (edge_hash(w.h, self.window[first], k, 0x5851F42D4C957F2D) >> U(32)).astype(np.uint32)
+        self.word = self.window[first]
+        self.second = (edge_hash(w.h, self.word, k, 0x5851F42D4C957F2D) >> U(32)).astype(np.uint32)
         self.first_doc, self.first_at = b.ids[self.text[first]], self.at[first]
 
 
@@ -78,102 +86,127 @@ def name_edges(t: pa.Table) -> pa.Table:
     """For one bucket: 0 for an edge that occurs once, 1 if its first occurrence is the sender's, 2 with the coordinate if not."""
     sizes = [len(x.as_py()) // 8 for x in t.column("fp")]
     get = lambda c, kind: np.frombuffer(b"".join(x.as_py() for x in t.column(c)), kind)
-    fp, second, doc, at, many = get("fp", np.uint64), get("second", np.uint32), get("doc", np.int64), get("at", np.uint32), get("many", np.uint8)
-    order = np.lexsort((at, doc, second, fp))
+    fp, second, doc, at, word, many = get("fp", np.uint64), get("second", np.uint32), get("doc", np.int64), get("at", np.uint32), get("word", np.uint32), get("many", np.uint8)
+    block = np.repeat(t.column("block").to_numpy(), sizes)
+    order = np.lexsort((word, block, at, doc, second, fp))
     f, s = fp[order], second[order]
     new = np.concatenate([[True], (f[1:] != f[:-1]) | (s[1:] != s[:-1])])
     start = np.flatnonzero(new)
     size = np.diff(np.append(start, len(f)))
     repeated = np.repeat((size > 1) | (np.maximum.reduceat(many[order], start) > 0), size)
     src = np.repeat(order[start], size)
-    code, from_doc, from_at = np.zeros(len(fp), np.uint8), np.empty(len(fp), np.int64), np.empty(len(fp), np.uint32)
+    code, from_block, from_word = np.zeros(len(fp), np.uint8), np.empty(len(fp), np.int32), np.empty(len(fp), np.uint32)
     own = (doc[src] == doc[order]) & (at[src] == at[order])
     code[order] = np.where(repeated, np.where(own, 1, 2), 0)
-    from_doc[order], from_at[order] = doc[src], at[src]
+    from_block[order], from_word[order] = block[src], word[src]
     end = np.cumsum([0, *sizes])
-    out: dict[str, list] = {"codes": [], "src_doc": [], "src_at": []}
+    out: dict[str, list] = {"codes": [], "src_block": [], "src_at": []}
     for i, j in zip(end, end[1:], strict=False):
         far = code[i:j] == 2
         out["codes"].append(code[i:j].tobytes())
-        out["src_doc"].append(from_doc[i:j][far].tobytes())
-        out["src_at"].append(from_at[i:j][far].tobytes())
+        out["src_block"].append(from_block[i:j][far].tobytes())
+        out["src_at"].append(from_word[i:j][far].tobytes())
     return pa.table({"block": t.column("block"), "bucket": t.column("bucket")} | {c: pa.array(v, pa.binary()) for c, v in out.items()} | {"kind": pa.array([3] * t.num_rows, pa.int32())})
 
 
-def paths_of(b: B.Block, left: pa.Table, k: int) -> pa.Table:
-    """The block's paths: runs of removable windows whose sources run along with them."""
+def graph_of(b: B.Block, left: pa.Table, k: int) -> pa.Table:
+    """What a block adds to the graph: its paths, runs of removable windows whose sources run along, and the edges that occur first in it."""
     e = Edges(b, B.codes_in(left, 1), k)
     rows = sorted((x for x in left.to_pylist() if x["kind"] == 3), key=lambda x: x["bucket"])
     get = lambda c, kind: np.frombuffer(b"".join(x[c] for x in rows), kind)
     code = get("codes", np.uint8)
-    doc, at = e.first_doc.copy(), e.first_at.astype(np.int64)
-    doc[code == 2], at[code == 2] = get("src_doc", np.int64), get("src_at", np.uint32)
-    doc, at = doc[e.inverse], at[e.inverse]
-    mine = b.ids[e.text]
-    gone = (code[e.inverse] > 0) & ((doc != mine) | (at != e.at)) if len(code) else np.zeros(0, bool)
-    p, t, doc, at = e.window[gone], e.text[gone], doc[gone], at[gone]
-    new = np.concatenate([[True], (p[1:] != p[:-1] + 1) | (t[1:] != t[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]) if len(p) else np.zeros(0, bool)
+    block, at = np.full(len(e.fp), b.block, np.int32), e.word.astype(np.int64)
+    far = code == 2
+    if len(code):
+        block[far], at[far] = get("src_block", np.int32), get("src_at", np.uint32)
+    mine = e.first_doc[e.inverse] != b.ids[e.text] if len(code) else np.zeros(0, bool)
+    later = mine | (e.first_at[e.inverse] != e.at) if len(code) else mine
+    gone = (code[e.inverse] > 0) & (far[e.inverse] | later) if len(code) else mine
+    p, t, block, at = e.window[gone], e.text[gone], block[e.inverse][gone], at[e.inverse][gone]
+    new = np.concatenate([[True], (p[1:] != p[:-1] + 1) | (t[1:] != t[:-1]) | (block[1:] != block[:-1]) | (at[1:] != at[:-1] + 1)]) if len(p) else np.zeros(0, bool)
     s = np.flatnonzero(new)
-    return pa.table({"block": pa.array(np.full(len(s), b.block), pa.int32()), "doc_id": b.ids[t[s]], "at": p[s], "n": np.diff(np.append(s, len(p))), "src_doc": doc[s], "src_at": at[s]})
-
+    n, first = len(s), e.word[code == 1] if len(code) else np.zeros(0, np.int64)
+    m = len(first)
+    node = lambda at: edge_hash(e.words.h, at, k - 1, 7).view(np.int64)
+    null = lambda values, before, after: pa.array(np.concatenate([np.zeros(before, values.dtype), values, np.zeros(after, values.dtype)]), mask=np.repeat([True, False, True], [before, len(values), after]))
+    return pa.table({
+        "block": null(np.full(n, b.block, np.int32), 0, m), "at": null(p[s], 0, m), "n": null(np.diff(np.append(s, len(p))), 0, m),
+        "src_block": pa.array(np.concatenate([block[s], np.full(m, b.block, np.int32)])), "src_at": pa.array(np.concatenate([at[s], first])),
+        "from_node": null(node(first), n, 0), "to_node": null(node(first + 1), n, 0),
+    })
+
+
+def unitigs(edges: DataFrame, steps: C.Steps) -> DataFrame:
+    """(src_block, src_at, n, unitig): runs of edges at consecutive coordinates, and the unitig that each belongs to.
+
+    A node with one edge in and one out does not branch. Runs end at all other nodes; runs that meet at a node that does
+    not branch are joined, whatever blocks they lie in, and the unitig is named by the least of them.
+    """
+    ends = edges.select(F.col("from_node").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("to_node").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    branching = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).where("out <> 1 or into <> 1").select("node", F.lit(True).alias("branches"))
+    marked = edges.join(branching.withColumnRenamed("node", "from_node"), "from_node", "left")
+    w = Window.partitionBy("src_block").orderBy("src_at")
+    begins = F.coalesce("branches", F.lit(False)) | F.coalesce(F.lag("src_at").over(w) + 1 != F.col("src_at"), F.lit(True))
+    marked = marked.withColumn("run", F.sum(begins.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    first, last = F.min_by("from_node", "src_at"), F.max_by("to_node", "src_at")
+    runs = marked.groupBy("src_block", "run").agg(F.min("src_at").alias("src_at"), F.count("*").alias("n"), first.alias("from_node"), last.alias("to_node"), F.min_by(F.coalesce("branches", F.lit(False)), "src_at").alias("branches"))
+    runs = steps(runs.select("src_block", "src_at", "n", "from_node", "to_node", "branches", F.xxhash64("src_block", "src_at").alias("id")), "runs")
+    follows = runs.where("not branches").select(F.col("id").alias("y"), F.col("from_node").alias("node"))
+    links = runs.select(F.col("id").alias("x"), F.col("to_node").alias("node")).join(follows, "node").select("x", "y")
+    group = components(links, steps, "unitigs")
+    return runs.join(group.withColumnRenamed("node", "id"), "id", "left").select("src_block", "src_at", "n", F.coalesce("component", "id").alias("unitig"))
+
+
+def verified(paths: DataFrame, runs: DataFrame) -> DataFrame:
+    """(block, at, n, unitig): the pieces of ``paths`` that lie on a run of a unitig, by source coordinates.
+
+    Both are cut at multiples of ``BIN``, and paths that lead to one place are dealt into parts that each get its runs.
+    """
+    parts = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bins = F.sequence(F.floor(F.col("src_at") / BIN), F.floor((F.col("src_at") + F.col("n") - 1) / BIN))
+    p = paths.withColumn("deal", F.pmod(F.xxhash64("block", "at"), F.lit(parts)).cast("int")).withColumn("bin", F.explode(bins))
+    r = runs.select("src_block", F.col("src_at").alias("r_at"), F.col("n").alias("r_n"), "unitig", F.explode(bins).alias("bin"))
+    dealt = p.select("src_block", "bin", "deal").distinct().join(r, ["src_block", "bin"])
+    start = F.greatest("src_at", "r_at", F.col("bin") * BIN)
+    end = F.least(F.col("src_at") + F.col("n"), F.col("r_at") + F.col("r_n"), (F.col("bin") + 1) * BIN)
+    return p.join(dealt, ["src_block", "bin", "deal"]).where(start < end).select("block", (F.col("at") + start - F.col("src_at")).alias("at"), (end - start).alias("n"), "unitig")
 
-def compact(paths: DataFrame, rounds: int = 30) -> DataFrame:
-    """Unitigs of the path graph: src_doc, src_at, n (edges), copies, and head (where the unitig of the path begins).
 
-    Nodes are source coordinates. Where one path ends, one starts, and both have the same number of copies, they are
-    joined; heads are found by pointer jumping, so the joins needed grow with the logarithm of the longest chain.
-    """
-    edges = paths.groupBy("src_doc", "src_at", "n").agg(F.count("*").alias("copies"))
-    out_of = edges.groupBy("src_doc", F.col("src_at").alias("node")).agg(F.count("*").alias("n_out"), F.max("copies").alias("copies"))
-    into = edges.groupBy("src_doc", (F.col("src_at") + F.col("n")).alias("node")).agg(F.count("*").alias("n_in"), F.max("copies").alias("copies"), F.max("src_at").alias("previous"))
-    single = into.join(out_of, ["src_doc", "node", "copies"]).where("n_in = 1 and n_out = 1").select("src_doc", F.col("node").alias("src_at"), "previous")
-    heads = edges.join(single, ["src_doc", "src_at"], "left").withColumn("head", F.coalesce("previous", "src_at")).drop("previous").checkpoint()
-    moved = heads.where("head <> src_at").count()
-    for _ in range(rounds if moved else 0):
-        jump = heads.select("src_doc", F.col("src_at").alias("head"), F.col("head").alias("next")).where("next <> head").dropDuplicates(["src_doc", "head"])
-        heads = heads.join(jump, ["src_doc", "head"], "left").withColumn("moved", F.col("next").isNotNull()).withColumn("head", F.coalesce("next", "head")).drop("next").checkpoint()
-        if not heads.where("moved").limit(1).count():
-            break
-    return heads.select("src_doc", "src_at", "n", "copies", "head")
-
-
-def find_paths(spark: SparkSession, docs: DataFrame, k: int = 20) -> tuple[DataFrame, DataFrame]:
-    """The block table and the paths (``SEGMENT``; ``at`` counts words from the block's first)."""
-    C.prepare(spark)
-    blocks, n, _ = B.build(spark, docs, word_anchors(k), [])
+def find_paths(blocks: DataFrame, n: int, k: int, steps: C.Steps) -> tuple[DataFrame, DataFrame]:
+    """The paths and the edges of the graph (``GRAPH``); ``at`` counts words from the block's first."""
 
     def keys(b: B.Block):
         w = Words(b.text, b.offsets)
         return B.spread(C.joined(w.h, ANCHOR)[b.anchor] if len(b.anchor) else np.zeros(0, U)), np.searchsorted(w.offsets, b.first, "right") - 1
 
-    known = B.repeated_anchors(blocks, n, keys, within_text=True).checkpoint()
-    names = ["fp", "second", "doc", "at", "many"]
+    known = steps(B.repeated_anchors(blocks, n, keys, within_text=True), "anchors")
+    names = ["fp", "second", "doc", "at", "word", "many"]
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
             b = B.Block(row)
             e = Edges(b, B.codes_in(right), k)
-            columns = [(e.fp, "<u8"), (e.second, "<u4"), (e.first_doc, "<i8"), (e.first_at, "<u4"), (e.many, "u1")]
+            columns = [(e.fp, "<u8"), (e.second, "<u4"), (e.first_doc, "<i8"), (e.first_at, "<u4"), (e.word, "<u4"), (e.many, "u1")]
             out += [{"bucket": x, "block": b.block} | {c: C.raw(v[i:j], kind) for c, (v, kind) in zip(names, columns, strict=True)} for x, i, j in B.cuts(e.fp, n * 2)]
         return pa.Table.from_pylist(out, pa.schema([("bucket", pa.int32()), ("block", pa.int32()), *((c, pa.binary()) for c in names)]))
 
-    answer = "block int, bucket int, codes binary, src_doc binary, src_at binary, kind int"
-    named = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(send, "bucket int, block int, fp binary, second binary, doc binary, at binary, many binary").groupBy("bucket").applyInArrow(name_edges, answer).checkpoint()
-    both = named.unionByName(known.select("block", "bucket", "codes", F.lit(None).cast("binary").alias("src_doc"), F.lit(None).cast("binary").alias("src_at"), F.lit(1).alias("kind")))
+    sent = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(send, "bucket int, block int, " + ", ".join(f"{c} binary" for c in names))
+    named = steps(sent.groupBy("bucket").applyInArrow(name_edges, "block int, bucket int, codes binary, src_block binary, src_at binary, kind int"), "names")
+    both = named.unionByName(known.select("block", "bucket", "codes", F.lit(None).cast("binary").alias("src_block"), F.lit(None).cast("binary").alias("src_at"), F.lit(1).alias("kind")))
 
     def walk(left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.concat_tables([paths_of(B.Block(row), right, k) for row in left.to_pylist()])
+        return pa.concat_tables([graph_of(B.Block(row), right, k) for row in left.to_pylist()])
 
-    paths = blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(walk, SEGMENT).checkpoint()
-    return blocks, paths
+    graph = steps(blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(walk, GRAPH), "graph")
+    steps.drop("anchors", "names")
+    return graph.where("block is not null").select("block", "at", "n", "src_block", "src_at"), graph.where("block is null").select("src_block", "src_at", "from_node", "to_node")
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, k: int = 20) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
-    blocks, paths = find_paths(spark, docs, k)
-    unitigs = compact(paths)
-    gone = paths.join(unitigs.select("src_doc", "src_at", "n"), ["src_doc", "src_at", "n"]).select("block", "at", "n")
+    C.prepare(spark)
+    blocks, n, name = B.build(spark, docs, word_anchors(k), [])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -196,4 +229,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, k: int = 20) -> DataFra
             out.append(pa.table({"doc_id": pa.array(b.ids, pa.int64(), mask=b.ids == C.NULL_ID), "n_words": pa.array(np.diff(w.offsets), pa.int64()), "n_removed": pa.array(np.diff(removed), pa.int64()), "kept_sha256": pa.array(sha, pa.string())}))
         return pa.concat_tables(out)
 
-    return blocks.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    with C.Steps(spark) as steps:
+        paths, edges = find_paths(blocks, n, k, steps)
+        gone = verified(paths, unitigs(edges, steps)).select("block", "at", "n")
+        out = steps.keep(blocks.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string"), "kept")
+    B.discard(spark, name)
+    return out

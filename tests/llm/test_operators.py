@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from cirque.llm import blocks, byte_bpe, components, debruijn_dedup, decontaminate, feistel, jaccard_join, media, quality, suffix_array_dedup, toxicity, training_order
+from cirque.llm import blocks, byte_bpe, common, components, debruijn_dedup, decontaminate, feistel, jaccard_join, media, quality, suffix_array_dedup, toxicity, training_order
 
 WORD = rb"[^\x20\x09-\x0D]+"
 P = "the quick brown fox jumps over the lazy dog while a small bird sings in the old tree near our house and nobody ever hears it again "
@@ -92,11 +92,27 @@ def test_debruijn_against_brute_force(spark, docs):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), sum(gone), kept), i
 
 
-def test_compact_joins_a_chain(spark):
-    rows = [(1, 1, 100, 1, 5), (1, 2, 200, 1, 5)]
-    paths = spark.createDataFrame([(0, 9, k, n, 1, s) for k in (0, 50) for s, n in ((0, 5), (5, 7), (12, 3), (15, 2))] + [(0, 8, 0, 4, 1, 30)], debruijn_dedup.SEGMENT)
-    got = {(r.src_at, r.n): r.head for r in debruijn_dedup.compact(paths).collect()}
-    assert got == {(0, 5): 0, (5, 7): 0, (12, 3): 0, (15, 2): 0, (30, 4): 30} and rows
+def test_unitigs_join_runs_that_do_not_branch(spark):
+    # nodes a-b-c-d in block 0, d-e-f in block 1 (nothing branches), then f-g and f-h (f branches), and a ring x-y-x
+    rows = [(0, 0, 1, 2), (0, 1, 2, 3), (0, 2, 3, 4), (1, 7, 4, 5), (1, 8, 5, 6), (1, 9, 6, 7), (2, 3, 6, 8), (3, 0, 20, 21), (4, 5, 21, 20)]
+    edges = spark.createDataFrame(rows, "src_block int, src_at long, from_node long, to_node long")
+    got = {(r.src_block, r.src_at, r.n): r.unitig for r in debruijn_dedup.unitigs(edges, common.Steps(spark)).collect()}
+    assert set(got) == {(0, 0, 3), (1, 7, 2), (1, 9, 1), (2, 3, 1), (3, 0, 1), (4, 5, 1)}
+    assert got[0, 0, 3] == got[1, 7, 2] and got[3, 0, 1] == got[4, 5, 1]
+    assert len({got[0, 0, 3], got[1, 9, 1], got[2, 3, 1], got[3, 0, 1]}) == 4
+
+
+def test_what_no_unitig_confirms_stays(spark, docs, monkeypatch):
+    whole = {r.doc_id: r.n_removed for r in debruijn_dedup.remove_repeats(spark, docs, 20).collect()}
+    found = debruijn_dedup.unitigs
+
+    def without_the_first(edges, steps):
+        got = found(edges, steps)
+        return got.where(got.unitig != got.agg({"unitig": "min"}).first()[0])
+
+    monkeypatch.setattr(debruijn_dedup, "unitigs", without_the_first)
+    less = {r.doc_id: r.n_removed for r in debruijn_dedup.remove_repeats(spark, docs, 20).collect()}
+    assert set(less) == set(whole) and all(less[i] <= whole[i] for i in whole) and sum(less.values()) < sum(whole.values())
 
 
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (3, 30)])
