@@ -14,7 +14,8 @@ least t two sets share an n-gram among the first ``n - ceil(t n) + 1`` of each,
    column, yet a group in which many sets stay unlinked is compared in its square.
 
 Pairs pass a parity signature, in step 2 already where a column forms them: each n-gram flips one of 512 bits, so
-the bits in which two signatures differ are a lower bound of the n-grams that only one set has. What is left is verified by intersecting whole sets. A class is known by 64 bits made from two sums over its n-grams' hashes and its
+the bits in which two signatures differ are a lower bound of the n-grams that only one set has. What is left is verified by
+intersecting whole sets. A class is known by 64 bits made from two sums over its n-grams' hashes and its
 size; n-grams are 64-bit hashes themselves. Odd rows: null, empty and blank texts have no n-grams and link with nothing; a text
 with fewer words than n has its whole sequence as its one n-gram; a null doc_id counts as larger than every number.
 """
@@ -81,7 +82,7 @@ def signatures(keys: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def classes(docs: DataFrame, n: int) -> DataFrame:
-    """A row for each document (doc, node, n and the signature) and, with null doc, counts of n-grams by slot of the sketch."""
+    """A row for each document (doc, key of its text, node, n and the signature) and, with null doc, counts of n-grams by slot of the sketch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(SKETCH, np.int64)
@@ -91,15 +92,15 @@ def classes(docs: DataFrame, n: int) -> DataFrame:
             node, size = names(keys, offsets)
             none = pa.nulls(len(node), pa.int64())
             bits = signatures(keys, offsets)
-            yield pa.RecordBatch.from_arrays([pa.array(C.ids(batch.column("doc_id"))), pa.array(node), pa.array(size), none, none, *(pa.array(bits[:, k]) for k in range(8))], names=COLUMNS)
+            yield pa.RecordBatch.from_arrays([pa.array(C.ids(batch.column("doc_id"))), batch.column("key"), pa.array(node), pa.array(size), none, none, *(pa.array(bits[:, k]) for k in range(8))], names=COLUMNS)
         at = np.flatnonzero(seen)
         none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(at), pa.array(seen[at]), *[none] * 8], names=COLUMNS)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(at), pa.array(seen[at]), *[none] * 8], names=COLUMNS)
 
-    return docs.select("doc_id", "text").mapInArrow(work, ", ".join(f"{c} long" for c in COLUMNS))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(work, ", ".join(f"{c} long" for c in COLUMNS))
 
 
-COLUMNS = ["doc", "node", "n", "slot", "seen", *SIGNATURE]
+COLUMNS = ["doc", "key", "node", "n", "slot", "seen", *SIGNATURE]
 
 
 def ceil_share(percent: int, n):
@@ -123,29 +124,24 @@ def prefixes(docs: DataFrame, n: int, percent: int, order: np.ndarray) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(work, "h long, node long, n int, i int")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, grams): the whole set of each class in ``wanted`` (doc, node), from the text of its document."""
+def verified(pairs: DataFrame, class_of: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """``pairs`` (x, y) with ``linked``: whether 100 x common >= percent x union, by whole sets.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.slices(batches, "text"):
-            keys, offsets = sets(*C.utf8(batch.column("text")), n)
-            node, _ = names(keys, offsets)
-            ok = np.flatnonzero(node == batch.column("node").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(node[ok]), pa.array([C.raw(keys[offsets[k] : offsets[k + 1]], "<u8") for k in ok], pa.binary())], names=["node", "grams"])
-
-    rows = docs.select(F.coalesce("doc_id", F.lit(C.NULL_ID)).alias("doc"), "text").join(wanted, "doc").select("text", "node")
-    return rows.mapInArrow(work, "node long, grams binary")
-
-
-def verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (x, y) with ``linked``: whether 100 x common >= percent x union."""
-    both = pairs.join(grams.select(F.col("node").alias("x"), F.col("grams").alias("gx")), "x").join(grams.select(F.col("node").alias("y"), F.col("grams").alias("gy")), "y").select("x", "y", "gx", "gy")
+    Texts travel to the pairs, as they are smaller than their sets; each class is known by the id and text of one document.
+    """
+    texts = docs.select(F.coalesce("doc_id", F.lit(C.NULL_ID)).alias("doc"), F.xxhash64("text").alias("key"), "text").where("text is not null").dropDuplicates(["doc", "key"])
+    end = lambda s: class_of.select(F.col("node").alias(s), F.col("doc").alias(f"{s}doc"), F.col("key").alias(f"{s}key"))
+    text = lambda s: texts.select(F.col("doc").alias(f"{s}doc"), F.col("key").alias(f"{s}key"), F.col("text").alias(f"t{s}"))
+    both = pairs.select("x", "y").join(end("x"), "x").join(end("y"), "y").join(text("x"), ["xdoc", "xkey"]).join(text("y"), ["ydoc", "ykey"]).select("x", "y", "tx", "ty")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in C.slices(batches, "tx"):
+            x, at_x = sets(*C.utf8(batch.column("tx")), n)
+            _, once, of = np.unique(batch.column("y").to_numpy(), return_index=True, return_inverse=True)
+            y, at_y = sets(*C.utf8(batch.column("ty").take(pa.array(once))), n)
             out = []
-            for gx, gy in zip(batch.column("gx"), batch.column("gy"), strict=True):
-                p, q = np.frombuffer(gx.as_buffer(), np.uint64), np.frombuffer(gy.as_buffer(), np.uint64)
+            for i, j in enumerate(of.tolist()):
+                p, q = x[at_x[i] : at_x[i + 1]], y[at_y[j] : at_y[j + 1]]
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 out.append(100 * common >= percent * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(out, pa.bool_())], names=["x", "y", "linked"])
@@ -201,7 +197,7 @@ def heads(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFra
         for r in seen.where("slot is not null").groupBy("slot").agg(F.sum("seen").alias("seen")).collect():  # SKETCH rows at most
             order[r["slot"]] = r["seen"]
         docs_of = seen.where("slot is null").select("doc", "node", "n")
-        class_of = seen.where("slot is null and n > 0").groupBy("node").agg(F.min("doc").alias("doc"), *(F.max(c).alias(c) for c in SIGNATURE))
+        class_of = seen.where("slot is null and n > 0").groupBy("node").agg(F.min(F.struct("doc", "key")).alias("first"), *(F.max(c).alias(c) for c in SIGNATURE)).select("node", "first.*", *SIGNATURE)
         rows = steps(prefixes(docs, n, percent, order), "prefixes")
         shared = steps(in_several(rows, percent, steps), "columns")
         steps.drop("prefixes", "members")
@@ -211,11 +207,8 @@ def heads(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFra
         star = star.where(F.col("common") * 5 >= small - ceil_floor(small, percent) + 1)
         sign = class_of.select("node", *SIGNATURE)
         as_side = lambda s: sign.select(*(F.col(c).alias(s if c == "node" else s + c) for c in sign.columns))
-        star = star.join(as_side("x"), "x").join(as_side("y"), "y").where(may_link("x", "y", percent)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        # whole sets of the classes that can be in a pair, once for all steps
-        wanted = shared.select("node").distinct().join(class_of.select("node", "doc"), "node")
-        grams = steps(full_sets(docs, wanted, n), "sets")
-        tried = steps(verified(star, grams, percent), "star")
+        star = star.join(as_side("x"), "x").join(as_side("y"), "y").where(may_link("x", "y", percent)).select(F.col("y").alias("x"), F.col("x").alias("y"))
+        tried = steps(verified(star, class_of, docs, n, percent), "star")
         links = tried.where("linked").select("x", "y")
         held = steps(several_components(shared, components(links, steps, "star_groups"), sign), "mixed")
         steps.drop("columns", "star_groups")
@@ -224,9 +217,9 @@ def heads(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFra
         side = lambda c, low: F.when(first == F.lit(low), F.col(f"u{c}")).otherwise(F.col(f"v{c}"))
         cross = cross.groupBy(F.least("unode", "vnode").alias("x"), F.greatest("unode", "vnode").alias("y")).agg(F.count("*").alias("common"), F.max(side("n", True)).alias("xn"), F.max(side("n", False)).alias("yn"), F.max(side("i", True)).alias("xi"), F.max(side("i", False)).alias("yi"))
         bound = F.col("common") + F.least(F.col("xn") - 1 - F.col("xi"), F.col("yn") - 1 - F.col("yi"))
-        cross = cross.where(bound * (100 + percent) >= (F.col("xn") + F.col("yn")) * percent).join(tried.select("x", "y"), ["x", "y"], "left_anti")
-        more = steps(verified(cross.select("x", "y"), grams, percent), "cross").where("linked").select("x", "y")
-        steps.drop("mixed", "sets")
+        cross = cross.where(bound * (100 + percent) >= (F.col("xn") + F.col("yn")) * percent).join(tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
+        more = steps(verified(cross, class_of, docs, n, percent), "cross").where("linked").select("x", "y")
+        steps.drop("mixed")
         group = components(links.unionByName(more), steps, "groups")
         least = class_of.join(group, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
         of = least.join(least.groupBy("component").agg(F.min(F.struct("doc", "node")).alias("first")), "component").select("node", F.col("first.doc").alias("least"), F.col("first.node").alias("head"))
