@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def held(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the shared folder of spark.checkpoint.dir, so that lost executors and later uses do not recompute it."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session; only a single machine may use a folder of its own."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def held(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the shared folder of spark.checkpoint.dir, so that lost executors and later uses do not recompute it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

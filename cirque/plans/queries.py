@@ -511,3 +511,25 @@ def a8_genome_report(spark, d):
 @query(f"{REPORT} SELECT DISTINCT species_tax_id FROM report WHERE total_len > 0 AND code LIKE '%Y%'")
 def u4_species_with_type(spark, d):
     return S.species_with_type(_report(spark, d))
+
+
+@query(f"{with_views('ad_features')} SELECT assembly, replicon, ord, CASE feature_type WHEN 'Gene' THEN 'Gene' WHEN 'CDS' THEN 'CDS' WHEN 'tRNA' THEN 'tRNA' WHEN 'Pseudogene' THEN 'Pseudogene' ELSE 'Region' END AS kind, start_bound, end_bound, CASE WHEN ord % 3 = 0 THEN 'Forward' WHEN ord % 3 = 1 THEN 'Reverse' ELSE 'Other' END AS sense FROM ad_features")
+def p3_feature_columns(spark, d):
+    start, end = P.to_bounds(F.col("start_bound") + 1, F.col("end_bound"))
+    sign = F.when(F.col("ord") % 3 == 0, "+").when(F.col("ord") % 3 == 1, "-").otherwise(".")
+    return view(spark, d, "ad_features").select("assembly", "replicon", "ord", P.normalize_feature_type(F.upper("feature_type")).alias("kind"), start.alias("start_bound"), end.alias("end_bound"), P.strand_of(sign).alias("sense"))
+
+
+@query(f"{with_views('ad_sequences')} SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN '5''-' || seq || '-3''' ELSE '3''-' || reverse(seq) || '-5''' END) AS shown_md5 FROM ad_sequences")
+def p14_site_display_seq(spark, d):
+    strand = F.when(F.col("doc_id") % 2 == 0, "Forward").otherwise("Reverse")
+    return view(spark, d, "ad_sequences").select("doc_id", F.md5(P.site_display_seq(F.col("seq"), strand).cast("binary")).alias("shown_md5"))
+
+
+_TURN = "(2 * pi() * (end_bound - start_bound) / len)"
+
+
+@query(f"{with_views('ad_sites')} SELECT site_id, round(least({_TURN}, 2 * pi() - {_TURN}), 6) AS angle, round(sin({_TURN}), 6) + 0.0 AS turn, round(sqrt(2 + 2 * cos({_TURN})), 6) AS together, round(sqrt(2 - 2 * cos({_TURN})), 6) AS apart FROM ad_sites")
+def p11_vectors(spark, d):
+    u, v = G.unit_vector(F.col("start_bound"), F.col("len")), G.unit_vector(F.col("end_bound"), F.col("len"))
+    return view(spark, d, "ad_sites").select("site_id", F.round(G.vec_angle(u, v), 6).alias("angle"), (F.round(G.vec_cross(u, v), 6) + 0.0).alias("turn"), F.round(G.vec_norm(G.vec_add(u, v)), 6).alias("together"), F.round(G.vec_norm(G.vec_sub(u, G.vec_scale(v, 1.0))), 6).alias("apart"))
