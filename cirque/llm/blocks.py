@@ -107,7 +107,8 @@ def build(spark: SparkSession, docs: DataFrame, anchors: Callable[[np.ndarray, n
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / BLOCK_BYTES))
     files = min(FILES, max(1, math.ceil(n / PER_FILE)))
-    picked = docs.select("doc_id", "text", *rest).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    rest = {f"rest{k}": name for k, name in enumerate(rest)}  # under names of their own, so that none can clash
+    picked = docs.select("doc_id", "text", *(F.col(f"`{name}`").alias(k) for k, name in rest.items())).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
     schema = pa.schema([("block", pa.int32()), ("bucket_rows", pa.int32()), *((x, pa.binary()) for x in ("ids", "sizes", "text", "first", "ahead", "own", "rest"))])
 
     def pack(t: pa.Table) -> pa.Table:

@@ -249,13 +249,13 @@ def keep_one(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80
     A doc_id tells what becomes of its row where it occurs once; rows that share one, or null, are told apart by class.
     """
     group = heads(spark, docs, n, percent)
-    keyed = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(C.NULL_ID)))
-    drop = group.where("n > 0 and doc <> least").select(F.col("doc").alias("_doc")).distinct()
-    twice = group.groupBy("doc").count().where("count > 1").select(F.col("doc").alias("_doc"))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce("doc_id", F.lit(C.NULL_ID)).alias("doc"))
+    drop = group.where("n > 0 and doc <> least").select("doc").distinct()
+    twice = group.groupBy("doc").count().where("count > 1").select("doc")
     if not twice.limit(1).count():
-        return keyed.join(drop, "_doc", "left_anti").select(*docs.columns)
-    single = keyed.join(twice, "_doc", "left_anti").join(drop, "_doc", "left_anti").select(*docs.columns)
-    shared = named(keyed.join(twice, "_doc", "left_semi").select(*keyed.columns), n)
-    first = group.where("n > 0 and doc = least and node = head").select(F.col("doc").alias("_doc"), F.col("node").alias("_node")).distinct()
-    kept = shared.where("_n > 0").join(first, ["_doc", "_node"], "left_semi").dropDuplicates(["_doc", "_node"])
-    return single.unionByName(kept.select(*docs.columns)).unionByName(shared.where("_n = 0").select(*docs.columns))
+        return keyed.join(drop, "doc", "left_anti").select("row.*")
+    single = keyed.join(twice, "doc", "left_anti").join(drop, "doc", "left_anti")
+    shared = named(keyed.join(twice, "doc", "left_semi").select("row", "doc", "row.text"), n)
+    first = group.where("n > 0 and doc = least and node = head").select("doc", F.col("node").alias("_node")).distinct()
+    kept = shared.where("_n > 0").join(first, ["doc", "_node"], "left_semi").dropDuplicates(["doc", "_node"])
+    return single.select("row.*").unionByName(kept.select("row.*")).unionByName(shared.where("_n = 0").select("row.*"))

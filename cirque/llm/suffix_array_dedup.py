@@ -326,8 +326,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50, rest:
             out.append(pa.table([pa.array([k for k, _, _ in cuts], pa.int32()), pa.array([b.block] * len(cuts), pa.int32()), *(pa.array([f(i, j) for _, i, j in cuts], pa.binary()) for f in (lambda i, j: C.raw(r.own[i:j], "u1"), lambda i, j: C.raw(r.least[i:j], "<i8"), lambda i, j: C.raw(r.content[i:j], "<u8"), r.text))], schema=record_schema))
         return pa.concat_tables(out)
 
-    kept = [f for f in docs.select(*rest).schema.fields] if rest else []
-    types = {f.name: f.dataType.simpleString() for f in docs.select("doc_id", *rest).schema.fields}
+    kept = [docs.schema[c] for c in rest]
+    types = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", *rest)}
 
     def digest(b: B.Block, gone: np.ndarray) -> pa.Table:
         edge = np.zeros(len(gone) + 1, bool)
@@ -343,7 +343,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50, rest:
         extra = pa.ipc.open_stream(b.rest).read_all()
         null = extra.column("text").to_pylist()
         columns = {"doc_id": extra.column("doc_id"), "text": pa.array([None if m else x for m, x in zip(null, out, strict=True)], pa.string())}
-        return pa.table(columns | {f.name: extra.column(f.name) for f in kept})
+        return pa.table([*columns.values(), *(extra.column(2 + k) for k in range(len(kept)))], names=["doc_id", "text", *(f.name for f in kept)])
 
     wanted = ("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digests else ", ".join([f"doc_id {types['doc_id']}", "text string", *(f"`{f.name}` {types[f.name]}" for f in kept)]))
     make = digest if digests else texts

@@ -334,3 +334,84 @@ def test_decontaminate_against_plain_edit_distance(spark, inside):
     assert got == want and any(want.values())
     clean = {r.doc_id for r in decontaminate.keep_clean(docs, spark.createDataFrame(items, "item_id long, text string"), inside=inside).collect()}
     assert clean == set(range(len(texts))) - {d for d, _ in want}
+
+
+def plain_statistics(text):
+    b = (text or "").encode()
+    if not b:
+        return [0.0] * len(quality.NAMES)
+    words = re.findall(WORD, b)
+    low = [re.sub(rb"[A-Z]", lambda m: m[0].lower(), w) for w in words]
+    n, size = len(words), len(b)
+    symbol = lambda c: 32 < c < 127 and not chr(c).isalnum() and c not in b",."
+    share = lambda a, k: a / max(k, 1)
+    pairs, lines = list(zip(low, low[1:], strict=False)), b.count(b"\n") + 1
+    stops = share(b.count(b".") + b.count(b","), n + 1) * (n + 1)
+    return [
+        np.log1p(n), np.log1p(share(size, n)), np.sqrt(share(sum(map(symbol, b)), size)), np.sqrt(sum(65 <= c <= 90 for c in b) / size), np.sqrt(sum(48 <= c <= 57 for c in b) / size),
+        len(set(low)) / max(n, 1) ** 0.85, np.sqrt(share(sum(x == y for x, y in pairs), n)), share(len(set(pairs)), len(pairs)), np.sqrt(share(sum(any(map(symbol, w)) for w in words), n)),
+        np.log1p(lines * 100 / size), np.log1p(n / lines), max((b.count(bytes([c])) for c in range(33, 256)), default=0) / size, np.log((stops + 0.5) / (n + 1 - stops + 0.5)) / 4,
+    ]
+
+
+def test_quality_against_plain_densities(spark, docs):
+    raw = [(t or "").encode() for _, t in odd_rows()]
+    x = quality.statistics(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert np.allclose(x, [plain_statistics(t) for _, t in odd_rows()])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in odd_rows() if i] + [(6, None, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.score(docs, labels).collect()}
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    mine = {i: np.array(plain_statistics(t)) for i, t in odd_rows()}
+    rows = {c: np.array([mine[i] for i, _ in odd_rows() if i and not held(i) and i % 2 == c]) for c in (0, 1)}
+    cov = {c: np.cov(v.T, bias=True) for c, v in rows.items()}
+    total = sum(map(len, rows.values()))
+    pooled = sum(len(rows[c]) * cov[c] for c in rows) / total
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-12))
+    for i, _ in odd_rows():
+        log = {}
+        for c, v in rows.items():
+            s = (0.9 * cov[c] + 0.1 * pooled) / np.outer(scale, scale)
+            s = 0.98 * s + 0.02 * np.trace(s) / len(s) * np.eye(len(s)) + 1e-9 * np.eye(len(s))
+            z = (mine[i] - v.mean(0)) / scale
+            log[c] = np.log(len(v) / total) - 0.5 * z @ np.linalg.solve(s, z) - 0.5 * np.linalg.slogdet(s)[1]
+        assert got[i].held_out == held(i) and abs(got[i].score - 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))) < 1e-6
+        assert got[i].predicted == int(got[i].score >= 0.3)
+
+
+def plain_slots(text):
+    code = [ord(c) for c in " " + re.sub(r"[A-Z]", lambda m: m[0].lower(), text or "") + " "]
+    out = set()
+    for k in toxicity.SIZES:
+        for i in range(len(code) - k + 1):
+            h = 0
+            for c in code[i : i + k]:
+                h = (h * 0x9E3779B97F4A7C15 + c) % 2**64
+            h = (h + k - 1) % 2**64
+            out.add(((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % 2**64) >> 47)
+    return out
+
+
+def test_toxicity_against_plain_log_ratios(spark):
+    rng = np.random.default_rng(2)
+    word = lambda c: rng.choice(["you vile", "awful scum", "rotten"] if c else ["good day", "warm rain", "Tea"])
+    rows = [(i, " ".join(word(i % 3 == 0) for _ in range(rng.integers(1, 9))) + rng.choice(["", " é"]), i % 3 == 0) for i in range(90)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, None, int(t)) for i, _, t in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    used = [(int(t), plain_slots(x)) for i, x, t in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    total = np.zeros((2, toxicity.SLOTS))
+    for c, s in used:
+        total[c][list(s)] += 1
+    n = [sum(c == k for c, _ in used) for k in (0, 1)]
+    ratio = np.log((total[1] + 1) / (total[1] + 1).sum() / ((total[0] + 1) / (total[0] + 1).sum()))
+    kept = np.flatnonzero(model["place"] >= 0)
+    seen = total.sum(0)
+    strength = (total[1] - seen * n[1] / sum(n)) ** 2 / np.maximum(seen * n[1] / sum(n), 1e-9) * (seen >= 5)
+    assert len(kept) == toxicity.KEPT and strength[kept].min() >= np.delete(strength, kept).max()
+    at = [(c, np.array(sorted(model["place"][k] for k in s if model["place"][k] >= 0), np.uint16)) for c, s in used]
+    weight, bias = toxicity.logistic(sorted(at, key=lambda r: (r[0], r[1].tobytes())), ratio[kept])
+    assert np.allclose(weight, model["weight"], atol=1e-4) and abs(bias - model["bias"]) < 1e-3
+    got = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
+    for i, x, t in rows:
+        z = sum(weight[model["place"][k]] for k in plain_slots(x) if model["place"][k] >= 0) + bias
+        assert abs(got[i].score - 1 / (1 + np.exp(-z))) < 1e-3 and got[i].predicted == int(t)
