@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U = np.uint64
 NULL_ID = np.iinfo(np.int64).max  # a null doc_id sorts after every number
@@ -55,6 +56,18 @@ def step(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
+def dealt_join(left: DataFrame, right: DataFrame, on: str, by: str) -> DataFrame:
+    """Inner join with ``right``, which has one row for each ``on``; rows of ``left`` with one value are dealt by ``by``.
+
+    A value goes to as many parts as hold any of its rows, at most the number of shuffle partitions, so that a value that
+    a third of all rows have does not make one task of them.
+    """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = left.withColumn("_deal", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    known = dealt.select(on, "_deal").distinct().join(right, on)
+    return dealt.join(known, [on, "_deal"]).drop("_deal")
+
+
 def blank(df: DataFrame, *names: str) -> DataFrame:
     """The columns the operator needs, in order; others are dropped so that none can clash."""
     return df.select(*names)

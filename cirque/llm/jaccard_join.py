@@ -222,8 +222,10 @@ def heads(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFra
         steps.drop("mixed")
         group = components(links.unionByName(more), steps, "groups")
         least = class_of.join(group, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
-        of = least.join(least.groupBy("component").agg(F.min(F.struct("doc", "node")).alias("first")), "component").select("node", F.col("first.doc").alias("least"), F.col("first.node").alias("head"))
-        return steps.keep(docs_of.join(of, "node", "left").select("doc", "node", "n", "least", "head"), "heads")
+        of = C.dealt_join(least, least.groupBy("component").agg(F.min(F.struct("doc", "node")).alias("first")), "component", "node").select("node", F.col("first.doc").alias("least"), F.col("first.node").alias("head"))
+        some = C.dealt_join(docs_of.where("n > 0"), of, "node", "doc").select("doc", "node", "n", "least", "head")
+        none = F.lit(None).cast("long")
+        return steps.keep(some.unionByName(docs_of.where("n = 0").select("doc", "node", "n", none.alias("least"), none.alias("head"))), "heads")
 
 
 def groups(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFrame:
