@@ -14,8 +14,10 @@ def components(links: DataFrame, steps: C.Steps | None = None, name: str = "comp
     In a round a node takes the least label of its label and of its neighbours' labels, and hands what it takes on to the
     node that its label names, so that whole trees join at once and long chains take few rounds. Labels only fall, and
     rounds go on until none does; then every link has one label at both ends. Each round is written and the one before
-    deleted; the last one belongs to ``steps``. Labels and hubs that many nodes share are dealt into parts. Links to oneself and repeated links change nothing, a link with a null
-    end is left out, and an empty table has no components.
+    deleted; the last one belongs to ``steps``. Labels and hubs that many nodes share are dealt into parts.
+
+    Links to oneself and repeated links change nothing, a link with a null end is left out, and an empty table has no
+    components.
     """
     steps = steps or C.Steps(links.sparkSession)
     some = links.where("x is not null and y is not null")

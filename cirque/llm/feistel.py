@@ -7,7 +7,7 @@ permuted again until it falls inside (fewer than four times on average, as the d
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,8 @@ def permute(x: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "row") -> tuple[DataFrame, int]:
-    """``df`` with a global row number from 0 in the order of ``order``, and the number of rows.
+def numbered(df: DataFrame, order: list[str], name: str = "row", place: Callable[[np.ndarray, int], np.ndarray] | None = None) -> tuple[DataFrame, int]:
+    """``df`` with a global row number from 0 in the order of ``order``, and the number of rows; with ``place`` what that makes of numbers and total.
 
     Nothing but one count for each partition reaches the driver. Rows equal in all of ``order`` may come in either order.
     """
@@ -59,7 +59,8 @@ def numbered(df: DataFrame, order: list[str], name: str = "row") -> tuple[DataFr
             if b.num_rows:
                 at = offset[b.column("_part")[0].as_py()] + seen
                 seen += b.num_rows
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(np.arange(at, at + b.num_rows))], names=[*kept, name])
+                row = np.arange(at, at + b.num_rows)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(place(row, total) if place else row)], names=[*kept, name])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"{name} long"])
     return placed.mapInArrow(number, schema), total
@@ -67,21 +68,15 @@ def numbered(df: DataFrame, order: list[str], name: str = "row") -> tuple[DataFr
 
 def shuffled(df: DataFrame, order: list[str], key: int, name: str = "place") -> tuple[DataFrame, int]:
     """``df`` with each row's place in the shuffled order, and the number of rows."""
-    rows, total = numbered(df, order, name)
-    kept = df.columns
-
-    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(permute(b.column(name).to_numpy(), total, key))], names=[*kept, name])
-
-    return rows.mapInArrow(move, rows.schema), total
+    return numbered(df, order, name, lambda row, total: permute(row, total, key))
 
 
 def shards(docs: DataFrame, count: int = 16, key: int = 20240607) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: law ``rows``, shard sizes at most one row apart.
 
     Place p of the shuffled order is slot p // count of shard p % count. A null text has size 1 and checksum 0; equal
-    doc_ids are told apart by size and checksum, and rows equal in all three are interchangeable.
+    doc_ids, null ones too, are told apart by size and checksum, and rows equal in all three are interchangeable: each has
+    a place of its own. An empty table has no shards. Other columns are not read.
     """
     slim = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"))
     rows, _ = shuffled(slim, ["doc_id", "size", "text_crc32"], key)
