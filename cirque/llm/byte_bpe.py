@@ -6,7 +6,8 @@ unseen ones, a batch at a time. Decoding maps each token's printable characters
 joined before they are read as UTF-8, so characters split over several tokens come out whole.
 
 Results for odd rows: null and empty texts have no tokens and decode to empty; special tokens are never produced,
-their strings in a text are ordinary text.
+their strings in a text are ordinary text. Rows that repeat or share an id are encoded each; an empty table gives an
+empty one; ``encode`` passes other columns through, ``round_trip`` does not read them.
 """
 
 from __future__ import annotations

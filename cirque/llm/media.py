@@ -7,7 +7,7 @@ row), one for each distinct payload; ``read_back`` takes samples out of stored b
 nobody stored leaves nulls. Payloads stay on their side of the join: only features cross it.
 
 Results for odd rows: null or empty HTML has an empty sequence; a null text is an empty payload, which is stored as 64
-zeros; equal texts give equal rows.
+zeros; equal texts give equal rows; rows that repeat or share an id have a row each; an empty table gives an empty one.
 """
 
 from __future__ import annotations
