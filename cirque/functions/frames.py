@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,3 +23,15 @@ def held(df: DataFrame) -> DataFrame:
     """``df`` as a checkpoint in the shared folder of spark.checkpoint.dir, so that lost executors and later uses do not recompute it."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def dealt_join(left: DataFrame, right: DataFrame, on: str, by: str, how: str = "inner") -> DataFrame:
+    """Join with ``right``, which has one row for each ``on``; rows of ``left`` with one value are dealt by ``by`` into parts.
+
+    ``right`` is copied once for each part that holds the value, so a value that a third of all rows have does not make
+    one task of them. ``how`` is inner or left.
+    """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = left.withColumn("_deal", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    known = dealt.select(on, "_deal").distinct().join(right, on)
+    return dealt.join(known, [on, "_deal"], how).drop("_deal")

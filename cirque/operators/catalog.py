@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cirque.functions.frames import held
+from cirque.functions.frames import dealt_join, held
 
 #: Levels that count as complete, sources by prefix, e-value cuts by hit type.
 COMPLETE = ("complete genome", "chromosome")
@@ -177,20 +177,27 @@ def top_targets_per_query(hits: DataFrame, k: int = 25_000) -> DataFrame:
     return hits.join(best.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select("qseqid", "replicon"), ["qseqid", "replicon"], "left_semi")
 
 
-def lineage(ids: DataFrame, nodes: DataFrame, depth: int = 1000) -> DataFrame:
-    """(tax_id, node, up): each id with itself and its ancestors, by a loop of joins over the ids not yet at a root.
+def lineage(ids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(tax_id, node, up): each id with itself and its ancestors, by pointer doubling.
 
-    Goes on until every id has reached its root; more than ``depth`` steps mean a cycle, which is an error.
+    Round i knows for each node the ancestor 2^i steps up and gives every id the ancestors from 2^i to 2^(i+1)-1 steps
+    up, so a tree of depth d takes log2(d)+1 rounds. A root is its own parent, or has none, or one without an entry that
+    goes further up. Nodes from which ancestors go on for more steps than there are nodes lie above a cycle, which is an
+    error. Ids and nodes that occur repeatedly count once, null ids and ids without an entry have only themselves.
     """
-    nodes = nodes.select(F.col("tax_id").alias("node"), "parent_id")
-    at = ids.select("tax_id", F.col("tax_id").alias("node"), F.lit(0).alias("up"))
-    out = at
-    for up in range(1, depth + 1):
-        at = held(at.join(nodes, "node").where("parent_id <> node").select("tax_id", F.col("parent_id").alias("node"), F.lit(up).alias("up")))
-        if not at.limit(1).count():
-            return out
-        out = out.unionByName(at)
-    raise ValueError(f"a lineage has more than {depth} steps")
+    jump = held(nodes.where("parent_id <> tax_id").groupBy(F.col("tax_id").alias("node")).agg(F.max("parent_id").alias("far")))
+    total = nodes.count()
+    out = ids.select("tax_id").distinct().select("tax_id", F.col("tax_id").alias("node"), F.lit(0).alias("up"))
+    span = 1
+    while jump.limit(1).count():
+        if span > total:
+            raise ValueError("the taxonomy has a cycle")
+        both = F.array_compact(F.array(F.struct("node", "up"), F.when(F.col("far").isNotNull(), F.struct(F.col("far").alias("node"), (F.col("up") + span).alias("up")))))
+        out = held(dealt_join(out, jump, "node", "tax_id", "left").select("tax_id", F.explode(both).alias("x")).select("tax_id", "x.node", "x.up"))
+        again = jump.select(F.col("node").alias("far"), F.col("far").alias("further"))
+        jump = held(dealt_join(jump, again, "far", "node").select("node", F.col("further").alias("far")))
+        span *= 2
+    return out
 
 
 def species_of(ids: DataFrame, species: DataFrame) -> DataFrame:
@@ -200,7 +207,8 @@ def species_of(ids: DataFrame, species: DataFrame) -> DataFrame:
 
 def lineage_name(ids: DataFrame, nodes: DataFrame, skip: int = 2) -> DataFrame:
     """tax_id and lineage: names from the root down, joined by ' / ', without the first ``skip``."""
-    x = lineage(ids, nodes).join(nodes.select(F.col("tax_id").alias("node"), "name"), "node")
+    named = nodes.groupBy(F.col("tax_id").alias("node")).agg(F.max("name").alias("name"))
+    x = dealt_join(lineage(ids, nodes), named, "node", "tax_id")
     names = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("k"), "name"))), lambda s: s["name"])
     x = x.groupBy("tax_id").agg(names.alias("n"))
     return x.select("tax_id", F.array_join(F.slice("n", skip + 1, F.greatest(F.size("n"), F.lit(1))), " / ").alias("lineage"))
