@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, debruijn_dedup, decontaminate, feistel, jaccard_join, media, quality, suffix_array_dedup, toxicity, training_order
+from . import byte_bpe, conversation_repair, debruijn_dedup, decontaminate, feistel, jaccard_join, media, prefix_trie, quality, simhash, suffix_array_dedup, toxicity, training_order
 from .common import table
 
 
@@ -52,6 +52,18 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel.shards(table(spark, sf_dir, "documents"), 16)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repairs(table(spark, sf_dir, "conversations"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(spark, table(spark, sf_dir, "documents"), 3)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark, table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
