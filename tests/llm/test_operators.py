@@ -415,3 +415,17 @@ def test_toxicity_against_plain_log_ratios(spark):
     for i, x, t in rows:
         z = sum(weight[model["place"][k]] for k in plain_slots(x) if model["place"][k] >= 0) + bias
         assert abs(got[i].score - 1 / (1 + np.exp(-z))) < 1e-3 and got[i].predicted == int(t)
+
+
+def test_toxicity_takes_one_row_of_an_id(spark, monkeypatch):
+    from cirque.llm import toxicity as X
+
+    rows = [(1, f"text {i}") for i in range(50)] + [(i, f"other {i}") for i in range(2, 60)]
+    sizes = []
+    monkeypatch.setattr(X, "SAMPLE", 40)
+    keep = X.logistic
+    monkeypatch.setattr(X, "logistic", lambda rows, *a: sizes.append(len(rows)) or keep(rows, *a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(1, 60)], "doc_id long, quality int, toxic int")
+    assert X.score(docs, labels).count() == len(rows)
+    assert sizes and sizes[0] <= 40
