@@ -46,8 +46,6 @@ def analyse(spark: SparkSession, catalog: str, sequences: str, annotation: str,
 
 
 def write_reports(reports: Reports, folder: str) -> None:
-    """Each report tab-separated and in the order of its places, below ``folder``."""
-    sinks.write_summary(reports.genomes, f"{folder}/genomes", ("assembly",))
-    sinks.write_summary(reports.sites.drop("site_id"), f"{folder}/sites", ("replicon", "start_ordinal"))
-    sinks.write_summary(reports.operons, f"{folder}/operons", ("replicon", "start_ordinal"))
-    sinks.write_summary(reports.orphans, f"{folder}/orphans", ("replicon", "start_ordinal"))
+    """The four reports tab-separated and in the order of their places below ``folder``, all or none."""
+    place = ("replicon", "start_ordinal")
+    sinks.write_together({"genomes": (reports.genomes, ("assembly",)), "sites": (reports.sites.drop("site_id"), place), "operons": (reports.operons, place), "orphans": (reports.orphans, place)}, folder)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cirque.functions.frames import shared_folder
+from cirque.operators import catalog as A
 from cirque.sources import readers as R
 from cirque.sources import sinks as K
 
@@ -25,6 +27,16 @@ def _lines(df: DataFrame, line: Column, folder: str, by: str | None = None) -> s
     return folder
 
 
+def _renamed(spark: SparkSession, pattern: str, name: Callable[[int], str]) -> None:
+    """Gives files that Spark has written the names that a format asks for."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(pattern).getFileSystem(spark._jsc.hadoopConfiguration())
+    for k, f in enumerate(fs.globStatus(path(pattern)) or []):
+        target = path(name(k))
+        fs.mkdirs(target.getParent())
+        fs.rename(f.getPath(), target)
+
+
 def _tabs(*columns) -> Column:
     return F.concat_ws("\t", *columns)
 
@@ -60,29 +72,27 @@ def s3_gff_round_trip(spark, d):
     return got.select(F.regexp_replace("assembly", "^assembly=", "").alias("assembly"), "replicon", "strand", "start_bound", "end_bound", "feature_type", a["ID"].alias("id"), a["Name"].alias("name"))
 
 
-@query(f"{with_views('ad_hits')} SELECT replicon, sstart, send, match_length, CAST(sframe AS INT) AS sframe, qseqid, assoc_type FROM ad_hits")
+@query(f"{with_views('ad_hits')} SELECT replicon, sstart, send, match_length, CAST(sframe AS INT) AS sframe, pident, round(evalue * 1e13, 6) AS evalue_e13, qseqid, CAST(hit_id % 50 + 1 AS BIGINT) AS qstart, CAST(hit_id % 50 + match_length AS BIGINT) AS qend, assoc_type FROM ad_hits")
 def s4_hits_round_trip(spark, d):
     folder = _folder(spark, "hits")
-    line = _tabs("replicon", *(_text(c) for c in ("sstart", "send", "match_length", "sframe", "pident")), F.lit("1e-20"), "qseqid", F.lit("1"), F.lit("9"))
+    at = F.col("hit_id") % 50
+    line = _tabs("replicon", *(_text(c) for c in ("sstart", "send", "match_length", "sframe", "pident", "evalue")), "qseqid", (at + 1).cast("string"), (at + F.col("match_length")).cast("string"))
     files = _lines(view(spark, d, "ad_hits"), line, f"{folder}/parts", "assoc_type")
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(hadoop.Path(f"{folder}/named"))
     for kind in ("CopA", "CupA", "CopY", "CopZ"):  # a hit file is named by its type
-        for k, f in enumerate(fs.globStatus(hadoop.Path(f"{files}/assoc_type={kind}/part-*")) or []):
-            fs.rename(f.getPath(), hadoop.Path(f"{folder}/named/{kind}.{k}"))
-    return R.read_hits(spark, f"{folder}/named").select("replicon", "sstart", "send", "match_length", "sframe", "qseqid", "assoc_type")
+        _renamed(spark, f"{files}/assoc_type={kind}/part-*", lambda k, kind=kind: f"{folder}/named/{kind}.{k}")
+    got = R.read_hits(spark, f"{folder}/named")
+    return got.select("replicon", "sstart", "send", "match_length", "sframe", "pident", F.round(F.col("evalue") * 1e13, 6).alias("evalue_e13"), "qseqid", "qstart", "qend", "assoc_type")
 
 
-@query(f"{with_views('ad_tax_nodes', 'ad_tax_species')} SELECT n.tax_id, n.parent_id, n.name, s.species_id FROM ad_tax_nodes n LEFT JOIN ad_tax_species s USING (tax_id)")
+@query(f"{with_views('ad_tax_nodes', 'ad_tax_species')} SELECT n.tax_id, n.parent_id, n.name, 'rank ' || CAST(n.parent_id % 7 AS VARCHAR) AS rank, s.species_id FROM ad_tax_nodes n LEFT JOIN ad_tax_species s USING (tax_id)")
 def s5_taxonomy_round_trip(spark, d):
     nodes, bar = view(spark, d, "ad_tax_nodes"), "\t|\t"
     dump = lambda *c: F.concat(F.concat_ws(bar, *c), F.lit("\t|"))
     names = _lines(nodes.withColumn("kind", F.explode(F.array(F.lit("scientific name"), F.lit("synonym")))), dump(_text("tax_id"), F.when(F.col("kind") == "synonym", "another").otherwise(F.col("name")), F.lit(""), "kind"), _folder(spark, "names"))
-    tree = _lines(nodes, dump(_text("tax_id"), _text("parent_id"), F.lit("rank")), _folder(spark, "nodes"))
+    tree = _lines(nodes, dump(_text("tax_id"), _text("parent_id"), F.concat(F.lit("rank "), (F.col("parent_id") % 7).cast("string"))), _folder(spark, "nodes"))
     cats = _lines(view(spark, d, "ad_tax_species"), _tabs(F.lit("B"), _text("species_id"), _text("tax_id")), _folder(spark, "categories"))
     got = R.read_tax_nodes(spark, tree).join(R.read_tax_names(spark, names), "tax_id").join(R.read_tax_species(spark, cats), "tax_id", "left")
-    return got.select("tax_id", "parent_id", "name", "species_id")
+    return got.select("tax_id", "parent_id", "name", "rank", "species_id")
 
 
 @query(f"{with_views('ad_manifest')} SELECT assembly, file_name, expected_md5 FROM ad_manifest")
@@ -123,3 +133,50 @@ def k3_catalog_csv_round_trip(spark, d):
     folder = _folder(spark, "csv")
     K.write_catalog_csv(view(spark, d, "ad_catalog").select("dir_name", "assembly_level", "ord"), folder)
     return spark.read.option("header", True).schema("dir_name string, assembly_level string, ord long").csv(folder)
+
+
+_DIR = "'GC' || CASE WHEN k % 2 = 0 THEN 'F' ELSE 'A' END || '_' || CAST(k AS VARCHAR)"
+
+
+@query(f"""WITH f AS (SELECT doc_id % 24 AS k, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS body FROM documents GROUP BY 1), d AS (SELECT k, {_DIR} AS assembly, octet_length(encode(body)) AS size FROM f)
+ SELECT assembly, k % 3 <> 0 AS annotated, k % 5 = 0 AS feature_table, CAST(CASE WHEN k % 7 = 3 THEN 0 WHEN k % 3 <> 0 THEN 2 ELSE 1 END AS BIGINT) AS n_files, k % 7 <> 3 AND k % 4 <> 1 AS good, CAST(size AS BIGINT) AS sequence_bytes FROM d""")
+def a11_inventory_round_trip(spark, d):
+    """Folders of sequences, annotations, feature tables and manifests; some manifests are wrong, and some folders have none."""
+    folder = _folder(spark, "db")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select((F.col("doc_id") % 24).alias("k"), "doc_id", "text")
+    kind = F.when(F.col("k") % 2 == 0, "F").otherwise("A")
+    name = F.concat(F.lit("GC"), kind, F.lit("_"), F.col("k").cast("string"))
+    docs.repartition("k").sortWithinPartitions("k", "doc_id").select(name.alias("assembly"), "text").write.partitionBy("assembly").text(f"{folder}/parts")
+    every = [f"GC{'FA'[k % 2]}_{k}" for k in range(24)]
+    for k, x in enumerate(every):
+        _renamed(spark, f"{folder}/parts/assembly={x}/part-*", lambda _, x=x: f"{folder}/db/{x}/{x}_genomic.fna.gz")
+        for end in ["_genomic.gff.gz"] * (k % 3 != 0) + ["_feature_table.txt.gz"] * (k % 5 == 0):
+            _lines(spark.range(0, 1, 1, 1), F.lit(x + end), f"{folder}/more/{x}{end}")
+            _renamed(spark, f"{folder}/more/{x}{end}/part-*", lambda _, x=x, end=end: f"{folder}/db/{x}/{x}{end}")
+    sums = R.checksums(spark, f"{folder}/db").where("kind <> 'feature_table'").withColumn("k", F.element_at(F.split("assembly", "_"), 2).cast("int")).where("k % 7 <> 3")
+    line = F.concat(F.when((F.col("k") % 4 == 1) & (F.col("kind") == "sequence"), F.lit("0" * 32)).otherwise(F.col("md5")), F.lit("  ./"), "file_name")
+    _lines(sums.coalesce(1), line, f"{folder}/sums", "assembly")
+    for x in every:
+        _renamed(spark, f"{folder}/sums/assembly={x}/part-*", lambda _, x=x: f"{folder}/db/{x}/md5checksums.txt")
+    files = R.inventory(spark, f"{folder}/db")
+    checked = A.verify_md5(R.read_md5_manifest(spark, f"{folder}/db/*/md5checksums.txt"), R.checksums(spark, f"{folder}/db"), files)
+    size = files.where("kind = 'sequence'").select("assembly", F.col("length").alias("sequence_bytes"))
+    return A.annotated_assemblies(files).join(checked, "assembly").join(size, "assembly")
+
+
+@query(f"{with_views('ad_sequences')} SELECT CAST(count(*) AS BIGINT) AS records, CAST(sum(octet_length(encode('>d' || CAST(doc_id AS VARCHAR) || chr(10) || seq)) + 1) AS BIGINT) AS bytes, CAST(sum(length(seq)) AS BIGINT) AS letters FROM ad_sequences")
+def k4_merged_corpus(spark, d):
+    """Annotated and other sequences as one corpus: records and bytes as counted while it was written, letters as read back."""
+    folder = _folder(spark, "corpus")
+    rows = view(spark, d, "ad_sequences").select(F.concat(F.lit("d"), _text("doc_id")).alias("replicon"), "seq", "doc_id")
+    records, size = K.write_corpus([rows.where("doc_id % 3 = 0"), rows.where("doc_id % 3 <> 0")], folder)
+    return R.read_fasta(spark, folder).agg(F.lit(records).cast("long").alias("records"), F.lit(size).cast("long").alias("bytes"), F.sum("len").alias("letters"))
+
+
+@query(f"{with_views('ad_hits')} SELECT assoc_type, TRUE AS within FROM ad_hits GROUP BY 1")
+def a2_replicon_sketches(spark, d):
+    """Whether sketches of two halves of the hits, merged, come within 5 % of the number of different replicons."""
+    hits = view(spark, d, "ad_hits")
+    halves = A.replicon_sketches(hits.where("hit_id % 2 = 0")).unionByName(A.replicon_sketches(hits.where("hit_id % 2 = 1")))
+    both = A.merged_sketches(halves).drop("sketch").withColumnRenamed("n_replicons", "about").join(A.distinct_replicons(hits), "assoc_type")
+    return both.select("assoc_type", (F.abs(F.col("about") - F.col("n_replicons")) <= F.col("n_replicons") * 0.05).alias("within"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cirque.operators.catalog import last_of
@@ -12,10 +12,18 @@ CATALOG = {"assembly_accession": 0, "biosample_accession": 2, "ref_seq_cat": 4,
 HITS = "replicon string, sstart long, send long, match_length long, sframe int, pident double, evalue double, qseqid string, qstart long, qend long"
 
 
+def file_order() -> Column:
+    """A key in which lines of several files sort by file, then by place: files are split and packed into tasks in another order.
+
+    Lines of one split are read one after the other, so their numbers rise; splits are ordered by where they begin.
+    """
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+
+
 def read_assembly_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """The last entry of each subdir_name. The first line of a file goes whatever it holds, further ones that begin with #, and empty ones."""
+    """The last entry of each subdir_name, in the order of ``file_order``. The first line of a file goes whatever it holds, further ones that begin with #, and empty ones."""
     raw = spark.read.schema("value string").option("header", True).option("sep", "\x01").option("quote", "").option("escape", "").csv(path)
-    lines = raw.withColumn("ord", F.monotonically_increasing_id()).where((F.length("value") > 0) & ~F.col("value").startswith("#"))
+    lines = raw.withColumn("ord", file_order()).where((F.length("value") > 0) & ~F.col("value").startswith("#"))
     parts = F.split("value", "\t", -1)
     x = lines.select("ord", *(parts[i].alias(c) for c, i in CATALOG.items()))
     name = F.translate(F.replace("assembly_name", F.lit("  "), F.lit(" ")), " #/()", "_____")
@@ -32,7 +40,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gff(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()).withColumn("assembly", F.element_at(F.split("_metadata.file_path", "/"), -2))
+    raw = spark.read.text(path).withColumn("ord", file_order()).withColumn("assembly", F.element_at(F.split("_metadata.file_path", "/"), -2))
     p = F.split("value", "\t", -1)
     x = raw.where((F.length("value") > 0) & ~F.col("value").startswith("#"))
     pairs = F.transform(F.filter(F.split(p[8], ";"), lambda s: F.length(s) > 0), lambda s: F.split(s, "="))
@@ -72,8 +80,33 @@ def read_md5_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.length("value") > 0).select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("assembly"), F.regexp_replace(p[1], r"^\./", "").alias("file_name"), p[0].alias("expected_md5"))
 
 
+#: What files of an assembly are by the end of their names.
+KINDS = {".fna": "sequence", ".gff": "annotation", "_feature_table.txt": "feature_table", "md5checksums.txt": "manifest"}
+
+
+def _binary(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+
+
+def _described(files: DataFrame) -> DataFrame:
+    name = F.element_at(F.split("path", "/"), -1)
+    plain = F.regexp_replace(name, r"[.]gz$", "")
+    kind = F
+    for end, is_ in KINDS.items():
+        kind = kind.when(plain.endswith(end), is_)
+    return files.select(F.element_at(F.split("path", "/"), -2).alias("assembly"), name.alias("file_name"), kind.otherwise("other").alias("kind"), name.endswith(".gz").alias("compressed"), *files.columns)
+
+
+def inventory(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """assembly (the folder), file_name, kind, compressed, length and path of every file below ``root``; no content is read."""
+    return _described(_binary(spark, root, glob).select("path", "length"))
+
+
+def checksums(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """``inventory`` with md5, computed where the files are read. A file of 2 GB or more is an error of the reader."""
+    return _described(_binary(spark, root, glob).select("path", "length", F.md5("content").alias("md5")))
+
+
 def list_assembly_files(spark: SparkSession, root: str) -> DataFrame:
-    x = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
-    ext = F.regexp_extract("path", r"[.]([^./]*)$", 1)
-    kind = F.when(ext == "fna", "sequence").when(ext == "gff", "annotation")
-    return x.select(F.element_at(F.split("path", "/"), -2).alias("assembly"), F.element_at(F.split("path", "/"), -1).alias("file_name"), kind.alias("kind"), "length", "path").where("kind is not null")
+    """The sequences and annotations that can be read as they are, without those packed in .gz files."""
+    return inventory(spark, root).where(F.col("kind").isin("sequence", "annotation") & ~F.col("compressed")).drop("compressed")

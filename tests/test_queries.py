@@ -6,7 +6,7 @@ from cirque.plans import round_trips  # noqa: F401
 
 QUICK = ["j3_link_hits", "j4_within_radius", "o4_classify_sites", "a5_intergenic_space", "a10_source_comparison", "u1_union_catalogs", "u3_unique_assemblies", "j11_verify_md5", "j13_lineage_name", "p20_filter_hits", "t3_top_targets", "m3_scan_motif",
          "j1_attach_metadata", "j6_nearest_neighbors", "j10_unmatched_assemblies", "j14_species_of", "a11_annotated_assemblies", "a12_md5_report", "u2_source_differences", "k3_catalog_annotation", "o6_operon_table", "p11_vectors",
-         "s1_catalog_round_trip", "s2_fasta_round_trip", "s4_hits_round_trip", "s5_taxonomy_round_trip", "s7_listed_files"]
+         "s1_catalog_round_trip", "s2_fasta_round_trip", "s4_hits_round_trip", "s5_taxonomy_round_trip", "s7_listed_files", "a11_inventory_round_trip", "k4_merged_corpus", "a2_replicon_sketches"]
 
 
 @pytest.fixture(scope="module")
