@@ -29,8 +29,8 @@ def analyse(spark: SparkSession, catalog: str, sequences: str, annotation: str,
     features = held(features.join(sizes, place).select(*place, "len", "strand", "start_bound", "end_bound", "feature_type", "attributes", "ord"))
     oriented = intervals.hits_for_replicons(orient_hits(readers.read_hits(spark, hits)), sizes)
     linked = held(intervals.link_hits(features, oriented))
-    found = motifs.dedupe_sites(motifs.mark_palindromes(motifs.scan_motif(replicons.select("replicon", "seq"), motif)))
-    found = found.drop("len").join(sizes, "replicon").withColumn("site_id", F.concat_ws(":", "assembly", "replicon", "strand", "start_bound"))
+    found = motifs.dedupe_sites(motifs.mark_palindromes(motifs.scan_motif(replicons.select(*place, "seq"), motif)))
+    found = found.withColumn("site_id", F.concat_ws(":", "assembly", "replicon", "strand", "start_bound"))
     sites = held(found)
     genes = held(operons.predict_operons(sites, features))
     distinct = held(operons.distinct_operons(operons.build_operons(genes)))

@@ -216,9 +216,12 @@ def m1_expand_motif(spark, d):
     return w.join(words, "word", "left").select("word", P.reverse_complement(F.col("word")).alias("reverse_complement"), F.coalesce("hit", F.lit(False)).alias("in_motif"))
 
 
-@query(SQL["m1_expand_motif"])
-def m1_sequence_words(spark, d):
-    return m1_expand_motif(spark, d)
+@query(SQL["m3_scan_motif"])
+def m3_scan_words(spark, d):
+    """The same sites from the motif's 32,768 words as a list."""
+    words = [r.word for r in M.expand_motif(spark).select("word").collect()]
+    s = view(spark, d, "ad_sequences").select(F.col("doc_id").cast("string").alias("replicon"), "seq")
+    return M.dedupe_sites(M.mark_palindromes(M.scan_words(s, words))).select("replicon", "strand", "start_bound", "end_bound", "seq", "dimension")
 
 
 GAP = _rel("ps", "pe", "'Forward'", "start_bound", "end_bound")[1]

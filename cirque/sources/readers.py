@@ -39,6 +39,13 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return x.select("assembly", F.regexp_extract("value", r"^[^ \r\n]*", 0).alias("replicon"), F.length(seq).cast("long").alias("len"), seq.alias("seq"))
 
 
+def read_replicons(spark: SparkSession, path: str) -> DataFrame:
+    """assembly, replicon, len and seq of files that hold one sequence each and have its accession as their name, in a folder for each assembly."""
+    raw = spark.read.option("wholetext", True).text(path).withColumns({"assembly": F.element_at(F.split("_metadata.file_path", "/"), -2), "replicon": F.col("_metadata.file_name")})
+    seq = F.upper(F.regexp_replace("value", r"\s", ""))
+    return raw.select("assembly", "replicon", F.length(seq).cast("long").alias("len"), seq.alias("seq")).where("len > 0")
+
+
 def read_gff(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path).withColumn("ord", file_order()).withColumn("assembly", F.element_at(F.split("_metadata.file_path", "/"), -2))
     p = F.split("value", "\t", -1)

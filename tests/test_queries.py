@@ -4,7 +4,7 @@ import pytest
 from cirque.plans import queries as Q
 from cirque.plans import round_trips  # noqa: F401
 
-QUICK = ["j3_link_hits", "j4_within_radius", "o4_classify_sites", "a5_intergenic_space", "a10_source_comparison", "u1_union_catalogs", "u3_unique_assemblies", "j11_verify_md5", "j13_lineage_name", "p20_filter_hits", "t3_top_targets", "m3_scan_motif",
+QUICK = ["j3_link_hits", "j4_within_radius", "o4_classify_sites", "a5_intergenic_space", "a10_source_comparison", "u1_union_catalogs", "u3_unique_assemblies", "j11_verify_md5", "j13_lineage_name", "p20_filter_hits", "t3_top_targets", "m3_scan_motif", "m3_scan_words",
          "j1_attach_metadata", "j6_nearest_neighbors", "j10_unmatched_assemblies", "j14_species_of", "a11_annotated_assemblies", "a12_md5_report", "u2_source_differences", "k3_catalog_annotation", "o6_operon_table", "p11_vectors",
          "s1_catalog_round_trip", "s2_fasta_round_trip", "s4_hits_round_trip", "s5_taxonomy_round_trip", "s7_listed_files", "a11_inventory_round_trip", "k4_merged_corpus", "a2_replicon_sketches"]
 
@@ -49,7 +49,7 @@ def test_words_of_whole_sequences(spark, small):
     assert hit in brute
     texts = [r.seq for r in view(spark, small, "ad_sequences").where("doc_id < 20").collect()]
     every = {s[i : i + 16] for s in texts if s for i in range(len(s) - 15)}
-    got = Q.queries()["m1_sequence_words"](spark, small)
+    got = Q.queries()["m1_expand_motif"](spark, small)
     mine = got.join(spark.createDataFrame([(w,) for w in every], "word string"), "word", "left_semi").collect()
     motif = {r.word for r in M.expand_motif(spark).collect()}
     assert {r.word for r in mine} == every and all(r.in_motif == (r.word in motif) for r in mine)
