@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cirque.functions.geometry import arc_length, search_bubble, with_sized_relation, with_sizes
+from cirque.functions.scans import SPAN, carried, cut, inside
 
 BIN = 20_000
 PLACE = ["assembly", "replicon"]
@@ -62,11 +63,12 @@ def link_hits(features: DataFrame, hits: DataFrame) -> DataFrame:
     return features.join(got, key, "left")
 
 
-def nearest_sides(sites: DataFrame, features: DataFrame, radius: int) -> DataFrame:
+def nearest_sides(sites: DataFrame, features: DataFrame, radius: int, span: int = SPAN) -> DataFrame:
     """(site_id, side, r_start_bound, r_end_bound, r_strand, distance): the nearest feature not overlapping on the 5' and on the 3' side of each site.
 
-    Sites and features of a replicon are sorted together: the last feature end before a site and the first feature start
-    behind it are carried along, so rows stay sites + features. Where a circle is so short that a feature within the
+    Sites and features of a replicon are put in order together: the last feature end before a site and the first feature
+    start behind it are carried along, so rows stay sites + features. Segments of ``span`` bases are put in order apart, and
+    what the nearest segments hold is carried in. Where a circle is so short that a feature within the
     radius may reach round to the other side, all features within the radius are ranked instead.
     """
     n, start, end = F.col("len"), F.col("start_bound"), F.col("end_bound")
@@ -76,19 +78,16 @@ def nearest_sides(sites: DataFrame, features: DataFrame, radius: int) -> DataFra
     rows = site.unionByName(gene).withColumn("_is_site", F.col("_sl").isNotNull())
     # looking back, features stand at their end and sites at their start; looking ahead, the other way round
     rows = rows.withColumn("_back", F.pmod(F.when(F.col("_is_site"), start).otherwise(end), n)).withColumn("_ahead", F.pmod(F.when(F.col("_is_site"), end).otherwise(start), n))
-    by = Window.partitionBy(*PLACE)
-    back = by.orderBy(F.col("_back"), F.col("_is_site"), F.col("start_bound").desc(), F.col("end_bound").desc())
-    ahead = by.orderBy(F.col("_ahead").desc(), F.col("_is_site"), F.col("start_bound").desc(), F.col("end_bound").desc())
-    so_far = lambda w: F.last("f", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    whole = Window.partitionBy(*PLACE)
-    tail = F.min(F.when(F.col("f").isNotNull(), F.struct((-F.col("_back")).alias("k"), F.col("start_bound").alias("s"), F.col("end_bound").alias("e"), "f"))).over(whole)["f"]
-    head = F.min(F.when(F.col("f").isNotNull(), F.struct(F.col("_ahead").alias("k"), F.col("start_bound").alias("s"), F.col("end_bound").alias("e"), "f"))).over(whole)["f"]
+    gene_at = lambda *key: F.when(F.col("f").isNotNull(), F.struct(*key, "f"))
+    last, first = gene_at("_back", (-start).alias("s"), (-end).alias("e")), gene_at("_ahead", start.alias("s"), end.alias("e"))
     longest = lambda df: df.groupBy(*PLACE).agg(F.max(arc_length(start, end, n)).alias("_longest"))
     widest = longest(sites).unionByName(longest(features)).groupBy(*PLACE).agg(F.sum("_longest").alias("_longest"))
     short = sites.join(widest, PLACE).where(n <= F.col("_longest") + 2 * radius).select("site_id", *PLACE, n, "strand", start, end)
-    found = rows.withColumns({"_tail": tail, "_head": head, "_widest": F.coalesce(F.max("_sl").over(whole), F.lit(0)) + F.coalesce(F.max("_fl").over(whole), F.lit(0))})
-    found = found.withColumn("_prev", so_far(back)).withColumn("_next", so_far(ahead)).where(F.col("_is_site") & (n > F.col("_widest") + 2 * radius))
-    found = found.withColumns({"_prev": F.coalesce("_prev", "_tail"), "_next": F.coalesce("_next", "_head")})
+    x = carried(cut(rows, F.col("_back"), span), PLACE, {"b": (F.max, last), "sl": (F.max, F.col("_sl")), "fl": (F.max, F.col("_fl"))})
+    x = x.withColumn("_prev", F.coalesce(F.max(last).over(inside(PLACE, "_back", "_is_site")), "b_before", "b_whole")["f"]).withColumn("_widest", F.coalesce("sl_whole", F.lit(0)) + F.coalesce("fl_whole", F.lit(0)))
+    x = carried(cut(x.drop(*(f"{c}_{k}" for c in ("b", "sl", "fl") for k in ("before", "whole"))), F.col("_ahead"), span), PLACE, {"a": (F.min, first)}, rising=False)
+    x = x.withColumn("_next", F.coalesce(F.min(first).over(inside(PLACE, F.col("_ahead").desc(), "_is_site")), "a_before", "a_whole")["f"])
+    found = x.where(F.col("_is_site") & (n > F.col("_widest") + 2 * radius))
     turned = F.col("strand") == "Reverse"
     one = lambda f, plain, reverse, gap: F.struct(F.when(turned, reverse).otherwise(plain).alias("side"), F.col(f"{f}.s").alias("r_start_bound"), F.col(f"{f}.e").alias("r_end_bound"), F.col(f"{f}.t").alias("r_strand"), gap.alias("distance"))
     sides = F.explode(F.array(one("_prev", "5N", "3N", F.pmod(start - F.col("_prev.e"), n)), one("_next", "3N", "5N", F.pmod(F.col("_next.s") - end, n))))
@@ -99,8 +98,8 @@ def nearest_sides(sites: DataFrame, features: DataFrame, radius: int) -> DataFra
     return plain.unionByName(ranked)
 
 
-def nearest_neighbors(sites: DataFrame, features: DataFrame, radius: int = 40_000) -> DataFrame:
+def nearest_neighbors(sites: DataFrame, features: DataFrame, radius: int = 40_000, span: int = SPAN) -> DataFrame:
     """Overlapping features of each site and the nearest on its 5' and 3' sides: side, feature bounds, strand and distance."""
     over = relate(sites, features, 0, ["strand"], overlap=True)
     columns = ["r_start_bound", "r_end_bound", "r_strand", "distance"]
-    return over.select("site_id", F.lit("overlap").alias("side"), *columns).unionByName(nearest_sides(sites, features, radius))
+    return over.select("site_id", F.lit("overlap").alias("side"), *columns).unionByName(nearest_sides(sites, features, radius, span))

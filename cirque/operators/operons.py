@@ -8,26 +8,30 @@ from pyspark.sql import functions as F
 from cirque.functions.features import dedupe_features, keep_coding_features
 from cirque.functions.frames import held
 from cirque.functions.geometry import arc_length, orientation, with_relation, with_sized_relation, with_sizes
+from cirque.functions.scans import SPAN, carried, cut, inside
 
 from .intervals import nearest_sides, relate
 
 
-def islands(genes: DataFrame, gap: int) -> DataFrame:
-    """``genes`` with island, island_start and island_span: runs of genes on the circle that follow each other within ``gap``."""
-    n = F.col("len")
+def islands(genes: DataFrame, gap: int, span: int = SPAN) -> DataFrame:
+    """``genes`` with island, island_start and island_span: runs of genes on the circle that follow each other within ``gap``.
+
+    Segments of ``span`` bases are scanned apart: how far earlier genes reach, and how many runs they end, is carried in.
+    """
+    n, place = F.col("len"), ["assembly", "replicon"]
     x = genes.withColumn("_l", arc_length(F.col("start_bound"), F.col("end_bound"), n)).withColumn("_s", F.pmod(F.col("start_bound"), n))
-    whole = Window.partitionBy("assembly", "replicon")
-    w = whole.orderBy("_s", "_l")
+    x = carried(cut(x, F.col("_s"), span), place, {"r": (F.max, F.col("_s") + F.col("_l"))})
     # what reaches over the origin comes before the first gene
-    over = F.max(F.col("_s") + F.col("_l")).over(whole) - n
-    x = x.withColumn("_reach", F.greatest(over, F.coalesce(F.max(F.col("_s") + F.col("_l")).over(w.rowsBetween(Window.unboundedPreceding, -1)), over)))
-    x = x.withColumn("_k", F.sum(F.when(F.col("_s") - F.col("_reach") > gap, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.withColumn("_last", F.max("_k").over(whole))
+    over = F.col("r_whole") - n
+    x = x.withColumn("_reach", F.greatest(over, F.col("r_before"), F.max(F.col("_s") + F.col("_l")).over(inside(place, "_s", "_l", strict=True))))
+    x = x.withColumn("_break", F.when(F.col("_s") - F.col("_reach") > gap, 1).otherwise(0))
+    x = carried(x, place, {"k": (F.sum, F.col("_break"))})
+    x = x.withColumn("_k", F.coalesce("k_before", F.lit(0)) + F.sum("_break").over(inside(place, "_s", "_l"))).withColumn("_last", F.col("k_whole"))
     wraps = (F.col("_k") == 0) & (F.col("_last") > 0)  # the first run continues the last one
     x = x.withColumn("island", F.when(wraps, F.col("_last")).otherwise(F.col("_k"))).withColumn("_s", F.when(wraps, F.col("_s") + n).otherwise(F.col("_s")))
-    one = Window.partitionBy("assembly", "replicon", "island")
-    x = x.withColumn("island_start", F.min("_s").over(one)).withColumn("island_span", F.least(F.max(F.col("_s") + F.col("_l")).over(one) - F.col("island_start"), n))
-    return x.drop("_l", "_s", "_reach", "_k", "_last")
+    x = carried(x, [*place, "island"], {"a": (F.min, F.col("_s")), "z": (F.max, F.col("_s") + F.col("_l"))})
+    x = x.withColumn("island_start", F.col("a_whole")).withColumn("island_span", F.least(F.col("z_whole") - F.col("a_whole"), n))
+    return x.select(*genes.columns, "island", "island_start", "island_span")
 
 
 def apart(al, ac, bl, bc, n):
@@ -36,36 +40,37 @@ def apart(al, ac, bl, bc, n):
     return F.least(m, n * 2 - m) - al - bl
 
 
-def chain_candidates(sites: DataFrame, genes: DataFrame, reach: int, lead: int, gap: int) -> DataFrame:
+def chain_candidates(sites: DataFrame, genes: DataFrame, reach: int, lead: int, gap: int, span: int = SPAN) -> DataFrame:
     """Pairs of a site and each gene of the islands within ``lead`` of it, with rel, distance and the gene's _bl and _bc: no chain goes beyond those."""
     place, n = ["assembly", "replicon"], F.col("len")
-    held = islands(genes, gap)
-    spans = held.select(*place, "len", "island", F.col("island_start").alias("start_bound"), (F.col("island_start") + F.col("island_span")).alias("end_bound")).distinct().withColumn("strand", F.lit("Other"))
+    runs = islands(genes, gap, span)
+    spans = runs.select(*place, "len", "island", F.col("island_start").alias("start_bound"), (F.col("island_start") + F.col("island_span")).alias("end_bound")).distinct().withColumn("strand", F.lit("Other"))
     near = relate(sites, spans, lead, ["island"]).drop("rel", "distance", "r_start_bound", "r_end_bound")
-    members = with_sizes(held, "_b", F.col("start_bound"), F.col("end_bound"), n)
+    members = with_sizes(runs, "_b", F.col("start_bound"), F.col("end_bound"), n)
     members = members.select(*place, F.col("island").alias("r_island"), F.col("start_bound").alias("r_start_bound"), F.col("end_bound").alias("r_end_bound"), F.col("strand").alias("r_strand"), "_bl", "_bc")
     near = with_sizes(near, "_a", F.col("start_bound"), F.col("end_bound"), n)
     pairs = near.join(members, [*place, "r_island"]).where(apart(F.col("_al"), F.col("_ac"), F.col("_bl"), F.col("_bc"), n) <= 2 * reach)
     return with_sized_relation(pairs, "_a", "_b", F.col("strand"), n).drop("r_island")
 
 
-def predict_operons(sites: DataFrame, features: DataFrame, reach: int = 40_000, lead: int = 100, gap: int = 40) -> DataFrame:
+def predict_operons(sites: DataFrame, features: DataFrame, reach: int = 40_000, lead: int = 100, gap: int = 40, span: int = SPAN) -> DataFrame:
     """A row for each site and gene of its operon: site columns, r_strand, r_start_bound, r_end_bound.
 
     Genes beside a site chain outward on each side while they keep the first one's strand and follow within ``gap``;
     the first must lie within ``lead``. Overlapping genes lead the side whose nearest neighbour has their strand, or
     form a chain of their own. A chain goes if the site lies behind its first gene and nothing bridges the two.
 
-    Chains cannot leave the runs of genes near a site, so those and the nearest neighbours are all that is joined.
+    Chains cannot leave the runs of genes near a site, so those and the nearest neighbours are all that is joined. Runs and
+    neighbours are found in segments of ``span`` bases.
     """
     n, mine = F.col("len"), F.col("r_strand")
     site = ["site_id", "assembly", "replicon", "len", "strand", "start_bound", "end_bound"]
     place = ["assembly", "replicon", "len", "start_bound", "end_bound", "strand"]
     genes, sites = held(dedupe_features(keep_coding_features(features)).select(*place)), held(sites.select(*site))
-    pairs = chain_candidates(sites, genes, reach, lead, gap)
+    pairs = chain_candidates(sites, genes, reach, lead, gap, span)
     # whether the site lies on a gene's 3' side, judged from the gene
     pairs = with_sized_relation(pairs, "_b", "_a", mine, n, "seen", "_seen").withColumn("behind", F.col("seen").isin("3O", "3N")).drop("seen", "_seen", "_al", "_ac")
-    pairs = pairs.join(neighbour_strands(sites, genes, reach), "site_id", "left").withColumns({"s5": F.coalesce("s5", F.lit("Other")), "s3": F.coalesce("s3", F.lit("Other"))})
+    pairs = pairs.join(neighbour_strands(sites, genes, reach, span), "site_id", "left").withColumns({"s5": F.coalesce("s5", F.lit("Other")), "s3": F.coalesce("s3", F.lit("Other"))})
     over = ~F.col("rel").isin("5N", "3N")
     lists = F.array_compact(F.array(
         F.when((F.col("rel") == "5N") | (over & (mine == F.col("s5"))), "5"), F.when((F.col("rel") == "3N") | (over & (mine == F.col("s3"))), "3"),
@@ -89,9 +94,9 @@ def predict_operons(sites: DataFrame, features: DataFrame, reach: int = 40_000,
     return kept.select(*site, "r_strand", "r_start_bound", "r_end_bound").dropDuplicates(["site_id", "r_start_bound", "r_end_bound"])
 
 
-def neighbour_strands(sites: DataFrame, genes: DataFrame, reach: int) -> DataFrame:
+def neighbour_strands(sites: DataFrame, genes: DataFrame, reach: int, span: int = SPAN) -> DataFrame:
     """(site_id, s5, s3): strands of the nearest gene on each side of a site."""
-    near = nearest_sides(sites, genes, reach)
+    near = nearest_sides(sites, genes, reach, span)
     strand = lambda side: F.max(F.when(F.col("side") == side, F.col("r_strand")))  # noqa: E731  one row for a side
     return near.groupBy("site_id").agg(strand("5N").alias("s5"), strand("3N").alias("s3"))
 

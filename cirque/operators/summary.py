@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cirque.functions.features import assoc_code, class_label, dedupe_features, feature_name, feature_product, keep_coding_features
 from cirque.functions.geometry import feature_length, with_relation
+from cirque.functions.scans import SPAN, carried, cut, inside
 
 from .catalog import attach_metadata
 
@@ -20,13 +21,19 @@ def genome_associations(linked: DataFrame) -> DataFrame:
     return linked.select("assembly", F.explode("assoc").alias("t")).groupBy("assembly").agg(F.array_sort(F.collect_set("t")).alias("assoc"))
 
 
-def intergenic_space(features: DataFrame) -> DataFrame:
-    """assembly, gap_total, gene_total and len_total; gap_total is null where there is no gap. The gap from last to first is not counted."""
-    genes = dedupe_features(keep_coding_features(features, ("Region", "Gene", "Pseudogene")))
-    w = Window.partitionBy("assembly", "replicon").orderBy("start_bound", "end_bound")
-    genes = genes.withColumns({"ps": F.lag("start_bound").over(w), "pe": F.lag("end_bound").over(w)})
+def intergenic_space(features: DataFrame, span: int = SPAN) -> DataFrame:
+    """assembly, gap_total, gene_total and len_total; gap_total is null where there is no gap. The gap from last to first is not counted.
+
+    The feature before another is looked up within a segment of ``span`` bases, and for the first of a segment it is
+    the last of the earlier ones, so no task sorts a whole replicon.
+    """
+    place, at = ["assembly", "replicon"], F.struct("start_bound", "end_bound")
+    genes = cut(dedupe_features(keep_coding_features(features, ("Region", "Gene", "Pseudogene"))), F.col("start_bound"), span)
+    genes = carried(genes, place, {"p": (F.max, at)})
+    genes = genes.withColumn("p", F.coalesce(F.max(at).over(inside(place, "start_bound", "end_bound", strict=True)), F.col("p_before")))
+    genes = genes.withColumns({"ps": F.col("p.start_bound"), "pe": F.col("p.end_bound")})
     genes = with_relation(genes, (F.col("ps"), F.col("pe"), F.lit("Forward")), (F.col("start_bound"), F.col("end_bound")), F.col("len"), "link", "gap")
-    per = genes.groupBy("assembly", "replicon").agg(F.sum(F.coalesce("gap", F.lit(0))).alias("gaps"), F.sum(feature_length(F.col("start_bound"), F.col("end_bound"), F.col("len"))).alias("genes"), F.max("len").alias("len"))
+    per = genes.groupBy(*place).agg(F.sum(F.coalesce("gap", F.lit(0))).alias("gaps"), F.sum(feature_length(F.col("start_bound"), F.col("end_bound"), F.col("len"))).alias("genes"), F.max("len").alias("len"))
     total = per.groupBy("assembly").agg(F.sum("gaps").alias("gaps"), F.sum("genes").alias("gene_total"), F.sum("len").alias("len_total"))
     return total.select("assembly", F.when(F.col("gaps") > 0, F.col("gaps")).alias("gap_total"), "gene_total", "len_total")
 
@@ -53,8 +60,10 @@ def genome_summary(replicons: DataFrame, classified: DataFrame, distinct: DataFr
     )
 
 
-def density_by_association(summary: DataFrame, letter: str = "Y") -> DataFrame:
-    return summary.where("total_len > 0").groupBy(F.contains("code", F.lit(letter)).alias("has_type")).agg(F.avg("actual_per_mbp").alias("mean_density"), F.count_distinct("assembly").alias("n_genomes"))
+def density_by_association(report: DataFrame, letter: str = "Y") -> DataFrame:
+    """has_type, mean_density, n_genomes and n_species of genomes with and without a hit type; empty genomes do not count."""
+    by = report.where("total_len > 0").groupBy(F.contains("code", F.lit(letter)).alias("has_type"))
+    return by.agg(F.avg("actual_per_mbp").alias("mean_density"), F.count_distinct("assembly").alias("n_genomes"), F.count_distinct("species_tax_id").alias("n_species"))
 
 
 #: Columns of the catalog that a genome's report begins with.

@@ -270,10 +270,11 @@ CASE WHEN assoc IS NULL THEN '' ELSE '[' || CASE WHEN list_contains(assoc,'CopA'
 
 
 def _summary(spark, d):
-    genes, linked = held(_site_genes(spark, d)), held(_linked(spark, d))
-    sites = view(spark, d, "ad_sites")
-    operons = O.distinct_operons(O.build_operons(genes))
-    return S.genome_summary(view(spark, d, "ad_replicons"), O.classify_sites(sites, genes), operons, O.orphans(linked, operons, sites), linked, S.intergenic_space(view(spark, d, "ad_features")), M.motif_expectation())
+    features, sites, replicons = held(view(spark, d, "ad_features")), held(view(spark, d, "ad_sites")), held(view(spark, d, "ad_replicons"))
+    linked = held(J.link_hits(features, J.hits_for_replicons(P.orient_hits(view(spark, d, "ad_hits")), replicons)))
+    genes = held(O.predict_operons(sites, features))
+    operons = held(O.distinct_operons(O.build_operons(genes)))
+    return S.genome_summary(replicons, O.classify_sites(sites, genes), operons, O.orphans(linked, operons, sites), linked, S.intergenic_space(features), M.motif_expectation())
 
 
 @query(f"{SUMMARY} SELECT * FROM genome")
@@ -282,11 +283,6 @@ def a8_genome_summary(spark, d):
     return _summary(spark, d).withColumns({c: F.round(c, 9) for c in real})
 
 
-@query(f"{SUMMARY} SELECT code LIKE '%Y%' AS has_type, round(avg(actual_per_mbp),6) AS mean_density, CAST(count(DISTINCT assembly) AS BIGINT) AS n_genomes FROM genome WHERE total_len > 0 GROUP BY 1")
-def a13_density_by_association(spark, d):
-    return S.density_by_association(_summary(spark, d)).withColumn("mean_density", F.round("mean_density", 6))
-
-
 CATALOG = f"{with_views('ad_catalog')}, cat AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dir_name ORDER BY ord DESC) AS k FROM ad_catalog) WHERE k = 1)"
 
 
@@ -511,6 +507,11 @@ def a8_genome_report(spark, d):
     return _report(spark, d).withColumns({c: F.round(c, 9) for c in real})
 
 
+@query(f"{REPORT} SELECT code LIKE '%Y%' AS has_type, round(avg(actual_per_mbp),6) AS mean_density, CAST(count(DISTINCT assembly) AS BIGINT) AS n_genomes, CAST(count(DISTINCT species_tax_id) AS BIGINT) AS n_species FROM report WHERE total_len > 0 GROUP BY 1")
+def a13_density_by_association(spark, d):
+    return S.density_by_association(_report(spark, d)).withColumn("mean_density", F.round("mean_density", 6))
+
+
 @query(f"{REPORT} SELECT DISTINCT species_tax_id FROM report WHERE total_len > 0 AND code LIKE '%Y%'")
 def u4_species_with_type(spark, d):
     return S.species_with_type(_report(spark, d))
