@@ -1,4 +1,4 @@
-"""Joins of intervals on circles: equi-joins on (replicon, bin) with the exact test, and nearest neighbours from one sort."""
+"""Joins of intervals on circles: equi-joins on (replicon, bin) with the exact test, and nearest neighbours from one order."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ BIN = 20_000
 PLACE = ["assembly", "replicon"]
 
 
-def bins(start: Column, span: Column, n: Column, size: int) -> Column:
+def bins(start: Column, span: Column, n: Column, size: Column) -> Column:
     """Bins that the arc of length ``span`` from ``start`` (0..n-1) touches; each once."""
     last = start + span
     zero = F.lit(0).cast("long")
@@ -21,25 +21,59 @@ def bins(start: Column, span: Column, n: Column, size: int) -> Column:
     return F.when(span >= n, F.sequence(zero, F.floor(n / size))).when(last >= n, over).otherwise(plain)
 
 
-def relate(left: DataFrame, right: DataFrame, radius: int, keep: list[str], size: int = BIN, overlap: bool = False) -> DataFrame:
+#: Bins of a level are 2^STEP times as wide as those of the level below; levels at most.
+STEP, LEVELS = 3, 12
+
+
+def width(level: Column, size: int) -> Column:
+    """Bases of a bin of ``level``."""
+    return F.lit(size).cast("long") * F.pow(F.lit(2), level * STEP).cast("long")
+
+
+def levels_below(span: Column, size: int) -> Column:
+    """The levels whose bins are narrower than ``span``, as an array; their number is the level of an arc of that length."""
+    return F.filter(F.sequence(F.lit(0), F.lit(LEVELS)), lambda level: width(level, size) < span)
+
+
+def placed(arcs: DataFrame, start: str, span: str, size: int, own: bool) -> DataFrame:
+    """``arcs`` with level and bin, a row for each bin that an arc touches.
+
+    With ``own`` these are the bins of its own level, the first on which a bin is as wide as the arc, so they are two at most, or three
+    over the origin, whatever its length. Otherwise they are those of every level that its circle has.
+    """
+    n = F.col("len")
+    top = F.size(levels_below(n, size))
+    level = F.array(F.least(F.size(levels_below(F.col(span), size)), top)) if own else F.sequence(F.lit(0), top)
+    each = F.flatten(F.transform(level, lambda x: F.transform(bins(F.col(start), F.col(span), n, width(x, size)), lambda b: F.struct(x.alias("level"), b.alias("bin")))))
+    return arcs.withColumn("_at", F.explode(each)).withColumns({"level": F.col("_at.level"), "bin": F.col("_at.bin")}).drop("_at")
+
+
+def relate(left: DataFrame, right: DataFrame, radius: int, keep: list[str], size: int = BIN, overlap: bool = False, long_left: bool = False) -> DataFrame:
     """Pairs on one replicon that overlap or lie at most ``radius`` apart: columns of left, ``keep`` of right as r_*, rel and distance.
 
     With ``overlap`` only those that overlap; asking here is cheaper than a filter on rel.
 
     Both sides have assembly, replicon, len, strand, start_bound and end_bound. Of two arcs that meet, one holds the
     start of the other: a pair comes out of the bin of that start only, so no pair has to be deduplicated afterwards.
+
+    ``long_left`` is for a left side some arcs of which span a replicon: a left arc then goes to the bins of its own level, three at most
+    instead of one for each ``size`` bases, and the right side, which should be the smaller one, to bins of every level.
     """
     start, end, n = F.col("start_bound"), F.col("end_bound"), F.col("len")
     r = right.select(*PLACE, n, start, end, *(F.col(c).alias(f"r_{c}") for c in dict.fromkeys(keep) if c not in ("start_bound", "end_bound")))
-    r = with_sizes(r, "_b", start, end, n).withColumn("_bs", F.pmod(start, n)).withColumn("bin", F.explode(bins(F.col("_bs"), F.col("_bl"), n, size)))
-    r = r.withColumnRenamed("start_bound", "r_start_bound").withColumnRenamed("end_bound", "r_end_bound").drop("len")
+    r = with_sizes(r, "_b", start, end, n).withColumn("_bs", F.pmod(start, n))
     x = with_sizes(left, "_a", start, end, n).withColumn("_as", F.pmod(start - radius, n)).withColumn("_wide", F.col("_al") + 2 * radius)
-    x = x.withColumn("bin", F.explode(bins(F.col("_as"), F.col("_wide"), n, size)))
+    if long_left:
+        key, r, x = ["level", "bin"], placed(r, "_bs", "_bl", size, False), placed(x, "_as", "_wide", size, True)
+    else:
+        key, r, x = ["bin"], r.withColumn("bin", F.explode(bins(F.col("_bs"), F.col("_bl"), n, F.lit(size)))), x.withColumn("bin", F.explode(bins(F.col("_as"), F.col("_wide"), n, F.lit(size))))
+    r = r.withColumnRenamed("start_bound", "r_start_bound").withColumnRenamed("end_bound", "r_end_bound").drop("len")
     m = F.pmod(F.col("_bc") - F.col("_ac"), n * 2)
     apart = F.least(m, n * 2 - m) - F.col("_al") - F.col("_bl")
     near = apart < 0 if overlap else apart <= 2 * radius
     at = F.when(F.pmod(F.col("_bs") - F.col("_as"), n) <= F.col("_wide"), F.col("_bs")).otherwise(F.col("_as"))
-    both = x.join(r, [*PLACE, "bin"]).where(near & (F.floor(at / size) == F.col("bin"))).drop("bin", "_as", "_bs", "_wide")
+    wide = width(F.col("level"), size) if long_left else F.lit(size)
+    both = x.join(r, [*PLACE, *key]).where(near & (F.floor(at / wide) == F.col("bin"))).drop(*key, "_as", "_bs", "_wide")
     return with_sized_relation(both, "_a", "_b", F.col("strand"), n).drop("_al", "_ac", "_bl", "_bc")
 
 
@@ -59,7 +93,7 @@ def link_hits(features: DataFrame, hits: DataFrame) -> DataFrame:
     """``features`` with assoc, the sorted set of hit types that overlap each; null where none does."""
     key = [*PLACE, "start_bound", "end_bound", "feature_type", "ord"]
     slim = features.select(*key, "len", "strand")
-    got = relate(slim, hits, 0, ["assoc_type"], overlap=True).groupBy(*key).agg(F.array_sort(F.collect_set("r_assoc_type")).alias("assoc"))
+    got = relate(slim, hits, 0, ["assoc_type"], overlap=True, long_left=True).groupBy(*key).agg(F.array_sort(F.collect_set("r_assoc_type")).alias("assoc"))
     return features.join(got, key, "left")
 
 
