@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, conversation_repair, debruijn_dedup, decontaminate, feistel, jaccard_join, media, prefix_trie, quality, simhash, suffix_array_dedup, toxicity, training_order
+from . import byte_bpe, conversation_repair, debruijn_dedup, decontaminate, feistel, jaccard_join, media, oracle, prefix_trie, quality, simhash, suffix_array_dedup, toxicity, training_order
 from .common import table
 
 
@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_conversation_repair": oracle.REPAIR, "op13_prefix_trie": oracle.TRIE}
