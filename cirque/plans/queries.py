@@ -410,8 +410,7 @@ def j4_bubble(spark, d):
 
 @query(f"{CATALOG}, {with_views('ad_files').removeprefix('WITH ')} SELECT DISTINCT assembly AS dir_name FROM ad_files WHERE replace(assembly, 'D', 'C') NOT IN (SELECT dir_name FROM cat WHERE lower(assembly_level) IN ('complete genome','chromosome'))")
 def j10_unmatched_assemblies(spark, d):
-    listed = A.complete_assemblies(_catalog(spark, d), need_link=False).select(F.translate("dir_name", "C", "D").alias("k"), "dir_name")
-    listed = listed.select(F.concat(F.substring("dir_name", 1, 4), F.lit("D"), F.substring("dir_name", 6, 9)).alias("dir_name"))
+    listed = A.complete_assemblies(_catalog(spark, d), need_link=False).select(F.concat(F.substring("dir_name", 1, 4), F.lit("D"), F.substring("dir_name", 6, 9)).alias("dir_name"))
     return A.unmatched_assemblies(view(spark, d, "ad_files").select(F.col("assembly").alias("dir_name")), listed)
 
 
@@ -450,8 +449,8 @@ def t2_first_assemblies(spark, d):
 
 @query(f"{CATALOG}, {with_views('ad_files').removeprefix('WITH ')}, f AS (SELECT DISTINCT replace(assembly, 'D', 'C') AS dir_name FROM ad_files WHERE file_name LIKE '%_feature_table.txt.gz') SELECT c.dir_name, CASE WHEN f.dir_name IS NULL THEN 'no' ELSE 'yes' END AS has_annotation FROM cat c LEFT JOIN f USING (dir_name)")
 def k3_catalog_annotation(spark, d):
-    files = view(spark, d, "ad_files").select(F.translate("assembly", "D", "X").alias("x"), F.replace("assembly", F.lit("D"), F.lit("C")).alias("assembly"), F.replace("file_name", F.lit("D"), F.lit("C")).alias("file_name"))
-    return A.with_annotation(_catalog(spark, d).select("dir_name"), files.select("assembly", "file_name"))
+    files = view(spark, d, "ad_files").select(F.replace("assembly", F.lit("D"), F.lit("C")).alias("assembly"), F.replace("file_name", F.lit("D"), F.lit("C")).alias("file_name"))
+    return A.with_annotation(_catalog(spark, d).select("dir_name"), files)
 
 
 MD5 = f"{with_views('ad_manifest')}, wanted AS (SELECT 'a' || CAST(n_nationkey+30 AS VARCHAR) AS assembly FROM nation), got AS (SELECT m.assembly, count(*) AS n, bool_and(md5(d.text) = m.expected_md5) AS good FROM ad_manifest m JOIN documents d ON 'doc_' || CAST(d.doc_id AS VARCHAR) = m.file_name GROUP BY 1), v AS (SELECT w.assembly, w.assembly IN (SELECT assembly FROM ad_manifest) AND coalesce(g.good, TRUE) AS good FROM wanted w LEFT JOIN got g USING (assembly))"
