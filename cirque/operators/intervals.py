@@ -30,9 +30,12 @@ def width(level: Column, size: int) -> Column:
     return F.lit(size).cast("long") * F.pow(F.lit(2), level * STEP).cast("long")
 
 
-def levels_below(span: Column, size: int) -> Column:
-    """The levels whose bins are narrower than ``span``, as an array; their number is the level of an arc of that length."""
-    return F.filter(F.sequence(F.lit(0), F.lit(LEVELS)), lambda level: width(level, size) < span)
+def level_of(span: Column, size: int) -> Column:
+    """The first level on which a bin is as wide as ``span``; counted without functions on arrays, which would leave generated code."""
+    out = F.lit(0)
+    for level in range(LEVELS):
+        out = out + (F.lit(size << (STEP * level)) < span).cast("int")
+    return out
 
 
 def placed(arcs: DataFrame, start: str, span: str, size: int, own: bool) -> DataFrame:
@@ -42,10 +45,10 @@ def placed(arcs: DataFrame, start: str, span: str, size: int, own: bool) -> Data
     over the origin, whatever its length. Otherwise they are those of every level that its circle has.
     """
     n = F.col("len")
-    top = F.size(levels_below(n, size))
-    level = F.array(F.least(F.size(levels_below(F.col(span), size)), top)) if own else F.sequence(F.lit(0), top)
-    each = F.flatten(F.transform(level, lambda x: F.transform(bins(F.col(start), F.col(span), n, width(x, size)), lambda b: F.struct(x.alias("level"), b.alias("bin")))))
-    return arcs.withColumn("_at", F.explode(each)).withColumns({"level": F.col("_at.level"), "bin": F.col("_at.bin")}).drop("_at")
+    top = level_of(n, size)
+    level = F.least(level_of(F.col(span), size), top) if own else F.explode(F.sequence(F.lit(0), top))
+    x = arcs.withColumn("level", level)
+    return x.withColumn("bin", F.explode(bins(F.col(start), F.col(span), n, width(F.col("level"), size))))
 
 
 def relate(left: DataFrame, right: DataFrame, radius: int, keep: list[str], size: int = BIN, overlap: bool = False, long_left: bool = False) -> DataFrame:
