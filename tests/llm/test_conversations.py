@@ -163,3 +163,18 @@ def test_trie_of_odd_rows(spark, monkeypatch, turns):
     wide = spark.createDataFrame([(*r, "other", 1) for r in table], SCHEMA + ", node string, depth int")
     check_trie(spark, wide, table)
     assert T.trie(spark, spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("name", ["op11_conversation_repair", "op13_prefix_trie"])
+def test_same_as_sql(spark, small, name):
+    import duckdb
+
+    from cirque.llm import queries as Q
+
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{small}/conversations.parquet'")
+    want = con.execute(Q.oracle_sql()[name])
+    columns = [x[0] for x in want.description]
+    got = Q.queries()[name](spark, small)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(f"Row({', '.join(f'{c}={v!r}' for c, v in zip(columns, r, strict=True))})" for r in want.fetchall())
