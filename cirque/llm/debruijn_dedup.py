@@ -1,13 +1,16 @@
 """Substring dedup on words by de Bruijn compaction.
 
 1. Every window of ``k`` words is an edge between the nodes of its first and its last k - 1 words. Blocks set aside edges
-   that cannot repeat (``blocks.py``) and exchange the others once each, as 96-bit fingerprints. The answer names a
-   repeated edge by the coordinate (block, word) of its first occurrence in the order of (doc_id, word).
-2. The block of that first occurrence gives the edge to the graph, with hashes of its two nodes. Spark counts edges into
-   and out of each node; where one comes in and one goes out, the two belong to one unitig. Edges that follow each other
-   at their coordinates become runs, and runs that meet at such a node are joined (``unitigs``).
-3. Along a document, repeated edges whose coordinates run on form a path. Paths are joined with the runs of unitigs by
-   coordinate (``verified``): only what a unitig confirms is removed.
+   that cannot repeat (``blocks.py``) and exchange the others once each, as 96-bit fingerprints. A repeated edge belongs to
+   the least block that holds it and is named by its place there, (block, word). Which occurrence comes first is not asked
+   yet.
+2. Its block gives the edge to the graph, with hashes of its two nodes. Spark counts edges into and out of each node; where
+   one comes in and one goes out, the path does not branch. Edges whose names run on become runs, runs that meet at such a
+   node are joined to a unitig, and pointer doubling tells how many edges of the unitig precede each run (``unitigs``).
+3. Repeated edges along a document become intervals (unitig, offset) with the coordinate (doc_id, word) where each starts
+   (``placed``). In an interval word minus offset does not change, so intervals of a unitig have one order throughout, and
+   its segments between the ends of intervals have one least coordinate each: their source (``sources``).
+4. An interval keeps the segments whose source it is itself, and loses the others (``repeats``).
 
 Removed are the words covered by a window whose words also start earlier: at a smaller doc_id, or earlier in the same
 document. Odd rows: a null or empty text has no words; texts under ``k`` words lose nothing; a null doc_id counts as
@@ -21,7 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import blocks as B
@@ -31,8 +34,8 @@ from .suffix_array_dedup import run
 
 U = np.uint64
 ANCHOR = 6
-#: Rows of the graph: paths (block, at, n, src_block, src_at) and, with null block, edges (src_block, src_at, from_node, to_node).
-GRAPH = "block int, at long, n long, src_block int, src_at long, from_node long, to_node long"
+#: Rows of the graph: walks (block, at, n, doc, word, src_block, src_at) and, with null block, edges (src_block, src_at, from_node, to_node).
+GRAPH = "block int, at long, n long, doc long, word long, src_block int, src_at long, from_node long, to_node long"
 #: Coordinates that are joined by one key.
 BIN = 512
 
@@ -75,20 +78,17 @@ class Edges:
         fp = edge_hash(w.h, self.window, k, 1)
         self.fp, first, self.inverse, count = np.unique(fp, return_index=True, return_inverse=True, return_counts=True)
         self.many = count > 1
-        self.text = np.searchsorted(w.offsets, self.window, "right") - 1
-        self.at = self.window - w.offsets[self.text]
         self.word = self.window[first]
         self.second = (edge_hash(w.h, self.word, k, 0x5851F42D4C957F2D) >> U(32)).astype(np.uint32)
-        self.first_doc, self.first_at = b.ids[self.text[first]], self.at[first]
 
 
 def name_edges(t: pa.Table) -> pa.Table:
-    """For one bucket: 0 for an edge that occurs once, 1 if its first occurrence is the sender's, 2 with the coordinate if not."""
+    """For one bucket: 0 for an edge that occurs once, 1 if it is the sender's, 2 with its name if it is another block's."""
     sizes = [len(x.as_py()) // 8 for x in t.column("fp")]
     get = lambda c, kind: np.frombuffer(b"".join(x.as_py() for x in t.column(c)), kind)
-    fp, second, doc, at, word, many = get("fp", np.uint64), get("second", np.uint32), get("doc", np.int64), get("at", np.uint32), get("word", np.uint32), get("many", np.uint8)
+    fp, second, word, many = get("fp", np.uint64), get("second", np.uint32), get("word", np.uint32), get("many", np.uint8)
     block = np.repeat(t.column("block").to_numpy(), sizes)
-    order = np.lexsort((word, block, at, doc, second, fp))
+    order = np.lexsort((block, second, fp))
     f, s = fp[order], second[order]
     new = np.concatenate([[True], (f[1:] != f[:-1]) | (s[1:] != s[:-1])])
     start = np.flatnonzero(new)
@@ -96,8 +96,7 @@ def name_edges(t: pa.Table) -> pa.Table:
     repeated = np.repeat((size > 1) | (np.maximum.reduceat(many[order], start) > 0), size)
     src = np.repeat(order[start], size)
     code, from_block, from_word = np.zeros(len(fp), np.uint8), np.empty(len(fp), np.int32), np.empty(len(fp), np.uint32)
-    own = (doc[src] == doc[order]) & (at[src] == at[order])
-    code[order] = np.where(repeated, np.where(own, 1, 2), 0)
+    code[order] = np.where(repeated, np.where(src == order, 1, 2), 0)
     from_block[order], from_word[order] = block[src], word[src]
     end = np.cumsum([0, *sizes])
     out: dict[str, list] = {"codes": [], "src_block": [], "src_at": []}
@@ -110,7 +109,7 @@ def name_edges(t: pa.Table) -> pa.Table:
 
 
 def graph_of(b: B.Block, left: pa.Table, k: int) -> pa.Table:
-    """What a block adds to the graph: its paths, runs of removable windows whose sources run along, and the edges that occur first in it."""
+    """What a block adds to the graph: its walks, runs of repeated windows whose edges' names run along, and its own edges."""
     e = Edges(b, B.codes_in(left, 1), k)
     rows = sorted((x for x in left.to_pylist() if x["kind"] == 3), key=lambda x: x["bucket"])
     get = lambda c, kind: np.frombuffer(b"".join(x[c] for x in rows), kind)
@@ -119,10 +118,9 @@ def graph_of(b: B.Block, left: pa.Table, k: int) -> pa.Table:
     far = code == 2
     if len(code):
         block[far], at[far] = get("src_block", np.int32), get("src_at", np.uint32)
-    mine = e.first_doc[e.inverse] != b.ids[e.text] if len(code) else np.zeros(0, bool)
-    later = mine | (e.first_at[e.inverse] != e.at) if len(code) else mine
-    gone = (code[e.inverse] > 0) & (far[e.inverse] | later) if len(code) else mine
-    p, t, block, at = e.window[gone], e.text[gone], block[e.inverse][gone], at[e.inverse][gone]
+    again = code[e.inverse] > 0 if len(code) else np.zeros(0, bool)
+    p = e.window[again]
+    t, block, at = np.searchsorted(e.words.offsets, p, "right") - 1, block[e.inverse][again], at[e.inverse][again]
     new = np.concatenate([[True], (p[1:] != p[:-1] + 1) | (t[1:] != t[:-1]) | (block[1:] != block[:-1]) | (at[1:] != at[:-1] + 1)]) if len(p) else np.zeros(0, bool)
     s = np.flatnonzero(new)
     n, first = len(s), e.word[code == 1] if len(code) else np.zeros(0, np.int64)
@@ -131,16 +129,17 @@ def graph_of(b: B.Block, left: pa.Table, k: int) -> pa.Table:
     null = lambda values, before, after: pa.array(np.concatenate([np.zeros(before, values.dtype), values, np.zeros(after, values.dtype)]), mask=np.repeat([True, False, True], [before, len(values), after]))
     return pa.table({
         "block": null(np.full(n, b.block, np.int32), 0, m), "at": null(p[s], 0, m), "n": null(np.diff(np.append(s, len(p))), 0, m),
+        "doc": null(b.ids[t[s]], 0, m), "word": null(p[s] - e.words.offsets[t[s]], 0, m),
         "src_block": pa.array(np.concatenate([block[s], np.full(m, b.block, np.int32)])), "src_at": pa.array(np.concatenate([at[s], first])),
         "from_node": null(node(first), n, 0), "to_node": null(node(first + 1), n, 0),
     })
 
 
 def unitigs(edges: DataFrame, steps: C.Steps) -> DataFrame:
-    """(src_block, src_at, n, unitig): runs of edges at consecutive coordinates, and the unitig that each belongs to.
+    """(src_block, src_at, n, unitig, offset): runs of edges with names that run on, the unitig of each and its place there.
 
     A node with one edge in and one out does not branch. Runs end at all other nodes; runs that meet at a node that does
-    not branch are joined, whatever blocks they lie in, and the unitig is named by the least of them.
+    not branch are joined, whatever blocks they lie in. The least of them names the unitig, and a ring begins at it.
     """
     ends = edges.select(F.col("from_node").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("to_node").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
     branching = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).where("out <> 1 or into <> 1").select("node", F.lit(True).alias("branches"))
@@ -150,44 +149,95 @@ def unitigs(edges: DataFrame, steps: C.Steps) -> DataFrame:
     marked = marked.withColumn("run", F.sum(begins.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     first, last = F.min_by("from_node", "src_at"), F.max_by("to_node", "src_at")
     runs = marked.groupBy("src_block", "run").agg(F.min("src_at").alias("src_at"), F.count("*").alias("n"), first.alias("from_node"), last.alias("to_node"), F.min_by(F.coalesce("branches", F.lit(False)), "src_at").alias("branches"))
-    runs = steps(runs.select("src_block", "src_at", "n", "from_node", "to_node", "branches", F.xxhash64("src_block", "src_at").alias("id")), "runs")
+    name = F.shiftleft(F.col("src_block").cast("long"), 32) + F.col("src_at")  # a place in a block is below 2 ** 32
+    runs = steps(runs.select("src_block", "src_at", "n", "from_node", "to_node", "branches", name.alias("id")), "runs")
     follows = runs.where("not branches").select(F.col("id").alias("y"), F.col("from_node").alias("node"))
-    links = runs.select(F.col("id").alias("x"), F.col("to_node").alias("node")).join(follows, "node").select("x", "y")
-    group = components(links, steps, "unitigs")
-    return runs.join(group.withColumnRenamed("node", "id"), "id", "left").select("src_block", "src_at", "n", F.coalesce("component", "id").alias("unitig"))
+    links = steps(runs.select(F.col("id").alias("x"), F.col("to_node").alias("node"), "n").join(follows, "node").select("x", "y", "n"), "links")
+    group = components(links, steps, "unitigs").select(F.col("node").alias("id"), F.col("component").alias("unitig"))
+    before = links.select(F.col("y").alias("id"), F.col("x").alias("prev"), F.col("n").alias("offset"))
+    ring = group.join(before, "id", "left")
+    open_ = ring.where("prev is null").select(F.col("unitig").alias("id"), F.lit(True).alias("open")).distinct()
+    first = F.col("prev").isNull() | (F.col("id") == F.col("unitig")) & F.col("open").isNull()  # in a ring no run has none before it
+    chain = ring.join(open_, "id", "left").select("id", "unitig", F.when(~first, F.col("prev")).alias("prev"), F.when(first, 0).otherwise(F.col("offset")).cast("long").alias("offset"))
+    ranked = in_order(chain, steps)
+    alone = runs.join(links.select(F.explode(F.array("x", "y")).alias("id")).distinct(), "id", "left_anti").select("src_block", "src_at", "n", F.col("id").alias("unitig"), F.lit(0).cast("long").alias("offset"))
+    return runs.select("id", "src_block", "src_at", "n").join(ranked, "id").select(*alone.columns).unionByName(alone)
 
 
-def verified(paths: DataFrame, runs: DataFrame) -> DataFrame:
-    """(block, at, n, unitig): the pieces of ``paths`` that lie on a run of a unitig, by source coordinates.
+def in_order(chain: DataFrame, steps: C.Steps) -> DataFrame:
+    """(id, unitig, offset) from rows whose ``offset`` counts from ``prev`` on: each round a row takes on what its ``prev`` has."""
+    chain = steps(chain, "chain")
+    while chain.where("prev is not null").limit(1).count():
+        far = chain.select(F.col("id").alias("prev"), F.col("prev").alias("far"), F.col("offset").alias("more"))
+        chain = steps(chain.join(far, "prev", "left").select("id", "unitig", F.col("far").alias("prev"), (F.col("offset") + F.coalesce("more", F.lit(0))).alias("offset")), "chain")
+    return chain.select("id", "unitig", "offset")
 
-    Both are cut at multiples of ``BIN``, and paths that lead to one place are dealt into parts that each get its runs.
+
+def bins(at: str) -> Column:
+    return F.sequence(F.floor(F.col(at) / BIN), F.floor((F.col(at) + F.col("n") - 1) / BIN))
+
+
+def dealt(rows: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
+    """Join on ``on``; rows that share a key are dealt, by (block, at), into parts that each get what is known of it."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("deal", F.pmod(F.xxhash64("block", "at"), F.lit(parts)).cast("int"))
+    return rows.join(rows.select(*on, "deal").distinct().join(known, on), [*on, "deal"]).drop("deal")
+
+
+def placed(walks: DataFrame, runs: DataFrame) -> DataFrame:
+    """(block, at, n, doc, lead, unitig, offset, bin): walks as intervals of unitigs, cut at multiples of ``BIN`` edges.
+
+    ``lead`` is the word of the document minus the offset, the same all along an interval. Walks and runs meet by the
+    names of their edges, both cut at multiples of ``BIN`` there too.
     """
-    parts = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bins = F.sequence(F.floor(F.col("src_at") / BIN), F.floor((F.col("src_at") + F.col("n") - 1) / BIN))
-    p = paths.withColumn("deal", F.pmod(F.xxhash64("block", "at"), F.lit(parts)).cast("int")).withColumn("bin", F.explode(bins))
-    r = runs.select("src_block", F.col("src_at").alias("r_at"), F.col("n").alias("r_n"), "unitig", F.explode(bins).alias("bin"))
-    dealt = p.select("src_block", "bin", "deal").distinct().join(r, ["src_block", "bin"])
+    r = runs.select("src_block", F.col("src_at").alias("r_at"), F.col("n").alias("r_n"), "unitig", "offset", F.explode(bins("src_at")).alias("bin"))
+    met = dealt(walks.withColumn("bin", F.explode(bins("src_at"))), r, ["src_block", "bin"])
     start = F.greatest("src_at", "r_at", F.col("bin") * BIN)
     end = F.least(F.col("src_at") + F.col("n"), F.col("r_at") + F.col("r_n"), (F.col("bin") + 1) * BIN)
-    return p.join(dealt, ["src_block", "bin", "deal"]).where(start < end).select("block", (F.col("at") + start - F.col("src_at")).alias("at"), (end - start).alias("n"), "unitig")
+    ahead, place = start - F.col("src_at"), F.col("offset") + start - F.col("r_at")
+    met = met.where(start < end).select("block", (F.col("at") + ahead).alias("at"), (end - start).alias("n"), "doc", (F.col("word") + ahead - place).alias("lead"), "unitig", place.alias("offset"))
+    from_, to = F.greatest("offset", F.col("bin") * BIN), F.least(F.col("offset") + F.col("n"), (F.col("bin") + 1) * BIN)
+    return met.withColumn("bin", F.explode(bins("offset"))).select("block", (F.col("at") + from_ - F.col("offset")).alias("at"), (to - from_).alias("n"), "doc", "lead", "unitig", from_.alias("offset"), "bin")
+
+
+def sources(intervals: DataFrame) -> DataFrame:
+    """(unitig, bin, start, stop, src_doc, src_lead): the least coordinate of each segment between the ends of intervals.
+
+    Equal intervals are one row before anything is shuffled, so a bin has at most BIN * (BIN + 1) / 2, whatever number of
+    documents shares it.
+    """
+    distinct = intervals.groupBy("unitig", "bin", "offset", "n").agg(F.min(F.struct("doc", "lead")).alias("least"))
+    w = Window.partitionBy("unitig", "bin")
+    ends = F.array_sort(F.array_union(F.collect_set("offset").over(w), F.collect_set(F.col("offset") + F.col("n")).over(w)))
+    between = distinct.withColumn("ends", ends).withColumn("ends", F.filter("ends", lambda x: (x >= F.col("offset")) & (x <= F.col("offset") + F.col("n"))))
+    cut = F.zip_with(F.slice("ends", F.lit(1), F.size("ends") - 1), F.slice("ends", F.lit(2), F.size("ends") - 1), lambda a, b: F.struct(a.alias("start"), b.alias("stop")))
+    segments = between.select("unitig", "bin", "least", F.explode(cut).alias("s")).groupBy("unitig", "bin", "s").agg(F.min("least").alias("least"))
+    return segments.select("unitig", "bin", "s.start", "s.stop", F.col("least.doc").alias("src_doc"), F.col("least.lead").alias("src_lead"))
+
+
+def repeats(intervals: DataFrame, known: DataFrame) -> DataFrame:
+    """(block, at, n): the parts of intervals that start at another coordinate than their source does."""
+    start, stop = F.greatest("offset", "start"), F.least(F.col("offset") + F.col("n"), "stop")
+    met = dealt(intervals, known, ["unitig", "bin"]).where((start < stop) & ((F.col("doc") != F.col("src_doc")) | (F.col("lead") != F.col("src_lead"))))
+    return met.select("block", (F.col("at") + start - F.col("offset")).alias("at"), (stop - start).alias("n"))
 
 
-def find_paths(blocks: DataFrame, n: int, k: int, steps: C.Steps) -> tuple[DataFrame, DataFrame]:
-    """The paths and the edges of the graph (``GRAPH``); ``at`` counts words from the block's first."""
+def find_walks(blocks: DataFrame, n: int, k: int, steps: C.Steps) -> tuple[DataFrame, DataFrame]:
+    """The walks and the edges of the graph (``GRAPH``); ``at`` counts words from the block's first."""
 
     def keys(b: B.Block):
         w = Words(b.text, b.offsets)
         return B.spread(C.joined(w.h, ANCHOR)[b.anchor] if len(b.anchor) else np.zeros(0, U)), np.searchsorted(w.offsets, b.first, "right") - 1
 
     known = steps(B.repeated_anchors(blocks, n, keys, within_text=True), "anchors")
-    names = ["fp", "second", "doc", "at", "word", "many"]
+    names = ["fp", "second", "word", "many"]
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
             b = B.Block(row)
             e = Edges(b, B.codes_in(right), k)
-            columns = [(e.fp, "<u8"), (e.second, "<u4"), (e.first_doc, "<i8"), (e.first_at, "<u4"), (e.word, "<u4"), (e.many, "u1")]
+            columns = [(e.fp, "<u8"), (e.second, "<u4"), (e.word, "<u4"), (e.many, "u1")]
             out += [{"bucket": x, "block": b.block} | {c: C.raw(v[i:j], kind) for c, (v, kind) in zip(names, columns, strict=True)} for x, i, j in B.cuts(e.fp, n * 2)]
         return pa.Table.from_pylist(out, pa.schema([("bucket", pa.int32()), ("block", pa.int32()), *((c, pa.binary()) for c in names)]))
 
@@ -200,7 +250,7 @@ def find_paths(blocks: DataFrame, n: int, k: int, steps: C.Steps) -> tuple[DataF
 
     graph = steps(blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(walk, GRAPH), "graph")
     steps.drop("anchors", "names")
-    return graph.where("block is not null").select("block", "at", "n", "src_block", "src_at"), graph.where("block is null").select("src_block", "src_at", "from_node", "to_node")
+    return graph.where("block is not null").select("block", "at", "n", "doc", "word", "src_block", "src_at"), graph.where("block is null").select("src_block", "src_at", "from_node", "to_node")
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, k: int = 20) -> DataFrame:
@@ -229,9 +279,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, k: int = 20) -> DataFra
             out.append(pa.table({"doc_id": pa.array(b.ids, pa.int64(), mask=b.ids == C.NULL_ID), "n_words": pa.array(np.diff(w.offsets), pa.int64()), "n_removed": pa.array(np.diff(removed), pa.int64()), "kept_sha256": pa.array(sha, pa.string())}))
         return pa.concat_tables(out)
 
-    with C.Steps(spark) as steps:
-        paths, edges = find_paths(blocks, n, k, steps)
-        gone = verified(paths, unitigs(edges, steps)).select("block", "at", "n")
-        out = steps.keep(blocks.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string"), "kept")
-    B.discard(spark, name)
-    return out
+    try:
+        with C.Steps(spark) as steps:
+            walks, edges = find_walks(blocks, n, k, steps)
+            intervals = steps(placed(walks, unitigs(edges, steps)), "intervals")
+            gone = repeats(intervals, sources(intervals))
+            return steps.keep(blocks.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string"), "kept")
+    finally:
+        B.discard(spark, name)

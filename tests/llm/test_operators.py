@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cirque.llm import blocks, byte_bpe, common, components, debruijn_dedup, decontaminate, feistel, jaccard_join, media, quality, suffix_array_dedup, toxicity, training_order
 
@@ -96,25 +97,65 @@ def test_unitigs_join_runs_that_do_not_branch(spark):
     # nodes a-b-c-d in block 0, d-e-f in block 1 (nothing branches), then f-g and f-h (f branches), and a ring x-y-x
     rows = [(0, 0, 1, 2), (0, 1, 2, 3), (0, 2, 3, 4), (1, 7, 4, 5), (1, 8, 5, 6), (1, 9, 6, 7), (2, 3, 6, 8), (3, 0, 20, 21), (4, 5, 21, 20)]
     edges = spark.createDataFrame(rows, "src_block int, src_at long, from_node long, to_node long")
-    got = {(r.src_block, r.src_at, r.n): r.unitig for r in debruijn_dedup.unitigs(edges, common.Steps(spark)).collect()}
-    assert set(got) == {(0, 0, 3), (1, 7, 2), (1, 9, 1), (2, 3, 1), (3, 0, 1), (4, 5, 1)}
-    assert got[0, 0, 3] == got[1, 7, 2] and got[3, 0, 1] == got[4, 5, 1]
-    assert len({got[0, 0, 3], got[1, 9, 1], got[2, 3, 1], got[3, 0, 1]}) == 4
-
-
-def test_what_no_unitig_confirms_stays(spark, docs, monkeypatch):
+    got = {(r.src_block, r.src_at, r.n): (r.unitig, r.offset) for r in debruijn_dedup.unitigs(edges, common.Steps(spark)).collect()}
+    assert {k: v[1] for k, v in got.items()} == {(0, 0, 3): 0, (1, 7, 2): 3, (1, 9, 1): 0, (2, 3, 1): 0, (3, 0, 1): 0, (4, 5, 1): 1}
+    assert got[0, 0, 3][0] == got[1, 7, 2][0] and got[3, 0, 1][0] == got[4, 5, 1][0]
+    assert len({got[x][0] for x in ((0, 0, 3), (1, 9, 1), (2, 3, 1), (3, 0, 1))}) == 4
+
+
+def test_unitig_of_many_runs_is_put_in_order(spark):
+    # one path of 300 edges, each the only one of its block, whose least name lies in its middle; and a ring of 70
+    rng = np.random.default_rng(8)
+    block = rng.permutation(370).tolist()
+    path = [(block[i], 5, i, i + 1) for i in range(300)]
+    ring = [(block[300 + i], 5, 1000 + i, 1000 + (i + 1) % 70) for i in range(70)]
+    edges = spark.createDataFrame(path + ring, "src_block int, src_at long, from_node long, to_node long")
+    got = {r.src_block: (r.unitig, r.offset) for r in debruijn_dedup.unitigs(edges, common.Steps(spark)).collect()}
+    assert [got[block[i]][1] for i in range(300)] == list(range(300)) and len({got[b][0] for b in block[:300]}) == 1
+    least = block.index(min(block[300:])) - 300
+    assert [got[block[300 + (least + i) % 70]][1] for i in range(70)] == list(range(70)) and len({got[b][0] for b in block[300:]}) == 1
+
+
+def test_what_is_in_no_unitig_stays(spark, docs, monkeypatch):
     whole = {r.doc_id: r.n_removed for r in debruijn_dedup.remove_repeats(spark, docs, 20).collect()}
-    found = debruijn_dedup.unitigs
-
-    def without_the_first(edges, steps):
-        got = found(edges, steps)
-        return got.where(got.unitig != got.agg({"unitig": "min"}).first()[0])
-
-    monkeypatch.setattr(debruijn_dedup, "unitigs", without_the_first)
+    found = debruijn_dedup.components
+    monkeypatch.setattr(debruijn_dedup, "components", lambda *a: found(*a).where("false"))
     less = {r.doc_id: r.n_removed for r in debruijn_dedup.remove_repeats(spark, docs, 20).collect()}
     assert set(less) == set(whole) and all(less[i] <= whole[i] for i in whole) and sum(less.values()) < sum(whole.values())
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_debruijn_of_random_walks(spark, monkeypatch, seed):
+    """Documents stitched from few passages, with repeated ids, against brute force; short bins so that intervals are cut."""
+    monkeypatch.setattr(debruijn_dedup, "BIN", 8)
+    rng = np.random.default_rng(seed)
+    passages = [[f"p{i}w{j}" for j in range(rng.integers(4, 90))] for i in range(8)] + [["z"] * 40, ["a", "b"] * 20]
+    rows = []
+    for i in range(120):
+        w = []
+        for _ in range(rng.integers(1, 6)):
+            x = passages[rng.integers(0, 10)]
+            a = rng.integers(0, len(x))
+            w += x[a : a + rng.integers(1, 90)] + [f"u{i}"] * int(rng.integers(0, 3))
+        rows.append((None if i == 50 else int(rng.permutation(100)[0]), " ".join(w)))
+    first = {}
+    for i, t in rows:
+        w = t.split()
+        for p in range(len(w) - 6):
+            key = tuple(w[p : p + 7])
+            first[key] = min(first.get(key, (2**64, 0)), (order(i), p))
+    want = []
+    for i, t in rows:
+        w = t.split()
+        gone = [False] * len(w)
+        for p in range(len(w) - 6):
+            if first[tuple(w[p : p + 7])] != (order(i), p):
+                gone[p : p + 7] = [True] * 7
+        want.append((order(i), len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()))
+    got = debruijn_dedup.remove_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"), 7).collect()
+    assert sorted((order(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
+
+
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (3, 30)])
 def test_jaccard_against_brute_force(spark, docs, n, percent):
     sets = {}
