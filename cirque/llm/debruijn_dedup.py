@@ -4,9 +4,10 @@
    that cannot repeat (``blocks.py``) and exchange the others once each, as 96-bit fingerprints. A repeated edge belongs to
    the least block that holds it and is named by its place there, (block, word). Which occurrence comes first is not asked
    yet.
-2. Its block gives the edge to the graph, with hashes of its two nodes. Spark counts edges into and out of each node; where
-   one comes in and one goes out, the path does not branch. Edges whose names run on become runs, runs that meet at such a
-   node are joined to a unitig, and pointer doubling tells how many edges of the unitig precede each run (``unitigs``).
+2. Its block gives the edge to the graph: a trail of edges whose names run on, with hashes of the nodes that it passes.
+   Spark counts edges into and out of each node; where one comes in and one goes out, the path does not branch. Trails are cut
+   into runs at nodes that branch, runs that meet at any other node are joined to a unitig, and pointer doubling tells how
+   many edges of the unitig precede each run (``unitigs``).
 3. Repeated edges along a document become intervals (unitig, offset) with the coordinate (doc_id, word) where each starts
    (``placed``). In an interval word minus offset does not change, so intervals of a unitig have one order throughout, and
    its segments between the ends of intervals have one least coordinate each: their source (``sources``).
@@ -34,8 +35,9 @@ from .suffix_array_dedup import run
 
 U = np.uint64
 ANCHOR = 6
-#: Rows of the graph: walks (block, at, n, doc, word, src_block, src_at) and, with null block, edges (src_block, src_at, from_node, to_node).
-GRAPH = "block int, at long, n long, doc long, word long, src_block int, src_at long, from_node long, to_node long"
+#: Rows of the graph: walks (all but the nodes); with null block, trails (n, src_block, src_at, from_node, to_node); with null n too,
+#: nodes inside trails (src_block, src_at of the edge that leaves it, from_node).
+GRAPH = pa.schema([("block", pa.int32()), ("at", pa.int64()), ("n", pa.int64()), ("doc", pa.int64()), ("word", pa.int64()), ("src_block", pa.int32()), ("src_at", pa.int64()), ("from_node", pa.int64()), ("to_node", pa.int64())])
 #: Coordinates that are joined by one key.
 BIN = 512
 
@@ -84,12 +86,16 @@ class Edges:
 
 def name_edges(t: pa.Table) -> pa.Table:
     """For one bucket: 0 for an edge that occurs once, 1 if it is the sender's, 2 with its name if it is another block's."""
+    t = t.sort_by("block")
     sizes = [len(x.as_py()) // 8 for x in t.column("fp")]
     get = lambda c, kind: np.frombuffer(b"".join(x.as_py() for x in t.column(c)), kind)
     fp, second, word, many = get("fp", np.uint64), get("second", np.uint32), get("word", np.uint32), get("many", np.uint8)
     block = np.repeat(t.column("block").to_numpy(), sizes)
-    order = np.lexsort((block, second, fp))
+    order = np.argsort(fp, kind="stable")
     f, s = fp[order], second[order]
+    if ((f[1:] == f[:-1]) & (s[1:] != s[:-1])).any():
+        order = np.lexsort((block, second, fp))
+        f, s = fp[order], second[order]
     new = np.concatenate([[True], (f[1:] != f[:-1]) | (s[1:] != s[:-1])])
     start = np.flatnonzero(new)
     size = np.diff(np.append(start, len(f)))
@@ -109,7 +115,7 @@ def name_edges(t: pa.Table) -> pa.Table:
 
 
 def graph_of(b: B.Block, left: pa.Table, k: int) -> pa.Table:
-    """What a block adds to the graph: its walks, runs of repeated windows whose edges' names run along, and its own edges."""
+    """What a block adds to the graph: its walks, runs of repeated windows whose edges' names run along, and its own edges as trails."""
     e = Edges(b, B.codes_in(left, 1), k)
     rows = sorted((x for x in left.to_pylist() if x["kind"] == 3), key=lambda x: x["bucket"])
     get = lambda c, kind: np.frombuffer(b"".join(x[c] for x in rows), kind)
@@ -123,34 +129,42 @@ def graph_of(b: B.Block, left: pa.Table, k: int) -> pa.Table:
     t, block, at = np.searchsorted(e.words.offsets, p, "right") - 1, block[e.inverse][again], at[e.inverse][again]
     new = np.concatenate([[True], (p[1:] != p[:-1] + 1) | (t[1:] != t[:-1]) | (block[1:] != block[:-1]) | (at[1:] != at[:-1] + 1)]) if len(p) else np.zeros(0, bool)
     s = np.flatnonzero(new)
-    n, first = len(s), e.word[code == 1] if len(code) else np.zeros(0, np.int64)
-    m = len(first)
+    own = np.sort(e.word[code == 1]) if len(code) else np.zeros(0, np.int64)
+    starts = np.concatenate([[True], own[1:] != own[:-1] + 1]) if len(own) else np.zeros(0, bool)
+    head, inner = own[starts], own[~starts]
+    n = np.diff(np.append(np.flatnonzero(starts), len(own)))
     node = lambda at: edge_hash(e.words.h, at, k - 1, 7).view(np.int64)
-    null = lambda values, before, after: pa.array(np.concatenate([np.zeros(before, values.dtype), values, np.zeros(after, values.dtype)]), mask=np.repeat([True, False, True], [before, len(values), after]))
-    return pa.table({
-        "block": null(np.full(n, b.block, np.int32), 0, m), "at": null(p[s], 0, m), "n": null(np.diff(np.append(s, len(p))), 0, m),
-        "doc": null(b.ids[t[s]], 0, m), "word": null(p[s] - e.words.offsets[t[s]], 0, m),
-        "src_block": pa.array(np.concatenate([block[s], np.full(m, b.block, np.int32)])), "src_at": pa.array(np.concatenate([at[s], first])),
-        "from_node": null(node(first), n, 0), "to_node": null(node(first + 1), n, 0),
-    })
 
+    def part(size: int, **columns) -> pa.Table:
+        return pa.table([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in GRAPH], schema=GRAPH)
 
-def unitigs(edges: DataFrame, steps: C.Steps) -> DataFrame:
+    mine = np.full(len(own), b.block, np.int32)
+    return pa.concat_tables([
+        part(len(s), block=np.full(len(s), b.block, np.int32), at=p[s], n=np.diff(np.append(s, len(p))), doc=b.ids[t[s]], word=p[s] - e.words.offsets[t[s]], src_block=block[s], src_at=at[s]),
+        part(len(head), n=n, src_block=mine[: len(head)], src_at=head, from_node=node(head), to_node=node(head + n)),
+        part(len(inner), src_block=mine[: len(inner)], src_at=inner, from_node=node(inner)),
+    ])
+
+
+def unitigs(trails: DataFrame, inner: DataFrame, steps: C.Steps) -> DataFrame:
     """(src_block, src_at, n, unitig, offset): runs of edges with names that run on, the unitig of each and its place there.
 
-    A node with one edge in and one out does not branch. Runs end at all other nodes; runs that meet at a node that does
-    not branch are joined, whatever blocks they lie in. The least of them names the unitig, and a ring begins at it.
+    ``trails`` are (src_block, src_at, n, from_node, to_node); ``inner`` are the nodes that they pass, (src_block, src_at of
+    the edge that leaves the node, from_node). A node with one edge in and one out does not branch. Trails are cut at all other
+    nodes; runs that meet at a node that does not branch are joined, whatever blocks they lie in. The least of them names the
+    unitig, and a ring begins at it.
     """
-    ends = edges.select(F.col("from_node").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("to_node").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
-    branching = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).where("out <> 1 or into <> 1").select("node", F.lit(True).alias("branches"))
-    marked = edges.join(branching.withColumnRenamed("node", "from_node"), "from_node", "left")
+    count = lambda df, node, out, into: df.select(F.col(node).alias("from_node"), F.lit(out).alias("out"), F.lit(into).alias("into"))
+    ends = count(trails, "from_node", 1, 0).unionByName(count(trails, "to_node", 0, 1)).unionByName(count(inner, "from_node", 1, 1))
+    branching = steps(ends.groupBy("from_node").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).where("out <> 1 or into <> 1").select("from_node", F.lit(True).alias("branches")), "branching")
+    cuts = inner.join(branching, "from_node").select("src_block", "src_at", "from_node", F.lit(None).cast("long").alias("stop"), F.lit(None).cast("long").alias("to_node"), "branches")
+    starts = trails.join(branching, "from_node", "left").select("src_block", "src_at", "from_node", (F.col("src_at") + F.col("n")).alias("stop"), "to_node", F.coalesce("branches", F.lit(False)).alias("branches"))
     w = Window.partitionBy("src_block").orderBy("src_at")
-    begins = F.coalesce("branches", F.lit(False)) | F.coalesce(F.lag("src_at").over(w) + 1 != F.col("src_at"), F.lit(True))
-    marked = marked.withColumn("run", F.sum(begins.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    first, last = F.min_by("from_node", "src_at"), F.max_by("to_node", "src_at")
-    runs = marked.groupBy("src_block", "run").agg(F.min("src_at").alias("src_at"), F.count("*").alias("n"), first.alias("from_node"), last.alias("to_node"), F.min_by(F.coalesce("branches", F.lit(False)), "src_at").alias("branches"))
+    both = starts.unionByName(cuts).select("src_block", "src_at", "from_node", "branches", F.last("stop", True).over(w).alias("stop"), F.last("to_node", True).over(w).alias("end_node"), F.lead("src_at").over(w).alias("next"), F.lead("from_node").over(w).alias("next_node"))
+    goes_on = F.coalesce(F.col("next") < F.col("stop"), F.lit(False))
     name = F.shiftleft(F.col("src_block").cast("long"), 32) + F.col("src_at")  # a place in a block is below 2 ** 32
-    runs = steps(runs.select("src_block", "src_at", "n", "from_node", "to_node", "branches", name.alias("id")), "runs")
+    runs = both.select("src_block", "src_at", (F.when(goes_on, F.col("next")).otherwise(F.col("stop")) - F.col("src_at")).alias("n"), "from_node", F.when(goes_on, F.col("next_node")).otherwise(F.col("end_node")).alias("to_node"), "branches", name.alias("id"))
+    runs = steps(runs, "runs")
     follows = runs.where("not branches").select(F.col("id").alias("y"), F.col("from_node").alias("node"))
     links = steps(runs.select(F.col("id").alias("x"), F.col("to_node").alias("node"), "n").join(follows, "node").select("x", "y", "n"), "links")
     group = components(links, steps, "unitigs").select(F.col("node").alias("id"), F.col("component").alias("unitig"))
@@ -222,8 +236,8 @@ def repeats(intervals: DataFrame, known: DataFrame) -> DataFrame:
     return met.select("block", (F.col("at") + start - F.col("offset")).alias("at"), (stop - start).alias("n"))
 
 
-def find_walks(blocks: DataFrame, n: int, k: int, steps: C.Steps) -> tuple[DataFrame, DataFrame]:
-    """The walks and the edges of the graph (``GRAPH``); ``at`` counts words from the block's first."""
+def find_walks(blocks: DataFrame, n: int, k: int, steps: C.Steps) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The walks, the trails and the nodes inside trails (``GRAPH``); ``at`` counts words from the block's first."""
 
     def keys(b: B.Block):
         w = Words(b.text, b.offsets)
@@ -248,9 +262,11 @@ def find_walks(blocks: DataFrame, n: int, k: int, steps: C.Steps) -> tuple[DataF
     def walk(left: pa.Table, right: pa.Table) -> pa.Table:
         return pa.concat_tables([graph_of(B.Block(row), right, k) for row in left.to_pylist()])
 
-    graph = steps(blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(walk, GRAPH), "graph")
+    graph = steps(blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(walk, "block int, at long, n long, doc long, word long, src_block int, src_at long, from_node long, to_node long"), "graph")
     steps.drop("anchors", "names")
-    return graph.where("block is not null").select("block", "at", "n", "doc", "word", "src_block", "src_at"), graph.where("block is null").select("src_block", "src_at", "from_node", "to_node")
+    trails = graph.where("block is null and n is not null").select("src_block", "src_at", "n", "from_node", "to_node")
+    inner = graph.where("block is null and n is null").select("src_block", "src_at", "from_node")
+    return graph.where("block is not null").select("block", "at", "n", "doc", "word", "src_block", "src_at"), trails, inner
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, k: int = 20) -> DataFrame:
@@ -281,8 +297,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, k: int = 20) -> DataFra
 
     try:
         with C.Steps(spark) as steps:
-            walks, edges = find_walks(blocks, n, k, steps)
-            intervals = steps(placed(walks, unitigs(edges, steps)), "intervals")
+            walks, trails, inner = find_walks(blocks, n, k, steps)
+            intervals = steps(placed(walks, unitigs(trails, inner, steps)), "intervals")
             gone = repeats(intervals, sources(intervals))
             return steps.keep(blocks.groupBy("block").cogroup(gone.groupBy("block")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string"), "kept")
     finally:

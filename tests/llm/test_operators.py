@@ -93,11 +93,22 @@ def test_debruijn_against_brute_force(spark, docs):
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), sum(gone), kept), i
 
 
+def graph(spark, edges):
+    """Trails and inner nodes of edges (src_block, src_at, from_node, to_node)."""
+    trails, inner = [], []
+    for block, at, a, b in sorted(edges):
+        if trails and trails[-1][0] == block and sum(trails[-1][1:3]) == at:
+            trails[-1][2:] = [trails[-1][2] + 1, trails[-1][3], b]
+            inner.append((block, at, a))
+        else:
+            trails.append([block, at, 1, a, b])
+    return spark.createDataFrame(trails, "src_block int, src_at long, n long, from_node long, to_node long"), spark.createDataFrame(inner, "src_block int, src_at long, from_node long")
+
+
 def test_unitigs_join_runs_that_do_not_branch(spark):
     # nodes a-b-c-d in block 0, d-e-f in block 1 (nothing branches), then f-g and f-h (f branches), and a ring x-y-x
     rows = [(0, 0, 1, 2), (0, 1, 2, 3), (0, 2, 3, 4), (1, 7, 4, 5), (1, 8, 5, 6), (1, 9, 6, 7), (2, 3, 6, 8), (3, 0, 20, 21), (4, 5, 21, 20)]
-    edges = spark.createDataFrame(rows, "src_block int, src_at long, from_node long, to_node long")
-    got = {(r.src_block, r.src_at, r.n): (r.unitig, r.offset) for r in debruijn_dedup.unitigs(edges, common.Steps(spark)).collect()}
+    got = {(r.src_block, r.src_at, r.n): (r.unitig, r.offset) for r in debruijn_dedup.unitigs(*graph(spark, rows), common.Steps(spark)).collect()}
     assert {k: v[1] for k, v in got.items()} == {(0, 0, 3): 0, (1, 7, 2): 3, (1, 9, 1): 0, (2, 3, 1): 0, (3, 0, 1): 0, (4, 5, 1): 1}
     assert got[0, 0, 3][0] == got[1, 7, 2][0] and got[3, 0, 1][0] == got[4, 5, 1][0]
     assert len({got[x][0] for x in ((0, 0, 3), (1, 9, 1), (2, 3, 1), (3, 0, 1))}) == 4
@@ -109,8 +120,7 @@ def test_unitig_of_many_runs_is_put_in_order(spark):
     block = rng.permutation(370).tolist()
     path = [(block[i], 5, i, i + 1) for i in range(300)]
     ring = [(block[300 + i], 5, 1000 + i, 1000 + (i + 1) % 70) for i in range(70)]
-    edges = spark.createDataFrame(path + ring, "src_block int, src_at long, from_node long, to_node long")
-    got = {r.src_block: (r.unitig, r.offset) for r in debruijn_dedup.unitigs(edges, common.Steps(spark)).collect()}
+    got = {r.src_block: (r.unitig, r.offset) for r in debruijn_dedup.unitigs(*graph(spark, path + ring), common.Steps(spark)).collect()}
     assert [got[block[i]][1] for i in range(300)] == list(range(300)) and len({got[b][0] for b in block[:300]}) == 1
     least = block.index(min(block[300:])) - 300
     assert [got[block[300 + (least + i) % 70]][1] for i in range(70)] == list(range(70)) and len({got[b][0] for b in block[300:]}) == 1
