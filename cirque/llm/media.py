@@ -3,8 +3,9 @@
 ``parse`` turns HTML into one ordered array of structs: runs of text, and references to media with the digest they
 name and the caption that belongs to them. ``store`` puts payloads into a lossless 8-bit grey image (PGM, 64 samples a
 row), one for each distinct payload; ``read_back`` takes samples out of stored bytes and computes their features.
-``resolve`` joins references to what is known of their payload by digest; sequences keep their order, and a digest that
-nobody stored leaves nulls. Payloads stay on their side of the join: only features cross it.
+``resolve`` joins references to what is known of their payload by digest, the stored media themselves or their features;
+sequences keep their order, and a digest that nobody stored leaves nulls. In ``payload_features`` the media are written to
+the shared folder and read from there, and only features cross the join.
 
 Results for odd rows: null or empty HTML has an empty sequence; a null text is an empty payload, which is stored as 64
 zeros; equal texts give equal rows; rows that repeat or share an id have a row each; an empty table gives an empty one.
@@ -184,8 +185,9 @@ def document_pages(docs: DataFrame) -> DataFrame:
 
 
 def payload_features(docs: DataFrame) -> DataFrame:
-    """doc_id and the features of each whole text's stored payload, by way of parse, store, read_back and resolve."""
+    """doc_id and the features of each whole text's stored payload, by way of parse, store (written), read_back and resolve."""
     with C.Steps(docs.sparkSession) as steps:
         pages = steps(parse(document_pages(docs)), "pages")
-        got = resolve(pages, steps(read_back(store(docs)), "payloads")).where("kind = 'media'")
+        media = steps(store(docs), "media")
+        got = resolve(pages, steps(read_back(media), "payloads")).where("kind = 'media'")
         return steps.keep(got.select("doc_id", *FEATURES[1:], "position", "caption"), "features")

@@ -236,6 +236,19 @@ def test_media(spark, docs, small):
     assert media.parse(pages).where("size(items) > 3").count() == pages.count()
 
 
+def test_media_payloads_by_digest(spark, docs):
+    """References, repeated ones and unknown ones among them, get the stored bytes; texts, order and captions stay in place."""
+    texts = ["a", "", "é" * 900]
+    digest = [hashlib.sha256(x.encode()).hexdigest() for x in texts]
+    figure = "<figure><img src='sha256:%s'><figcaption>of %s</figcaption></figure>"
+    html = {i: f"<p>before {i}</p>" + figure % (digest[i % 3], i) + "<p>between</p>" + figure % (digest[0], "all") + "<img data-digest='none' alt='lost'>after" for i in range(7)}
+    stored = media.store(spark.createDataFrame([(x,) for x in [*texts, texts[0]]], "text string")).dropDuplicates(["digest"])
+    rows = media.resolve(media.parse(spark.createDataFrame(list(html.items()), "doc_id long, html string")), stored).collect()
+    got = {i: [(r.kind, r.text if r.kind == "text" else None, r.caption, r.media and bytes(r.media)) for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.position)] for i in html}
+    known = {x: media.to_media(x.encode()) for x in texts}
+    assert got == {i: [("text", f"before {i}", None, None), ("media", None, f"of {i}", known[texts[i % 3]]), ("text", "between", None, None), ("media", None, "of all", known["a"]), ("media", None, "lost", None), ("text", "after", None, None)] for i in html}
+
+
 def test_classifiers_on_held_out_labels(spark):
     big = "/root/testdata/sf0.1"
     d, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
