@@ -1,8 +1,8 @@
 """Documents in blocks, and the packed exchanges that find what occurs in more than one place.
 
 A block is one row with the texts of the documents whose key falls into it (about ``BLOCK_BYTES``).
-Blocks are written once as a bucketed table in the warehouse, so later joins on the block number
-shuffle only what is exchanged, never the texts. Operators drop it when their result is written.
+Blocks are written once as a bucketed table in the shared folder of spark.checkpoint.dir, so later joins on the
+block number shuffle only what is exchanged, never the texts. Operators drop it when their result is written, or failed.
 
 Anchors: in each window of W symbols (bytes, or words) the run of K symbols with the least hash is the
 window's anchor. Equal windows have equal anchors at equal places, so a window can only repeat if its
@@ -133,14 +133,19 @@ def build(spark: SparkSession, docs: DataFrame, anchors: Callable[[np.ndarray, n
 
     name = f"blocks_{uuid.uuid4().hex[:16]}"
     packed = picked.repartition(files, "block").groupBy("block").applyInArrow(pack, BLOCK)
-    with C.step(spark):
-        packed.write.bucketBy(files, "block").option("compression", "zstd").format("parquet").saveAsTable(name)
+    try:
+        with C.step(spark):
+            packed.write.bucketBy(files, "block").option("compression", "zstd").option("path", C.shared(spark, name)).format("parquet").saveAsTable(name)
+    except Exception:
+        discard(spark, name)
+        raise
     return spark.table(name), n, name
 
 
 def discard(spark: SparkSession, name: str) -> None:
-    """Drops a block table, once nothing reads it any more."""
-    spark.sql(f"DROP TABLE IF EXISTS {name} PURGE")
+    """Drops a block table and its files, once nothing reads it any more."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    C.delete(spark, C.shared(spark, name))
 
 
 def bucket_of(key: np.ndarray, n: int) -> np.ndarray:

@@ -35,6 +35,16 @@ def prepare(spark: SparkSession) -> None:
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
+def shared(spark: SparkSession, name: str) -> str:
+    """The path of ``name`` in the shared folder, which ``prepare`` has named."""
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}"
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: While a step is written: its shuffle files go when it is done, and Arrow batches stay small.
 STEP = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
@@ -195,7 +205,7 @@ class Steps:
         self.drop(*self.paths)
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
-        folder = f"{self.spark.sparkContext.getCheckpointDir()}/{name}_{uuid.uuid4().hex[:16]}"
+        folder = shared(self.spark, f"{name}_{uuid.uuid4().hex[:16]}")
         with step(self.spark):
             df.write.option("compression", "zstd").parquet(folder)
         self.drop(name)
@@ -211,8 +221,7 @@ class Steps:
     def drop(self, *names: str) -> None:
         for name in names:
             if folder := self.paths.pop(name, None):
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+                delete(self.spark, folder)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -355,11 +355,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50, rest:
             out.append(make(b, covered(b, right, window)))
         return pa.concat_tables(out)
 
-    with C.Steps(spark) as steps:
-        known = steps(B.repeated_anchors(blocks, n, keys, within_text=False), "anchors")
-        sent = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(send, "bucket int, block int, own binary, least binary, content binary, text binary")
-        bits = steps(sent.groupBy("bucket").applyInArrow(lambda t: earlier(t, window), "block int, bucket int, codes binary, kind int"), "windows")
-        answers = known.withColumn("kind", F.lit(1)).unionByName(bits)
-        out = steps.keep(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, wanted), "kept")
-    B.discard(spark, name)
-    return out
+    try:
+        with C.Steps(spark) as steps:
+            known = steps(B.repeated_anchors(blocks, n, keys, within_text=False), "anchors")
+            sent = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(send, "bucket int, block int, own binary, least binary, content binary, text binary")
+            bits = steps(sent.groupBy("bucket").applyInArrow(lambda t: earlier(t, window), "block int, bucket int, codes binary, kind int"), "windows")
+            answers = known.withColumn("kind", F.lit(1)).unionByName(bits)
+            return steps.keep(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, wanted), "kept")
+    finally:
+        B.discard(spark, name)
