@@ -3,7 +3,7 @@ import re
 import pytest
 
 from cirque.plans import queries as Q
-from cirque.plans.adapters import VIEWS, keyed, with_views
+from cirque.plans.adapters import VIEWS, keyed, view, with_views
 
 
 def plan_of(df):
@@ -22,3 +22,10 @@ def test_only_the_spark_dialect_is_keyed():
     for name in ("ad_sites", "ad_hits"):
         assert keyed(VIEWS[name]) != VIEWS[name]
         assert VIEWS[name].strip() in with_views(name) and VIEWS[name].strip() not in with_views(name, dialect="spark")
+
+
+def test_views_do_not_order_lineitem_again(spark, small):
+    replicons = Q._replicons(spark, small)
+    for name in ("ad_sites", "ad_hits"):
+        got = view(spark, small, name, replicons)
+        assert "lineitem" not in plan_of(got) and got.exceptAll(view(spark, small, name)).isEmpty()
