@@ -146,7 +146,7 @@ def a11_inventory_round_trip(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select((F.col("doc_id") % 24).alias("k"), "doc_id", "text")
     kind = F.when(F.col("k") % 2 == 0, "F").otherwise("A")
     name = F.concat(F.lit("GC"), kind, F.lit("_"), F.col("k").cast("string"))
-    docs.repartition("k").sortWithinPartitions("k", "doc_id").select(name.alias("assembly"), "text").write.partitionBy("assembly").text(f"{folder}/parts")
+    docs.repartitionById(24, F.pmod("k", F.lit(24)).cast("int")).sortWithinPartitions("k", "doc_id").select(name.alias("assembly"), "text").write.partitionBy("assembly").text(f"{folder}/parts")
     every = [f"GC{'FA'[k % 2]}_{k}" for k in range(24)]
     for k, x in enumerate(every):
         _renamed(spark, f"{folder}/parts/assembly={x}/part-*", lambda _, x=x: f"{folder}/db/{x}/{x}_genomic.fna.gz")
@@ -155,7 +155,7 @@ def a11_inventory_round_trip(spark, d):
             _renamed(spark, f"{folder}/more/{x}{end}/part-*", lambda _, x=x, end=end: f"{folder}/db/{x}/{x}{end}")
     sums = R.checksums(spark, f"{folder}/db").where("kind <> 'feature_table'").withColumn("k", F.element_at(F.split("assembly", "_"), 2).cast("int")).where("k % 7 <> 3")
     line = F.concat(F.when((F.col("k") % 4 == 1) & (F.col("kind") == "sequence"), F.lit("0" * 32)).otherwise(F.col("md5")), F.lit("  ./"), "file_name")
-    _lines(sums.coalesce(1), line, f"{folder}/sums", "assembly")
+    _lines(sums.repartition("assembly"), line, f"{folder}/sums", "assembly")  # a file each, and contents are hashed before rows meet
     for x in every:
         _renamed(spark, f"{folder}/sums/assembly={x}/part-*", lambda _, x=x: f"{folder}/db/{x}/md5checksums.txt")
     files = R.inventory(spark, f"{folder}/db")

@@ -53,3 +53,11 @@ def test_words_of_whole_sequences(spark, small):
     mine = got.join(spark.createDataFrame([(w,) for w in every], "word string"), "word", "left_semi").collect()
     motif = {r.word for r in M.expand_motif(spark).collect()}
     assert {r.word for r in mine} == every and all(r.in_motif == (r.word in motif) for r in mine)
+
+
+def test_contents_are_hashed_apart(spark, small, monkeypatch):
+    plans, lines = [], round_trips._lines
+    monkeypatch.setattr(round_trips, "_lines", lambda df, *more: (plans.append(df._jdf.queryExecution().toString()), lines(df, *more))[1])
+    assert round_trips.a11_inventory_round_trip(spark, small).count() == 24
+    hashed = [p for p in plans if "md5" in p]
+    assert hashed and not any("Coalesce 1" in p or "Repartition 1," in p for p in hashed)
