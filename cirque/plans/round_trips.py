@@ -14,7 +14,7 @@ from cirque.sources import readers as R
 from cirque.sources import sinks as K
 
 from .adapters import view, with_views
-from .queries import query
+from .queries import _features, query
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -64,7 +64,7 @@ def s2_fasta_round_trip(spark, d):
 
 @query(f"{with_views('ad_features')} SELECT assembly, replicon, strand, start_bound, end_bound, feature_type, 'f' || CAST(ord AS VARCHAR) AS id, 'b' AS name FROM ad_features")
 def s3_gff_round_trip(spark, d):
-    rows = view(spark, d, "ad_features")
+    rows = _features(spark, d)
     sign = F.when(F.col("strand") == "Forward", "+").otherwise("-")
     line = _tabs("replicon", F.lit("src"), "feature_type", (F.col("start_bound") + 1).cast("string"), _text("end_bound"), F.lit("."), sign, F.lit("0"), F.concat(F.lit("ID=x;Name=b=c;ID=f"), _text("ord")))
     got = R.read_gff(spark, _lines(rows, line, _folder(spark, "gff"), "assembly") + "/*")

@@ -1,5 +1,6 @@
 import re
 
+import duckdb
 import pytest
 
 from cirque.plans import queries as Q
@@ -29,3 +30,21 @@ def test_views_do_not_order_lineitem_again(spark, small):
     for name in ("ad_sites", "ad_hits"):
         got = view(spark, small, name, replicons)
         assert "lineitem" not in plan_of(got) and got.exceptAll(view(spark, small, name)).isEmpty()
+
+
+def test_lineitem_is_ordered_once(spark, small):
+    plan = plan_of(view(spark, small, "ad_placed"))
+    assert plan.count("Scan parquet") <= 4 and len(re.findall(r"\(\d+\) Sort\n", plan)) <= 2  # of each listed twice: lineitem, and supplier if it is not broadcast
+    genomes = Q._genomes(spark, small)
+    for name in ("ad_features", "ad_replicons", "ad_sites", "ad_hits"):
+        assert "lineitem" not in plan_of(view(spark, small, name, **genomes))
+
+
+def test_tiles_give_the_features_of_the_sql(spark, small):
+    con = duckdb.connect()
+    for t in ("lineitem", "supplier"):
+        con.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
+    for name in ("ad_features", "ad_replicons"):
+        got = view(spark, small, name, **Q._genomes(spark, small))
+        want = con.execute(f"{with_views(name)} SELECT {', '.join(got.columns)} FROM {name}").fetchall()
+        assert want and sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
