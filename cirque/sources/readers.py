@@ -48,15 +48,18 @@ def read_replicons(spark: SparkSession, path: str) -> DataFrame:
 
 def read_gff(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path).withColumn("ord", file_order()).withColumn("assembly", F.element_at(F.split("_metadata.file_path", "/"), -2))
-    p = F.split("value", "\t", -1)
-    x = raw.where((F.length("value") > 0) & ~F.col("value").startswith("#"))
-    pairs = F.transform(F.filter(F.split(p[8], ";"), lambda s: F.length(s) > 0), lambda s: F.split(s, "="))
-    keys = F.array_distinct(F.transform(pairs, lambda a: a[0]))
-    # the last of equal keys wins, whatever the session's rule for duplicate map keys is
-    last = F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda a: a[0] == k), -1))
-    attributes = F.map_from_arrays(keys, F.transform(last, lambda a: F.coalesce(F.get(a, F.lit(1)), F.lit(""))))
+    # a projection for each step: written as one, a line would be split again for each key that its attributes are looked up by
+    x = raw.where((F.length("value") > 0) & ~F.col("value").startswith("#")).select("assembly", "ord", F.split("value", "\t", -1).alias("p"))
+    p = F.col("p")
     strand = F.when(p[6] == "+", "Forward").when(p[6] == "-", "Reverse").otherwise("Other")
-    return x.select("assembly", p[0].alias("replicon"), p[1].alias("source"), p[2].alias("feature_type"), (p[3].cast("long") - 1).alias("start_bound"), p[4].cast("long").alias("end_bound"), strand.alias("strand"), attributes.alias("attributes"), "ord")
+    plain = [p[0].alias("replicon"), p[1].alias("source"), p[2].alias("feature_type"), (p[3].cast("long") - 1).alias("start_bound"), p[4].cast("long").alias("end_bound"), strand.alias("strand")]
+    x = x.select("assembly", *plain, F.transform(F.filter(F.split(p[8], ";"), lambda s: F.length(s) > 0), lambda s: F.split(s, "=")).alias("pairs"), "ord")
+    x = x.withColumn("names", F.transform("pairs", lambda a: a[0])).withColumn("keys", F.array_distinct("names"))
+    # the last of equal keys wins, whatever the session's rule for duplicate map keys is
+    last = F.transform("keys", lambda k: F.element_at(F.filter("pairs", lambda a: a[0] == k), -1))
+    every = F.when(F.size("keys") == F.size("names"), F.col("pairs")).otherwise(last)
+    attributes = F.map_from_arrays("keys", F.transform(every, lambda a: F.coalesce(F.get(a, F.lit(1)), F.lit(""))))
+    return x.withColumn("attributes", attributes).select("assembly", "replicon", "source", "feature_type", "start_bound", "end_bound", "strand", "attributes", "ord")
 
 
 def read_hits(spark: SparkSession, path: str) -> DataFrame:

@@ -39,3 +39,15 @@ def test_catalog(spark, tmp_path):
     p = put(tmp_path, "c.txt", "# one\n#two\n" + "\t".join(row) + "\n")
     r = R.read_assembly_catalog(spark, p).first()
     assert (r.subdir_name, r.assembly_level, r.tax_id) == ("GCA_1_A_b_c_d", "complete genome", "9")
+
+
+def test_a_gff_line_is_split_once(spark, tmp_path):
+    from cirque.sources import readers as R
+
+    (tmp_path / "g").mkdir()
+    line = "\t".join(["r", "s", "CDS", "3", "9", ".", "-", "0", "ID=x;;Name=b=c;flag;ID=f;=e"])
+    (tmp_path / "g" / "a.gff").write_text(f"#c\n\n{line}\n{line[:-26]}\n")
+    got = R.read_gff(spark, str(tmp_path / "g"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(value") == 1
+    a, b = (r.attributes for r in got.orderBy("ord.line").collect())
+    assert a == {"ID": "f", "Name": "b", "flag": "", "": "e"} and len(b) <= 1
