@@ -26,6 +26,8 @@ U = np.uint64
 SLOTS, KEPT, SAMPLE, SIZES = 1 << 17, 4096, 12_000, (3, 4, 5, 6)
 #: Texts whose slots are marked at once while they are counted.
 MARKED = 64
+#: Rows of the fitted matrix that are numbers at once.
+BLOCK = 64
 
 
 def slots(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -61,20 +63,31 @@ def held(data: np.ndarray, offsets: np.ndarray, place: np.ndarray) -> tuple[np.n
 
 
 def logistic(rows: list[tuple[int, np.ndarray]], scale: np.ndarray, steps: int = 300, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and intercept by accelerated gradient steps over a dense matrix of ``SAMPLE`` x ``KEPT`` at most."""
+    """Weights and intercept by accelerated gradient steps over a matrix of ``SAMPLE`` x ``KEPT`` at most.
+
+    The matrix holds a byte a slot; ``BLOCK`` rows at a time become numbers, and the weights are scaled, not the matrix.
+    """
     y = np.array([label for label, _ in rows], np.float32)
-    x = np.zeros((len(rows), len(scale)), np.float32)
+    x = np.zeros((len(rows), len(scale)), np.uint8)
     for k, (_, at) in enumerate(rows):
-        x[k, at] = scale[at]
+        x[k, at] = 1
+    scale = scale.astype(np.float32)
+    block = np.empty((min(BLOCK, len(rows)), len(scale)), np.float32)
     w = np.zeros(len(scale), np.float32)
     v, bias, bias_v = w.copy(), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), 0.0
-    bound = 0.25 * (float(np.einsum("ij,ij->i", x, x).mean()) + 1)
+    bound = 0.25 * (float(sum(np.square(scale[at]).sum(dtype=np.float64) for _, at in rows)) / len(rows) + 1)
     rate = np.float32(1 / bound)
     for _ in range(steps):
-        z = x @ (w + np.float32(0.9) * v) + np.float32(bias + 0.9 * bias_v)
-        error = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        v = np.float32(0.9) * v - rate * (error @ x / np.float32(len(y)) + np.float32(ridge) * w)
-        bias_v = 0.9 * bias_v - float(rate) * float(error.mean())
+        ahead, gradient, off = scale * (w + np.float32(0.9) * v), np.zeros(len(scale), np.float32), 0.0
+        for i in range(0, len(x), BLOCK):
+            part = block[: len(x) - i]
+            part[...] = x[i : i + BLOCK]
+            z = part @ ahead + np.float32(bias + 0.9 * bias_v)
+            error = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[i : i + BLOCK]
+            gradient += error @ part
+            off += float(error.sum())
+        v = np.float32(0.9) * v - rate * (gradient * scale / np.float32(len(y)) + np.float32(ridge) * w)
+        bias_v = 0.9 * bias_v - float(rate) * off / len(y)
         w, bias = w + v, bias + bias_v
     return w * scale, bias
 

@@ -481,6 +481,18 @@ def test_toxicity_against_plain_log_ratios(spark):
         assert abs(got[i].score - 1 / (1 + np.exp(-z))) < 1e-3 and got[i].predicted == int(t)
 
 
+def test_toxicity_fit_holds_a_byte_a_slot():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    rows = [(i % 2, np.flatnonzero(rng.random(4096) < 0.1).astype(np.uint16)) for i in range(2000)]
+    tracemalloc.start()
+    toxicity.logistic(rows, np.ones(4096), 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * 2000 * 4096
+
+
 def test_toxicity_takes_one_row_of_an_id(spark, monkeypatch):
     from cirque.llm import toxicity as X
 
