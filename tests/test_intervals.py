@@ -34,3 +34,17 @@ def test_an_arc_takes_few_bins(spark):
     own = J.placed(rows, "_s", "_al", 1_000, True).groupBy("id", (F.col("_s") + F.col("_al") >= F.col("len")).alias("over")).count()
     assert own.select("id").distinct().count() == 504
     assert own.agg(F.max("count")).first()[0] <= 3 and own.where("not over").agg(F.max("count")).first()[0] <= 2
+
+
+def test_a_level_is_not_worked_out_again_in_a_filter(spark):
+    both = J.relate(arcs(spark, 1, 5, [16]), arcs(spark, 2, 5, [300]), 0, ["id"], long_left=True)
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "10240000 <" in line]
+
+
+def test_hit_types_are_those_of_linked_features(spark):
+    features = arcs(spark, 5, 60, [16, 900, 30_000]).withColumnsRenamed({"id": "ord"}).withColumn("feature_type", F.lit("CDS"))
+    hits = arcs(spark, 6, 40, [300, 2_000]).withColumn("assoc_type", F.concat(F.lit("t"), (F.col("id") % 3).cast("string"))).where("id < 40")
+    key = ["replicon", "start_bound", "end_bound", "ord", "assoc"]
+    want = J.link_hits(features, hits).where("assoc is not null").select(*key).collect()
+    assert len(want) > 20 and sorted(J.hit_types(features, hits, ("len", "strand")).select(*key).collect()) == sorted(want)
