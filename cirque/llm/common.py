@@ -66,8 +66,8 @@ def step(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-def dealt_join(left: DataFrame, right: DataFrame, on: str, by: str) -> DataFrame:
-    """Inner join with ``right``, which has one row for each ``on``; rows of ``left`` with one value are dealt by ``by``.
+def dealt_join(left: DataFrame, right: DataFrame, on: str, by: str, how: str = "inner") -> DataFrame:
+    """Join with ``right``, which has one row for each ``on``; rows of ``left`` with one value are dealt by ``by``. ``how`` is inner or left.
 
     A value goes to as many parts as hold any of its rows, at most the number of shuffle partitions, so that a value that
     a third of all rows have does not make one task of them.
@@ -75,7 +75,7 @@ def dealt_join(left: DataFrame, right: DataFrame, on: str, by: str) -> DataFrame
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = left.withColumn("_deal", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
     known = dealt.select(on, "_deal").distinct().join(right, on)
-    return dealt.join(known, [on, "_deal"]).drop("_deal")
+    return dealt.join(known, [on, "_deal"], how).drop("_deal")
 
 
 def blank(df: DataFrame, *names: str) -> DataFrame:

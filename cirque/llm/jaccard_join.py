@@ -124,15 +124,14 @@ def prefixes(docs: DataFrame, n: int, percent: int, order: np.ndarray) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(work, "h long, node long, n int, i int")
 
 
-def verified(pairs: DataFrame, class_of: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """``pairs`` (x, y) with ``linked``: whether 100 x common >= percent x union, by whole sets.
 
-    Texts travel to the pairs, as they are smaller than their sets; each class is known by the id and text of one document.
+    Texts travel to the pairs, as they are smaller than their sets; each class is known by the id and text of one document: xdoc, xkey, ydoc and ykey.
     """
     texts = docs.select(F.coalesce("doc_id", F.lit(C.NULL_ID)).alias("doc"), F.xxhash64("text").alias("key"), "text").where("text is not null").dropDuplicates(["doc", "key"])
-    end = lambda s: class_of.select(F.col("node").alias(s), F.col("doc").alias(f"{s}doc"), F.col("key").alias(f"{s}key"))
     text = lambda s: texts.select(F.col("doc").alias(f"{s}doc"), F.col("key").alias(f"{s}key"), F.col("text").alias(f"t{s}"))
-    both = pairs.select("x", "y").join(end("x"), "x").join(end("y"), "y").join(text("x"), ["xdoc", "xkey"]).join(text("y"), ["ydoc", "ykey"]).select("x", "y", "tx", "ty")
+    both = pairs.join(text("x"), ["xdoc", "xkey"]).join(text("y"), ["ydoc", "ykey"]).select("x", "y", "tx", "ty")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches, "tx"):
@@ -189,6 +188,18 @@ def pairs_of(held: DataFrame, percent: int) -> DataFrame:
     return few.join(every, ["h", "slot"]).where((F.col("ucomponent") != F.col("vcomponent")) & once & size_ok & may_link("u", "v", percent))
 
 
+def joined_groups(group: DataFrame, more: DataFrame, nodes: DataFrame, steps: C.Steps) -> DataFrame:
+    """``nodes`` with component when ``more`` links (x, y) join those of ``group``; only the components that it names are looked at again.
+
+    A node that neither has is a component by itself.
+    """
+    of = lambda s: group.select(F.col("node").alias(s), F.col("component").alias(f"{s}c"))
+    ends = more.join(of("x"), "x", "left").join(of("y"), "y", "left").select(F.coalesce("xc", "x").alias("x"), F.coalesce("yc", "y").alias("y"))
+    merged = components(ends, steps, "groups").select(F.col("node").alias("component"), F.col("component").alias("low"))
+    first = nodes.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return C.dealt_join(first, merged, "component", "node", "left").withColumn("component", F.coalesce("low", "component")).drop("low")
+
+
 def heads(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(doc, node, n, least, head) of each document: least is the least doc of its component, head the least class with that doc; null without n-grams."""
     with C.Steps(spark) as steps:
@@ -198,30 +209,32 @@ def heads(spark: SparkSession, docs: DataFrame, n: int, percent: int) -> DataFra
             order[r["slot"]] = r["seen"]
         docs_of = seen.where("slot is null").select("doc", "node", "n")
         class_of = seen.where("slot is null and n > 0").groupBy("node").agg(F.min(F.struct("doc", "key")).alias("first"), *(F.max(c).alias(c) for c in SIGNATURE)).select("node", "first.*", *SIGNATURE)
+        class_of = steps(class_of, "named")  # read by each join that follows
         rows = steps(prefixes(docs, n, percent, order), "prefixes")
         shared = steps(in_several(rows, percent, steps), "columns")
         steps.drop("prefixes", "members")
         size_ok = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent
-        star = shared.where("node <> pivot").where(size_ok).groupBy(F.col("pivot").alias("x"), F.col("node").alias("y")).agg(F.count("*").alias("common"), F.max("pivot_n").alias("xn"), F.max("n").alias("yn"))
+        star = shared.where("node <> pivot").where(size_ok).groupBy(F.col("node").alias("x"), F.col("pivot").alias("y")).agg(F.count("*").alias("common"), F.max("n").alias("xn"), F.max("pivot_n").alias("yn"))
         small = F.least("xn", "yn")
         star = star.where(F.col("common") * 5 >= small - ceil_floor(small, percent) + 1)
         sign = class_of.select("node", *SIGNATURE)
-        as_side = lambda s: sign.select(*(F.col(c).alias(s if c == "node" else s + c) for c in sign.columns))
-        star = star.join(as_side("x"), "x").join(as_side("y"), "y").where(may_link("x", "y", percent)).select(F.col("y").alias("x"), F.col("x").alias("y"))
-        tried = steps(verified(star, class_of, docs, n, percent), "star")
+        as_side = lambda s, *more: class_of.select(*(F.col(c).alias(s if c == "node" else s + c) for c in ("node", "doc", "key", *more)))
+        star = star.join(as_side("x", *SIGNATURE), "x").join(as_side("y", *SIGNATURE), "y").where(may_link("x", "y", percent))
+        tried = steps(verified(star, docs, n, percent), "star")
         links = tried.where("linked").select("x", "y")
-        held = steps(several_components(shared, components(links, steps, "star_groups"), sign), "mixed")
-        steps.drop("columns", "star_groups")
+        star_group = components(links, steps, "star_groups")
+        held = steps(several_components(shared, star_group, sign), "mixed")
+        steps.drop("columns")
         cross = pairs_of(held, percent)
         first = F.col("unode") < F.col("vnode")
         side = lambda c, low: F.when(first == F.lit(low), F.col(f"u{c}")).otherwise(F.col(f"v{c}"))
         cross = cross.groupBy(F.least("unode", "vnode").alias("x"), F.greatest("unode", "vnode").alias("y")).agg(F.count("*").alias("common"), F.max(side("n", True)).alias("xn"), F.max(side("n", False)).alias("yn"), F.max(side("i", True)).alias("xi"), F.max(side("i", False)).alias("yi"))
         bound = F.col("common") + F.least(F.col("xn") - 1 - F.col("xi"), F.col("yn") - 1 - F.col("yi"))
         cross = cross.where(bound * (100 + percent) >= (F.col("xn") + F.col("yn")) * percent).join(tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
-        more = steps(verified(cross, class_of, docs, n, percent), "cross").where("linked").select("x", "y")
+        cross = cross.join(as_side("x"), "x").join(as_side("y"), "y")
+        more = steps(verified(cross, docs, n, percent), "cross").where("linked").select("x", "y")
         steps.drop("mixed")
-        group = components(links.unionByName(more), steps, "groups")
-        least = class_of.join(group, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
+        least = steps(joined_groups(star_group, more, class_of.select("node", "doc"), steps), "least")
         of = C.dealt_join(least, least.groupBy("component").agg(F.min(F.struct("doc", "node")).alias("first")), "component", "node").select("node", F.col("first.doc").alias("least"), F.col("first.node").alias("head"))
         some = C.dealt_join(docs_of.where("n > 0"), of, "node", "doc").select("doc", "node", "n", "least", "head")
         none = F.lit(None).cast("long")

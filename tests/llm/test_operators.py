@@ -166,6 +166,20 @@ def test_debruijn_of_random_walks(spark, monkeypatch, seed):
     assert sorted((order(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
 
 
+def test_jaccard_makes_its_classes_once(spark, docs, monkeypatch):
+    """A plan is the driver's work and memory: what makes the classes stands in one step's plan, not in that of each join with them."""
+    made, write = [], common.Steps.__call__
+
+    def watched(self, df, name):
+        if re.search(r"min\((named_)?struct\(doc, doc#\d+L, key", df._jdf.queryExecution().executedPlan().toString()):
+            made.append(name)
+        return write(self, df, name)
+
+    monkeypatch.setattr(common.Steps, "__call__", watched)
+    jaccard_join.groups(spark, docs, 4, 85).count()
+    assert made == ["named"]
+
+
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (3, 30)])
 def test_jaccard_against_brute_force(spark, docs, n, percent):
     sets = {}
