@@ -110,6 +110,23 @@ def hit_types(features: DataFrame, hits: DataFrame, more: tuple[str, ...] = ())
     return relate(slim, hits, 0, ["assoc_type"], overlap=True, long_left=True).groupBy(*FEATURE, *more).agg(F.array_sort(F.collect_set("r_assoc_type")).alias("assoc"))
 
 
+def hit_genomes(features: DataFrame, hits: DataFrame) -> DataFrame:
+    """(assembly, assoc): the sorted set of types of the hits that overlap a feature of each genome; without such a hit it has no row.
+
+    A hit that has bases overlaps every feature that is its whole circle, as annotations hold one for each replicon, and needs no join with the
+    others. Only for the rest of the hits are the features of their replicons joined.
+    """
+    n, start, end = F.col("len"), F.col("start_bound"), F.col("end_bound")
+    slim = features.select(*PLACE, "len", "strand", "start_bound", "end_bound")
+    whole = slim.where(arc_length(start, end, n) >= n).select(*PLACE).distinct().withColumn("_whole", F.lit(True))
+    judged = hits.withColumn("_bases", arc_length(start, end, n)).join(whole, PLACE, "left")
+    sure = F.coalesce(F.col("_whole") & (F.col("_bases") > 0), F.lit(False))
+    rest = judged.where(~sure).drop("_whole", "_bases")
+    near = relate(slim.join(rest.select(*PLACE).distinct(), PLACE, "left_semi"), rest, 0, ["assoc_type"], overlap=True, long_left=True)
+    found = judged.where(sure).select("assembly", "assoc_type").unionByName(near.select("assembly", F.col("r_assoc_type").alias("assoc_type")))
+    return found.where("assoc_type is not null").groupBy("assembly").agg(F.array_sort(F.collect_set("assoc_type")).alias("assoc"))
+
+
 def link_hits(features: DataFrame, hits: DataFrame) -> DataFrame:
     """``features`` with assoc, the sorted set of hit types that overlap each; null where none does."""
     return features.join(hit_types(features, hits), FEATURE, "left")

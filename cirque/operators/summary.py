@@ -60,6 +60,16 @@ def genome_summary(replicons: DataFrame, classified: DataFrame, distinct: DataFr
     )
 
 
+def genome_densities(replicons: DataFrame, sites: DataFrame, assoc: DataFrame) -> DataFrame:
+    """assembly, total_len, actual_per_mbp and code of ``genome_summary``, for reports that ask for no more; ``assoc`` has the hit types of assemblies.
+
+    Every site is classified, so that their number needs no classes: operons, orphans and gaps are not made for these columns.
+    """
+    base = replicons.groupBy("assembly").agg(F.sum("len").alias("total_len"))
+    x = base.join(sites.groupBy("assembly").agg(F.count("*").alias("n_sites")), "assembly", "left").join(assoc, "assembly", "left")
+    return x.select("assembly", "total_len", F.try_divide(F.coalesce("n_sites", F.lit(0)) * 1_000_000, F.col("total_len")).alias("actual_per_mbp"), assoc_code(F.col("assoc")).alias("code"))
+
+
 def density_by_association(report: DataFrame, letter: str = "Y") -> DataFrame:
     """has_type, mean_density, n_genomes and n_species of genomes with and without a hit type; empty genomes do not count."""
     by = report.where("total_len > 0").groupBy(F.contains("code", F.lit(letter)).alias("has_type"))

@@ -48,3 +48,12 @@ def test_hit_types_are_those_of_linked_features(spark):
     key = ["replicon", "start_bound", "end_bound", "ord", "assoc"]
     want = J.link_hits(features, hits).where("assoc is not null").select(*key).collect()
     assert len(want) > 20 and sorted(J.hit_types(features, hits, ("len", "strand")).select(*key).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("lengths", [[0, 300, 2_000], [0]])
+def test_hit_genomes_are_those_of_hit_types(spark, lengths):
+    features = arcs(spark, 7, 60, [16, 900, 30_000]).withColumnsRenamed({"id": "ord"}).withColumn("feature_type", F.lit("CDS")).where("replicon <> 'b' or ord < 10000")
+    features = features.withColumn("assembly", F.concat(F.lit("g"), "replicon"))
+    hits = arcs(spark, 8, 40, lengths).withColumn("assoc_type", F.when(F.col("id") % 5 > 0, F.concat("replicon", (F.col("id") % 3).cast("string")))).where("id < 40").withColumn("assembly", F.concat(F.lit("g"), "replicon"))
+    want = J.hit_types(features, hits).select("assembly", F.explode("assoc").alias("t")).groupBy("assembly").agg(F.array_sort(F.collect_set("t")).alias("assoc"))
+    assert sorted(map(tuple, J.hit_genomes(features, hits).collect())) == sorted(map(tuple, want.collect()))

@@ -31,6 +31,17 @@ def test_same_as_sql(spark, small, other, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(columns, want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["a13_density_by_association", "u4_species_with_type", "a3_genome_associations"])
+def test_densities_ask_for_no_operons(spark, small, other, monkeypatch, name):
+    def asked(*_, **__):
+        raise AssertionError("operons are not part of the result")
+
+    for f in ("predict_operons", "orphans"):
+        monkeypatch.setattr(Q.O, f, asked)
+    monkeypatch.setattr(Q.J, "hit_types", asked)
+    test_same_as_sql(spark, small, other, name)
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 
