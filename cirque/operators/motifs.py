@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The default motif, its substitution table, and the letters that each nucleotide code stands for.
@@ -174,6 +175,16 @@ def scan_words(sequences: DataFrame, words: list[str], tile: int = TILE) -> Data
     return _scan(sequences, min(by, default=1), max(by, default=1), tile, find)
 
 
+def spelled(code: str, k: int) -> Column:
+    """The ``k`` letters of a number of two bits a letter, four at a time from a table; null for null."""
+    parts = []
+    for i in range(0, k, 4):
+        m = min(4, k - i)
+        table = F.lit(["".join(x) for x in product("ACGT", repeat=m)])
+        parts.append(F.element_at(table, F.shiftright(code, 2 * (k - i - m)).bitwiseAND(F.lit(4**m - 1)).cast("int") + 1))
+    return F.when(F.col(code).isNotNull(), F.concat(*parts))
+
+
 def words_of(sequences: DataFrame, k: int = len(MOTIF), tile: int = TILE) -> DataFrame:
     """(word): the distinct runs of ``k`` letters of whole ``sequences`` (seq), from first letter to last and not over the origin.
 
@@ -208,8 +219,7 @@ def words_of(sequences: DataFrame, k: int = len(MOTIF), tile: int = TILE) -> Dat
         yield out()
 
     found = cut.mapInArrow(run, "code long, word string").distinct()
-    letter = lambda i: F.substring(F.lit("ACGT"), F.shiftright("code", 2 * (k - 1 - i)).bitwiseAND(F.lit(3)).cast("int") + 1, F.lit(1))
-    return found.select(F.coalesce("word", F.concat(*map(letter, range(k)))).alias("word")) if k <= LONGEST else found.select("word")
+    return found.select(F.coalesce("word", spelled("code", k)).alias("word")) if k <= LONGEST else found.select("word")
 
 
 def mark_palindromes(sites: DataFrame) -> DataFrame:

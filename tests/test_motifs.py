@@ -48,6 +48,14 @@ def test_lists_of_words(spark, count):
     assert M.scan_words(frame, []).count() == 0
 
 
+@pytest.mark.parametrize("k", [1, 4, 7, 16, 31])
+def test_numbers_are_spelled(spark, k):
+    rng = random.Random(k)
+    words = ["A" * k, "T" * k, *("".join(rng.choices("ACGT", k=k)) for _ in range(50))]
+    codes = [(sum("ACGT".index(c) << 2 * (k - 1 - i) for i, c in enumerate(w)),) for w in words] + [(None,)]
+    assert [r.w for r in spark.createDataFrame(codes, "code long").select(M.spelled("code", k).alias("w")).collect()] == [*words, None]
+
+
 def test_known_sites(spark, tmp_path):
     rng = random.Random(1)
     seq, want = "", []

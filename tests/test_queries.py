@@ -66,6 +66,16 @@ def test_words_of_whole_sequences(spark, small):
     assert {r.word for r in mine} == every and all(r.in_motif == (r.word in motif) for r in mine)
 
 
+def test_words_are_not_shuffled_for_the_motif(spark, small):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = Q.queries()["m1_expand_motif"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_contents_are_hashed_apart(spark, small, monkeypatch):
     plans, lines = [], round_trips._lines
     monkeypatch.setattr(round_trips, "_lines", lambda df, *more: (plans.append(df._jdf.queryExecution().toString()), lines(df, *more))[1])
