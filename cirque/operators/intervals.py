@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cirque.functions.frames import held
 from cirque.functions.geometry import arc_length, search_bubble, with_sized_relation, with_sizes
 from cirque.functions.scans import SEGMENT, SPAN
 
@@ -136,31 +137,43 @@ def nearest_sides(sites: DataFrame, features: DataFrame, radius: int, span: int
     """(site_id, side, r_start_bound, r_end_bound, r_strand, distance): the nearest feature not overlapping on the 5' and on the 3' side of each site.
 
     Looking back, features stand at their end and sites at their start; looking ahead it is the other way round, and places count
-    backwards. Both ways are two lanes of one order, in which the feature before a site is the nearest. Lanes are cut into segments of
-    ``span`` bases; a feature goes to each segment that lies within the radius behind it, so segments need nothing of each other.
+    backwards. Both ways are two lanes of one order, in which the feature before a site is the nearest. Circles are cut into segments of
+    ``span`` bases, the same for both lanes; a feature goes once to each segment within the radius, so segments need nothing of each other.
     Where a circle is so short that a feature within the radius may reach round to the other side, all features within the
     radius are ranked instead.
     """
     n, start, end, reach = F.col("len"), F.col("start_bound"), F.col("end_bound"), F.lit(radius).cast("long")
-    longest = lambda df: df.groupBy(*PLACE).agg(F.max(arc_length(start, end, n)).alias("_longest"))
-    widest = longest(sites).unionByName(longest(features)).groupBy(*PLACE).agg(F.sum("_longest").alias("_longest"))
-    judged = sites.select("site_id", *PLACE, n, "strand", start, end).join(widest, PLACE).withColumn("_short", n <= F.col("_longest") + 2 * radius).drop("_longest")
+    longest = lambda df: df.groupBy(*PLACE).agg(F.max(arc_length(start, end, n)).alias("_longest"), F.max(n).alias("_n"))
+    widest = longest(sites).unionByName(longest(features)).groupBy(*PLACE).agg((F.max("_n") <= F.sum("_longest") + 2 * radius).alias("_short"))
+    widest = held(widest)
+    judged = sites.select("site_id", *PLACE, n, "strand", start, end).join(widest, PLACE)
     short = judged.where("_short").drop("_short")
-    lanes = lambda back, ahead: F.explode(F.array(F.struct(F.lit(0).alias("lane"), F.pmod(back, n).alias("at")), F.struct(F.lit(1).alias("lane"), F.pmod(-ahead, n).alias("at")))).alias("x")
-    none = F.lit(None)
-    site = judged.where("not _short").select("site_id", *PLACE, F.col("strand") == "Reverse", lanes(start, end)).toDF("site_id", *PLACE, "turned", "x")
-    site = site.select(*PLACE, "x.lane", F.floor(F.col("x.at") / span).alias(SEGMENT), "x.at", "site_id", "turned", none.cast("long").alias("s"), none.cast("long").alias("e"), none.cast("string").alias("t"), F.lit(True).alias("is_site"))
+    back, ahead, none = F.pmod(start, n), F.pmod(-end, n), F.lit(None)
+    lanes = F.explode(F.array(F.struct(F.lit(0).alias("lane"), back.alias("at"), F.floor(back / span).alias("part")), F.struct(F.lit(1).alias("lane"), ahead.alias("at"), F.floor((n - 1 - ahead) / span).alias("part")))).alias("x")
+    site = judged.where("not _short").select("site_id", *PLACE, n, F.col("strand") == "Reverse", lanes).toDF("site_id", *PLACE, "len", "turned", "x")
+    site = site.select(*PLACE, n, F.col("x.part").alias(SEGMENT), "x.lane", "x.at", "site_id", "turned", none.cast("long").alias("s"), none.cast("long").alias("e"), none.cast("string").alias("t"))
+    # a gene goes once to each segment within the radius on either side; its lanes are made behind the exchange
+    gene = features.select(*PLACE, n, start.alias("s"), end.alias("e"), F.col("strand").alias("t")).withColumn("_at", F.pmod(F.col("s") - 1 - reach, n))
+    gene = binned(gene.withColumn("_wide", arc_length(F.col("s"), F.col("e"), n) + 2 * reach + 2), "_at", "_wide", F.lit(span))
+    gene = gene.select(*PLACE, n, F.col("bin").alias(SEGMENT), none.cast("int").alias("lane"), none.cast("long").alias("at"), none.cast(sites.schema["site_id"].dataType).alias("site_id"), none.cast("boolean").alias("turned"), "s", "e", "t")
+    x = site.unionByName(gene).repartition(*PLACE, SEGMENT).withColumn("is_site", F.col("lane").isNotNull())
     # behind the origin a feature stands that much before it
-    gene = features.select(*PLACE, n, start.alias("s"), end.alias("e"), F.col("strand").alias("t"), lanes(end, start)).select(*PLACE, n, "s", "e", "t", "x.*")
-    gene = gene.withColumn("at", F.explode(F.array("at", F.when(F.col("at") + reach >= n, F.col("at") - n)))).where(F.col("at").isNotNull())
-    gene = gene.withColumn(SEGMENT, F.explode(F.sequence(F.floor(F.greatest("at", F.lit(0)) / span), F.floor(F.least(F.col("at") + reach, n - 1) / span))))
-    gene = gene.select(*PLACE, "lane", SEGMENT, "at", none.cast(sites.schema["site_id"].dataType).alias("site_id"), none.cast("boolean").alias("turned"), "s", "e", "t", F.lit(False).alias("is_site"))
+    back, ahead = F.pmod(F.col("e"), n), F.pmod(-F.col("s"), n)
+    stand = lambda lane, at, when: F.when(when, F.struct(F.lit(lane).alias("lane"), at.alias("at")))
+    own = F.when(F.col("is_site"), F.struct("lane", "at")).otherwise(F.struct(F.lit(0).alias("lane"), back.alias("at")))
+    over = ~F.col("is_site")
+    x = x.withColumn("x", F.explode(F.array(own, stand(1, ahead, over), stand(0, back - n, over & (back + reach >= n)), stand(1, ahead - n, over & (ahead + reach >= n))))).where("x is not null")
+    x = x.select(*PLACE, n, SEGMENT, F.col("x.lane").alias("lane"), F.col("x.at").alias("at"), "site_id", "turned", "s", "e", "t", "is_site")
+    first, last = F.greatest("at", F.lit(0)), F.least(F.col("at") + reach, n - 1)
+    part = lambda at: F.floor(at / span)
+    reached = F.when(F.col("lane") == 0, F.col(SEGMENT).between(part(first), part(last))).otherwise(F.col(SEGMENT).between(part(n - 1 - last), part(n - 1 - first)))
     # of features at one place the one of least start and end comes last
     w = Window.partitionBy(*PLACE, "lane", SEGMENT).orderBy("at", "is_site", F.col("s").desc(), F.col("e").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    x = site.unionByName(gene).withColumn("g", F.last(F.when(~F.col("is_site"), F.struct("at", "s", "e", "t")), True).over(w)).where("is_site")
+    x = x.where(F.col("is_site") | reached).withColumn("g", F.last(F.when(~F.col("is_site"), F.struct("at", "s", "e", "t")), True).over(w)).where("is_site")
     side = F.when((F.col("lane") == 0) == F.coalesce("turned", F.lit(False)), "3N").otherwise("5N")
     plain = x.select("site_id", side.alias("side"), F.col("g.s").alias("r_start_bound"), F.col("g.e").alias("r_end_bound"), F.col("g.t").alias("r_strand"), (F.col("at") - F.col("g.at")).alias("distance")).where(F.col("distance") <= radius)
-    ranked = relate(short, features, radius, ["strand"]).where(F.col("rel").isin("5N", "3N"))
+    close = features.join(widest.where("_short").select(*PLACE), PLACE, "left_semi")
+    ranked = relate(short, close, radius, ["strand"]).where(F.col("rel").isin("5N", "3N"))
     w = Window.partitionBy("site_id", "rel").orderBy("distance", "r_start_bound", "r_end_bound")
     ranked = ranked.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("site_id", F.col("rel").alias("side"), "r_start_bound", "r_end_bound", "r_strand", "distance")
     return plain.unionByName(ranked)

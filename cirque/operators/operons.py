@@ -25,7 +25,7 @@ def islands(genes: DataFrame, gap: int, span: int = SPAN) -> DataFrame:
     over = F.col("r_whole") - n
     x = x.withColumn("_reach", F.greatest(over, F.col("r_before"), F.max(F.col("_s") + F.col("_l")).over(inside(place, "_s", "_l", strict=True))))
     x = x.withColumn("_break", F.when(F.col("_s") - F.col("_reach") > gap, 1).otherwise(0))
-    x = held(x.select(*genes.columns, "_l", "_s", SEGMENT, "_break"))  # carrying reads its rows twice, and what comes before them too
+    x = x.select(*genes.columns, "_l", "_s", SEGMENT, "_break")  # in one exchange by place and segment with what follows
     x = carried(x, place, {"k": (F.sum, F.col("_break"))})
     x = x.withColumn("_k", F.coalesce("k_before", F.lit(0)) + F.sum("_break").over(inside(place, "_s", "_l"))).withColumn("_last", F.col("k_whole"))
     wraps = (F.col("_k") == 0) & (F.col("_last") > 0)  # the first run continues the last one
@@ -46,10 +46,10 @@ def chain_candidates(sites: DataFrame, genes: DataFrame, reach: int, lead: int,
     spans = runs.groupBy(*place, "len", "island").agg(F.min("_s").alias("start_bound"), F.max(F.col("_s") + F.col("_l")).alias("_end"))
     spans = spans.select(*place, "len", "island", "start_bound", F.least("_end", F.col("start_bound") + n).alias("end_bound"), F.lit("Other").alias("strand"))
     near = relate(sites, spans, lead, ["island"]).drop("rel", "distance", "r_start_bound", "r_end_bound")
-    members = with_sizes(runs, "_b", F.col("start_bound"), F.col("end_bound"), n)
-    members = members.select(*place, F.col("island").alias("r_island"), F.col("start_bound").alias("r_start_bound"), F.col("end_bound").alias("r_end_bound"), F.col("strand").alias("r_strand"), "_bl", "_bc")
-    near = with_sizes(near, "_a", F.col("start_bound"), F.col("end_bound"), n)
-    pairs = near.join(members, [*place, "r_island"]).where(apart(F.col("_al"), F.col("_ac"), F.col("_bl"), F.col("_bc"), n) <= 2 * reach)
+    members = runs.select(*place, F.col("island").alias("r_island"), F.col("start_bound").alias("r_start_bound"), F.col("end_bound").alias("r_end_bound"), F.col("strand").alias("r_strand"))
+    pairs = near.join(members, [*place, "r_island"])  # sizes are not sent, as bounds give them
+    pairs = with_sizes(with_sizes(pairs, "_a", F.col("start_bound"), F.col("end_bound"), n), "_b", F.col("r_start_bound"), F.col("r_end_bound"), n)
+    pairs = pairs.where(apart(F.col("_al"), F.col("_ac"), F.col("_bl"), F.col("_bc"), n) <= 2 * reach)
     return with_sized_relation(pairs, "_a", "_b", F.col("strand"), n).drop("r_island")
 
 
@@ -75,7 +75,9 @@ def operons_of(sites: DataFrame, genes: DataFrame, reach: int = 40_000, lead: in
     pairs = chain_candidates(sites, genes, reach, lead, gap, span)
     # whether the site lies on a gene's 3' side, judged from the gene
     pairs = with_sized_relation(pairs, "_b", "_a", mine, n, "seen", "_seen").withColumn("behind", F.col("seen").isin("3O", "3N")).drop("seen", "_seen", "_al", "_ac")
-    pairs = pairs.join(neighbour_strands(sites, genes, reach, span), "site_id", "left").withColumns({"s5": F.coalesce("s5", F.lit("Other")), "s3": F.coalesce("s3", F.lit("Other"))})
+    strands = held(neighbour_strands(sites, genes, reach, span))  # so that the exchange of neighbours is gone before that of chains
+    # all that follows is by site: lists are windows within one exchange
+    pairs = pairs.repartition("site_id").join(strands, "site_id", "left").withColumns({"s5": F.coalesce("s5", F.lit("Other")), "s3": F.coalesce("s3", F.lit("Other"))})
     over = ~F.col("rel").isin("5N", "3N")
     # each pair is put to all three lists and taken by those it belongs to: a function on arrays would leave generated code
     first, s5, s3 = F.col("list"), F.col("s5"), F.col("s3")
@@ -147,6 +149,12 @@ def classify_sites(sites: DataFrame, site_genes: DataFrame) -> DataFrame:
     return x.select("site_id", "assembly", "replicon", kind.alias("site_type"), label.alias("site_class"), distance.alias("class_distance"), F.coalesce("n_genes", F.lit(0)).cast("long").alias("n_genes"))
 
 
+def genes_of(site_genes: DataFrame) -> DataFrame:
+    """The different genes of operons as features, for ``hit_types``; type and order are the same for all, as ``site_associations`` asks for places only."""
+    own = site_genes.select("assembly", "replicon", "len", F.col("r_start_bound").alias("start_bound"), F.col("r_end_bound").alias("end_bound"), F.col("r_strand").alias("strand")).distinct()
+    return own.withColumns({"feature_type": F.lit("CDS"), "ord": F.lit(0).cast("long")})
+
+
 def site_associations(site_genes: DataFrame, linked: DataFrame) -> DataFrame:
     """site_id and assoc: the hit types of the operon's genes; ``linked`` are features with assoc."""
     f = linked.select("assembly", "replicon", F.col("start_bound").alias("r_start_bound"), F.col("end_bound").alias("r_end_bound"), F.explode("assoc").alias("type")).distinct()

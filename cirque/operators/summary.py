@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cirque.functions.features import assoc_code, class_label, dedupe_features, feature_name, feature_product, keep_coding_features
+from cirque.functions.features import assoc_code, class_label, feature_name, feature_product, keep_coding_features
 from cirque.functions.geometry import feature_length, with_relation
-from cirque.functions.scans import SPAN, carried, cut, inside
+from cirque.functions.scans import SEGMENT, SPAN, carried, cut, inside
 
 from .catalog import attach_metadata
 
@@ -28,7 +28,9 @@ def intergenic_space(features: DataFrame, span: int = SPAN) -> DataFrame:
     the last of the earlier ones, so no task sorts a whole replicon.
     """
     place, at = ["assembly", "replicon"], F.struct("start_bound", "end_bound")
-    genes = cut(dedupe_features(keep_coding_features(features, ("Region", "Gene", "Pseudogene"))), F.col("start_bound"), span)
+    # of features at one place any will do, as only places count; they are told apart in the exchange that the scan needs
+    genes = cut(keep_coding_features(features, ("Region", "Gene", "Pseudogene")), F.col("start_bound"), span).select(*place, SEGMENT, "len", "start_bound", "end_bound")
+    genes = genes.repartition(*place, SEGMENT).distinct()
     genes = carried(genes, place, {"p": (F.max, at)})
     genes = genes.withColumn("p", F.coalesce(F.max(at).over(inside(place, "start_bound", "end_bound", strict=True)), F.col("p_before")))
     genes = genes.withColumns({"ps": F.col("p.start_bound"), "pe": F.col("p.end_bound")})
@@ -47,10 +49,10 @@ def operon_counts(distinct: DataFrame) -> DataFrame:
     return distinct.groupBy("assembly").agg(F.count("*").alias("n_operons"), F.sum("n_genes").alias("n_genes"))
 
 
-def genome_summary(replicons: DataFrame, classified: DataFrame, distinct: DataFrame, orphan: DataFrame, linked: DataFrame, space: DataFrame, expectation: float) -> DataFrame:
-    """One row for each assembly; every side is aggregated before it is joined."""
+def genome_summary(replicons: DataFrame, classified: DataFrame, distinct: DataFrame, orphan: DataFrame, assoc: DataFrame, space: DataFrame, expectation: float) -> DataFrame:
+    """One row for each assembly; every side is aggregated before it is joined. ``assoc`` has the hit types of assemblies."""
     base = replicons.groupBy("assembly").agg(F.count("*").alias("n_replicons"), F.sum("len").alias("total_len"))
-    x = base.join(site_counts(classified), "assembly", "left").join(operon_counts(distinct), "assembly", "left").join(orphan.groupBy("assembly").agg(F.count("*").alias("n_orphans")), "assembly", "left").join(genome_associations(linked), "assembly", "left").join(space, "assembly", "left")
+    x = base.join(site_counts(classified), "assembly", "left").join(operon_counts(distinct), "assembly", "left").join(orphan.groupBy("assembly").agg(F.count("*").alias("n_orphans")), "assembly", "left").join(assoc, "assembly", "left").join(space, "assembly", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     expected = F.lit(expectation) * F.col("total_len")
     per = lambda c: F.try_divide(c * 1_000_000, F.col("total_len"))

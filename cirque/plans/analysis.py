@@ -37,7 +37,7 @@ def analyse(spark: SparkSession, catalog: str, sequences: str, annotation: str,
     classified = held(operons.classify_sites(sites.select("site_id", *place, "len", "strand", "start_bound", "end_bound"), genes))
     orphan = held(operons.orphans(linked, distinct, sites))
     types = summary.replicon_types(sizes)
-    table = summary.genome_summary(sizes, classified, distinct, orphan, linked, summary.intergenic_space(features), motifs.motif_expectation(motif))
+    table = summary.genome_summary(sizes, classified, distinct, orphan, summary.genome_associations(linked), summary.intergenic_space(features), motifs.motif_expectation(motif))
     entries = readers.read_assembly_catalog(spark, catalog)
     return Reports(
         summary.genome_report(table, entries), summary.site_table(sites, classified, types, operons.site_associations(genes, linked)),

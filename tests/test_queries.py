@@ -42,6 +42,18 @@ def test_densities_ask_for_no_operons(spark, small, other, monkeypatch, name):
     test_same_as_sql(spark, small, other, name)
 
 
+@pytest.mark.parametrize("name", ["a8_genome_report"])
+def test_orphans_ask_for_their_hits_only(spark, small, other, monkeypatch, name):
+    """Coding features, one for each place, meet hits of the orphans' type; not each feature meets every hit."""
+    asked, whole = [], Q.J.hit_types
+    monkeypatch.setattr(Q.J, "hit_types", lambda features, hits, *more: (asked.append((features, hits)), whole(features, hits, *more))[1])
+    test_same_as_sql(spark, small, other, name)
+    ((features, hits),) = asked
+    assert {r.assoc_type for r in hits.select("assoc_type").distinct().collect()} == {"CopY"}
+    assert {r.feature_type for r in features.select("feature_type").distinct().collect()} <= {"CDS", "tRNA", "Pseudogene"}
+    assert features.count() == features.select("assembly", "replicon", "start_bound", "end_bound").distinct().count()
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 

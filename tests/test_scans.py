@@ -1,4 +1,5 @@
 import random
+import re
 
 from cirque.operators import intervals as J
 from cirque.operators import operons as O
@@ -49,3 +50,23 @@ def test_gaps_by_plain_loop(spark):
             m = (2 * c + lb - 2 * a - la) % (2 * n)
             gaps += max(0, (min(m, 2 * n - m) - la - lb) // 2)
     assert S.intergenic_space(features, 5_000).first().gap_total == gaps
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_genes_cross_once_where_they_are_scanned(spark):
+    """Both lanes of neighbours, gaps and the features at one place, and a site's lists are each read from one exchange."""
+    features, sites = crowded(spark)
+    for f, other in ((lambda: J.nearest_sides(sites, features, 2_000), r"lane#"), (lambda: S.intergenic_space(features), r"start_bound#"), (lambda: O.predict_operons(sites, features), r"list#")):
+        assert not re.search(r"hashpartitioning\([^)]*" + other, plan_of(f()))
+
+
+def test_features_of_long_circles_are_not_ranked(spark, monkeypatch):
+    """All features in reach are listed on circles only so short that the two sides meet."""
+    features, sites = crowded(spark)
+    listed, whole = [], J.relate
+    monkeypatch.setattr(J, "relate", lambda left, right, *more, **how: (listed.append({r.replicon for r in right.select("replicon").collect()}), whole(left, right, *more, **how))[1])
+    J.nearest_sides(sites, features, 2_000)
+    assert listed == [{"tiny"}]
