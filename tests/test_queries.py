@@ -45,7 +45,7 @@ def test_densities_ask_for_no_operons(spark, small, other, monkeypatch, name):
     test_same_as_sql(spark, small, other, name)
 
 
-@pytest.mark.parametrize("name", ["a8_genome_report", "o6_orphan_table", "j8_orphans"])
+@pytest.mark.parametrize("name", ["a8_genome_report", "o6_orphan_table", "a8_genome_summary", "j8_orphans"])
 def test_orphans_ask_for_their_hits_only(spark, small, other, monkeypatch, name):
     """Coding features, one for each place, meet hits of the orphans' type; not each feature meets every hit."""
     asked, whole = [], Q.J.hit_types
